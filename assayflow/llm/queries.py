@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayflow.llm.common import table
 from assayflow.llm.exact_dedup import exact_dedup
+from assayflow.llm.simhash import simhash_components
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 #: The same results in DuckDB's SQL, where SQL can express them.
