@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayflow.llm.common import table
 from assayflow.llm.exact_dedup import exact_dedup
+from assayflow.llm.pii import find_pii, pii_digest
 from assayflow.llm.simhash import simhash_components
 
 
@@ -15,12 +16,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op8_pii": op8_pii,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
