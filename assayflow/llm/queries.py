@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayflow.llm.common import table
 from assayflow.llm.exact_dedup import exact_dedup
+from assayflow.llm.hmm_lm import contract_held_out, hmm_scores
 from assayflow.llm.pii import find_pii, pii_digest
 from assayflow.llm.simhash import simhash_components
 
 
+def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"), contract_held_out())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_lm": op1_hmm_lm,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_pii": op8_pii,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
