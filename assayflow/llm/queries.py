@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayflow.llm.common import table
 from assayflow.llm.exact_dedup import exact_dedup
 from assayflow.llm.hmm_lm import contract_held_out, hmm_scores
 from assayflow.llm.pii import find_pii, pii_digest
 from assayflow.llm.simhash import simhash_components
+from assayflow.llm.substring_dedup import substring_dedup
+from assayflow.llm.suffix_dedup import repeated_passages
 
 
 def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +23,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_repeated", text.alias("spans"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -32,10 +44,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_lm": op1_hmm_lm,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_pii": op8_pii,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+#: Every word of every row (r), where repeated windows of {window} words are, and the words they cover.
+_WINDOWS = r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        place AS (SELECT r, w, unnest(range(1, greatest(len(w) - {window} + 1, 0) + 1)) AS i FROM t),
+        hashed AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + {window} - 1), ' ')) AS h FROM place),
+        counted AS (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM hashed),
+        gone AS (SELECT DISTINCT r, i + k AS p FROM counted, range({window}) AS o(k) WHERE n > 1),
+"""
+
 #: The same results in DuckDB's SQL, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -49,4 +75,19 @@ ORACLE_SQL: dict[str, str] = {
             FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
     """,
+    "op6_substring_dedup": _WINDOWS.format(window=35)
+    + r"""
+        word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (r)
+    """,
+    "op9_suffix_dedup": _WINDOWS.format(window=50)
+    + r"""
+        island AS (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS k FROM gone),
+        span AS (SELECT r, min(p) - 1 AS a, max(p) AS b FROM island GROUP BY r, k),
+        joined AS (SELECT r, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, sum(b - a)::BIGINT AS n FROM span GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_repeated, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN joined USING (r)
+    """,
 }
