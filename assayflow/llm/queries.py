@@ -10,6 +10,7 @@ from assayflow.llm.common import table
 from assayflow.llm.exact_dedup import exact_dedup
 from assayflow.llm.hmm_lm import contract_held_out, hmm_scores
 from assayflow.llm.pii import find_pii, pii_digest
+from assayflow.llm.quality import quality_classifier
 from assayflow.llm.simhash import simhash_components
 from assayflow.llm.substring_dedup import substring_dedup
 from assayflow.llm.suffix_dedup import repeated_passages
@@ -19,6 +20,10 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(table(spark, sf_dir, "documents"), contract_held_out())
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_lm": op1_hmm_lm,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_pii": op8_pii,
