@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The characters that separate words: space and the five ASCII controls from tab to carriage return.
@@ -48,3 +52,30 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_PIECE = 4096
+
+
+def sum_vectors(rows: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of one vector per task, ``of`` its batches (None: nothing to add); None without any.
+
+    Vectors travel in pieces, which are added in groups of 64 tasks and then over the groups, so no task
+    reads more than a piece from each of many tasks. The driver gets one vector, whose size is the model's.
+    """
+    kind = "piece int, part int, numbers binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = of(batches)
+        if total is not None:
+            pieces = [total[i : i + _PIECE].astype(np.float64).tobytes() for i in range(0, len(total), _PIECE)]
+            part = TaskContext.get().partitionId() // 64
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([part] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "part", "numbers"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("numbers"))
+        return pa.table({"piece": table.column("piece")[:1], "part": table.column("part")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+
+    summed = rows.mapInArrow(run, kind).groupBy("piece", "part").applyInArrow(add, kind).groupBy("piece").applyInArrow(add, kind)
+    pieces = sorted(summed.collect(), key=lambda r: r.piece)
+    return np.concatenate([np.frombuffer(r.numbers, np.float64) for r in pieces]) if pieces else None

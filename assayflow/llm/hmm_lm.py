@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayflow.llm.common import LOWER, Scratch
+from assayflow.llm.common import LOWER, Scratch, sum_vectors
 
 #: A word with at least this share of the training tokens is a class of its own: so there are at most 4096 of them.
 OWN_SHARE = 4096
@@ -249,44 +249,29 @@ def _parts(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[tu
             yield held, [(batch, begin, batch.num_rows)]
 
 
-_CHUNK = 4096
-
-
 def baum_welch(encoded: DataFrame, model: HMM, prior: np.ndarray, rounds: int) -> HMM:
     """Each round: expected counts of every training document by task, summed over tasks in two steps."""
     states = len(model.emit)
-
-    def step(model: HMM):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for held, _ in _parts(batches, 0, AT_ONCE):
-                sizes = np.array([len(t) for t in held])
-                begin = np.r_[0, np.cumsum(sizes)[:-1]]
-                cuts = (sizes + SEGMENT - 1) // SEGMENT
-                part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-                starts = np.repeat(begin, cuts) + part * SEGMENT
-                lengths = np.minimum(SEGMENT, np.repeat(begin + sizes, cuts) - starts)
-                found = expected_counts(model, np.concatenate(held), starts, lengths, part > 0)
-                total = found if total is None else total + found
-            if total is not None:
-                pieces = [total[i : i + _CHUNK].tobytes() for i in range(0, len(total), _CHUNK)]
-                group = TaskContext.get().partitionId() // 64
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([group] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "part", "counts"])
-
-        return run
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("counts"))
-        return pa.table({"piece": table.column("piece")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "piece int, part int, counts binary"
     rows = encoded.filter("not held_out").select("classes")
+
+    def counts(batches: Iterator[pa.RecordBatch], model: HMM) -> np.ndarray | None:
+        total = None
+        for held, _ in _parts(batches, 0, AT_ONCE):
+            sizes = np.array([len(t) for t in held])
+            begin = np.r_[0, np.cumsum(sizes)[:-1]]
+            cuts = (sizes + SEGMENT - 1) // SEGMENT
+            part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            starts = np.repeat(begin, cuts) + part * SEGMENT
+            lengths = np.minimum(SEGMENT, np.repeat(begin + sizes, cuts) - starts)
+            found = expected_counts(model, np.concatenate(held), starts, lengths, part > 0)
+            total = found if total is None else total + found
+        return total
+
     for _ in range(rounds):
-        summed = rows.mapInArrow(step(model), kind).groupBy("piece", "part").applyInArrow(add, kind).groupBy("piece").applyInArrow(add, kind)
-        pieces = sorted(summed.collect(), key=lambda r: r.piece)  # the model's size: states x classes
-        if not pieces:
+        summed = sum_vectors(rows, partial(counts, model=model))
+        if summed is None:
             return model
-        model = HMM.from_counts(np.concatenate([np.frombuffer(r.counts, np.float64) for r in pieces]), prior, states)
+        model = HMM.from_counts(summed, prior, states)
     return model
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayflow.llm.common import table
 from assayflow.llm.exact_dedup import exact_dedup
 from assayflow.llm.hmm_lm import contract_held_out, hmm_scores
+from assayflow.llm.latent import decontaminate
 from assayflow.llm.pii import find_pii, pii_digest
 from assayflow.llm.quality import quality_classifier
 from assayflow.llm.simhash import simhash_components
@@ -32,6 +33,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_latent_decontamination": op7_latent_decontamination,
     "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
