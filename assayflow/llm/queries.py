@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayflow.llm.common import table
+from assayflow.llm.common import Scratch, table
 from assayflow.llm.exact_dedup import exact_dedup
 from assayflow.llm.hmm_lm import contract_held_out, hmm_scores
 from assayflow.llm.latent import decontaminate
+from assayflow.llm.packing import pack
 from assayflow.llm.pii import find_pii, pii_digest
 from assayflow.llm.quality import quality_classifier
 from assayflow.llm.simhash import simhash_components
 from assayflow.llm.substring_dedup import substring_dedup
 from assayflow.llm.suffix_dedup import repeated_passages
+from assayflow.llm.warc import archive, audit
 
 
 def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive, audited against a replica in which some records' last byte is changed and some records are gone."""
+    scratch = Scratch(spark, "warc")
+    whole = scratch.save(archive(table(spark, sf_dir, "pages"), scratch), "archive")
+    body = F.expr("substring(record, 1, octet_length(record) - 1)")
+    damaged = F.when(F.col("page_id") % 97 == 13, F.concat(body, F.lit(b"#"))).otherwise(F.col("record"))
+    other = whole.filter(F.coalesce(F.col("page_id") % 193 != 5, F.lit(True))).withColumn("record", damaged)
+    found = audit(whole, other, scratch).select("file", "offset", "status")
+    out = whole.select("page_id", "file", "offset", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"))
+    return out.join(found, ["file", "offset"], "left").select("page_id", "n_bytes", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_lm": op1_hmm_lm,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc_fixity": op4_warc_fixity,
+    "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_latent_decontamination": op7_latent_decontamination,
     "op8_pii": op8_pii,
@@ -88,6 +108,23 @@ ORACLE_SQL: dict[str, str] = {
             FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
     """,
+    "op4_warc_fixity": r"""
+        WITH block AS (
+            SELECT page_id, url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8'
+                || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS b, chr(13) || chr(10) AS nl
+            FROM pages),
+        named AS (SELECT *, md5(coalesce(url, '') || chr(10) || b) AS m FROM block),
+        record AS (
+            SELECT page_id, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:uuid:'
+                || concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) || '>' || nl
+                || 'WARC-Date: 2024-01-01T00:00:00Z' || nl || coalesce('WARC-Target-URI: ' || url || nl, '')
+                || 'Content-Type: application/http;msgtype=response' || nl || 'Content-Length: ' || octet_length(encode(b))
+                || nl || nl || b || nl || nl AS r
+            FROM named)
+        SELECT page_id, octet_length(encode(r)) AS n_bytes, sha256(r) AS record_sha256,
+               CASE WHEN page_id % 193 = 5 THEN 'missing' WHEN page_id % 97 = 13 THEN 'changed' ELSE 'intact' END AS status
+        FROM record
+    """,
     "op6_substring_dedup": _WINDOWS.format(window=35)
     + r"""
         word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
