@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayflow.llm.common import LOWER, sum_vectors
+from assayflow.llm.common import sum_vectors
 
-_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 _ANSWER = re.compile(rb"\banswer\s*[:=]\s*", re.IGNORECASE)
 #: Words of a passage, and from one passage's start to the next.
@@ -30,41 +31,60 @@ SLACK = 0.7
 ITEMS = 1024
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return _WORD.findall(text.translate(LOWER))
+def word_of(token: bytes) -> str:
+    """A token in lower case without the signs at its edges; nothing if it has only signs."""
+    return _EDGES.sub("", token.decode("utf-8", "replace").lower())
 
 
-def answer_of(text: bytes) -> list[bytes]:
+def words_of(text: bytes) -> list[str]:
+    return [w for w in map(word_of, text.split()) if w]
+
+
+def answer_of(text: bytes) -> list[str]:
     """What is marked as the answer, or else the last sentence."""
     marked = _ANSWER.split(text)
     return words_of(marked[-1] if len(marked) > 1 else [s for s in _SENTENCE.split(text.strip()) if words_of(s)][-1] if words_of(text) else b"")
 
 
 class _Lookup(dict):
-    """Words to numbers: an item's word to its place, any other to a bucket after these."""
+    """Tokens to numbers: an item's word to its place, any other to a bucket after these, and no word to -1."""
 
-    def __init__(self, vocabulary: dict[bytes, int]):
+    kept: tuple[object, "_Lookup"] | None = None
+
+    def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, token: bytes) -> int:
         if len(self) >= 1_000_000:
             self.clear()
+        word = word_of(token)
         place = self.vocabulary.get(word)
-        self[word] = place = len(self.vocabulary) + zlib.crc32(word) % OTHER if place is None else place
+        if place is None:
+            place = len(self.vocabulary) + zlib.crc32(word.encode()) % OTHER if word else -1
+        self[token] = place
         return place
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, text: bytes) -> np.ndarray:
+        tokens = text.split()
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return ids[ids >= 0]
+
+    @classmethod
+    def shared(cls, key: object, vocabulary: dict[str, int]) -> "_Lookup":
+        """One that lasts from task to task of a worker, as long as the vocabulary is the same."""
+        if cls.kept is None or cls.kept[0] != key:
+            cls.kept = (key, cls(vocabulary))
+        return cls.kept[1]
 
 
 # ---------------------------------------------------------------- the latent space
-def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> np.ndarray:
+def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int], key: object) -> np.ndarray:
     """Documents that hold each word, and the number of documents last."""
-    look, total = _Lookup(vocabulary), np.zeros(len(vocabulary) + OTHER + 1)
+    look, total = _Lookup.shared(key, vocabulary), np.zeros(len(vocabulary) + OTHER + 1)
     for batch in batches:
         for value in batch.column(0).cast(pa.large_binary()):
-            ids = look.of(words_of(value.as_py() or b""))
+            ids = look.of(value.as_py() or b"")
             total[np.unique(ids)] += 1
         total[-1] += batch.num_rows
     return total
@@ -113,8 +133,10 @@ class Space:
     ids: list  # of the items
     words: list[np.ndarray]  # of each item, in order
     answers: list[np.ndarray]
-    vocabulary: dict[bytes, int]
+    key: str  # of the vocabulary
+    vocabulary: dict[str, int]
     idf: np.ndarray
+    most: np.ndarray  # of each word, times its IDF: the greatest weight in any item's row
     vectors: np.ndarray  # words x rank
     rows: list[tuple[np.ndarray, np.ndarray]]  # the items' words and weights, of norm one
     queries: np.ndarray  # items x rank
@@ -125,11 +147,12 @@ def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RA
     """Counts over all documents, and singular vectors of the items' passages."""
     spark = docs.sparkSession
     split = [words_of(t) for _, t in items]
-    vocabulary: dict[bytes, int] = {}
+    vocabulary: dict[str, int] = {}
+    key = uuid.uuid4().hex
     for w in split:
         for x in w:
             vocabulary.setdefault(x, len(vocabulary))
-    counts = sum_vectors(docs.select("text"), partial(document_counts, vocabulary=vocabulary))
+    counts = sum_vectors(docs.select("text"), partial(document_counts, vocabulary=vocabulary, key=key))
     counts = np.zeros(len(vocabulary) + OTHER + 1) if counts is None else counts
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
     numbers = [np.array([vocabulary[x] for x in w], np.int64) for w in split]
@@ -138,8 +161,11 @@ def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RA
     vectors = randomised_svd(table, idf[:size], size, min(rank, len(items)))
     rows = [(at, x / np.sqrt((x * x).sum())) for at, x in (weighted(n, idf) for n in numbers)]
     queries = np.array([x @ vectors[at] for at, x in rows]).reshape(len(rows), -1)
+    most = np.zeros(len(idf))
+    for at, x in rows:
+        np.maximum.at(most, at, x)
     answers = [np.array([vocabulary[x] for x in answer_of(t)], np.int64) for _, t in items]
-    return Space([i for i, _ in items], numbers, answers, vocabulary, idf, vectors.astype(np.float32), rows, queries.astype(np.float32), (queries**2).sum(1).astype(np.float32))
+    return Space([i for i, _ in items], numbers, answers, key, vocabulary, idf, most * idf, vectors.astype(np.float32), rows, queries.astype(np.float32), (queries**2).sum(1).astype(np.float32))
 
 
 # ---------------------------------------------------------------- search and checks
@@ -148,32 +174,48 @@ def passage_starts(n: int) -> np.ndarray:
     return np.unique(np.r_[np.arange(0, max(1, n - PASSAGE + 1), STRIDE), max(0, n - PASSAGE)])
 
 
-def candidates(space: Space, ids: np.ndarray, cosine: float = COSINE) -> list[tuple[int, int, float]]:
-    """(passage start, item, cosine) of the pairs at the cosine or above that the space shows.
+def candidates(space: Space, texts: list[np.ndarray], cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
+    """(text, passage start, item, cosine) of the pairs at the cosine or above that the space shows.
 
     A passage that holds an item has a product with it in the space in proportion to the square of the item's
-    length there: the bound allows for that, and exact cosines decide. A passage's cosine is no greater than
-    its part in the items' words, so passages where that part is too short are passed over without loss.
+    length there: the bound allows for that, and exact cosines decide. No item's product with a passage is
+    greater than with each word at its greatest weight in any item, so passages where that sum is too small
+    are passed over without loss.
     """
     size = len(space.vocabulary)
-    squares = space.idf[ids] ** 2
-    total = np.r_[0, np.cumsum(squares)]
-    inside = np.r_[0, np.cumsum(np.where(ids < size, squares, 0))]
-    starts = passage_starts(len(ids))
-    ends = np.minimum(starts + PASSAGE, len(ids))
-    whole, part = total[ends] - total[starts], inside[ends] - inside[starts]
+    ids = np.concatenate([*texts, np.zeros(0, np.int64)])
+    begin = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    each = [passage_starts(len(t)) for t in texts]
+    of = np.repeat(np.arange(len(texts)), [len(x) for x in each])
+    starts = np.concatenate([*each, np.zeros(0, np.int64)]) + begin[of]
+    ends = np.minimum(starts + PASSAGE, begin[of + 1])
+    total, most = np.r_[0, np.cumsum(space.idf[ids] ** 2)], np.r_[0, np.cumsum(space.most[ids])]
+    norm = np.sqrt(np.maximum(total[ends] - total[starts], 1e-12))
+    left = np.flatnonzero(most[ends] - most[starts] >= cosine * norm * (1 - 1e-6))
     out = []
-    for s, e, norm in zip(*(x[part >= cosine**2 * whole * (1 - 1e-9)] for x in (starts, ends, whole))):
-        own = ids[s:e]
-        at, x = weighted(own[own < size], space.idf)
-        if len(at):
-            close = space.queries @ (x.astype(np.float32) @ space.vectors[at]) / np.float32(np.sqrt(norm))
-            for k in np.flatnonzero(close >= SLACK * cosine * space.kept).tolist():
-                words, weights = space.rows[k]
-                _, i, j = np.intersect1d(at, words, assume_unique=True, return_indices=True)
-                exact = float(x[i] @ weights[j]) / float(np.sqrt(norm))
-                if exact >= cosine:
-                    out.append((int(s), k, exact))
+    for at in range(0, len(left), 1024):
+        part = left[at : at + 1024]
+        lengths = ends[part] - starts[part]
+        row = np.repeat(np.arange(len(part)), lengths)
+        word = ids[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts[part], lengths)]
+        inside = word < size
+        pair, count = np.unique(row[inside] * size + word[inside], return_counts=True)
+        row, word = np.divmod(pair, size)
+        x = np.sqrt(count) * space.idf[word] / norm[part][row]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        if not len(first):
+            continue
+        latent = np.add.reduceat(space.vectors[word] * x[:, None].astype(np.float32), first)
+        close = latent @ space.queries.T
+        last = np.r_[first[1:], len(row)]
+        for i, k in zip(*np.nonzero(close >= SLACK * cosine * space.kept)):
+            words, weights = space.rows[k]
+            own = slice(first[i], last[i])
+            _, a, b = np.intersect1d(word[own], words, assume_unique=True, return_indices=True)
+            exact = float(x[own][a] @ weights[b])
+            if exact >= cosine:
+                passage = part[row[first[i]]]
+                out.append((int(of[passage]), int(starts[passage] - begin[of[passage]]), int(k), exact))
     return out
 
 
@@ -188,23 +230,24 @@ def coverage(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
     return float(row[-1] / idf[item].sum())
 
 
-def leaks(space: Space, ids: np.ndarray, cosine: float = COSINE, least: float = COVERAGE) -> list[tuple[int, float, float, float]]:
-    """(item, cosine, coverage of the item, coverage of its answer) for each item that the text holds."""
-    best: dict[int, tuple[int, float, float, float]] = {}
-    seen: dict[tuple[int, int], tuple[float, float]] = {}
-    for s, k, c in candidates(space, ids, cosine):
+def leaks(space: Space, texts: list[np.ndarray], cosine: float = COSINE, least: float = COVERAGE) -> list[list[tuple[int, float, float, float]]]:
+    """For each text, (item, cosine, coverage of the item, coverage of its answer) of each item that it holds."""
+    best: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in texts]
+    for i, s, k, c in candidates(space, texts, cosine):
         n = len(space.words[k])
-        around = ids[max(0, s - n) : s + PASSAGE + n]
-        found = seen.setdefault((s, k), (coverage(space.words[k], around, space.idf), coverage(space.answers[k], around, space.idf)))
-        if found[0] >= least and found[1] >= least and (k not in best or (found[0], c) > (best[k][2], best[k][1])):
-            best[k] = (k, c, *found)
-    return [best[k] for k in sorted(best)]
+        around = texts[i][max(0, s - n) : s + PASSAGE + n]
+        found = coverage(space.words[k], around, space.idf)
+        if found >= least and (k not in best[i] or (found, c) > (best[i][k][2], best[i][k][1])):
+            answer = coverage(space.answers[k], around, space.idf)
+            if answer >= least:
+                best[i][k] = (k, c, found, answer)
+    return [[own[k] for k in sorted(own)] for own in best]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERAGE, rank: int = RANK) -> DataFrame:
     """Which documents hold which benchmark items: ``doc_id, contaminated, n_items, item_ids, coverage, cosine``.
 
-    Words are runs of letters and digits, A-Z lower-cased. Passages of 32 words, every 8 words, of every
+    Words are tokens between spaces, in lower case and without the signs at their edges. Passages of 32 words, every 8 words, of every
     document are searched in the latent space of the items' passages (a distributed randomised SVD of their
     TF-IDF rows); IDF counts all documents. A candidate pair is a leak if the document around the passage
     holds half of the item's IDF weight as a common subsequence, and half of its answer's (what follows
@@ -232,9 +275,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     def search(space_of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             space = space_of.value
-            look = _Lookup(space.vocabulary)
+            look = _Lookup.shared(space.key, space.vocabulary)
             for batch in batches:
-                found = [leaks(space, look.of(words_of(v.as_py() or b"")), cosine, least) for v in batch.column(0).cast(pa.large_binary())]
+                found, held, size = [], [], 0
+                for v in batch.column(0).cast(pa.large_binary()):
+                    held.append(look.of(v.as_py() or b""))
+                    size += len(held[-1])
+                    if size > 1 << 17:
+                        found += leaks(space, held, cosine, least)
+                        held, size = [], 0
+                found += leaks(space, held, cosine, least)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1), pa.array([[space.ids[f[0]] for f in x] for x in found], pa.list_(pa.int64())), pa.array([max((f[2] for f in x), default=None) for x in found], pa.float64()), pa.array([max((f[1] for f in x), default=None) for x in found], pa.float64())],
                     ["doc_id", "item_ids", "coverage", "cosine"],

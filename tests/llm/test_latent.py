@@ -52,8 +52,8 @@ def test_recall_of_candidates_against_brute_force(spark, rank):
     look, size = latent._Lookup(space.vocabulary), len(space.vocabulary)
     want, got = set(), set()
     for i, t in rows:
-        ids = look.of(latent.words_of(t.encode()))
-        got |= {(i, s, k) for s, k, _ in latent.candidates(space, ids)}
+        ids = look.of(t.encode())
+        got |= {(i, s, k) for _, s, k, _ in latent.candidates(space, [ids])}
         for s in latent.passage_starts(len(ids)).tolist():
             x = np.zeros(size + latent.OTHER)
             at, w = latent.weighted(ids[s : s + latent.PASSAGE], space.idf)
@@ -95,8 +95,8 @@ def test_coverage_is_the_heaviest_common_subsequence():
 
 
 def test_answers():
-    assert latent.answer_of(b"What is it? Answer: forty two") == [b"forty", b"two"]
-    assert latent.answer_of(b"One here. Two there.") == [b"two", b"there"]
+    assert latent.answer_of(b"What is it? Answer: forty two") == ["forty", "two"]
+    assert latent.answer_of(b"One here. Two there.") == ["two", "there"]
     assert latent.answer_of(b"...") == [] == latent.answer_of(b"")
 
 
