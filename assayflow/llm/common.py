@@ -27,6 +27,23 @@ def empty_if_null(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
+    """``k1, k2``: two longs that rows share only if they repeat both id and text."""
+    key = F.col(doc_id).cast("long")
+    return [F.coalesce(key, F.lit(0)).cast("long").alias("k1"), F.xxhash64(empty_if_null(F.col(text).cast("string")), key.isNull()).alias("k2")]
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is in ``kept(k1, k2)``; of rows that share a key there, one."""
+    k1, k2 = row_key(text, doc_id)
+    kept = kept.select(F.col("k1").alias("_key_1"), F.col("k2").alias("_key_2"))
+    rows = docs.withColumns({"_key_1": k1, "_key_2": k2}).join(kept, ["_key_1", "_key_2"], "left_semi")
+    keys = docs.select(k1, k2)
+    if not keys.groupBy("k1", "k2").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_key_1", "_key_2"])
+    return rows.select(*docs.columns)
+
+
 class Scratch:
     """Tables in the shared folder named by ``spark.checkpoint.dir``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayflow.llm.common import SPACES, Scratch, empty_if_null
+from assayflow.llm.common import SPACES, Scratch, empty_if_null, keep_rows, row_key
 
 #: One decimal orders rows by (most code points, smallest id): points * 2^65 + (2^63 - id); 0 stands for a null id.
 _SHIFT, _TOP = str(2**65), str(2**63)
@@ -14,12 +14,12 @@ def _number(value: str) -> Column:
     return F.lit(value).cast("decimal(20,0)")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keys: bool = False) -> DataFrame:
     """Which rows have the same text, and which row of each class stays.
 
     Texts are equal when identical after deleting spaces and the controls tab to carriage return. The
     survivor has the most code points in its original text, then the smallest id. Returns per input row
-    ``doc_id, keep_id, group_size, kept, text_sha256``.
+    ``doc_id, keep_id, group_size, kept, text_sha256``, and with ``keys`` the ``row_key`` columns too.
 
     Plan: one aggregation keyed by (MD5, normalised text), which compares bytes inside each hash group and
     collapses copies before the shuffle, then a join of the narrow rows (no text) with one row per class.
@@ -33,7 +33,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     raw, key = empty_if_null(text), F.col(doc_id).cast("long")
     points = F.length(raw).cast("decimal(10,0)") * _number(_SHIFT)
+    more = ["k1", "k2"] if keys else []
     rows = docs.select(
+        *(row_key(text, doc_id) if keys else []),
         key.alias("doc_id"),
         F.regexp_replace(raw, SPACES + "+", "").alias("_norm"),
         (points + F.coalesce(_number(_TOP) - key.cast("decimal(20,0)"), _number("0"))).cast("decimal(38,0)").alias("_rank"),
@@ -44,10 +46,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         .select("_hash", "_best", "group_size", F.sha2("_norm", 256).alias("text_sha256")),
         "classes",
     )
-    narrow = rows.select("doc_id", "_rank", "_hash")
+    narrow = rows.select(*more, "doc_id", "_rank", "_hash")
     on = ["_hash"]
     if not classes.groupBy("_hash").count().filter("count > 1").isEmpty():  # two texts with one hash
-        narrow = rows.select("doc_id", "_rank", "_hash", F.sha2("_norm", 256).alias("text_sha256"))
+        narrow = rows.select(*more, "doc_id", "_rank", "_hash", F.sha2("_norm", 256).alias("text_sha256"))
         on = ["_hash", "text_sha256"]
     joined = scratch.save(narrow.withColumn("_row", F.monotonically_increasing_id()).join(classes, on), "rows")
     kept = F.col("_rank") == F.col("_best")
@@ -57,4 +59,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         kept = F.col("_row") == F.col("_first")
     place = F.col("_best") % _number(_SHIFT)
     keep_id = F.when(place > 0, (_number(_TOP) - place).cast("long"))
-    return joined.select("doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+    return joined.select("doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", *more)
+
+
+def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    return keep_rows(docs, exact_dedup(docs, text, doc_id, keys=True).filter("kept"), text, doc_id)

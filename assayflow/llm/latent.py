@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayflow.llm.common import sum_vectors
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 _ANSWER = re.compile(rb"\banswer\s*[:=]\s*", re.IGNORECASE)
 #: Words of a passage, and from one passage's start to the next.
@@ -31,16 +32,17 @@ SLACK = 0.7
 ITEMS = 1024
 
 
-def word_of(token: bytes) -> str:
+def word_of(token: bytes) -> bytes:
     """A token in lower case without the signs at its edges; nothing if it has only signs."""
-    return _EDGES.sub("", token.decode("utf-8", "replace").lower())
+    word = token.strip(_SIGNS)
+    return word.lower() if word.isascii() else _EDGES.sub("", word.decode("utf-8", "replace").lower()).encode()
 
 
-def words_of(text: bytes) -> list[str]:
+def words_of(text: bytes) -> list[bytes]:
     return [w for w in map(word_of, text.split()) if w]
 
 
-def answer_of(text: bytes) -> list[str]:
+def answer_of(text: bytes) -> list[bytes]:
     """What is marked as the answer, or else the last sentence."""
     marked = _ANSWER.split(text)
     return words_of(marked[-1] if len(marked) > 1 else [s for s in _SENTENCE.split(text.strip()) if words_of(s)][-1] if words_of(text) else b"")
@@ -51,7 +53,7 @@ class _Lookup(dict):
 
     kept: tuple[object, "_Lookup"] | None = None
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, vocabulary: dict[bytes, int]):
         super().__init__()
         self.vocabulary = vocabulary
 
@@ -61,7 +63,7 @@ class _Lookup(dict):
         word = word_of(token)
         place = self.vocabulary.get(word)
         if place is None:
-            place = len(self.vocabulary) + zlib.crc32(word.encode()) % OTHER if word else -1
+            place = len(self.vocabulary) + zlib.crc32(word) % OTHER if word else -1
         self[token] = place
         return place
 
@@ -71,7 +73,7 @@ class _Lookup(dict):
         return ids[ids >= 0]
 
     @classmethod
-    def shared(cls, key: object, vocabulary: dict[str, int]) -> "_Lookup":
+    def shared(cls, key: object, vocabulary: dict[bytes, int]) -> "_Lookup":
         """One that lasts from task to task of a worker, as long as the vocabulary is the same."""
         if cls.kept is None or cls.kept[0] != key:
             cls.kept = (key, cls(vocabulary))
@@ -79,7 +81,7 @@ class _Lookup(dict):
 
 
 # ---------------------------------------------------------------- the latent space
-def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int], key: object) -> np.ndarray:
+def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int], key: object) -> np.ndarray:
     """Documents that hold each word, and the number of documents last."""
     look, total = _Lookup.shared(key, vocabulary), np.zeros(len(vocabulary) + OTHER + 1)
     for batch in batches:
@@ -134,7 +136,7 @@ class Space:
     words: list[np.ndarray]  # of each item, in order
     answers: list[np.ndarray]
     key: str  # of the vocabulary
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     idf: np.ndarray
     most: np.ndarray  # of each word, times its IDF: the greatest weight in any item's row
     vectors: np.ndarray  # words x rank
@@ -147,7 +149,7 @@ def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RA
     """Counts over all documents, and singular vectors of the items' passages."""
     spark = docs.sparkSession
     split = [words_of(t) for _, t in items]
-    vocabulary: dict[str, int] = {}
+    vocabulary: dict[bytes, int] = {}
     key = uuid.uuid4().hex
     for w in split:
         for x in w:
@@ -244,6 +246,50 @@ def leaks(space: Space, texts: list[np.ndarray], cosine: float = COSINE, least:
     return [[own[k] for k in sorted(own)] for own in best]
 
 
+def _lots(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
+    """The items that have words, ITEMS of them at a time."""
+    wanted = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    lots, lot = [], []
+    for r in wanted.orderBy("item_id", "text").toLocalIterator():
+        if words_of(r.text.encode()):
+            lot.append((r.item_id, r.text.encode()))
+        if len(lot) == ITEMS:
+            lots, lot = [*lots, lot], []
+    return lots + [lot] if lot else lots
+
+
+def _search(space: Space, texts: pa.Array, cosine: float, least: float) -> list[list[tuple[int, float, float, float]]]:
+    """``leaks`` of the texts, some at a time."""
+    look = _Lookup.shared(space.key, space.vocabulary)
+    found, held, size = [], [], 0
+    for v in texts.cast(pa.large_binary()):
+        held.append(look.of(v.as_py() or b""))
+        size += len(held[-1])
+        if size > 1 << 17:
+            found += leaks(space, held, cosine, least)
+            held, size = [], 0
+    return found + leaks(space, held, cosine, least)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERAGE, rank: int = RANK) -> DataFrame:
+    """The rows of ``docs`` that hold no item by ``decontaminate``'s rule, with all their columns."""
+    spark, schema = docs.sparkSession, docs.schema
+
+    def keep(space_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text"))
+                yield batch.filter(pa.array([not x for x in _search(space_of.value, texts, cosine, least)], pa.bool_()))
+
+        return run
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    spaces = [spark.sparkContext.broadcast(fit_space(texts, lot, rank)) for lot in _lots(benchmark)]
+    for space_of in spaces:
+        docs = docs.mapInArrow(keep(space_of), schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERAGE, rank: int = RANK) -> DataFrame:
     """Which documents hold which benchmark items: ``doc_id, contaminated, n_items, item_ids, coverage, cosine``.
 
@@ -261,30 +307,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     rows, and without items nothing is contaminated; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    wanted = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    lots, lot = [], []
-    for r in wanted.orderBy("item_id", "text").toLocalIterator():
-        if words_of(r.text.encode()):
-            lot.append((r.item_id, r.text.encode()))
-        if len(lot) == ITEMS:
-            lots, lot = [*lots, lot], []
-    lots += [lot] if lot else []
+    lots = _lots(benchmark)
     kind = "doc_id long, item_ids array<long>, coverage double, cosine double"
     spark = docs.sparkSession
 
     def search(space_of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             space = space_of.value
-            look = _Lookup.shared(space.key, space.vocabulary)
             for batch in batches:
-                found, held, size = [], [], 0
-                for v in batch.column(0).cast(pa.large_binary()):
-                    held.append(look.of(v.as_py() or b""))
-                    size += len(held[-1])
-                    if size > 1 << 17:
-                        found += leaks(space, held, cosine, least)
-                        held, size = [], 0
-                found += leaks(space, held, cosine, least)
+                found = _search(space, batch.column(0), cosine, least)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1), pa.array([[space.ids[f[0]] for f in x] for x in found], pa.list_(pa.int64())), pa.array([max((f[2] for f in x), default=None) for x in found], pa.float64()), pa.array([max((f[1] for f in x), default=None) for x in found], pa.float64())],
                     ["doc_id", "item_ids", "coverage", "cosine"],

@@ -220,27 +220,46 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = 8000, unlabe
     return {c: co_train(text, meta, np.array([r[c] for r in got], np.int64), rounds, unknown) for c, unknown in (("quality", 0.9), ("toxic", 0.1))}
 
 
+def _scores(models: dict[str, CoTrained], buckets: _Buckets, texts: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, ...]:
+    """p_text, p_meta, p_quality, p_toxic and keep of some rows."""
+    text, meta = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for value, lang, source in zip(texts.cast(pa.large_binary()), langs, sources):
+        t = value.as_py() or b""
+        text.append(text_features(t, buckets))
+        meta.append(meta_features(t, lang, source))
+    cuts = [np.cumsum([len(r) for r in rows]) for rows in (text, meta)]
+    flat = [np.concatenate(rows) for rows in (text, meta)]
+    p = {c: m.probabilities(m.text.logits(flat[0], cuts[0]), m.meta.logits(flat[1], cuts[1])) for c, m in models.items()}
+    good, toxic = p["quality"], p["toxic"][2]
+    return (*good, toxic, (good[2] >= 0.5) & (toxic < 0.5))
+
+
 def score_quality(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
     """``doc_id, p_text, p_meta, p_quality, p_toxic, keep`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in batches:
-            text, meta = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-            for value, lang, source in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                t = value.as_py() or b""
-                text.append(text_features(t, buckets))
-                meta.append(meta_features(t, lang, source))
-            cuts = [np.cumsum([len(r) for r in rows]) for rows in (text, meta)]
-            flat = [np.concatenate(rows) for rows in (text, meta)]
-            p = {c: m.probabilities(m.text.logits(flat[0], cuts[0]), m.meta.logits(flat[1], cuts[1])) for c, m in models.items()}
-            good, toxic = p["quality"], p["toxic"][2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (*good, toxic, (good[2] >= 0.5) & (toxic < 0.5)))], ["doc_id", "p_text", "p_meta", "p_quality", "p_toxic", "keep"])
+            found = _scores(models, buckets, batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], ["doc_id", "p_text", "p_meta", "p_quality", "p_toxic", "keep"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     return rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, p_quality double, p_toxic double, keep boolean")
 
 
+def drop_rejected(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
+    """The rows that ``score_quality`` keeps, with all their columns, in the same scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets()
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            keep = _scores(models, buckets, column("text"), column("lang").to_pylist(), column("source").to_pylist())[-1]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, labelled: int = 8000, unlabelled: int = 8000, rounds: int = 3) -> DataFrame:
     """Fit on ``labels(doc_id, quality, toxic)`` by co-training, and score all documents: one row per input row.
 

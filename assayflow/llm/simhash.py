@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayflow.llm.common import LOWER, Scratch
+from assayflow.llm.common import LOWER, Scratch, keep_rows, row_key
 from assayflow.llm.components import connected_components
 
 SEED = 42
@@ -41,15 +41,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: one row per input row; fp holds the 64 bits in a signed long. A null text is empty."""
+    """``doc_id, k1, k2, fp``: one row per input row; fp holds the 64 bits in a signed long. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(3).cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], ["doc_id", "k1", "k2", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *row_key(text, doc_id), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
 
 
 # ---------------------------------------------------------------- the index
@@ -207,6 +208,16 @@ def fingerprint_edges(distinct: DataFrame, scratch: Scratch, group: int = GROUP)
         rows = rows.join(large, "key", "left_semi")
 
 
+def _linked(docs: DataFrame, text: str, doc_id: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and ``fp, least, root`` of each fingerprint: its least id, and its component."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.save(fingerprints(docs, text, doc_id, shingle), "prints")
+    codes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    roots = connected_components(fingerprint_edges(codes, scratch), scratch)
+    linked = codes.join(roots, codes.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, scratch.save(linked, "linked")
+
+
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every input row.
 
@@ -217,13 +228,15 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     names a component unless all ids of the component are null; repeated rows each give a row; an empty
     table gives no rows; other columns are ignored, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(fingerprints(docs, text, doc_id, shingle), "prints")
-    codes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    roots = connected_components(fingerprint_edges(codes, scratch), scratch)
-    linked = scratch.save(
-        codes.join(roots, codes.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "linked"
-    )
+    prints, linked = _linked(docs, text, doc_id, shingle)
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id, and of several the least key."""
+    prints, linked = _linked(docs, text, doc_id, shingle)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")
+    kept = prints.join(linked.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("row"))
+    return keep_rows(docs, kept.select("row.k1", "row.k2"), text, doc_id)

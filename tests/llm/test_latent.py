@@ -95,8 +95,8 @@ def test_coverage_is_the_heaviest_common_subsequence():
 
 
 def test_answers():
-    assert latent.answer_of(b"What is it? Answer: forty two") == ["forty", "two"]
-    assert latent.answer_of(b"One here. Two there.") == ["two", "there"]
+    assert latent.answer_of(b"What is it? Answer: forty two") == [b"forty", b"two"]
+    assert latent.answer_of(b"One here. Two there.") == [b"two", b"there"]
     assert latent.answer_of(b"...") == [] == latent.answer_of(b"")
 
 
@@ -117,6 +117,20 @@ def test_awkward_rows_items_and_several_lots(spark, monkeypatch):
     assert result() == once
 
 
+def test_words():
+    assert latent.words_of("It's (A) --- B_c! «Été» ÉTÉ!! #x1.".encode()) == [w.encode() for w in ("it's", "a", "b_c", "été", "été", "x1")]
+
+
+def test_rows_that_hold_items_go(spark):
+    rows, bench, truth = tables(6, 40, 9)
+    docs = with_clashes(frame(spark, rows + awkward()))
+    kept = latent.drop_leaks(docs, spark.createDataFrame(bench, ITEM))
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} - {None, -5} >= {i for i in truth if not truth[i]}
+    assert kept.count() == len(rows + awkward()) - sum(bool(x) for x in truth.values())
+    assert latent.drop_leaks(docs, spark.createDataFrame([], ITEM)).count() == len(rows + awkward())
+
+
 def test_empty_tables(spark):
     assert latent.decontaminate(frame(spark, []), spark.createDataFrame([(1, "a b")], ITEM)).collect() == []
     (row,) = latent.decontaminate(frame(spark, [(1, "a b")]), spark.createDataFrame([], ITEM)).collect()
