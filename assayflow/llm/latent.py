@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -15,8 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayflow.llm.common import sum_vectors
 
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
+_WORD_BYTE = np.array([chr(c).isalnum() or c >= 128 for c in range(256)])
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 _ANSWER = re.compile(rb"\banswer\s*[:=]\s*", re.IGNORECASE)
 #: Words of a passage, and from one passage's start to the next.
@@ -32,62 +29,123 @@ SLACK = 0.7
 ITEMS = 1024
 
 
-def word_of(token: bytes) -> bytes:
-    """A token in lower case without the signs at its edges; nothing if it has only signs."""
-    word = token.strip(_SIGNS)
-    return word.lower() if word.isascii() else _EDGES.sub("", word.decode("utf-8", "replace").lower()).encode()
+# ---------------------------------------------------------------- words
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes hashed at a time; a longer text is cut at a space.
+_PIECE = 1 << 20
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return [w for w in map(word_of, text.split()) if w]
+def _powers(way: str, n: int) -> np.ndarray:
+    """The first n powers of the base, or of its inverse, modulo 2^64."""
+    if len(_POWERS[way]) < n:
+        base = np.full(2 * n, _BASE if way == "up" else pow(_BASE, -1, 1 << 64), np.uint64)
+        base[0] = 1
+        _POWERS[way] = np.multiply.accumulate(base)
+    return _POWERS[way][:n]
 
 
-def answer_of(text: bytes) -> list[bytes]:
-    """What is marked as the answer, or else the last sentence."""
-    marked = _ANSWER.split(text)
-    return words_of(marked[-1] if len(marked) > 1 else [s for s in _SENTENCE.split(text.strip()) if words_of(s)][-1] if words_of(text) else b"")
+def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of some bytes, whose first and last byte are none of a word.
+
+    With prefix sums of byte times power, a word's sum is a difference, brought to its start by an inverse power.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    inside = _WORD_BYTE[raw].view(np.int8)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    total = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers("up", len(raw)))
+    h = (total[end - 1] - total[start - 1]) * _powers("down", len(raw))[start]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return start, h ^ (h >> np.uint64(32))
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words, in order: runs of letters and digits, in lower case."""
+    out: list[np.ndarray] = []
+    group, size = [], 1
+
+    def flush():
+        nonlocal group, size
+        if group:
+            start, h = _hash_piece(b" " + b" ".join(group) + b" ")
+            offsets = np.cumsum([1, *(len(t) + 1 for t in group)])
+            out.extend(np.split(h, np.searchsorted(start, offsets[1:-1])))
+        group, size = [], 1
+
+    for text in texts:
+        text = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+        if size + len(text) > _PIECE:
+            flush()
+        if len(text) <= _PIECE:
+            group.append(text)
+            size += len(text) + 1
+            continue
+        parts, at = [], 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= _PIECE else text.rfind(b" ", at, at + _PIECE) + 1
+            end = end if end > at else (text.find(b" ", at) + 1 or len(text))
+            parts.append(_hash_piece(b" " + text[at:end] + b" ")[1])
+            at = end
+        out.append(np.concatenate(parts))
+    flush()
+    return out
+
 
+def answer_of(text: bytes) -> bytes:
+    """What is marked as the answer, or else the last sentence that has words."""
+    marked = _ANSWER.split(text)
+    if len(marked) > 1:
+        return marked[-1]
+    return next((s for s in reversed(_SENTENCE.split(text.strip())) if len(word_hashes([s])[0])), b"")
 
-class _Lookup(dict):
-    """Tokens to numbers: an item's word to its place, any other to a bucket after these, and no word to -1."""
 
-    kept: tuple[object, "_Lookup"] | None = None
+class Vocabulary:
+    """Numbers of words: the items' words by their place, any other word by a bucket after these."""
 
-    def __init__(self, vocabulary: dict[bytes, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.hashes >> np.uint64(48)] = True
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        word = word_of(token)
-        place = self.vocabulary.get(word)
-        if place is None:
-            place = len(self.vocabulary) + zlib.crc32(word) % OTHER if word else -1
-        self[token] = place
-        return place
+    def __len__(self) -> int:
+        return len(self.hashes)
 
-    def of(self, text: bytes) -> np.ndarray:
-        tokens = text.split()
-        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return ids[ids >= 0]
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        ids = len(self) + (hashes & np.uint64(OTHER - 1)).astype(np.int64)
+        at = np.flatnonzero(self.maybe[hashes >> np.uint64(48)])
+        if len(at):
+            found = hashes[at]
+            place = np.minimum(np.searchsorted(self.hashes, found), len(self) - 1)
+            same = self.hashes[place] == found
+            ids[at[same]] = place[same]
+        return ids
 
-    @classmethod
-    def shared(cls, key: object, vocabulary: dict[bytes, int]) -> "_Lookup":
-        """One that lasts from task to task of a worker, as long as the vocabulary is the same."""
-        if cls.kept is None or cls.kept[0] != key:
-            cls.kept = (key, cls(vocabulary))
-        return cls.kept[1]
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [self.of(h) for h in word_hashes(texts)]
 
 
 # ---------------------------------------------------------------- the latent space
-def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int], key: object) -> np.ndarray:
+def _some(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts as bytes, about a piece at a time."""
+    held, size = [], 0
+    for v in texts.cast(pa.large_binary()):
+        held.append(v.as_py() or b"")
+        size += len(held[-1])
+        if size > _PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> np.ndarray:
     """Documents that hold each word, and the number of documents last."""
-    look, total = _Lookup.shared(key, vocabulary), np.zeros(len(vocabulary) + OTHER + 1)
+    total = np.zeros(len(vocabulary) + OTHER + 1)
     for batch in batches:
-        for value in batch.column(0).cast(pa.large_binary()):
-            ids = look.of(value.as_py() or b"")
-            total[np.unique(ids)] += 1
+        for texts in _some(batch.column(0)):
+            for ids in vocabulary.numbers(texts):
+                total[np.unique(ids)] += 1
         total[-1] += batch.num_rows
     return total
 
@@ -135,8 +193,7 @@ class Space:
     ids: list  # of the items
     words: list[np.ndarray]  # of each item, in order
     answers: list[np.ndarray]
-    key: str  # of the vocabulary
-    vocabulary: dict[bytes, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     most: np.ndarray  # of each word, times its IDF: the greatest weight in any item's row
     vectors: np.ndarray  # words x rank
@@ -148,16 +205,12 @@ class Space:
 def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RANK) -> Space:
     """Counts over all documents, and singular vectors of the items' passages."""
     spark = docs.sparkSession
-    split = [words_of(t) for _, t in items]
-    vocabulary: dict[bytes, int] = {}
-    key = uuid.uuid4().hex
-    for w in split:
-        for x in w:
-            vocabulary.setdefault(x, len(vocabulary))
-    counts = sum_vectors(docs.select("text"), partial(document_counts, vocabulary=vocabulary, key=key))
+    hashes = word_hashes([t for _, t in items])
+    vocabulary = Vocabulary(np.concatenate(hashes))
+    counts = sum_vectors(docs.select("text"), partial(document_counts, vocabulary=vocabulary))
     counts = np.zeros(len(vocabulary) + OTHER + 1) if counts is None else counts
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
-    numbers = [np.array([vocabulary[x] for x in w], np.int64) for w in split]
+    numbers = [vocabulary.of(h) for h in hashes]
     table = spark.createDataFrame([(bytearray(n.tobytes()),) for n in numbers], "numbers binary")
     size = len(vocabulary)
     vectors = randomised_svd(table, idf[:size], size, min(rank, len(items)))
@@ -166,8 +219,8 @@ def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RA
     most = np.zeros(len(idf))
     for at, x in rows:
         np.maximum.at(most, at, x)
-    answers = [np.array([vocabulary[x] for x in answer_of(t)], np.int64) for _, t in items]
-    return Space([i for i, _ in items], numbers, answers, key, vocabulary, idf, most * idf, vectors.astype(np.float32), rows, queries.astype(np.float32), (queries**2).sum(1).astype(np.float32))
+    answers = vocabulary.numbers([answer_of(t) for _, t in items])
+    return Space([i for i, _ in items], numbers, answers, vocabulary, idf, most * idf, vectors.astype(np.float32), rows, queries.astype(np.float32), (queries**2).sum(1).astype(np.float32))
 
 
 # ---------------------------------------------------------------- search and checks
@@ -251,7 +304,7 @@ def _lots(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
     wanted = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     lots, lot = [], []
     for r in wanted.orderBy("item_id", "text").toLocalIterator():
-        if words_of(r.text.encode()):
+        if len(word_hashes([r.text.encode()])[0]):
             lot.append((r.item_id, r.text.encode()))
         if len(lot) == ITEMS:
             lots, lot = [*lots, lot], []
@@ -260,15 +313,7 @@ def _lots(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
 
 def _search(space: Space, texts: pa.Array, cosine: float, least: float) -> list[list[tuple[int, float, float, float]]]:
     """``leaks`` of the texts, some at a time."""
-    look = _Lookup.shared(space.key, space.vocabulary)
-    found, held, size = [], [], 0
-    for v in texts.cast(pa.large_binary()):
-        held.append(look.of(v.as_py() or b""))
-        size += len(held[-1])
-        if size > 1 << 17:
-            found += leaks(space, held, cosine, least)
-            held, size = [], 0
-    return found + leaks(space, held, cosine, least)
+    return [x for part in _some(texts) for x in leaks(space, space.vocabulary.numbers(part), cosine, least)]
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERAGE, rank: int = RANK) -> DataFrame:
@@ -293,7 +338,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, le
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERAGE, rank: int = RANK) -> DataFrame:
     """Which documents hold which benchmark items: ``doc_id, contaminated, n_items, item_ids, coverage, cosine``.
 
-    Words are tokens between spaces, in lower case and without the signs at their edges. Passages of 32 words, every 8 words, of every
+    Words are runs of letters and digits, in lower case. Passages of 32 words, every 8 words, of every
     document are searched in the latent space of the items' passages (a distributed randomised SVD of their
     TF-IDF rows); IDF counts all documents. A candidate pair is a leak if the document around the passage
     holds half of the item's IDF weight as a common subsequence, and half of its answer's (what follows

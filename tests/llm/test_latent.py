@@ -49,10 +49,10 @@ def space_for(spark, rows, bench, rank):
 def test_recall_of_candidates_against_brute_force(spark, rank):
     rows, bench, _ = tables(3, 60, 30)
     space = space_for(spark, rows, bench, rank)
-    look, size = latent._Lookup(space.vocabulary), len(space.vocabulary)
+    size = len(space.vocabulary)
     want, got = set(), set()
     for i, t in rows:
-        ids = look.of(t.encode())
+        (ids,) = space.vocabulary.numbers([t.encode()])
         got |= {(i, s, k) for _, s, k, _ in latent.candidates(space, [ids])}
         for s in latent.passage_starts(len(ids)).tolist():
             x = np.zeros(size + latent.OTHER)
@@ -95,9 +95,9 @@ def test_coverage_is_the_heaviest_common_subsequence():
 
 
 def test_answers():
-    assert latent.answer_of(b"What is it? Answer: forty two") == [b"forty", b"two"]
-    assert latent.answer_of(b"One here. Two there.") == [b"two", b"there"]
-    assert latent.answer_of(b"...") == [] == latent.answer_of(b"")
+    assert latent.answer_of(b"What is it? Answer: forty two") == b"forty two"
+    assert latent.answer_of(b"One here. Two there. ...") == b"Two there."
+    assert latent.answer_of(b"...") == b"" == latent.answer_of(b"")
 
 
 def test_awkward_rows_items_and_several_lots(spark, monkeypatch):
@@ -117,8 +117,19 @@ def test_awkward_rows_items_and_several_lots(spark, monkeypatch):
     assert result() == once
 
 
-def test_words():
-    assert latent.words_of("It's (A) --- B_c! «Été» ÉTÉ!! #x1.".encode()) == [w.encode() for w in ("it's", "a", "b_c", "été", "été", "x1")]
+def test_words_have_one_hash_wherever_they_stand(monkeypatch):
+    import re
+
+    texts = ["It's (A) --- b2! «Été» ÉTÉ!! #x1.", "", "  ", "a", "a b a", "x" * 5000 + " end " + "y" * 300, "A" * 40 + " " + "é" * 900, "..."]
+    known = {}
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(latent, "_PIECE", piece)
+        for t, found in zip(texts, latent.word_hashes([t.encode() for t in texts])):
+            words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", t.lower())
+            assert len(found) == len(words)
+            for w, h in zip(words, found.tolist()):
+                assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
 
 
 def test_rows_that_hold_items_go(spark):
