@@ -195,6 +195,12 @@ def append_reason(reason: Column, when: Column, code: str) -> Column:
     return F.when(F.coalesce(when, F.lit(False)) & ~text.contains(code), F.concat(text, F.lit(code + "; "))).otherwise(text)
 
 
+def append_reasons(reason: Column, checks: list[tuple[Column, str]]) -> Column:
+    """``append_reason`` for several codes in order. No code is in another, so each is looked for in the text as it was."""
+    text = F.coalesce(reason, F.lit(""))
+    return F.concat(text, *(F.when(F.coalesce(when, F.lit(False)) & ~text.contains(code), code + "; ").otherwise("") for when, code in checks))
+
+
 def reason_codes(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 

@@ -37,8 +37,7 @@ def _default(df: DataFrame, **types: str) -> DataFrame:
 
 def preprocess_values(df: DataFrame) -> DataFrame:
     """``value_primary, is_below_limit, is_above_limit`` from ``raw_value``."""
-    parsed = df.withColumn("_p", numeric.parse_value(F.col("raw_value")))
-    return parsed.withColumns({"value_primary": F.col("_p.value"), "is_below_limit": F.col("_p.is_below_limit"), "is_above_limit": F.col("_p.is_above_limit")}).drop("_p")
+    return numeric.with_parsed(df, "raw_value")
 
 
 def field_style_units(df: DataFrame) -> DataFrame:

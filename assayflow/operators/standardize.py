@@ -41,12 +41,10 @@ def safe_bare_names(cache: DataFrame, key: str = "key", value: str = "lab_name")
 def standardize_names(contexts: DataFrame, cache: DataFrame, name: str = "raw_lab_name", section: str = "raw_section_name", out: str = "lab_name_standardized") -> DataFrame:
     """Each name in its section by the cache: exact keys, folded keys, then the bare name where that is safe; else unknown.
 
-    Distinct contexts are looked up once each; the rows get their results by a join on the context.
+    The caches are the short side of every join, so rows aren't shuffled while the caches are small.
     """
     n, s = F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(section), F.lit(""))
-    keyed = contexts.withColumns({"_n": n, "_s": s})
-    keys = keyed.select("_n", "_s").distinct()
-    keys = keys.withColumns({"_exact": T.cache_key(F.col("_n"), F.col("_s")), "_legacy": T.legacy_cache_key(F.col("_n"), F.col("_s")), "_bare": T.name_key(F.col("_n"))})
+    keys = contexts.withColumns({"_exact": T.cache_key(n, s), "_legacy": T.legacy_cache_key(n, s), "_bare": T.name_key(n)})
     keys = keys.withColumns({"_exact_f": T.folded_key(F.col("_exact")), "_legacy_f": T.folded_key(F.col("_legacy")), "_bare_f": T.folded_key(F.col("_bare"))})
     folded, bare = folded_index(cache), safe_bare_names(cache)
     bare_folded = folded_index(bare, "name", "value")
@@ -55,8 +53,8 @@ def standardize_names(contexts: DataFrame, cache: DataFrame, name: str = "raw_la
         ("_legacy_f", folded, "folded", "value"), ("_bare", bare, "name", "value"), ("_bare_f", bare_folded, "folded", "value"),
     )):
         keys = lookup(keys, table, key, on, **{f"_v{i}": value})
-    found = keys.select("_n", "_s", F.coalesce(*(F.col(f"_v{i}") for i in range(6)), F.lit(UNKNOWN)).alias(out))
-    return keyed.join(found, ["_n", "_s"]).drop("_n", "_s")
+    found = F.coalesce(*(F.col(f"_v{i}") for i in range(6)), F.lit(UNKNOWN))
+    return keys.withColumn(out, found).drop("_exact", "_legacy", "_bare", "_exact_f", "_legacy_f", "_bare_f", *(f"_v{i}" for i in range(6)))
 
 
 def standardize_units(rows: DataFrame, cache: DataFrame, unit: str = "raw_lab_unit", lab: str = "lab_name_standardized", out: str = "lab_unit_standardized") -> DataFrame:
@@ -87,12 +85,13 @@ def companion_names(rows: DataFrame, keys: list[str], value: str = "raw_value",
     """``lookup_name``: where a test stands on a page both as a number and as a word, which of the two a row is."""
     no_unit = F.trim(F.coalesce(F.col(unit), F.lit(""))) == ""
     worded = no_unit & T.classify_qualitative(F.col(value)).isNotNull()
-    counted = ~no_unit | numeric.parse_value(F.col(value))["value"].isNotNull()
-    marked = rows.withColumns({"_q": F.coalesce(worded, F.lit(False)), "_c": F.coalesce(counted, F.lit(False))})
+    parsed = numeric.with_parsed(rows, value, "_number", "_below", "_above")
+    counted = ~no_unit | F.col("_number").isNotNull()
+    marked = parsed.withColumns({"_q": F.coalesce(worded, F.lit(False)), "_c": F.coalesce(counted, F.lit(False))})
     group = Window.partitionBy(*keys)
     both = F.max("_q").over(group) & F.max("_c").over(group)
     out = F.when(both & F.col("_q"), F.concat(F.col(name), F.lit(" (qualitative)"))).when(both & F.col("_c"), F.concat(F.col(name), F.lit(" (quantitative)"))).otherwise(F.col(name))
-    return marked.withColumn("lookup_name", out).drop("_q", "_c")
+    return marked.withColumn("lookup_name", out).drop("_q", "_c", "_number", "_below", "_above")
 
 
 def remap_percent_siblings(rows: DataFrame, specs: Specs, lab: str = "lab_name", unit: str = "unit") -> DataFrame:
@@ -120,10 +119,10 @@ def best_candidate(rows: DataFrame, candidates: DataFrame, keys: list[str], raw_
 
 def implied_units(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", unit: str = "lab_unit_standardized") -> DataFrame:
     """The primary unit for blank raw units that are still unknown, where the lab implies one."""
-    joined = lookup(rows, specs.spec, lab, "lab_name", _primary="primary_unit")
+    joined = lookup(lookup(rows, specs.aliases(), lab, "alias", _spec="lab_name"), specs.spec, "_spec", "lab_name", _primary="primary_unit")
     implied = F.col("_primary").isin(*IMPLIED_UNITS) | ((F.col("_primary") == "%") & F.col(lab).contains(PERCENT.strip()))
     blank = F.trim(F.coalesce(F.col(raw_unit), F.lit(""))) == ""
-    return joined.withColumn(unit, F.when(blank & (F.col(unit) == UNKNOWN) & implied, F.col("_primary")).otherwise(F.col(unit))).drop("_primary")
+    return joined.withColumn(unit, F.when(blank & (F.col(unit) == UNKNOWN) & implied, F.col("_primary")).otherwise(F.col(unit))).drop("_spec", "_primary")
 
 
 def explicit_units(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", unit: str = "lab_unit_standardized") -> DataFrame:

@@ -233,7 +233,8 @@ def validate(df: DataFrame, specs: Specs, scope: list[str] | None = None, order:
         (F.col("_format"), "FORMAT_ARTIFACT"), (F.col("_range") == "RANGE_INCONSISTENCY", "RANGE_INCONSISTENCY"),
         (F.col("_range") == "EXTREME_DEVIATION", "EXTREME_DEVIATION"), (F.col("duplicate_entry"), "DUPLICATE_ENTRY"),
     )
-    reason, flagged = F.col("review_reason"), _true(F.col("review_needed"))
-    for when, c in checks:
-        reason, flagged = T.append_reason(reason, when, c), flagged | _true(when)
+    flagged = _true(F.col("review_needed"))
+    for when, _ in checks:
+        flagged = flagged | _true(when)
+    reason = T.append_reasons(F.col("review_reason"), list(checks))
     return df.withColumns({"review_reason": reason, "review_needed": flagged}).drop("plausibility_code", "temporal_anomaly", "duplicate_entry", "_range", "_format", "_over", "_off")

@@ -61,8 +61,8 @@ def specs(spark: SparkSession) -> Specs:
 # ---- scalar functions -------------------------------------------------------------------------------
 @query
 def number_parse(spark, sf_dir):
-    p = raw_text(spark, sf_dir).withColumn("p", numeric.parse_value(F.col("raw_value")))
-    return p.select("l_orderkey", "l_linenumber", "raw_value", F.col("p.value").alias("value"), F.col("p.is_below_limit").alias("is_below"), F.col("p.is_above_limit").alias("is_above"))
+    p = numeric.with_parsed(raw_text(spark, sf_dir), "raw_value", "value", "is_below", "is_above")
+    return p.select("l_orderkey", "l_linenumber", "raw_value", "value", "is_below", "is_above")
 
 
 @query

@@ -52,7 +52,8 @@ def document_of(path: Column) -> Column:
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """Page documents below ``root``: ``path, stem, page, payload, text``. Files that aren't JSON objects are left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # the path comes as a URI
+    rows = files.select(plain.alias("path"), F.col("value").alias("text"))
     rows = rows.withColumn("_d", document_of(F.col("path"))).filter("_d.stem is not null and _d.page is not null")
     parsed = rows.withColumn("payload", F.when(F.trim("text").startswith("{"), F.from_json("text", PAGE)))
     return parsed.filter("payload is not null and try_parse_json(text) is not null").select("path", F.col("_d.stem").alias("stem"), F.col("_d.page").alias("page"), "payload", "text")

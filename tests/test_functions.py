@@ -107,7 +107,7 @@ def test_boxes(spark):
     rows = [(0.1, 0.1, 0.5, 0.5), (100.0, 100.0, 500.0, 500.0), (1200.0, 10.0, 1500.0, 20.0), (10.0, 10.0, 5.0, 20.0)]
     scale = numeric.scale_box([F.col(c) for c in "abcd"], F.lit(1000), F.lit(2000))
     got = ask(spark, scale, rows, "a double, b double, c double, d double")
-    assert [g and tuple(g) for g in got] == [(100, 200, 500, 1000), (100, 200, 500, 1000), None, None]
+    assert [g and tuple(g) for g in got] == [(100, 200, 500, 1000), (100, 200, 500, 1000), (999, 10, 1000, 20), None]
     like = numeric.column_like_box(*(F.col(c) for c in "abcd"))
     assert ask(spark, like, [(0.0, 0.0, 40.0, 250.0), (0.0, 0.0, 41.0, 250.0), (0.0, 0.0, None, 250.0)], "a double, b double, c double, d double") == [True, False, False]
     clean = F.array(*numeric.clean_box([F.col(c) for c in "abcd"]))
