@@ -201,7 +201,7 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "text binary, meta binary, doc_id long, quality int, toxic int")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = 8000, unlabelled: int = 8000, rounds: int = 3) -> dict[str, CoTrained]:
+def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = 16000, unlabelled: int = 8000, rounds: int = 3) -> dict[str, CoTrained]:
     """Models for quality and toxicity, fitted on the driver from two bounded samples: the rows of least hash of
     their id among the ``labelled`` and the ``unlabelled`` documents. Neither grows with the tables."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
@@ -260,7 +260,7 @@ def drop_rejected(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, labelled: int = 8000, unlabelled: int = 8000, rounds: int = 3) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, labelled: int = 16000, unlabelled: int = 8000, rounds: int = 3) -> DataFrame:
     """Fit on ``labels(doc_id, quality, toxic)`` by co-training, and score all documents: one row per input row.
 
     ``p_text`` and ``p_meta`` are the calibrated views of quality, ``p_quality`` and ``p_toxic`` the combined
