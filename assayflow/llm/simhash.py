@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayflow.llm.common import LOWER, Scratch, keep_rows, row_key
 from assayflow.llm.components import connected_components
+from assayflow.llm.near import near_links
 
 SEED = 42
 #: Bits that differ at most between linked fingerprints. Each level of the routing below makes one block more than this.
@@ -234,9 +235,18 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """One row of each component, with all its columns: that of the least id, and of several the least key."""
-    prints, linked = _linked(docs, text, doc_id, shingle)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")
-    kept = prints.join(linked.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("row"))
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group, with all its columns: that of the least id, and of several the least key.
+
+    Rows link if the sets of their word shingles have this Jaccard similarity or more, whatever their
+    fingerprints; links are transitive. At 0.8 some ten of 64 bits differ, up to twenty: no routing by shared
+    blocks is selective there, so ``near`` searches by MinHash bands and compares the sets themselves.
+    Texts without words are one group.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    prints, edges = near_links(docs, scratch, text, doc_id, shingle, similarity)
+    roots = connected_components(edges, scratch)
+    order = F.struct("none", "k1", "k2")
+    named = prints.join(roots, prints.fp == roots.vertex, "left").select(F.coalesce("root", "fp").alias("root"), order.alias("row"))
+    kept = named.groupBy("root").agg(F.min("row").alias("row"))
     return keep_rows(docs, kept.select("row.k1", "row.k2"), text, doc_id)
