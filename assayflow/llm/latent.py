@@ -25,8 +25,8 @@ RANK = 256
 COSINE, COVERAGE = 0.25, 0.5
 #: The part of an exact cosine that must show in the space, where an item's own length there is allowed for.
 SLACK = 0.7
-#: Items searched for in one scan of the documents; the space is fitted to all of them.
-ITEMS = 1024
+#: Items searched for in one scan of the documents, and their passages (one item may have more); the space is fitted to all of them.
+ITEMS, PASSAGES = 1024, 8192
 
 
 # ---------------------------------------------------------------- words
@@ -188,22 +188,23 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, size: int, rank: int, r
 
 @dataclass
 class Space:
-    """All that a task needs: bounded by ITEMS benchmark items, whatever the corpus."""
+    """All that a task needs: bounded by ITEMS benchmark items and their PASSAGES, whatever the corpus."""
 
     ids: list  # of the items
     words: list[np.ndarray]  # of each item, in order
     answers: list[np.ndarray]
     vocabulary: Vocabulary
     idf: np.ndarray
-    most: np.ndarray  # of each word, times its IDF: the greatest weight in any item's row
+    most: np.ndarray  # of each word, times its IDF: the greatest weight in any row
     vectors: np.ndarray  # words x rank
-    rows: list[tuple[np.ndarray, np.ndarray]]  # the items' words and weights, of norm one
-    queries: np.ndarray  # items x rank
-    kept: np.ndarray  # the square of each item's length in the space
+    of: np.ndarray  # the item of each row
+    rows: list[tuple[np.ndarray, np.ndarray]]  # the words and weights, of norm one, of the items and their passages
+    queries: np.ndarray  # rows x rank
+    kept: np.ndarray  # the square of each row's length in the space
 
 
 def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RANK) -> Space:
-    """Counts over all documents, and singular vectors of the items' passages."""
+    """Counts over all documents, and singular vectors of the items and their passages."""
     spark = docs.sparkSession
     hashes = word_hashes([t for _, t in items])
     vocabulary = Vocabulary(np.concatenate(hashes))
@@ -211,16 +212,17 @@ def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RA
     counts = np.zeros(len(vocabulary) + OTHER + 1) if counts is None else counts
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
     numbers = [vocabulary.of(h) for h in hashes]
-    table = spark.createDataFrame([(bytearray(n.tobytes()),) for n in numbers], "numbers binary")
+    parts = [(k, part) for k, n in enumerate(numbers) for part in item_parts(n)]
+    table = spark.createDataFrame([(bytearray(n.tobytes()),) for _, n in parts], "numbers binary")
     size = len(vocabulary)
-    vectors = randomised_svd(table, idf[:size], size, min(rank, len(items)))
-    rows = [(at, x / np.sqrt((x * x).sum())) for at, x in (weighted(n, idf) for n in numbers)]
+    vectors = randomised_svd(table, idf[:size], size, min(rank, len(parts)))
+    rows = [(at, x / np.sqrt((x * x).sum())) for at, x in (weighted(n, idf) for _, n in parts)]
     queries = np.array([x @ vectors[at] for at, x in rows]).reshape(len(rows), -1)
     most = np.zeros(len(idf))
     for at, x in rows:
         np.maximum.at(most, at, x)
     answers = vocabulary.numbers([answer_of(t) for _, t in items])
-    return Space([i for i, _ in items], numbers, answers, vocabulary, idf, most * idf, vectors.astype(np.float32), rows, queries.astype(np.float32), (queries**2).sum(1).astype(np.float32))
+    return Space([i for i, _ in items], numbers, answers, vocabulary, idf, most * idf, vectors.astype(np.float32), np.array([k for k, _ in parts]), rows, queries.astype(np.float32), (queries**2).sum(1).astype(np.float32))
 
 
 # ---------------------------------------------------------------- search and checks
@@ -229,13 +231,22 @@ def passage_starts(n: int) -> np.ndarray:
     return np.unique(np.r_[np.arange(0, max(1, n - PASSAGE + 1), STRIDE), max(0, n - PASSAGE)])
 
 
+def item_parts(words: np.ndarray) -> list[np.ndarray]:
+    """What of an item is searched for: the whole, and where it is longer than a passage each of its passages.
+
+    A passage of a document can hold no more than a passage of a long item, whose whole it hardly resembles.
+    """
+    starts = passage_starts(len(words)) if len(words) > PASSAGE else ()
+    return [words, *(words[s : s + PASSAGE] for s in starts)]
+
+
 def candidates(space: Space, texts: list[np.ndarray], cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
     """(text, passage start, item, cosine) of the pairs at the cosine or above that the space shows.
 
-    A passage that holds an item has a product with it in the space in proportion to the square of the item's
-    length there: the bound allows for that, and exact cosines decide. No item's product with a passage is
-    greater than with each word at its greatest weight in any item, so passages where that sum is too small
-    are passed over without loss.
+    The cosine is the greatest with a row of the item: the whole, or one of its passages. A passage that holds
+    a row has a product with it in the space in proportion to the square of the row's length there: the bound
+    allows for that, and exact cosines decide. No row's product with a passage is greater than with each word
+    at its greatest weight in any row, so passages where that sum is too small are passed over without loss.
     """
     size = len(space.vocabulary)
     ids = np.concatenate([*texts, np.zeros(0, np.int64)])
@@ -247,7 +258,7 @@ def candidates(space: Space, texts: list[np.ndarray], cosine: float = COSINE) ->
     total, most = np.r_[0, np.cumsum(space.idf[ids] ** 2)], np.r_[0, np.cumsum(space.most[ids])]
     norm = np.sqrt(np.maximum(total[ends] - total[starts], 1e-12))
     left = np.flatnonzero(most[ends] - most[starts] >= cosine * norm * (1 - 1e-6))
-    out = []
+    out: dict[tuple[int, int, int], float] = {}
     for at in range(0, len(left), 1024):
         part = left[at : at + 1024]
         lengths = ends[part] - starts[part]
@@ -270,27 +281,45 @@ def candidates(space: Space, texts: list[np.ndarray], cosine: float = COSINE) ->
             exact = float(x[own][a] @ weights[b])
             if exact >= cosine:
                 passage = part[row[first[i]]]
-                out.append((int(of[passage]), int(starts[passage] - begin[of[passage]]), int(k), exact))
-    return out
+                found = (int(of[passage]), int(starts[passage] - begin[of[passage]]), int(space.of[k]))
+                out[found] = max(out.get(found, 0.0), exact)
+    return [(*found, exact) for found, exact in out.items()]
 
 
 def coverage(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
     """The weight of the heaviest common subsequence over the item's weight; a word weighs its IDF."""
     if not len(item):
         return 0.0
+    total = idf[item].sum()
+    item, text = item[np.isin(item, text)], text[np.isin(text, item)]  # other words are in no common subsequence
     row = np.zeros(len(text) + 1)
     for w in item:
         with_w = np.where(text == w, row[:-1] + idf[w], 0)
         row[1:] = np.maximum.accumulate(np.maximum(row[1:], with_w))
-    return float(row[-1] / idf[item].sum())
+    return float(row[-1] / total)
+
+
+def coverage_bound(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
+    """At least the coverage: what the words give in any order."""
+    words, n = np.unique(item, return_counts=True)
+    held, m = np.unique(text, return_counts=True)
+    _, a, b = np.intersect1d(words, held, assume_unique=True, return_indices=True)
+    return float((np.minimum(n[a], m[b]) * idf[words[a]]).sum() / idf[item].sum())
 
 
 def leaks(space: Space, texts: list[np.ndarray], cosine: float = COSINE, least: float = COVERAGE) -> list[list[tuple[int, float, float, float]]]:
     """For each text, (item, cosine, coverage of the item, coverage of its answer) of each item that it holds."""
     best: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in texts]
-    for i, s, k, c in candidates(space, texts, cosine):
+    seen: set[tuple[int, int, int, int]] = set()
+    for i, s, k, c in sorted(candidates(space, texts, cosine), key=lambda x: -x[3]):
         n = len(space.words[k])
-        around = texts[i][max(0, s - n) : s + PASSAGE + n]
+        start, end = max(0, s - n), min(len(texts[i]), s + PASSAGE + n)
+        if (i, k, start, end) in seen:  # the same words, at a cosine no greater
+            continue
+        seen.add((i, k, start, end))
+        around = texts[i][start:end]
+        if coverage_bound(space.words[k], around, space.idf) < max(least, best[i][k][2] if k in best[i] else 0.0) - 1e-9:
+            continue
         found = coverage(space.words[k], around, space.idf)
         if found >= least and (k not in best[i] or (found, c) > (best[i][k][2], best[i][k][1])):
             answer = coverage(space.answers[k], around, space.idf)
@@ -300,14 +329,18 @@ def leaks(space: Space, texts: list[np.ndarray], cosine: float = COSINE, least:
 
 
 def _lots(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
-    """The items that have words, ITEMS of them at a time."""
+    """The items that have words, ITEMS of them or PASSAGES of their passages at a time."""
     wanted = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    lots, lot = [], []
+    lots, lot, size = [], [], 0
     for r in wanted.orderBy("item_id", "text").toLocalIterator():
-        if len(word_hashes([r.text.encode()])[0]):
+        if n := len(word_hashes([r.text.encode()])[0]):
+            parts = 1 + (len(passage_starts(n)) if n > PASSAGE else 0)
+            if lot and size + parts > PASSAGES:
+                lots, lot, size = [*lots, lot], [], 0
             lot.append((r.item_id, r.text.encode()))
+            size += parts
         if len(lot) == ITEMS:
-            lots, lot = [*lots, lot], []
+            lots, lot, size = [*lots, lot], [], 0
     return lots + [lot] if lot else lots
 
 
@@ -339,13 +372,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     """Which documents hold which benchmark items: ``doc_id, contaminated, n_items, item_ids, coverage, cosine``.
 
     Words are runs of letters and digits, in lower case. Passages of 32 words, every 8 words, of every
-    document are searched in the latent space of the items' passages (a distributed randomised SVD of their
-    TF-IDF rows); IDF counts all documents. A candidate pair is a leak if the document around the passage
+    document are searched in the latent space of the items and their own such passages (a distributed
+    randomised SVD of their TF-IDF rows); IDF counts all documents. A candidate pair is a leak if the document around the passage
     holds half of the item's IDF weight as a common subsequence, and half of its answer's (what follows
     "answer:", or the last sentence). One row per input row; ``item_ids`` is sorted.
 
-    The items are on the driver, ``ITEMS`` of them at a time, each lot with a scan of the documents: what is
-    sent to the tasks is bounded by that. The space is fitted on all of a lot's items.
+    The items are on the driver, ``ITEMS`` of them or ``PASSAGES`` of their passages at a time, each lot with a
+    scan of the documents: what is sent to the tasks is bounded by that. The space is fitted on all of a lot's items.
 
     Defined cases: null texts are empty and hold nothing; items without words are never found; null ids stay;
     items that repeat are each found; repeated rows each give a row; an empty table of documents gives no
