@@ -260,18 +260,34 @@ def _scan(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def pieces(text: str, size: int = 2000) -> list[str]:
+    """A long island cut at spaces, so that no token is cut: of up to ``size`` characters, or one token."""
+    out = []
+    while len(text) > size:
+        at = text.rfind(" ", 1, size + 1)
+        at = at if at > 0 else text.find(" ", size)
+        if at < 0:
+            break
+        out.append(text[:at])
+        text = text[at:]
+    return [*out, text]
+
+
 def fit_model(scanned: DataFrame, sample: int = 800) -> SemiCRF:
-    """Fit on islands that the patterns label: the ``sample`` of least hash, a bound that doesn't grow with the table."""
-    rows = (
-        scanned.filter(F.size("islands") > 0)
-        .select(F.explode("islands").alias("i"))
-        .select(F.substring("i.text", 1, 2000).alias("text"))
-        .distinct()
-        .orderBy(F.xxhash64("text"), "text")
-        .limit(sample)
-        .collect()
-    )
-    return SemiCRF.fit([v for r in rows for v in variants(r.text, _fits(base_spans(r.text)))])
+    """Fit on islands that the patterns label: the ``sample`` of least hash, and a share of it for each kind and
+    for islands without any, so that no kind is lost where it is rare. The bound doesn't grow with the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [p for t in batch.column(0).to_pylist() for p in pieces(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([sorted({s[0] for s in base_spans(t)}) for t in texts], pa.list_(pa.string()))], ["text", "kinds"])
+
+    islands = scanned.filter(F.size("islands") > 0).select(F.explode("islands").alias("i")).select(F.col("i.text").alias("text")).distinct()
+    rows = Scratch(scanned.sparkSession, "pii-fit").save(islands.mapInArrow(run, "text string, kinds array<string>"), "pieces").distinct()
+    share = max(1, sample // (len(KINDS) + 1))
+    wanted = [(F.lit(True), sample), (F.size("kinds") == 0, share), *((F.array_contains("kinds", k), share) for k in KINDS)]
+    texts = dict.fromkeys(r.text for which, n in wanted for r in rows.filter(which).orderBy(F.xxhash64("text"), "text").limit(n).collect())
+    return SemiCRF.fit([v for t in texts for v in variants(t, _fits(base_spans(t)))])
 
 
 def _fits(spans: list[Span]) -> list[Span]:
