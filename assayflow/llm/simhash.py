@@ -20,7 +20,7 @@ DISTANCE = 3
 WIDTHS = (16, 12, 9, 7, 5)
 #: Members of a group from which it is routed one level deeper.
 GROUP = 1024
-#: Children of a node, and members of a leaf.
+#: Children of a node of the tree.
 FAN = 16
 
 
@@ -67,26 +67,30 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(mask, pattern) of the nodes of each level, leaves' members first: the bits that all codes below a node share."""
-    ones, both = codes, codes
-    levels = [(np.full(len(codes), ~np.uint64(0)), codes)]
+def _levels(keys: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """(least key, greatest key, mask, pattern) of the nodes of each level, the codes themselves first.
+
+    A node factors out the bits that all codes below it share.
+    """
+    low, high, ones, both = keys, keys, codes, codes
+    levels = [(low, high, np.full(len(codes), ~np.uint64(0)), codes)]
     while len(ones) > 1:
         starts = np.arange(0, len(ones), FAN)
+        low, high = low[starts], np.maximum.reduceat(high, starts)
         ones, both = np.bitwise_or.reduceat(ones, starts), np.bitwise_and.reduceat(both, starts)
         mask = ~(ones ^ both)
-        levels.append((mask, both & mask))
+        levels.append((low, high, mask, both & mask))
     return levels
 
 
-def index_links(codes: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of Gray-sorted codes within the distance, in parts.
+def index_links(keys: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, tally: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of codes of one key within the distance, in parts. Codes are sorted by key, then Gray rank.
 
-    Pairs of nodes descend from the root together. A node adds the differences in the bits that it shares
-    and its parent doesn't; a pair whose accumulated differences exceed the distance is pruned with all
-    that is below it.
+    Pairs of nodes descend from the root together. A pair adds the differences in the bits that both nodes
+    share and those above them don't; one whose accumulated differences exceed the distance is pruned with
+    all that is below it, and so is one without a common key. ``tally`` counts pairs seen and pruned above the codes.
     """
-    levels = _levels(codes)
+    levels = _levels(keys, codes)
     work = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64))]
     while work:
         level, left, right, spent, seen = work.pop()
@@ -97,16 +101,20 @@ def index_links(codes: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[n
         if level == 0:
             yield left, right
             continue
-        mask, pattern = levels[level - 1]
+        low, high, mask, pattern = levels[level - 1]
         i = (left[:, None] * FAN + np.arange(FAN)).repeat(FAN, axis=1).ravel()
         j = np.tile(right[:, None] * FAN + np.arange(FAN), FAN).ravel()
         up = np.arange(len(left)).repeat(FAN * FAN)
-        keep = (i < len(mask)) & (j < len(mask)) & ((i < j) if level == 1 else (i <= j))
-        i, j, up = i[keep], j[keep], up[keep]
+        at = np.flatnonzero((i < len(mask)) & (j < len(mask)) & ((i < j) if level == 1 else (i <= j)))
+        i, j, up = i[at], j[at], up[at]
+        at = np.flatnonzero((low[i] <= high[j]) & (low[j] <= high[i]))
+        i, j, up = i[at], j[at], up[at]
         shared = mask[i] & mask[j]
         total = spent[up] + _popcount((pattern[i] ^ pattern[j]) & shared & ~seen[up])
-        keep = total <= distance
-        if keep.any():
+        keep = np.flatnonzero(total <= distance)
+        if tally is not None and level > 1:
+            tally["seen"], tally["pruned"] = tally.get("seen", 0) + len(i), tally.get("pruned", 0) + len(i) - len(keep)
+        if len(keep):
             work.append((level - 1, i[keep], j[keep], total[keep], shared[keep]))
 
 
@@ -123,30 +131,18 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def group_forest(keys: np.ndarray, codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within each key, what is linked there: one per member at most. Keys come in runs."""
+def group_forest(keys: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, within each key, what is linked there: one per member at most. One tree spans all the keys."""
     order = np.lexsort((gray_rank(codes), keys))
     keys, codes = keys[order], codes[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    label = np.arange(len(keys))
-    small = np.repeat(sizes <= FAN, sizes)
-    left, right = [], []
-    for step in range(1, FAN):  # groups of one leaf: neighbours at every step, all groups at once
-        a = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
-        if not len(a):
-            break
-        a = a[_popcount(codes[a] ^ codes[a + step]) <= distance]
+    label, left, right = np.arange(len(keys)), [], []
+    for a, b in index_links(keys, codes, distance, tally):
         left.append(a)
-        right.append(a + step)
+        right.append(b)
+        if sum(map(len, left)) > 1 << 18:  # links become labels before they grow beyond bounds
+            label, left, right = _join_labels(label, np.concatenate(left), np.concatenate(right)), [], []
     if left:
         label = _join_labels(label, np.concatenate(left), np.concatenate(right))
-    for k in np.flatnonzero(sizes > FAN):
-        at, n = starts[k], sizes[k]
-        own = np.arange(n)
-        for a, b in index_links(codes[at : at + n], distance):
-            own = _join_labels(own, a, b)
-        label[at : at + n] = own + at
     moved = np.flatnonzero(label != np.arange(len(keys)))
     return codes[moved], codes[label[moved]]
 
@@ -194,7 +190,8 @@ def fingerprint_edges(distinct: DataFrame, scratch: Scratch, group: int = GROUP)
     Two such codes share one of four 16-bit blocks: these shared patterns are the index's top nodes, and a
     code is routed to its own four only. A node with too many codes is replaced by the four nodes below
     each code's other bits, where the same holds again; at the last level a node has room for 2^15 codes.
-    So no group is unbounded, and none is dropped. Each group emits a forest, never its pairs.
+    So no group is unbounded, and none is dropped. What is routed to a task is sorted by node and Gray rank,
+    and one tree over it is searched; a task emits a forest, never its pairs.
     """
     rows = distinct.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("bits"), "fp")
     found = None

@@ -57,9 +57,27 @@ def test_gray_rank_inverts_gray_code():
 @pytest.mark.parametrize("seeds,flips", [(400, 4), (3, 5), (1, 3)])
 def test_index_finds_every_link(seeds, flips):
     codes = np.array(sorted(set(near(random.Random(seeds), 700, seeds, flips))), np.uint64)
-    codes = codes[np.argsort(simhash.gray_rank(codes))]
-    found = {(int(a), int(b)) for x, y in simhash.index_links(codes) for a, b in zip(x, y)}
-    assert found == {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= 3}
+    for groups in (1, 90):
+        keys = np.random.default_rng(1).integers(0, groups, len(codes))
+        order = np.lexsort((simhash.gray_rank(codes), keys))
+        k, c = keys[order], codes[order]
+        found = [(int(a), int(b)) for x, y in simhash.index_links(k, c) for a, b in zip(x, y)]
+        want = {(i, j) for i in range(len(c)) for j in range(i + 1, len(c)) if k[i] == k[j] and int(c[i] ^ c[j]).bit_count() <= 3}
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_tree_prunes_node_pairs_of_real_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    codes = np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()]).view(np.uint64)
+    tally = {}
+    edges = simhash.group_forest(np.zeros(len(codes), np.int64), codes, tally=tally)
+    assert tally["pruned"] > 0
+    root = components(codes.tolist())
+    label = {c: c for c in root}
+    for a, b in zip(*edges):  # a forest: each member points to the least place of its component
+        label[int(a)] = int(b)
+    groups = lambda of: {frozenset(c for c in root if of(c) == r) for r in {of(c) for c in root}}
+    assert groups(label.get) == groups(root.get)
 
 
 @pytest.mark.parametrize("group", [1024, 20])
