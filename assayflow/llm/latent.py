@@ -9,7 +9,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayflow.llm.common import sum_vectors
 
@@ -20,13 +21,14 @@ _ANSWER = re.compile(rb"\banswer\s*[:=]\s*", re.IGNORECASE)
 PASSAGE, STRIDE = 32, 8
 #: Buckets for the document counts of words that no item has; theirs are exact.
 OTHER = 1 << 18
+#: Dimensions of the latent space, or half the number of passages where these are few.
 RANK = 256
-#: Least cosine of a candidate, and least share of an item's weight that a document must hold in order.
-COSINE, COVERAGE = 0.25, 0.5
-#: The part of an exact cosine that must show in the space, where an item's own length there is allowed for.
-SLACK = 0.7
-#: Items searched for in one scan of the documents, and their passages (one item may have more); the space is fitted to all of them.
-ITEMS, PASSAGES = 1024, 8192
+#: Least cosine in the space, as a share of a verbatim copy's, and least share of an item's weight that a document must hold in order.
+COSINE, COVERAGE = 0.3, 0.5
+#: Items searched for in one scan of the documents, and their passages (one item may have more). The space is fitted to all items at once.
+ITEMS, PASSAGES = 8192, 32768
+#: Rows compared with passages at a time.
+_ROWS = 4096
 
 
 # ---------------------------------------------------------------- words
@@ -188,41 +190,66 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, size: int, rank: int, r
 
 @dataclass
 class Space:
-    """All that a task needs: bounded by ITEMS benchmark items and their PASSAGES, whatever the corpus."""
+    """The latent space of all items. It grows with the words of the benchmark, not with the documents."""
 
-    ids: list  # of the items
-    words: list[np.ndarray]  # of each item, in order
-    answers: list[np.ndarray]
     vocabulary: Vocabulary
     idf: np.ndarray
-    most: np.ndarray  # of each word, times its IDF: the greatest weight in any row
     vectors: np.ndarray  # words x rank
-    of: np.ndarray  # the item of each row
-    rows: list[tuple[np.ndarray, np.ndarray]]  # the words and weights, of norm one, of the items and their passages
-    queries: np.ndarray  # rows x rank
-    kept: np.ndarray  # the square of each row's length in the space
-
-
-def fit_space(docs: DataFrame, items: list[tuple[object, bytes]], rank: int = RANK) -> Space:
-    """Counts over all documents, and singular vectors of the items and their passages."""
-    spark = docs.sparkSession
-    hashes = word_hashes([t for _, t in items])
-    vocabulary = Vocabulary(np.concatenate(hashes))
-    counts = sum_vectors(docs.select("text"), partial(document_counts, vocabulary=vocabulary))
+
+
+@dataclass
+class Lot:
+    """Some items in the space: bounded by ITEMS and PASSAGES."""
+
+    ids: list  # of the items
+    words: list[np.ndarray]  # of each item, in order
+    answers: list[np.ndarray]
+    of: np.ndarray  # the item of each row: an item as a whole, or one of its passages
+    queries: np.ndarray  # rows x rank, over the square of their lengths: a copy of the row gives one
+    most: np.ndarray  # of each word, the greatest that it adds to a product with any row
+
+
+def fit_space(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Space | None:
+    """Counts over all documents, and the singular vectors of the passages of all items; None without items that have words."""
+    texts = benchmark.filter("text is not null").select(F.col("text").cast("string").alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _some(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(word_hashes(part))).view(np.int64))], ["h"])
+
+    known = texts.mapInArrow(hashed, "h long").distinct().toArrow().column("h").to_numpy().view(np.uint64)
+    if not len(known):
+        return None
+    vocabulary = Vocabulary(known)
+    counts = sum_vectors(docs.select(F.col("text").cast("string").alias("text")), partial(document_counts, vocabulary=vocabulary))
     counts = np.zeros(len(vocabulary) + OTHER + 1) if counts is None else counts
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
-    numbers = [vocabulary.of(h) for h in hashes]
-    parts = [(k, part) for k, n in enumerate(numbers) for part in item_parts(n)]
-    table = spark.createDataFrame([(bytearray(n.tobytes()),) for _, n in parts], "numbers binary")
-    size = len(vocabulary)
-    vectors = randomised_svd(table, idf[:size], size, min(rank, len(parts)))
-    rows = [(at, x / np.sqrt((x * x).sum())) for at, x in (weighted(n, idf) for _, n in parts)]
-    queries = np.array([x @ vectors[at] for at, x in rows]).reshape(len(rows), -1)
-    most = np.zeros(len(idf))
-    for at, x in rows:
-        np.maximum.at(most, at, x)
-    answers = vocabulary.numbers([answer_of(t) for _, t in items])
-    return Space([i for i, _ in items], numbers, answers, vocabulary, idf, most * idf, vectors.astype(np.float32), np.array([k for k, _ in parts]), rows, queries.astype(np.float32), (queries**2).sum(1).astype(np.float32))
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _some(batch.column(0)):
+                parts = [x.tobytes() for n in vocabulary.numbers(part) if len(n) for x in item_parts(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["numbers"])
+
+    rows = texts.mapInArrow(passages, "numbers binary")
+    rank = max(1, min(rank, rows.count() // 2))
+    return Space(vocabulary, idf, randomised_svd(rows, idf[: len(vocabulary)], len(vocabulary), rank).astype(np.float32))
+
+
+def place_items(space: Space, items: list[tuple[object, bytes]]) -> Lot:
+    """Items and their passages as vectors of the space."""
+    words = space.vocabulary.numbers([t for _, t in items])
+    parts = [(k, part) for k, n in enumerate(words) for part in item_parts(n)]
+    queries = np.zeros((len(parts), space.vectors.shape[1]), np.float32)
+    for i, (_, n) in enumerate(parts):
+        at, x = weighted(n, space.idf)
+        q = (x / np.sqrt((x * x).sum())) @ space.vectors[at]
+        queries[i] = q / max(float(q @ q), 1e-6)
+    most = np.zeros(len(space.idf))
+    for i in range(0, len(parts), 256):
+        most[: len(space.vocabulary)] = np.maximum(most[: len(space.vocabulary)], (space.vectors @ queries[i : i + 256].T).max(1))
+    return Lot([i for i, _ in items], words, space.vocabulary.numbers([answer_of(t) for _, t in items]), np.array([k for k, _ in parts]), queries, most * space.idf)
 
 
 # ---------------------------------------------------------------- search and checks
@@ -240,13 +267,13 @@ def item_parts(words: np.ndarray) -> list[np.ndarray]:
     return [words, *(words[s : s + PASSAGE] for s in starts)]
 
 
-def candidates(space: Space, texts: list[np.ndarray], cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
-    """(text, passage start, item, cosine) of the pairs at the cosine or above that the space shows.
+def candidates(space: Space, lot: Lot, texts: list[np.ndarray], cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
+    """(text, passage start, item, cosine) of the pairs at the cosine or above.
 
-    The cosine is the greatest with a row of the item: the whole, or one of its passages. A passage that holds
-    a row has a product with it in the space in proportion to the square of the row's length there: the bound
-    allows for that, and exact cosines decide. No row's product with a passage is greater than with each word
-    at its greatest weight in any row, so passages where that sum is too small are passed over without loss.
+    The cosine is that of the passage and a row of the item (the whole, or one of its passages) in the latent
+    space, as a share of what a copy of that row has there, and the greatest over the item's rows. Nothing but
+    this decides what is checked. No word adds more to a product than its greatest weight in any row's image:
+    passages where the sum of these is too small are passed over without loss.
     """
     size = len(space.vocabulary)
     ids = np.concatenate([*texts, np.zeros(0, np.int64)])
@@ -255,7 +282,7 @@ def candidates(space: Space, texts: list[np.ndarray], cosine: float = COSINE) ->
     of = np.repeat(np.arange(len(texts)), [len(x) for x in each])
     starts = np.concatenate([*each, np.zeros(0, np.int64)]) + begin[of]
     ends = np.minimum(starts + PASSAGE, begin[of + 1])
-    total, most = np.r_[0, np.cumsum(space.idf[ids] ** 2)], np.r_[0, np.cumsum(space.most[ids])]
+    total, most = np.r_[0, np.cumsum(space.idf[ids] ** 2)], np.r_[0, np.cumsum(lot.most[ids])]
     norm = np.sqrt(np.maximum(total[ends] - total[starts], 1e-12))
     left = np.flatnonzero(most[ends] - most[starts] >= cosine * norm * (1 - 1e-6))
     out: dict[tuple[int, int, int], float] = {}
@@ -272,18 +299,14 @@ def candidates(space: Space, texts: list[np.ndarray], cosine: float = COSINE) ->
         if not len(first):
             continue
         latent = np.add.reduceat(space.vectors[word] * x[:, None].astype(np.float32), first)
-        close = latent @ space.queries.T
-        last = np.r_[first[1:], len(row)]
-        for i, k in zip(*np.nonzero(close >= SLACK * cosine * space.kept)):
-            words, weights = space.rows[k]
-            own = slice(first[i], last[i])
-            _, a, b = np.intersect1d(word[own], words, assume_unique=True, return_indices=True)
-            exact = float(x[own][a] @ weights[b])
-            if exact >= cosine:
-                passage = part[row[first[i]]]
-                found = (int(of[passage]), int(starts[passage] - begin[of[passage]]), int(space.of[k]))
-                out[found] = max(out.get(found, 0.0), exact)
-    return [(*found, exact) for found, exact in out.items()]
+        passage = part[row[first]]
+        for r in range(0, len(lot.of), _ROWS):
+            close = latent @ lot.queries[r : r + _ROWS].T
+            i, k = np.nonzero(close >= cosine)
+            for p, item, c in zip(passage[i].tolist(), lot.of[r + k].tolist(), close[i, k].tolist()):
+                found = (int(of[p]), int(starts[p] - begin[of[p]]), item)
+                out[found] = max(out.get(found, 0.0), c)
+    return [(*found, c) for found, c in out.items()]
 
 
 def coverage(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
@@ -307,22 +330,22 @@ def coverage_bound(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float
     return float((np.minimum(n[a], m[b]) * idf[words[a]]).sum() / idf[item].sum())
 
 
-def leaks(space: Space, texts: list[np.ndarray], cosine: float = COSINE, least: float = COVERAGE) -> list[list[tuple[int, float, float, float]]]:
+def leaks(space: Space, lot: Lot, texts: list[np.ndarray], cosine: float = COSINE, least: float = COVERAGE) -> list[list[tuple[int, float, float, float]]]:
     """For each text, (item, cosine, coverage of the item, coverage of its answer) of each item that it holds."""
     best: list[dict[int, tuple[int, float, float, float]]] = [{} for _ in texts]
     seen: set[tuple[int, int, int, int]] = set()
-    for i, s, k, c in sorted(candidates(space, texts, cosine), key=lambda x: -x[3]):
-        n = len(space.words[k])
+    for i, s, k, c in sorted(candidates(space, lot, texts, cosine), key=lambda x: -x[3]):
+        n = len(lot.words[k])
         start, end = max(0, s - n), min(len(texts[i]), s + PASSAGE + n)
         if (i, k, start, end) in seen:  # the same words, at a cosine no greater
             continue
         seen.add((i, k, start, end))
         around = texts[i][start:end]
-        if coverage_bound(space.words[k], around, space.idf) < max(least, best[i][k][2] if k in best[i] else 0.0) - 1e-9:
+        if coverage_bound(lot.words[k], around, space.idf) < max(least, best[i][k][2] if k in best[i] else 0.0) - 1e-9:
             continue
-        found = coverage(space.words[k], around, space.idf)
+        found = coverage(lot.words[k], around, space.idf)
         if found >= least and (k not in best[i] or (found, c) > (best[i][k][2], best[i][k][1])):
-            answer = coverage(space.answers[k], around, space.idf)
+            answer = coverage(lot.answers[k], around, space.idf)
             if answer >= least:
                 best[i][k] = (k, c, found, answer)
     return [[own[k] for k in sorted(own)] for own in best]
@@ -344,77 +367,81 @@ def _lots(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
     return lots + [lot] if lot else lots
 
 
-def _search(space: Space, texts: pa.Array, cosine: float, least: float) -> list[list[tuple[int, float, float, float]]]:
+def _search(space: Space, lot: Lot, texts: pa.Array, cosine: float, least: float) -> list[list[tuple[int, float, float, float]]]:
     """``leaks`` of the texts, some at a time."""
-    return [x for part in _some(texts) for x in leaks(space, space.vocabulary.numbers(part), cosine, least)]
+    return [x for part in _some(texts) for x in leaks(space, lot, space.vocabulary.numbers(part), cosine, least)]
+
+
+def _spread(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int) -> tuple[Broadcast | None, list[Broadcast]]:
+    """The space and the lots, for the tasks."""
+    space = fit_space(docs, benchmark, rank)
+    if space is None:
+        return None, []
+    return spark.sparkContext.broadcast(space), [spark.sparkContext.broadcast(place_items(space, lot)) for lot in _lots(benchmark)]
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERAGE, rank: int = RANK) -> DataFrame:
-    """The rows of ``docs`` that hold no item by ``decontaminate``'s rule, with all their columns."""
-    spark, schema = docs.sparkSession, docs.schema
+    """The rows of ``docs`` that hold no item by ``decontaminate``'s rule, with all their columns.
+
+    Defined cases: null and empty texts hold nothing and stay; null ids and repeated rows are judged by their
+    texts like any others; without items all rows stay; an empty table gives none; the other columns stay as they are.
+    """
+    schema = docs.schema
+    space_of, lots = _spread(docs.sparkSession, docs, benchmark, rank)
 
-    def keep(space_of):
+    def keep(lot_of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not x for x in _search(space_of.value, texts, cosine, least)], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in _search(space_of.value, lot_of.value, texts, cosine, least)], pa.bool_()))
 
         return run
 
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    spaces = [spark.sparkContext.broadcast(fit_space(texts, lot, rank)) for lot in _lots(benchmark)]
-    for space_of in spaces:
-        docs = docs.mapInArrow(keep(space_of), schema)
+    for lot_of in lots:
+        docs = docs.mapInArrow(keep(lot_of), schema)
     return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERAGE, rank: int = RANK) -> DataFrame:
     """Which documents hold which benchmark items: ``doc_id, contaminated, n_items, item_ids, coverage, cosine``.
 
-    Words are runs of letters and digits, in lower case. Passages of 32 words, every 8 words, of every
-    document are searched in the latent space of the items and their own such passages (a distributed
-    randomised SVD of their TF-IDF rows); IDF counts all documents. A candidate pair is a leak if the document around the passage
-    holds half of the item's IDF weight as a common subsequence, and half of its answer's (what follows
-    "answer:", or the last sentence). One row per input row; ``item_ids`` is sorted.
+    Words are runs of letters and digits, in lower case. The space is a distributed randomised SVD of the TF-IDF
+    rows of all items and their passages of 32 words, at a rank of at most half their number; IDF counts all
+    documents. Passages of 32 words, every 8 words, of every document whose cosine with a row in the space
+    reaches ``cosine`` of a verbatim copy's are candidates. A candidate is a leak if the document around the
+    passage holds half of the item's IDF weight as a common subsequence, and half of its answer's (what
+    follows "answer:", or the last sentence). One row per input row; ``item_ids`` is sorted.
 
-    The items are on the driver, ``ITEMS`` of them or ``PASSAGES`` of their passages at a time, each lot with a
-    scan of the documents: what is sent to the tasks is bounded by that. The space is fitted on all of a lot's items.
+    All items share one space, whose vectors are as many as the benchmark has different words. ``ITEMS`` items
+    or ``PASSAGES`` of their passages are searched for in one pass over the documents, more in further passes.
 
     Defined cases: null texts are empty and hold nothing; items without words are never found; null ids stay;
     items that repeat are each found; repeated rows each give a row; an empty table of documents gives no
     rows, and without items nothing is contaminated; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    lots = _lots(benchmark)
-    kind = "doc_id long, item_ids array<long>, coverage double, cosine double"
-    spark = docs.sparkSession
+    space_of, lots = _spread(docs.sparkSession, rows, benchmark, rank)
 
-    def search(space_of):
+    def search(lot_of, last):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            space = space_of.value
+            space, lot = space_of.value, lot_of.value
             for batch in batches:
-                found = _search(space, batch.column(0), cosine, least)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), pa.array([[space.ids[f[0]] for f in x] for x in found], pa.list_(pa.int64())), pa.array([max((f[2] for f in x), default=None) for x in found], pa.float64()), pa.array([max((f[1] for f in x), default=None) for x in found], pa.float64())],
-                    ["doc_id", "item_ids", "coverage", "cosine"],
-                )
+                found = _search(space, lot, batch.column(0), cosine, least)
+                items, cover, close = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+                for i, x in enumerate(found):
+                    if x:
+                        items[i] = items[i] + [lot.ids[f[0]] for f in x]
+                        cover[i] = max(cover[i] or 0.0, *(f[2] for f in x))
+                        close[i] = max(close[i] or 0.0, *(f[1] for f in x))
+                rows = [*batch.columns[:2], pa.array(items, pa.list_(pa.int64())), pa.array(cover, pa.float64()), pa.array(close, pa.float64())]
+                yield pa.RecordBatch.from_arrays(rows[last:], names[last:])
 
         return run
 
-    if len(lots) <= 1:
-        if lots:
-            out = rows.mapInArrow(search(spark.sparkContext.broadcast(fit_space(rows, lots[0], rank))), kind)
-        else:
-            out = rows.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("double").alias("cosine"))
-    else:  # several scans: rows are told apart by a number of their own
-        from assayflow.llm.common import Scratch
-
-        scratch = Scratch(spark, "latent")
-        numbered = scratch.save(rows.withColumn("real_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
-        parts = [numbered.select("text", "doc_id").mapInArrow(search(spark.sparkContext.broadcast(fit_space(rows, x, rank))), kind) for x in lots]
-        both = parts[0]
-        for part in parts[1:]:
-            both = both.union(part)
-        both = both.groupBy("doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.max("coverage").alias("coverage"), F.max("cosine").alias("cosine"))
-        out = both.join(numbered.select("doc_id", "real_id"), "doc_id").drop("doc_id").withColumnRenamed("real_id", "doc_id")
+    out = rows.select("text", "doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("double").alias("cosine"))
+    kinds = ("text string", "doc_id long", "item_ids array<long>", "coverage double", "cosine double")
+    names = [k.split()[0] for k in kinds]
+    for i, lot_of in enumerate(lots):  # one after the other in one scan of the table; the last passes no text on
+        last = int(i == len(lots) - 1)
+        out = out.mapInArrow(search(lot_of, last), ", ".join(kinds[last:]))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.array_sort("item_ids").alias("item_ids"), "coverage", "cosine")

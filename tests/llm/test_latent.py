@@ -41,31 +41,58 @@ def test_finds_exact_and_paraphrased_items_only(spark):
 
 
 def space_for(spark, rows, bench, rank):
-    docs = frame(spark, rows).select("text")
-    return latent.fit_space(docs, [(k, t.encode()) for k, t in bench], rank)
+    space = latent.fit_space(frame(spark, rows).select("text"), spark.createDataFrame(bench, ITEM), rank)
+    return space, latent.place_items(space, [(k, t.encode()) for k, t in bench])
 
 
-@pytest.mark.parametrize("rank", [256, 24])
-def test_recall_of_candidates_against_brute_force(spark, rank):
-    rows, bench, _ = tables(3, 60, 30)
-    space = space_for(spark, rows, bench, rank)
-    size = len(space.vocabulary)
-    want, got = set(), set()
+def paraphrases(seed=3, topics=25):
+    """Items of topics that share words, and documents in which many of an item's words are replaced by others of its topic, amid rare words."""
+    r = random.Random(seed)
+    bench, rows, truth = [], [], set()
+    for t in range(topics):
+        pool = [f"topic{t}x{j}" for j in range(40)]
+        for _ in range(6):
+            bench.append((len(bench), " ".join(r.sample(pool, 24)) + ". " + " ".join(r.sample(pool, 3)) + "."))
+    for i in range(240):
+        words = [f"rare{i}n{j}" for j in range(r.randrange(60, 120))]
+        if i % 2:
+            k = r.randrange(len(bench))
+            question, answer = bench[k][1].split(". ")
+            pool = [f"topic{k // 6}x{j}" for j in range(40)]
+            said = [w if r.random() < 0.62 else r.choice(pool) for w in question.split()]
+            spread = [x for w in said for x in ([w] if r.random() < 0.5 else [w, f"rare{i}m{len(w)}{r.random()}"])]
+            at = r.randrange(len(words))
+            words[at:at] = [*spread, *answer.strip(".").split()]
+        rows.append((i, " ".join(words)))
+    return rows, bench
+
+
+@pytest.mark.parametrize("rank", [256, 40])
+def test_recall_on_paraphrases_against_full_coverage(spark, rank):
+    """Truth: whole items and answers against whole documents, without a search."""
+    rows, bench = paraphrases()
+    space, lot = space_for(spark, rows, bench, rank)
+    assert space.vectors.shape[1] <= len(lot.of) // 2
+    want = set()
     for i, t in rows:
         (ids,) = space.vocabulary.numbers([t.encode()])
-        got |= {(i, s, k) for _, s, k, _ in latent.candidates(space, [ids])}
-        for s in latent.passage_starts(len(ids)).tolist():
-            x = np.zeros(size + latent.OTHER)
-            at, w = latent.weighted(ids[s : s + latent.PASSAGE], space.idf)
-            x[at] = w
-            for k, item in enumerate(space.words):
-                q = np.zeros_like(x)
-                at, w = latent.weighted(item, space.idf)
-                q[at] = w
-                if x @ q >= latent.COSINE * np.linalg.norm(x) * np.linalg.norm(q):
-                    want.add((i, s, k))
-    assert len(want) > 40
-    assert len(want & got) / len(want) >= 0.9
+        want |= {(i, k) for k, item in enumerate(lot.words) if latent.coverage(item, ids, space.idf) >= latent.COVERAGE and latent.coverage(lot.answers[k], ids, space.idf) >= latent.COVERAGE}
+    assert len(want) > 80 and {i for i, _ in want} <= {i for i, _ in rows if i % 2}
+    got = {(r.doc_id, k) for r in latent.decontaminate(frame(spark, rows), spark.createDataFrame(bench, ITEM), rank=rank).collect() for k in r.item_ids}
+    assert len(want & got) >= 0.9 * len(want) and got <= want
+
+
+def test_the_space_finds_candidates_that_the_words_do_not(spark):
+    """The same threshold on word-by-word cosines (all dimensions) finds fewer of the pairs above."""
+    rows, bench = paraphrases(4)
+    space, lot = space_for(spark, rows, bench, 40)
+    words = latent.Space(space.vocabulary, space.idf, np.eye(len(space.vocabulary), dtype=np.float32))
+    plain = latent.place_items(words, [(k, t.encode()) for k, t in bench])
+    texts = [space.vocabulary.numbers([t.encode()])[0] for _, t in rows]
+    pairs = [{(i, k) for i, _, k, _ in latent.candidates(s, x, texts)} for s, x in ((space, lot), (words, plain))]
+    assert len(pairs[0] - pairs[1]) > 50
+    topic = {(i, k) for i, k in pairs[0] if f"topic{k // 6}x" in rows[i][1]}
+    assert topic == pairs[0]  # and never an item of a topic that the document hasn't
 
 
 def test_singular_vectors_against_dense_svd(spark):

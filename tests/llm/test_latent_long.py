@@ -23,11 +23,11 @@ def test_long_items_against_full_coverage(spark, share):
             at = r.randrange(len(words))
             words[at:at] = kept(r, bench[i // 2 % 5][1], share).split(" ")
         rows.append((i, " ".join(words)))
-    space = space_for(spark, rows, bench, latent.RANK)
+    space, lot = space_for(spark, rows, bench, latent.RANK)
     for i, t in rows:  # whole items and answers against whole documents, without a search
         (ids,) = space.vocabulary.numbers([t.encode()])
-        for k, item in enumerate(space.words):
-            if latent.coverage(item, ids, space.idf) >= latent.COVERAGE and latent.coverage(space.answers[k], ids, space.idf) >= latent.COVERAGE:
+        for k, item in enumerate(lot.words):
+            if latent.coverage(item, ids, space.idf) >= latent.COVERAGE and latent.coverage(lot.answers[k], ids, space.idf) >= latent.COVERAGE:
                 want.add((i, k))
     assert {(i, i // 2 % 5) for i in range(1, 20, 2)} <= want
     got = {(d.doc_id, k) for d in latent.decontaminate(frame(spark, rows), spark.createDataFrame(bench, ITEM)).collect() for k in d.item_ids}
