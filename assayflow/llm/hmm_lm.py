@@ -22,8 +22,12 @@ END = 0
 STATES = 8
 #: Tokens in a block, the unit that has a vocabulary of its own; and tokens that a worker holds at a time.
 BLOCK, AT_ONCE = 4_000_000, 1_000_000
-#: Training cuts sequences into segments of this many tokens, each token in exactly one. Scores never cut.
-SEGMENT = 512
+#: Tokens from which a sequence waits for others as long.
+LONG = 2048
+#: Tokens of a sequence whose forward values are in memory at once. A longer one keeps the values at its cuts and goes over each piece again.
+PIECE = 262_144
+#: Training ends when the log-likelihood of a token grows by less.
+GAIN = 1e-3
 
 
 class _Ids(dict):
@@ -102,22 +106,21 @@ class Counts:
     """Corpus counts: words by block with their counts and classes, and the totals of each class."""
 
     def __init__(self, blocks: DataFrame, scratch: Scratch):
-        words = blocks.filter("word is not null")
-        self.words = scratch.save(
-            words.selectExpr("block", "local", "word", "sum(train) over (partition by word) as c", "block = min(block) over (partition by word) as first"), "words"
-        )
-        known = self.words.filter("first and c > 0")
-        total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        words = blocks.filter("word is not null").select("block", "local", "word", "train")
+        # Blocks of a word are summed before the shuffle, and meet their word again in a join that adaptive execution may split.
+        known = scratch.save(words.groupBy("word").agg(F.sum("train").alias("c")), "known")
+        total = known.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.n, self.v = int(total.n), int(total.v)
         # At most OWN_SHARE words can have such a share, whatever the corpus.
-        own = [r.word for r in known.filter((F.col("c") * OWN_SHARE >= self.n) & (F.col("word") != "")).orderBy(F.desc("c"), "word").select("word").collect()]
+        own = [r.word for r in known.filter((F.col("c") > 0) & (F.col("c") * OWN_SHARE >= self.n) & (F.col("word") != "")).orderBy(F.desc("c"), "word").select("word").collect()]
         self.classes = ENDINGS + 1 + len(own)
         spark = blocks.sparkSession
         named = spark.createDataFrame([(w, ENDINGS + 1 + i) for i, w in enumerate(own)], "word string, own int")
-        self.words = self.words.join(F.broadcast(named), "word", "left").withColumn(
+        known = known.join(F.broadcast(named), "word", "left").withColumn(
             "class", F.when(F.col("word") == "", END).otherwise(F.coalesce("own", _ending_class(F.col("word")))).cast("int")
         )
-        by_class = self.words.filter("first and c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+        self.words = scratch.save(words.join(known.select("word", "c", "class"), "word").select("block", "local", "c", "class"), "words")
+        by_class = known.filter("c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
         self.class_n, self.class_v = np.zeros(self.classes), np.zeros(self.classes)
         for r in by_class:
             self.class_n[r["class"]], self.class_v[r["class"]] = r.n, r.v
@@ -148,7 +151,7 @@ def _encode(blocks: DataFrame, counts: Counts) -> DataFrame:
 
 # ---------------------------------------------------------------- the model
 class HMM:
-    """start: (2, states), for the first token of a document and of a later segment; move: (states, states); emit: (states, classes)."""
+    """start: (1, states), for the first token of a document; move: (states, states); emit: (states, classes)."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
@@ -159,7 +162,7 @@ class HMM:
         emit = prior * np.exp(r.normal(0, 1, (states, len(prior))))
         move = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-        return cls(np.full((2, states), 1 / states), move, emit / emit.sum(1, keepdims=True))
+        return cls(np.full((1, states), 1 / states), move, emit / emit.sum(1, keepdims=True))
 
     @classmethod
     def from_counts(cls, vector: np.ndarray, prior: np.ndarray, states: int) -> HMM:
@@ -169,8 +172,8 @@ class HMM:
 
 
 def split_counts(vector: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = 2 * states, 2 * states + states * states
-    return vector[:a].reshape(2, states), vector[a:b].reshape(states, states), vector[b:].reshape(states, -1)
+    a, b = states, states + states * states
+    return vector[:a].reshape(1, states), vector[a:b].reshape(states, states), vector[b:-2].reshape(states, -1)
 
 
 def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +189,7 @@ def log10_likelihood(model: HMM, tokens: np.ndarray, starts: np.ndarray, lengths
     by_class = np.ascontiguousarray(model.emit.T)
     alpha = None
     for t, n in enumerate(active):
-        alpha = np.repeat(model.start[:1], n, axis=0) if t == 0 else alpha[:n] @ model.move
+        alpha = np.repeat(model.start, n, axis=0) if t == 0 else alpha[:n] @ model.move
         alpha *= by_class[tokens[first[:n] + t]]
         scale = alpha.sum(1)
         alpha /= scale[:, None]
@@ -196,42 +199,73 @@ def log10_likelihood(model: HMM, tokens: np.ndarray, starts: np.ndarray, lengths
     return out
 
 
-def expected_counts(model: HMM, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Baum-Welch's expected counts of the sequences, as one vector. later: whether each goes on with a document."""
-    states, classes = model.emit.shape
-    order, active = _by_length(lengths)
-    first, later = starts[order], later[order].astype(int)
-    by_class, move = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
-    alphas, scales, emits = [], [], []
+def _forward(model: HMM, tokens: np.ndarray, starts: np.ndarray, active: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Scaled forward values, emissions, scales and token numbers, step after step; ``before``: the values ahead of the first step, if sequences go on."""
+    cuts = np.r_[0, np.cumsum(active)]
+    seen = np.empty(cuts[-1], np.int64)
     for t, n in enumerate(active):
-        emit = by_class[tokens[first[:n] + t]]
-        alpha = (model.start.astype(np.float32)[later] if t == 0 else alphas[-1][:n] @ move) * emit
+        seen[cuts[t] : cuts[t + 1]] = tokens[starts[:n] + t]
+    emits = np.ascontiguousarray(model.emit.T, np.float32)[seen]
+    alphas, scales, move = np.empty_like(emits), np.empty((len(seen), 1), np.float32), model.move.astype(np.float32)
+    for t, n in enumerate(active):
+        now = slice(cuts[t], cuts[t + 1])
+        last = alphas[cuts[t - 1] : cuts[t - 1] + n] if t else before
+        alpha = (model.start.astype(np.float32) if last is None else last @ move) * emits[now]
         scale = np.maximum(alpha.sum(1, keepdims=True), np.float32(1e-30))
-        alphas.append(alpha / scale)
-        scales.append(scale)
-        emits.append(emit)
-    starting, moving, emitting = np.zeros((2, states)), np.zeros((states, states)), np.zeros((states, classes))
-    beta = None
-    where, share = [], []
+        np.divide(alpha, scale, out=alphas[now])
+        scales[now] = scale
+    return alphas, emits, scales, seen
+
+
+def _backward(model: HMM, active: np.ndarray, found: tuple[np.ndarray, ...], before: np.ndarray | None, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The expected counts of the steps, and what the last step before them needs: the values behind it, if sequences go on (``after`` likewise)."""
+    alphas, emits, scales, seen = found
+    states, classes = model.emit.shape
+    cuts, move = np.r_[0, np.cumsum(active)], model.move.astype(np.float32)
+    ahead = emits  # becomes beta times emission over scale
+    ahead /= scales
+    gamma, moving = np.empty_like(alphas), np.zeros((states, states))
     for t in range(len(active) - 1, -1, -1):
-        n = active[t]
+        now, n = slice(cuts[t], cuts[t + 1]), active[t]
         m = active[t + 1] if t + 1 < len(active) else 0
-        now = np.ones((n, states), np.float32)
+        beta = np.ones((n, states), np.float32)
         if m:
-            ahead = beta * emits[t + 1] / scales[t + 1]
-            moving += alphas[t][:m].T @ ahead
-            now[:m] = ahead @ move.T
-        beta = now
-        gamma = alphas[t] * beta
-        where.append(tokens[first[:n] + t])
-        share.append(gamma)
-    if len(active):
-        for k in (0, 1):
-            starting[k] = share[-1][later == k].sum(0)
-        at, gamma = np.concatenate(where), np.concatenate(share)
-        for k in range(states):
-            emitting[k] = np.bincount(at, weights=gamma[:, k], minlength=classes)
-    return np.concatenate([starting.ravel(), (moving * model.move).ravel(), emitting.ravel()])
+            beta[:m] = ahead[cuts[t + 1] : cuts[t + 1] + m] @ move.T
+        elif after is not None:
+            beta = after
+        np.multiply(alphas[now], beta, out=gamma[now])
+        ahead[now] *= beta
+    later = np.arange(len(seen)) >= cuts[1]
+    if later.any():  # each token after the first, with the token before it
+        prior = np.flatnonzero(later) - np.repeat(active[:-1], active[1:])
+        moving += alphas[prior].T.astype(np.float64) @ ahead[cuts[1] :]
+    if before is not None:
+        moving += before.T.astype(np.float64) @ ahead[: cuts[1]]
+    starting = np.zeros((1, states)) if before is not None else gamma[: cuts[1]].sum(0, dtype=np.float64)[None, :]
+    emitting = np.array([np.bincount(seen, weights=gamma[:, k], minlength=classes) for k in range(states)])
+    vector = np.concatenate([starting.ravel(), (moving * model.move).ravel(), emitting.ravel(), [np.log(scales.astype(np.float64)).sum(), len(seen)]])
+    return vector, ahead[: cuts[1]] @ move.T
+
+
+def expected_counts(model: HMM, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Baum-Welch's expected counts of whole sequences as one vector, with their log-likelihood and tokens last.
+
+    Sequences of more than ``piece`` tokens keep the forward values at their cuts; the pieces are gone over again
+    from the last to the first, with the backward values carried on, so the counts are those of the uncut sequence.
+    """
+    long = lengths > piece
+    order, active = _by_length(lengths[~long])
+    total = _backward(model, active, _forward(model, tokens, starts[~long][order], active, None), None, None)[0] if len(active) else 0
+    for start, length in zip(starts[long].tolist(), lengths[long].tolist()):
+        parts = [(a, np.ones(min(piece, start + length - a), np.int64)) for a in range(start, start + length, piece)]
+        before = [None]
+        for a, ones in parts[:-1]:
+            before.append(_forward(model, tokens, np.array([a]), ones, before[-1])[0][-1:].copy())
+        after = None
+        for (a, ones), ahead in zip(reversed(parts), reversed(before)):
+            found, after = _backward(model, ones, _forward(model, tokens, np.array([a]), ones, ahead), ahead, after)
+            total = total + found
+    return total
 
 
 def _parts(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[tuple[list[np.ndarray], list[tuple[pa.RecordBatch, int, int]]]]:
@@ -255,23 +289,35 @@ def baum_welch(encoded: DataFrame, model: HMM, prior: np.ndarray, rounds: int) -
     rows = encoded.filter("not held_out").select("classes")
 
     def counts(batches: Iterator[pa.RecordBatch], model: HMM) -> np.ndarray | None:
-        total = None
+        total, late, size = None, [], 0
+
+        def add(held):
+            nonlocal total
+            if held:
+                sizes = np.array([len(t) for t in held])
+                found = expected_counts(model, np.concatenate(held), np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+                total = found if total is None else total + found
+
         for held, _ in _parts(batches, 0, AT_ONCE):
-            sizes = np.array([len(t) for t in held])
-            begin = np.r_[0, np.cumsum(sizes)[:-1]]
-            cuts = (sizes + SEGMENT - 1) // SEGMENT
-            part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            starts = np.repeat(begin, cuts) + part * SEGMENT
-            lengths = np.minimum(SEGMENT, np.repeat(begin + sizes, cuts) - starts)
-            found = expected_counts(model, np.concatenate(held), starts, lengths, part > 0)
-            total = found if total is None else total + found
+            add([t for t in held if len(t) <= LONG])
+            late += [t for t in held if len(t) > LONG]  # long sequences wait for one another: a step costs the same for few and many
+            size = sum(map(len, late))
+            if size > AT_ONCE:
+                add(late)
+                late = []
+        add(late)
         return total
 
+    last = -math.inf
     for _ in range(rounds):
         summed = sum_vectors(rows, partial(counts, model=model))
         if summed is None:
             return model
         model = HMM.from_counts(summed, prior, states)
+        now = summed[-2] / summed[-1]
+        if now - last < GAIN:
+            break
+        last = now
     return model
 
 
@@ -297,7 +343,7 @@ def hmm_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: st
     blocks = scratch.save(_blocks(rows, block), "blocks")
     counts = Counts(blocks, scratch)
     encoded = scratch.save(_encode(blocks, counts), "encoded")
-    scratch.drop("blocks", "words")
+    scratch.drop("blocks", "known", "words")
     prior = counts.class_n + counts.class_v + 1
     prior /= prior.sum()
     model = baum_welch(encoded, HMM.initial(prior, states, seed), prior, rounds)

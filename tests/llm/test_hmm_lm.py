@@ -17,13 +17,13 @@ def tokens(text):
 def random_model(states, classes, seed):
     r = np.random.default_rng(seed)
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    return hmm_lm.HMM(norm(r.random((2, states))), norm(r.random((states, states))), norm(r.random((states, classes))))
+    return hmm_lm.HMM(norm(r.random((1, states))), norm(r.random((states, states))), norm(r.random((states, classes))))
 
 
-def paths(model, seq, first=0):
+def paths(model, seq):
     """Probability of each state path."""
     for p in itertools.product(range(len(model.emit)), repeat=len(seq)):
-        x = model.start[first][p[0]] * model.emit[p[0], seq[0]]
+        x = model.start[0][p[0]] * model.emit[p[0], seq[0]]
         for a, b, o in zip(p, p[1:], seq[1:]):
             x *= model.move[a, b] * model.emit[b, o]
         yield p, x
@@ -44,20 +44,31 @@ def test_probabilities_of_all_sequences_sum_to_one():
 
 
 def test_expected_counts_are_those_over_paths():
-    model, seqs, later = random_model(2, 4, 3), [[0, 1, 2], [3, 3, 1, 0], [2]], np.array([False, True, False])
-    start, move, emit = np.zeros((2, 2)), np.zeros((2, 2)), np.zeros((2, 4))
-    for s, k in zip(seqs, later.astype(int)):
-        total = sum(x for _, x in paths(model, s, k))
-        for p, x in paths(model, s, k):
-            start[k][p[0]] += x / total
+    model, seqs = random_model(2, 4, 3), [[0, 1, 2], [3, 3, 1, 0], [2]]
+    start, move, emit, likely = np.zeros((1, 2)), np.zeros((2, 2)), np.zeros((2, 4)), 0
+    for s in seqs:
+        total = sum(x for _, x in paths(model, s))
+        likely += math.log(total)
+        for p, x in paths(model, s):
+            start[0][p[0]] += x / total
             for a, b in zip(p, p[1:]):
                 move[a, b] += x / total
             for a, o in zip(p, s):
                 emit[a, o] += x / total
     lengths = np.array([len(s) for s in seqs])
-    got = hmm_lm.expected_counts(model, np.concatenate([np.array(s) for s in seqs]), np.r_[0, np.cumsum(lengths)[:-1]], lengths, later)
-    for a, b in zip(hmm_lm.split_counts(got, 2), (start, move, emit)):
-        assert np.allclose(a, b, rtol=1e-4)
+    for piece in (1, 2, 100):  # cuts change nothing
+        got = hmm_lm.expected_counts(model, np.concatenate([np.array(s) for s in seqs]), np.r_[0, np.cumsum(lengths)[:-1]], lengths, piece)
+        for a, b in zip((*hmm_lm.split_counts(got, 2), got[-2:]), (start, move, emit, (likely, lengths.sum()))):
+            assert np.allclose(a, b, rtol=1e-4)
+
+
+def test_long_texts_count_as_uncut():
+    r, model = np.random.default_rng(4), random_model(4, 30, 5)
+    lengths = np.array([2000, 3, 700, 1])
+    flat, starts = r.integers(0, 30, lengths.sum()), np.r_[0, np.cumsum(lengths)[:-1]]
+    whole = hmm_lm.expected_counts(model, flat, starts, lengths)
+    assert np.allclose(hmm_lm.expected_counts(model, flat, starts, lengths, 128), whole, rtol=1e-3, atol=1e-3)
+    assert np.allclose(whole[-2] / math.log(10), hmm_lm.log10_likelihood(model, flat, starts, lengths).sum(), rtol=1e-5)
 
 
 def corpus():
