@@ -114,11 +114,11 @@ class Repeats:
 
     ``prints``: a row per document, numbered by ``uid``. ``again``: keys that several rows have. ``texts``: the
     documents (one row per key) with an anchor that occurs elsewhere, with their texts and these anchors:
-    ``at`` is an array of (pos, g, lead, lead_pos), where lead names one occurrence per anchor hash.
-    A text moves once, to meet its anchors; a hot anchor is a partial count, then a join that AQE may split.
+    ``at`` is an array of (pos, g, lead, lead_pos), where lead names one occurrence per anchor hash; with
+    ``counted`` also of n, the documents that hold it. A text moves once, to meet its anchors; a hot anchor is a partial count, then a join that AQE may split.
     """
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, window: int, gram: int, text: str = "text", doc_id: str = "doc_id"):
+    def __init__(self, docs: DataFrame, scratch: Scratch, window: int, gram: int, text: str = "text", doc_id: str = "doc_id", counted: bool = False):
         rows = keyed(docs, text, doc_id)
         self.prints = scratch.save(anchored(rows, window, gram).withColumn("uid", F.monotonically_increasing_id()), "prints")
         self.again = scratch.save(self.prints.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid")).filter("n > 1"), "again")
@@ -128,9 +128,10 @@ class Repeats:
             prints = prints.join(later, "uid", "left_anti")
         spots = prints.select("uid", F.explode(F.arrays_zip("g", "pos")).alias("a")).select("uid", "a.g", "a.pos")
         leads = spots.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("lead"), F.min_by("pos", F.when(F.col("pos") >= 0, F.col("uid"))).alias("lead_pos"))
-        leads = scratch.save(leads.filter("n > 1").drop("n"), "leads")
+        leads = scratch.save(leads.filter("n > 1"), "leads")
         spots = spots.withColumn("pos", F.when(F.col("pos") < 0, -F.col("pos") - 1).otherwise(F.col("pos")))
-        at = spots.join(leads, "g").groupBy("uid").agg(F.collect_list(F.struct("pos", "g", "lead", "lead_pos")).alias("at"))
+        place = ["pos", "g", "lead", "lead_pos", *(["n"] if counted else [])]
+        at = spots.join(leads, "g").groupBy("uid").agg(F.collect_list(F.struct(*place)).alias("at"))
         found = at.join(prints.select("uid", "k1", "k2"), "uid")
         texts = rows.select("k1", "k2", "text").join(found, ["k1", "k2"])
         if repeated:

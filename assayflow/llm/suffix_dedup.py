@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,10 @@ from assayflow.llm.common import Scratch
 
 #: Words in a repeated passage at least, and in the grams whose least one selects a suffix.
 WINDOW, GRAM = 50, 16
+#: Suffixes of one gram that are sorted together. More are dealt out to parts of about so many.
+PART = 4096
 
-_SUFFIX = "g long, right binary, left binary, uid long, pos int, low int, high int"
+_SUFFIX = "g long, part int, parts int, right binary, left binary, uid long, pos int, low int, high int"
 _FOUND = "uid long, start int, stop int, hash binary"
 
 
@@ -33,23 +36,25 @@ def _suffixes(texts: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = WordCodes()
         for batch in batches:
-            cols = [[] for _ in range(7)]
+            cols = [[] for _ in range(9)]
             for uid, value, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2)):
                 codes = code.of(value.as_py().split())
                 select = selected(sequence_hashes(codes, gram), width + 1)
                 for x in at.as_py():
                     p = x["pos"]
-                    row = (x["g"], _side(codes[p + gram : p + window], width), _side(codes[max(0, p - width) : p][::-1], width), uid, p, int(np.searchsorted(select, p, "left")), int(np.searchsorted(select, p, "right")))
+                    parts = -(-x["n"] // PART)
+                    part = zlib.crc32(b"%d %d" % (uid, p)) % parts
+                    row = (x["g"], part, parts, _side(codes[p + gram : p + window], width), _side(codes[max(0, p - width) : p][::-1], width), uid, p, int(np.searchsorted(select, p, "left")), int(np.searchsorted(select, p, "right")))
                     for c, v in zip(cols, row):
                         c.append(v)
                 if len(cols[0]) > 4000:
                     yield _batch(cols)
-                    cols = [[] for _ in range(7)]
+                    cols = [[] for _ in range(9)]
             yield _batch(cols)
 
     def _batch(cols):
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["g", "right", "left", "uid", "pos", "low", "high"])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["g", "part", "parts", "right", "left", "uid", "pos", "low", "high"])
 
     return texts.mapInArrow(run, _SUFFIX)
 
@@ -65,17 +70,17 @@ class _Neighbours:
 
     In each run of suffixes that share the words to the right of offset o, those that follow one another and
     share o words to the left form a chain. Chains of two or more are repeats. If a run has several chains,
-    or may go on in another part, equal chains may be apart: then one window of each chain is left to be
-    compared by hash.
+    goes on beyond what is looked at, or its gram has several parts, equal chains may be apart: then one
+    window of each chain is left to be compared by hash.
     """
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram, self.width = window, gram, window - gram
 
-    def found(self, g, right, left, uid, pos, low, high) -> pa.RecordBatch:
+    def found(self, g, part, parts, right, left, uid, pos, low, high) -> pa.RecordBatch:
         n, width = len(g), self.width
         r, l = np.full(n, -1), np.full(n, -1)  # with the suffix before
-        same = g[1:] == g[:-1]
+        same = (g[1:] == g[:-1]) & (part[1:] == part[:-1])
         r[1:] = np.where(same, _common(right[1:], right[:-1]), -1)
         l[1:] = np.where(same, _common(left[1:], left[:-1]), -1)
         out = [[], [], [], []]
@@ -92,7 +97,7 @@ class _Neighbours:
             run = np.cumsum(r < width - o)
             head = ~((r >= width - o) & (l >= o))
             chains = np.bincount(run, weights=head, minlength=run[-1] + 1)
-            several = (chains[run] > 1) | (run == run[0]) | (run == run[-1])
+            several = (chains[run] > 1) | (run == run[0]) | (run == run[-1]) | (parts > 1)
             for k in np.flatnonzero(head & chosen & several).tolist():
                 digest = hashlib.blake2b(g[k].tobytes() + bytes([o % 256, o >> 8]) + left[k, :o].tobytes() + right[k, : width - o].tobytes(), digest_size=16).digest()
                 for column, value in zip(out, (int(uid[k]), int(start[k]), int(start[k]) + self.window, digest)):
@@ -111,7 +116,8 @@ def _neighbours(suffixes: DataFrame, window: int, gram: int) -> DataFrame:
             if not n:
                 continue
             words = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), ">u4").reshape(n, width)  # noqa: E731, B023
-            now = [batch.column(0).to_numpy(), words(1), words(2), *(batch.column(i).to_numpy() for i in (3, 4, 5, 6))]
+            number = lambda i: batch.column(i).to_numpy()  # noqa: E731, B023
+            now = [number(0), number(1), number(2), words(3), words(4), *map(number, (5, 6, 7, 8))]
             if held is not None:  # parts overlap in one suffix
                 yield compare.found(*held)
                 now = [np.concatenate([h[-1:], x]) for h, x in zip(held, now)]
@@ -148,19 +154,19 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, t
     of ``window`` words that also starts elsewhere, and no other word is. Every row has one result.
 
     Suffixes are kept where a window selects its least gram (about 2 in 36 words), and of these only such
-    whose gram occurs again. They are sorted over the cluster by gram, words to the right, and words to the
-    left; a range partition may cut anywhere, so equal suffixes never need to be in one task. Neighbours are
-    extended to the right and left. What sorting by the right side can keep apart is compared by hash.
-    Words compare by 32-bit codes.
+    whose gram occurs again. They are dealt out by gram and sorted by gram, words to the right, and words to
+    the left; a gram with more than ``PART`` suffixes is dealt out in parts, so equal suffixes never need to be
+    in one task. Neighbours are extended to the right and left. What parts or sorting by the right side can keep
+    apart is compared by hash. Words compare by 32-bit codes.
 
     Defined cases: a null text has no words; rows that repeat both id and text are repeats from ``window``
     words on; null ids stay; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    repeats = Repeats(docs, scratch, window, gram, text, doc_id)
+    repeats = Repeats(docs, scratch, window, gram, text, doc_id, counted=True)
     suffixes = scratch.save(_suffixes(repeats.texts.select("uid", "text", "at"), window, gram), "suffixes")
-    order = ["g", "right", "left", "uid", "pos"]
-    found = scratch.save(_neighbours(suffixes.repartitionByRange(*order).sortWithinPartitions(*order), window, gram), "found")
+    order = ["g", "part", "right", "left", "uid", "pos"]
+    found = scratch.save(_neighbours(suffixes.repartition("g", "part").sortWithinPartitions(*order), window, gram), "found")
     left = found.filter("hash is not null").distinct()
     again = left.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     spans = found.filter("hash is null").select("uid", "start", "stop").union(left.join(again, "hash").select("uid", "start", "stop"))

@@ -4,6 +4,7 @@ import pytest
 from cases import awkward, frame, with_clashes, words
 from test_substring_dedup import mixed
 
+from assayflow.llm import suffix_dedup
 from assayflow.llm.suffix_dedup import repeated_passages
 
 
@@ -38,6 +39,12 @@ def test_small_windows_against_brute_force(spark):
     assert run(spark, rows, window=7, gram=3) == brute(rows, 7)
 
 
+def test_grams_in_several_parts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", 3)
+    rows = mixed(10, 100, 7)
+    assert run(spark, rows, window=7, gram=3) == brute(rows, 7)
+
+
 def test_awkward_and_repeated_rows(spark):
     p = " ".join(words(60, 77))
     rows = awkward() + [(70, p), (70, p), (71, "head " + p + " tail"), (72, " ".join(words(60, 78)))]
