@@ -16,7 +16,7 @@ from assayflow.llm.quality import quality_classifier
 from assayflow.llm.simhash import simhash_components
 from assayflow.llm.substring_dedup import substring_dedup
 from assayflow.llm.suffix_dedup import repeated_passages
-from assayflow.llm.warc import archive, audit
+from assayflow.llm.warc import META, audit, read_warc, record_text, write_warc
 
 
 def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +32,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as an archive, audited against a replica in which some records' last byte is changed and some records are gone."""
-    scratch = Scratch(spark, "warc")
-    whole = scratch.save(archive(table(spark, sf_dir, "pages"), scratch), "archive")
-    body = F.expr("substring(record, 1, octet_length(record) - 1)")
-    damaged = F.when(F.col("page_id") % 97 == 13, F.concat(body, F.lit(b"#"))).otherwise(F.col("record"))
-    other = whole.filter(F.coalesce(F.col("page_id") % 193 != 5, F.lit(True))).withColumn("record", damaged)
-    found = audit(whole, other, scratch).select("file", "offset", "status")
-    out = whole.select("page_id", "file", "offset", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"))
+    """The pages as WARC files, read back and audited against other files, in which some records have a changed byte and some are zeros."""
+    scratch, pages = Scratch(spark, "warc"), table(spark, sf_dir, "pages")
+    record = record_text(F.col("url").cast("string"), F.col("html").cast("string"))
+    last = F.expr("left(right(_r, 5), 1)")
+    damaged = F.concat(F.expr("left(_r, length(_r) - 5)"), F.when(last == "#", F.lit("!")).otherwise(F.lit("#")), F.lit("\r\n\r\n"))
+    zeros = F.concat(F.repeat(F.lit("\0"), F.length("_r") - 1), F.lit("\n"))
+    other = F.when(F.col("page_id") % 193 == 5, zeros).when(F.col("page_id") % 97 == 13, damaged).otherwise(F.col("_r"))
+    write_warc(pages, f"{scratch.root}/one")
+    write_warc(pages.withColumn("_r", record), f"{scratch.root}/other", other)
+    one, two = (read_warc(spark, f"{scratch.root}/{name}").filter("record is not null") for name in ("one", "other"))
+    found = audit(one, two, scratch).select("file", "offset", "status")
+    listed = one.select("file", "offset", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"), F.col("record").cast("string").alias("text"))
+    names = listed.filter(F.col("text").startswith(META)).select("file", (F.col("offset") - 1).alias("offset"), F.regexp_extract("text", "\r\npage-id: (-?[0-9]*)\r\n", 1).try_cast("long").alias("page_id"))
+    out = listed.filter(~F.col("text").startswith(META)).drop("text").join(names, ["file", "offset"])
     return out.join(found, ["file", "offset"], "left").select("page_id", "n_bytes", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 

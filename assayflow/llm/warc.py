@@ -6,13 +6,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayflow.llm.common import Scratch, empty_if_null
 
 DATE = "2024-01-01T00:00:00Z"
-#: Records in a file of an archive built here.
-FILE = 1024
+#: How a metadata record begins.
+META = "WARC/1.1\r\nWARC-Type: metadata\r\n"
+#: Pages in a file of an archive built here.
+FILE = 8192
+#: Bytes decompressed or searched at a time, longest header, and bytes of records handed on at a time.
+CHUNK, HEADER, AT_ONCE = 1 << 16, 1 << 16, 8 << 20
 #: The smallest offset range has 2^16 bytes, and a node above has 2^6 of those below: up to 16 GiB in three steps.
 RANGE_BITS, FAN_BITS, RANGE_LEVELS = 16, 6, 3
 #: Above files, nodes gather those whose names' hashes begin with the same hex digits, of these numbers.
@@ -33,52 +37,192 @@ def record_text(url: Column, html: Column, date: str = DATE) -> Column:
     return F.concat(header, block, F.lit("\r\n\r\n"))
 
 
-def archive(pages: DataFrame, scratch: Scratch, date: str = DATE) -> DataFrame:
-    """Pages as the records of an archive: ``file, offset, record, page_id``. A file has at most FILE records."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record_text(F.col("url").cast("string"), F.col("html").cast("string"), date).cast("binary").alias("record"))
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "records")
+def page_text(page_id: Column) -> Column:
+    """A metadata record that names the page of the record before it."""
+    block = F.concat(F.lit("page-id: "), F.coalesce(page_id.cast("string"), F.lit("")), F.lit("\r\n"))
+    return F.concat(F.lit(META + "Content-Type: application/warc-fields\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
+
+
+def write_warc(pages: DataFrame, path: str, record: Column | None = None, date: str = DATE) -> None:
+    """Pages as gzip files of at most FILE pages: for each its record and one that holds its ``page_id``.
+
+    A task writes its rows as they come, so nothing is shuffled. Every record ends with the line feed that the
+    text sink adds; ``record`` replaces the records (a column of the same length, ending alike).
+
+    Defined cases: null urls have no target line, null html is an empty body, null ids an empty field; repeated
+    rows are repeated records; an empty table writes no file; other columns are ignored, whatever their names.
+    """
+    whole = record_text(F.col("url").cast("string"), F.col("html").cast("string"), date)
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.concat(whole if record is None else record, page_text(F.col("page_id"))).alias("value"))
     part, place = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = rows.withColumn("file", F.format_string("part-%05d-%05d.warc", part, F.floor(place / FILE)))
-    sizes = rows.select("file", "row", F.octet_length("record").cast("long").alias("n"))
-    starts = sizes.withColumn("offset", F.sum("n").over(Window.partitionBy("file").orderBy("row")) - F.col("n")).drop("n", "file")
-    return rows.join(starts, "row").select("file", "offset", "record", "page_id")
+    rows = rows.select(F.format_string("part-%05d-%05d", part, F.floor(place / FILE)).alias("file"), "row", F.expr("left(value, length(value) - 1)").alias("value"))
+    rows.sortWithinPartitions("file", "row").select("file", "value").write.partitionBy("file").option("compression", "gzip").mode("overwrite").text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record) of each record of a file: plain, or one gzip member for each record."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            record = member.decompress(data[at:]) + member.flush()
-            used = len(data) - at - len(member.unused_data)
-            if not member.eof:
-                raise ValueError(f"a cut gzip member at {at}")
+class _Cut(Exception):
+    pass
+
+
+class _Data:
+    """Bytes that come in chunks; what has been passed over is let go."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.at, self.damaged = chunks, bytearray(), 0, False
+
+    def need(self, n: int) -> bool:
+        """Whether n bytes are there, as far as the source has them."""
+        while len(self.held) - self.at < n and self.chunks is not None:
+            try:
+                self.held += next(self.chunks)
+            except StopIteration:
+                self.chunks = None
+            except (_Cut, zlib.error):
+                self.chunks, self.damaged = None, True
+        return len(self.held) - self.at >= n
+
+    def find(self, what: bytes, begin: int, most: int | None = None) -> int:
+        """Where the bytes are next, counted from here; -1 if nowhere (among the first ``most``)."""
+        while True:
+            found = self.held.find(what, self.at + begin)
+            if found >= 0:
+                return found - self.at
+            size = len(self.held) - self.at
+            if (most is not None and size >= most) or not self.need(size + 1):
+                return -1
+            begin = max(begin, size - len(what) + 1)
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.held[self.at : self.at + n])
+        self.skip(n)
+        return out
+
+    def skip(self, n: int) -> None:
+        self.at = min(self.at + n, len(self.held))
+        if self.at > 4 * CHUNK:
+            del self.held[: self.at]
+            self.at = 0
+
+
+def _records(data: _Data) -> Iterator[tuple[int, bytes | None, str]]:
+    """(length, record, status), one after the other; see ``parse_records``."""
+    while data.need(1):
+        size = None
+        if data.need(5) and data.held[data.at : data.at + 5] == b"WARC/":
+            head = data.find(b"\r\n\r\n", 0, HEADER)
+            if head >= 0:
+                fields = (line.split(b":", 1) for line in bytes(data.held[data.at : data.at + head]).split(b"\r\n")[1:])
+                sizes = [f[1].strip() for f in fields if len(f) == 2 and f[0].strip().lower() == b"content-length"]
+                size = head + 8 + int(sizes[0]) if sizes and sizes[0].isdigit() and len(sizes[0]) < 16 else None
+            if size is not None and data.need(size) and data.held[data.at + size - 4 : data.at + size] == b"\r\n\r\n":
+                yield size, data.take(size), "whole"
+                continue
+        following = data.find(b"WARC/1.", 5 if data.held[data.at : data.at + 5] == b"WARC/" else 0)
+        used = following if following >= 0 else len(data.held) - data.at
+        if size is not None:
+            yield used, data.take(used), "damaged" if following >= 0 else "cut"
         else:
-            head = data.find(b"\r\n\r\n", at)
-            if head < 0 or not data.startswith(b"WARC/", at):
-                raise ValueError(f"no record at {at}")
-            fields = dict(line.split(b":", 1) for line in data[at:head].split(b"\r\n")[1:])
-            size = next(int(v) for k, v in fields.items() if k.strip().lower() == b"content-length")
-            used = head + 4 + size + 4 - at
-            record = data[at : at + used]
-            if len(record) < used or not record.endswith(b"\r\n\r\n"):
-                raise ValueError(f"a cut record at {at}")
-        yield at, used, record
-        at += used
+            lost = data.held[data.at : data.at + used].strip(b"\r\n")
+            data.skip(used)
+            if lost:
+                yield used, None, "unreadable"
+
+
+def _plain(data: memoryview) -> Iterator[bytes]:
+    for at in range(0, len(data), CHUNK):
+        yield data[at : at + CHUNK]
+
+
+class _Member:
+    """One gzip member of a file, decompressed by and by; ``end`` is then where it ends."""
+
+    def __init__(self, data: memoryview, at: int):
+        self.data, self.begin, self.end = data, at, None
+
+    def chunks(self) -> Iterator[bytes]:
+        gzip, at = zlib.decompressobj(31), self.begin
+        while not gzip.eof:
+            if at >= len(self.data):
+                raise _Cut
+            part = self.data[at : at + CHUNK // 4]
+            at += len(part)
+            while len(part) and not gzip.eof:
+                yield gzip.decompress(part, CHUNK)
+                part = gzip.unconsumed_tail
+        self.end = at - len(gzip.unused_data)
+
+
+def _next_member(data: bytes, at: int) -> int:
+    """Where the next gzip member begins that decompresses to a record."""
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(data[at : at + 4096], 5) == b"WARC/":
+                return at
+        except zlib.error:
+            pass
+        at += 1
+    return len(data)
+
+
+def parse_records(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
+    """(offset, length, record, status) of what a file holds: plain, or gzip members of one or more records each.
+
+    ``whole``: a record that ends as it should; ``damaged``: one that doesn't, up to the next record; ``cut``:
+    one that the file ends in; ``unreadable``: bytes that are no record, up to the next one, or a gzip member
+    from where it can't be decompressed (record is None). Offsets are the file's; in a gzip member they are
+    the member's, plus the number of records before in the member. Every byte is passed over once.
+    """
+    view = memoryview(data)
+    if view[:2] != b"\x1f\x8b":
+        at = 0
+        for size, record, status in _records(_Data(_plain(view))):
+            yield at, size, record, status
+            at += size
+        return
+    at = 0
+    while at < len(view):
+        member = _Member(view, at)
+        source, k = _Data(member.chunks()), 0
+        for size, record, status in _records(source):
+            if not (source.damaged and status != "whole" and record is None):
+                yield at + k, size, record, status
+                k += 1
+        if not source.damaged and member.end is not None:
+            at = member.end
+            continue
+        following = _next_member(data, at + 1)
+        yield at + k, following - at, None, "unreadable"
+        at = following
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: ``file, offset, length, record``, by the files' names. Offsets are those in the file."""
+    """What WARC files hold: ``file, offset, length, record, status``, by the files' names (or that of a folder ``file=...``).
+
+    ``parse_records`` tells what the columns are and what becomes of damage: a row, and the rest of the file is
+    read. An empty folder gives no rows. A file is one row of Spark's binary source, so of at most 2 GB.
+    """
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(parse_records(data.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["file", "offset", "length", "record"])
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "offset", "length", "record", "status"])
+
+        for files in batches:
+            for name, data in zip(files.column(0).to_pylist(), files.column(1)):
+                rows, size = [], 0
+                for offset, length, record, status in parse_records(data.as_py()):
+                    rows.append((name, offset, length, record, status))
+                    size += len(record or b"")
+                    if size > AT_ONCE:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, offset long, length long, record binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    names = F.split("path", "/")
+    folder = F.regexp_extract(F.element_at(names, -2), "^file=(.*)$", 1)
+    files = files.select(F.when(folder != "", folder).otherwise(F.element_at(names, -1)).alias("file"), "content")
+    return files.mapInArrow(run, "file string, offset long, length long, record binary, status string")
 
 
 # ---------------------------------------------------------------- trees
@@ -90,8 +234,8 @@ def _up(nodes: DataFrame, order: Column) -> DataFrame:
     return nodes.groupBy(F.col("parent").alias("key")).agg(F.sha2(text, 256).alias("hash"), *kept)
 
 
-def _range_key(shift: int) -> Column:
-    return F.concat_ws("/", "file", F.shiftright("offset", shift).cast("string"))
+def _range_key(file: str, offset: str, shift: int) -> Column:
+    return F.concat_ws("/", file, F.coalesce(F.shiftright(offset, shift).cast("string"), F.lit("-")))
 
 
 class Tree:
@@ -103,15 +247,17 @@ class Tree:
     """
 
     def __init__(self, records: DataFrame, scratch: Scratch, name: str):
-        rows = records.select(F.col("file").cast("string").alias("file"), F.col("offset").cast("long").alias("offset"), F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"))
-        # What repeats a place is one leaf: its records' digests in order.
-        leaves = rows.groupBy("file", "offset").agg(F.array_join(F.array_sort(F.collect_list("digest")), " ").alias("hash"), F.sum("length").alias("length"))
-        self.leaves = scratch.save(leaves.withColumn("parent", _range_key(RANGE_BITS)), f"{name}-leaves")
-        nodes = _up(self.leaves.select(F.col("offset").cast("string").alias("key"), "parent", "hash", F.col("file").alias("up_file"), F.col("offset").alias("up_offset")), F.col("up_offset"))
+        rows = records.select(F.col("file").cast("string").alias("file"), F.col("offset").cast("long").alias("offset"), F.coalesce(F.sha2("record", 256), F.lit("")).alias("digest"), F.octet_length("record").cast("long").alias("length"))
+        # What repeats a place is one leaf. It isn't gathered: a sum and an exclusive or stand for its digests in any order.
+        digests = F.concat_ws(" ", F.count(F.lit(1)), F.min("digest"), F.max("digest"), F.bit_xor(F.xxhash64("digest")), F.sum(F.xxhash64(F.lit(1), "digest").cast("decimal(38,0)")))
+        leaves = rows.groupBy("file", "offset").agg(F.when(F.count(F.lit(1)) == 1, F.min("digest")).otherwise(digests).alias("hash"), F.sum("length").alias("length"))
+        leaves = leaves.withColumn("up_file", F.coalesce(F.concat(F.lit("+"), "file"), F.lit("-")))
+        self.leaves = scratch.save(leaves.withColumn("parent", _range_key("up_file", "offset", RANGE_BITS)), f"{name}-leaves")
+        nodes = _up(self.leaves.select(F.coalesce(F.col("offset").cast("string"), F.lit("-")).alias("key"), "parent", "hash", "up_file", F.col("offset").alias("up_offset")), F.col("up_offset"))
         self.levels: list[DataFrame] = []
         for level in range(1, RANGE_LEVELS + 2):
             shift = RANGE_BITS + level * FAN_BITS
-            parent = F.concat_ws("/", "up_file", F.shiftright("up_offset", shift).cast("string")) if level <= RANGE_LEVELS else F.col("up_file")
+            parent = _range_key("up_file", "up_offset", shift) if level <= RANGE_LEVELS else F.col("up_file")
             self.levels.append(scratch.save(nodes.withColumn("parent", parent), f"{name}-range-{level}"))
             nodes = _up(self.levels[-1], F.col("up_offset"))
         nodes = nodes.select("key", "hash")
@@ -132,7 +278,7 @@ def audit(one: DataFrame, other: DataFrame, scratch: Scratch) -> DataFrame:
 
     Defined cases: rows without a file or with a null offset belong to a place of their own kind; a null
     record counts as changed against bytes; places that repeat are one leaf of all their records; an empty
-    replica is all missing or all extra, and two empty ones agree.
+    replica is all missing or all extra, and two empty ones agree; other columns are ignored, whatever their names.
     """
     a, b = Tree(one, scratch, "one"), Tree(other, scratch, "other")
     kind = "file string, offset long, length long, other_length long, status string"
@@ -147,8 +293,9 @@ def audit(one: DataFrame, other: DataFrame, scratch: Scratch) -> DataFrame:
         x = below(a.levels[i]).select("key", F.col("hash").alias("x"))
         y = below(b.levels[i]).select("key", F.col("hash").alias("y"))
         found = scratch.save(x.join(y, "key", "full").filter(~F.col("x").eqNullSafe(F.col("y"))).select("key"), f"differ-{i}")
-    place = ["file", "offset"]
-    x = below(a.leaves).select(*place, F.col("hash").alias("x"), "length")
-    y = below(b.leaves).select(*place, F.col("hash").alias("y"), F.col("length").alias("other_length"))
-    both = x.join(y, place, "full").filter(~F.col("x").eqNullSafe(F.col("y")))
-    return both.select(*place, "length", "other_length", F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("changed").alias("status"))
+    x, y = below(a.leaves).alias("x"), below(b.leaves).alias("y")
+    same = F.col("x.up_file") == F.col("y.up_file")
+    both = x.join(y, same & F.col("x.offset").eqNullSafe(F.col("y.offset")), "full").filter(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
+    place = (F.when(F.col("x.up_file").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c) for c in ("file", "offset"))
+    status = F.when(F.col("y.up_file").isNull(), "missing").when(F.col("x.up_file").isNull(), "extra").otherwise("changed")
+    return both.select(*place, F.col("x.length").alias("length"), F.col("y.length").alias("other_length"), status.alias("status"))
