@@ -35,12 +35,13 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
 
 def keep_rows(docs: DataFrame, kept: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose ``row_key`` is in ``kept(k1, k2)``; of rows that share a key there, one."""
+    one, two = (next(n for i in range(len(docs.columns) + 1) if (n := f"_key_{k}_{i}") not in docs.columns) for k in (1, 2))
     k1, k2 = row_key(text, doc_id)
-    kept = kept.select(F.col("k1").alias("_key_1"), F.col("k2").alias("_key_2"))
-    rows = docs.withColumns({"_key_1": k1, "_key_2": k2}).join(kept, ["_key_1", "_key_2"], "left_semi")
+    kept = kept.select(F.col("k1").alias(one), F.col("k2").alias(two))
+    rows = docs.withColumns({one: k1, two: k2}).join(kept, [one, two], "left_semi")
     keys = docs.select(k1, k2)
     if not keys.groupBy("k1", "k2").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["_key_1", "_key_2"])
+        rows = rows.dropDuplicates([one, two])
     return rows.select(*docs.columns)
 
 
@@ -48,13 +49,15 @@ class Scratch:
     """Tables in the shared folder named by ``spark.checkpoint.dir``.
 
     A saved table cuts the lineage: its files outlive the executor that wrote them and a task attempt
-    commits its file whole or not at all. A temporary folder is used only if the setting is absent.
+    commits its file whole or not at all. A temporary folder is used only where the setting is absent and Spark is local.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.gettempdir() + "/assayflow-scratch"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -238,11 +238,12 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Rows link if the sets of their word shingles have this Jaccard similarity or more, whatever their
     fingerprints; links are transitive. At 0.8 some ten of 64 bits differ, up to twenty: no routing by shared
     blocks is selective there, so ``near`` searches by MinHash bands and compares the sets themselves.
-    Texts without words are one group.
+
+    Defined cases: texts without words, null ones included, are one group; a null id counts as greater than any;
+    of rows that repeat id and text one stays; an empty table gives none; clashing columns stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    prints, edges = near_links(docs, scratch, text, doc_id, shingle, similarity)
-    roots = connected_components(edges, scratch)
+    prints, roots = near_links(docs, scratch, text, doc_id, shingle, similarity)
     order = F.struct("none", "k1", "k2")
     named = prints.join(roots, prints.fp == roots.vertex, "left").select(F.coalesce("root", "fp").alias("root"), order.alias("row"))
     kept = named.groupBy("root").agg(F.min("row").alias("row"))

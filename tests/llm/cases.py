@@ -28,5 +28,5 @@ def with_clashes(df):
     """The same table with further columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    clash = ("key", "fp", "_norm", "_rank", "_hash", "count", "n", "a", "b", "row", "uid", "words", "block", "score", "kind", "start", "end", "pos", "label", "source_id", "view", "root", "vertex", "text_sha256", "keep_id", "kept", "_row", "bucket", "batch", "component_id", "position", "length")
+    clash = ("key", "fp", "_norm", "_rank", "_hash", "count", "n", "a", "b", "row", "uid", "words", "block", "score", "kind", "start", "end", "pos", "label", "source_id", "view", "root", "vertex", "text_sha256", "keep_id", "kept", "_row", "bucket", "batch", "component_id", "position", "length", "_key_1", "_key_2", "_key_1_0", "_key_2_0", "_r", "place")
     return df.select(*df.columns, *(F.lit("x").alias(c) for c in clash if c not in df.columns))
