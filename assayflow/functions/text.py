@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -101,6 +102,14 @@ def blank_like(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)), F.lit("")).isin("", "nan", "none", "null")
 
 
+# ---- fixed values: how messages of a service's faults read: exact case, any case --------------------
+SERVICE_FAULTS = (
+    ("authentication", ("401", "Unauthorized"), ()), ("authorization", ("403", "Forbidden"), ("permission",)), ("timeout", (), ("timeout",)), ("not found", ("404",), ()),
+    ("rejected", ("400", "BadRequest"), ("invalid",)), ("connection", ("Connection", "getaddrinfo"), ("refused", "reset", "name or service not known")),
+)
+# -----------------------------------------------------------------------------------------------------
+
+
 # ---- keys ---------------------------------------------------------------------------------------
 def name_key(c: Column) -> Column:
     return F.lower(strip(c))
@@ -175,6 +184,40 @@ def has_field_label(c: Column) -> Column:
     return _any(F.lower(c), inside=FIELD_LABELS)
 
 
+def html_text(c: Column, empty: str = "-") -> Column:
+    """Text for a page, with its signs escaped; ``empty`` where there is none."""
+    s = strip(c.cast("string"))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        s = F.replace(s, F.lit(sign), F.lit(name))
+    return F.when(F.coalesce(s, F.lit("")) == "", empty).otherwise(s)
+
+
+def reason_chips(c: Column) -> Column:
+    """The reasons of a row as escaped text, each in brackets."""
+    return F.array_join(F.transform(reason_codes(c), lambda x: F.concat(F.lit("["), html_text(x), F.lit("]"))), "")
+
+
+def fill_template(c: Column, **values: Column) -> Column:
+    """A text with ``{name}`` replaced for the names given; other braces stay."""
+    for name, value in values.items():
+        c = F.replace(c, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return c
+
+
+def service_fault(message: Column) -> Column:
+    """What kind of fault an error message of a service tells, the first that fits."""
+    found: Column = F.lit("unknown")
+    for kind, exact, loose in reversed(SERVICE_FAULTS):
+        hits = [_any(c, inside=words) for c, words in ((message, exact), (F.lower(message), loose)) if words]
+        found = F.when(reduce(Column.__or__, hits), kind).otherwise(found)
+    return found
+
+
+def page_path(directory: Column, stem: Column, page: Column, suffix: str = ".json") -> Column:
+    """Where a page's file is: ``directory/stem.NNN.json``; a null page is the first."""
+    return F.concat(directory, F.lit("/"), stem, F.lit("."), F.lpad(F.coalesce(page, F.lit(1)).cast("string"), 3, "0"), F.lit(suffix))
+
+
 def document_label(c: Column) -> Column:
     return F.regexp_replace(c, r"\.[^.]*$", "")
 

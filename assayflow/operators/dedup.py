@@ -32,10 +32,12 @@ def content_copies(df: DataFrame, content: str, order: str) -> DataFrame:
 def repeated_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """All rows whose every column, as text, is that of another row; missing values print alike."""
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns))
-    n = F.count(F.lit(1)).over(Window.partitionBy("_hash"))
-    return df.withColumn("_hash", F.sha2(text, 256)).withColumn("_n", n).filter("_n > 1").drop("_hash", "_n")
+    hashed = df.withColumn("_hash", F.sha2(text, 256))
+    return hashed.join(hashed.groupBy("_hash").count().filter("count > 1").select("_hash"), "_hash", "left_semi").drop("_hash")
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of keys that several rows have; null keys are equal."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n > 1").drop("_n")
+    """All rows of keys that several rows have; null keys are equal. A hot key is a partial count in each task, then one row of a join."""
+    keyed = df.withColumn("_key", F.struct(*keys))
+    several = df.groupBy(F.struct(*keys).alias("_several")).count().filter("count > 1").select("_several")
+    return keyed.join(several, F.col("_key").eqNullSafe(F.col("_several")), "left_semi").drop("_key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayflow.functions import text as T
+from assayflow.functions import numeric, text as T
 from assayflow.operators.dedup import latest_only
 from assayflow.operators.review import count_if
 
@@ -61,9 +61,44 @@ def lab_choices(df: DataFrame) -> DataFrame:
     return df.select("lab_name").distinct().filter("trim(lab_name) <> '' and not startswith(lab_name, '$UNKNOWN')").orderBy("lab_name")
 
 
-def display(df: DataFrame) -> DataFrame:
-    """Rounded half to even at two places, dates as text, status with a capital."""
-    return df.withColumns({"date": F.date_format("date", "yyyy-MM-dd"), "value": F.bround("value", 2), "review_status": F.initcap("review_status")})
+# ---- fixed values: what the table shows, in order, and its headings --------------------------------
+DISPLAY = {
+    "date": "Date", "lab_name": "Mapped Lab", "value": "Mapped Value", "lab_unit": "Mapped Unit", "reference_range": "Mapped Range", "review_status": "Review Status",
+    "raw_value": "Raw Value", "raw_lab_unit": "Raw Unit", "raw_reference_range": "Raw Range", "source_document": "Document", "page_number": "Page",
+}
+# -----------------------------------------------------------------------------------------------------
+
+
+def visible_columns(wanted: list[str] | None = None) -> list[str]:
+    """The wanted columns in the table's order; all by default, and the first where none is known."""
+    if wanted is None:
+        return list(DISPLAY)
+    return [c for c in DISPLAY if c in set(wanted)] or list(DISPLAY)[:1]
+
+
+def display(df: DataFrame, wanted: list[str] | None = None, labels: bool = True) -> DataFrame:
+    """The table's columns as text a person reads: values rounded half to even at two places, dates and pages as text, the status with a capital. Missing columns are blank."""
+    made = {
+        "date": lambda: F.date_format("date", "yyyy-MM-dd"), "value": lambda: F.bround("value", 2), "page_number": lambda: F.coalesce(F.col("page_number").cast("bigint").cast("string"), F.lit("")),
+        "review_status": lambda: F.initcap(F.coalesce("review_status", F.lit(""))),
+    }
+    if "reference_range" not in df.columns and {"reference_min", "reference_max"} <= set(df.columns):
+        df = df.withColumn("reference_range", numeric.range_text(F.col("reference_min"), F.col("reference_max")))
+    if "source_document" not in df.columns and "source_file" in df.columns:
+        df = df.withColumn("source_document", T.document_label(F.col("source_file")))
+    shown = ((c, (made[c]() if c in made else F.col(c)) if c in df.columns else F.lit("")) for c in visible_columns(wanted))
+    return df.select(*(v.alias(DISPLAY[c] if labels else c) for c, v in shown))
+
+
+def row_context(view: DataFrame, position: int, lab: str | None = None) -> DataFrame:
+    """What stands beside the selected row: ``position_text``, the reference pair (null without bounds), and the lab to plot."""
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    some = F.col("reference_min").isNotNull() | F.col("reference_max").isNotNull()
+    rows = view.withColumn("_total", total).filter(F.col("position") == position)
+    return rows.select(
+        "position", F.format_string("Row %d of %d", (F.col("position") + 1).cast("long"), "_total").alias("position_text"),
+        F.when(some, F.struct(F.col("reference_min").alias("min"), F.col("reference_max").alias("max"))).alias("selected_ref"), (F.lit(lab) if lab else F.col("lab_name")).alias("plot_lab"),
+    )
 
 
 def plot_series(df: DataFrame, lab: str) -> DataFrame:

@@ -53,6 +53,26 @@ def refresh_names(rows: DataFrame, cache: DataFrame, specs: Specs, mapper: Mappe
     return cache.select("key", "lab_name").unionByName(answered(misses, answers, specs.spec.select("lab_name"), "lab_name"))
 
 
+def refresh_units(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame, specs: Specs, mapper: Mapper) -> DataFrame:
+    """The unit cache with the mapper's accepted answers. It is asked ``(raw unit, lab)`` and answers ``(raw unit, lab, unit)``."""
+    misses = missing_units(rows, name_cache, unit_cache)
+    asked = [(r.raw_unit, r.lab_name) for r in misses.toLocalIterator()]
+    if not asked:
+        return unit_cache
+    given = rows.sparkSession.createDataFrame(list(mapper(asked)), "raw_unit string, lab_name string, unit string")
+    answers = given.select(F.concat(T.unit_key(F.coalesce("raw_unit", F.lit(""))), F.lit("|"), F.lower("lab_name")).alias("key"), "unit")
+    return unit_cache.select("key", "unit").unionByName(answered(misses, answers, specs.units(), "unit"))
+
+
+def refresh(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame, specs: Specs, names: Mapper, units: Mapper, order: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Both caches, and whether either has grown: names first, then the units of labs that the new names know. Unknown entries are dropped and asked for again."""
+    name_cache, unit_cache = prune_unknown(name_cache, "lab_name"), prune_unknown(unit_cache, "unit", True)
+    new_names = refresh_names(rows, name_cache, specs, names, order)
+    new_units = refresh_units(rows, new_names, unit_cache, specs, units)
+    grown = any(not new.join(old.select("key"), "key", "left_anti").isEmpty() for new, old in ((new_names, name_cache), (new_units, unit_cache)) if new is not old)
+    return new_names, new_units, grown
+
+
 def prune_unknown(cache: DataFrame, value: str, lab_keys: bool = False) -> DataFrame:
     """Without unknown values, and of unit entries without those that name no lab."""
     kept = cache.filter(F.col(value) != UNKNOWN)

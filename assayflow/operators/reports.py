@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayflow.functions import text as T
 from assayflow.functions.text import UNKNOWN
 from assayflow.operators.specs import Specs
 
@@ -20,12 +21,25 @@ def unknown_shares(rows: DataFrame) -> DataFrame:
     return rows.agg(share(lab).alias("unknown_labs"), share(unit).alias("unknown_units"), F.count_distinct(F.when(lab, F.col("raw_lab_name"))).alias("distinct_labs"), F.count_distinct(F.when(unit, F.col("raw_lab_unit"))).alias("distinct_units"))
 
 
-def categorize(rows: DataFrame, column: str, rules: list[tuple[str, str]], other: str = "other") -> DataFrame:
-    """``category, n`` by the first rule (category, pattern) that a text fits."""
+def categorize(rows: DataFrame, column: str, rules: list[tuple[str, str]], other: str = "other", by: tuple[str, ...] = ()) -> DataFrame:
+    """``category, n`` by the first rule (category, pattern) that a text fits, within the columns of ``by``."""
     kind: Column = F.lit(other)
     for category, pattern in reversed(rules):
         kind = F.when(F.lower(column).rlike(pattern), category).otherwise(kind)
-    return rows.groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(kind.alias("category"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_flags(rows: DataFrame, flagged: DataFrame, keys: list[str], codes: list[str]) -> DataFrame:
+    """One boolean column for each code: whether ``flagged(keys, code)`` has the row. A row flagged often is one row of the join."""
+    named = flagged.groupBy(*keys).agg(F.collect_set("code").alias("_codes"))
+    return rows.join(named, keys, "left").withColumns({c: F.coalesce(F.array_contains("_codes", c), F.lit(False)) for c in codes}).drop("_codes")
+
+
+def corpus_counts(rows: DataFrame, reason: str = "review_reason") -> DataFrame:
+    """``kind, name, n``: rows by document, status and reason, what a report of the corpus lists."""
+    parts = (("document", F.col("source_file")), ("status", T.status_label(F.col("review_status"))), ("reason", F.explode(T.reason_codes(F.col(reason)))))
+    frames = [rows.select(F.lit(kind).alias("kind"), c.alias("name")).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")) for kind, c in parts]
+    return frames[0].union(frames[1]).union(frames[2])
 
 
 def units_without_conversion(rows: DataFrame, specs: Specs) -> DataFrame:

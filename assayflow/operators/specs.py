@@ -81,6 +81,28 @@ class Specs:
         share = self.spec.select(F.col("lab_name").alias("percent_name"))
         return self.spec.select("lab_name").join(share, F.concat("lab_name", F.lit(PERCENT)) == F.col("percent_name"))
 
+    def names(self) -> DataFrame:
+        return self.spec.select("lab_name").orderBy("lab_name")
+
+    def units(self) -> DataFrame:
+        """``unit``: every primary and alternative unit once, sorted."""
+        both = self.spec.select(F.col("primary_unit").alias("unit")).union(self.unit_factor.select("unit"))
+        return both.filter("trim(unit) <> ''").distinct().orderBy("unit")
+
+    def codes(self) -> DataFrame:
+        """``alias, loinc_code`` of every name that a lab goes by and that has a code."""
+        return lookup(self.aliases(), self.spec.filter("trim(loinc_code) <> ''"), "lab_name", "lab_name", loinc_code="loinc_code").filter("loinc_code is not null").select("alias", "loinc_code")
+
+    def to_dict(self) -> dict:
+        """The configuration that ``from_dict`` reads, labs by name. Specifications are small by nature."""
+        out: dict = {r.lab_name: {k: v for k, v in r.asDict().items() if k != "lab_name" and v is not None} for r in self.spec.orderBy("lab_name").collect()}
+        for r in self.unit_factor.orderBy("lab_name", "pos").collect():
+            out[r.lab_name].setdefault("alternatives", []).append({"unit": r.unit, "factor": r.factor})
+        for r in self.spec_range.orderBy("lab_name", "pos").collect():
+            out[r.lab_name].setdefault("ranges", {})[r.key] = [r.min, r.max]
+        ties = [r.asDict() for r in self.relationship.orderBy("name", "target", "formula").collect()]
+        return out | ({"_relationships": ties} if ties else {})
+
     def default_ranges(self) -> DataFrame:
         return self.spec_range.filter("key = 'default'").select("lab_name", F.col("min").alias("range_min"), F.col("max").alias("range_max"))
 

@@ -16,6 +16,8 @@ URINE_SECTIONS = {
     "celulas epiteliais": "EXAME MICROSCOPICO DO SEDIMENTO", "leucocitos": "EXAME MICROSCOPICO DO SEDIMENTO",
     "eritrocitos": "EXAME MICROSCOPICO DO SEDIMENTO",
 }
+#: A placeholder, the labs that it may stand for, and their unit.
+COMPLEMENT = ("Blood - Complement CH50", ("Blood - Complement C3", "Blood - Complement C4"), "mg/dL")
 # ---------------------------------------------------------------------------------------------------
 #: Labels of a urine page that a page must have before blank sections are filled, and by how much a sibling's range must fit better.
 CONTEXT_ROWS, MARGIN = 3, 0.25
@@ -100,7 +102,7 @@ def remap_percent_siblings(rows: DataFrame, specs: Specs, lab: str = "lab_name",
     up = lookup(rows, pairs, lab, "lab_name", _share="percent_name")
     both = lookup(up, pairs, lab, "percent_name", _count="lab_name")
     share = T.unit_looks_percent(F.col(unit))
-    blank = F.trim(F.coalesce(F.col(unit), F.lit(""))) == ""
+    blank = F.trim(F.coalesce(F.col(unit), F.lit(""))).isin("", UNKNOWN)
     name = F.when(blank, F.col(lab)).when(share, F.coalesce("_share", F.col(lab))).otherwise(F.coalesce("_count", F.col(lab)))
     return both.withColumn(lab, name).drop("_share", "_count")
 
@@ -120,18 +122,82 @@ def best_candidate(rows: DataFrame, candidates: DataFrame, keys: list[str], raw_
 def implied_units(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", unit: str = "lab_unit_standardized") -> DataFrame:
     """The primary unit for blank raw units that are still unknown, where the lab implies one."""
     joined = lookup(lookup(rows, specs.aliases(), lab, "alias", _spec="lab_name"), specs.spec, "_spec", "lab_name", _primary="primary_unit")
-    implied = F.col("_primary").isin(*IMPLIED_UNITS) | ((F.col("_primary") == "%") & F.col(lab).contains(PERCENT.strip()))
+    implied = F.col("_primary").isin(*IMPLIED_UNITS) | ((F.col("_primary") == "%") & F.col(lab).endswith(PERCENT.strip()))
     blank = F.trim(F.coalesce(F.col(raw_unit), F.lit(""))) == ""
     return joined.withColumn(unit, F.when(blank & (F.col(unit) == UNKNOWN) & implied, F.col("_primary")).otherwise(F.col(unit))).drop("_spec", "_primary")
 
 
+def _printed(raw_unit: str) -> Column:
+    return F.trim(F.coalesce(F.col(raw_unit), F.lit("")))
+
+
+def conversion_unit(rows: DataFrame, specs: Specs, lab: str, raw_unit: str, out: str) -> DataFrame:
+    """``out``: the unit of the lab's own table, primary first, that a printed one says in other signs; null if none."""
+    table = specs.unit_tokens().select(F.col("lab_name").alias("_lab"), F.col("token").alias("_token"), F.col("unit").alias(out))
+    keyed = rows.withColumn("_t", T.conversion_unit_token(_printed(raw_unit)))
+    return keyed.join(table, (keyed[lab] == F.col("_lab")) & (keyed["_t"] == F.col("_token")) & (keyed["_t"] != ""), "left").drop("_t", "_lab", "_token")
+
+
+def with_siblings(rows: DataFrame, specs: Specs, lab: str) -> DataFrame:
+    """``_share, _count``: the ``(%)`` sibling of a lab, and the lab that a ``(%)`` one is the share of."""
+    pairs = specs.siblings()
+    return lookup(lookup(rows, pairs, lab, "lab_name", _share="percent_name"), pairs, lab, "percent_name", _count="lab_name")
+
+
+def effective_labs(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", out: str = "effective_lab") -> DataFrame:
+    """The sibling whose units a printed unit is one of: a percent sign, or else a unit or count of the one without."""
+    rows = with_siblings(rows, specs, lab).withColumn("_absolute", F.coalesce("_count", F.col(lab)))
+    rows = conversion_unit(rows, specs, "_absolute", raw_unit, "_own")
+    unit, none = _printed(raw_unit), F.col("_share").isNull() & F.col("_count").isNull()
+    counted = F.col("_own").isNotNull() | T.unit_looks_absolute(unit)
+    name = F.when((unit == "") | none, F.col(lab)).when(T.unit_looks_percent(unit), F.coalesce("_share", F.col(lab))).when(counted, F.col("_absolute")).otherwise(F.col(lab))
+    return rows.withColumn(out, name).drop("_share", "_count", "_absolute", "_own")
+
+
 def explicit_units(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", unit: str = "lab_unit_standardized") -> DataFrame:
     """A printed unit that the lab's own table has is kept over what a cache says."""
-    token = T.conversion_unit_token(F.coalesce(F.col(raw_unit), F.lit("")))
-    table = specs.unit_tokens().select(F.col("lab_name").alias("_lab"), F.col("token").alias("_token"), F.col("unit").alias("_unit"))
-    keyed = rows.withColumn("_t", token)
-    joined = keyed.join(table, (keyed[lab] == F.col("_lab")) & (keyed["_t"] == F.col("_token")) & (keyed["_t"] != ""), "left")
-    return joined.withColumn(unit, F.coalesce("_unit", F.col(unit))).drop("_t", "_lab", "_token", "_unit")
+    return conversion_unit(rows, specs, lab, raw_unit, "_unit").withColumn(unit, F.coalesce("_unit", F.col(unit))).drop("_unit")
+
+
+def variant_units(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", unit: str = "lab_unit_standardized") -> DataFrame:
+    """Of a lab with a sibling, a printed percent sign is percent, and anything else printed a unit of the one without: its own, or its primary one."""
+    rows = with_siblings(rows, specs, lab).withColumn("_absolute", F.coalesce("_count", F.col(lab)))
+    rows = lookup(conversion_unit(rows, specs, "_absolute", raw_unit, "_own"), specs.spec, "_absolute", "lab_name", _primary="primary_unit")
+    printed = (_printed(raw_unit) != "") & (F.col("_share").isNotNull() | F.col("_count").isNotNull())
+    said = F.when(T.unit_looks_percent(F.col(raw_unit)), F.lit("%")).otherwise(F.coalesce("_own", "_primary"))
+    return rows.withColumn(unit, F.when(printed, F.coalesce(said, F.col(unit))).otherwise(F.col(unit))).drop("_share", "_count", "_absolute", "_own", "_primary")
+
+
+def missing_units(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", value: str = "raw_value", unit: str = "lab_unit_standardized") -> DataFrame:
+    """A blank unit becomes the primary one of the lab or its sibling, whichever range fits the printed bounds better by the margin."""
+    rows = with_siblings(rows, specs, lab).withColumn("_sibling", F.coalesce("_share", "_count"))
+    for name, key in (("a", lab), ("b", "_sibling")):
+        rows = lookup(rows, specs.default_ranges(), key, "lab_name", **{f"_{name}_min": "range_min", f"_{name}_max": "range_max"})
+        rows = lookup(rows, specs.spec, key, "lab_name", **{f"_{name}_unit": "primary_unit"})
+    number = numeric.safe_double(F.replace(F.trim(F.col(value)), F.lit(","), F.lit(".")))
+    a, b = (numeric.range_score(F.col("raw_reference_min"), F.col("raw_reference_max"), number, F.col(f"_{n}_min"), F.col(f"_{n}_max")) for n in "ab")
+    found = F.when(b - a >= MARGIN, F.col("_a_unit")).when(a - b >= MARGIN, F.col("_b_unit"))
+    filled = F.when(_printed(raw_unit) == "", F.coalesce(found, F.col(unit))).otherwise(F.col(unit))
+    return rows.withColumn(unit, filled).drop("_share", "_count", "_sibling", *(f"_{n}_{c}" for n in "ab" for c in ("min", "max", "unit")))
+
+
+def complement_variants(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", value: str = "raw_value", unit: str = "lab_unit_standardized") -> DataFrame:
+    """Rows of the complement placeholder in its parts' unit go to the part whose range fits better by the margin; a single one that compares needs none."""
+    whole, parts, of = COMPLEMENT
+    number = numeric.safe_double(F.replace(F.trim(F.col(value)), F.lit(","), F.lit(".")))
+    scores = []
+    for i, part in enumerate(parts):
+        rows = lookup(rows.withColumn("_part", F.lit(part)), specs.default_ranges(), "_part", "lab_name", **{f"_{i}_min": "range_min", f"_{i}_max": "range_max"})
+        rows = lookup(rows, specs.spec, "_part", "lab_name", **{f"_{i}_unit": "primary_unit"})
+        scores.append(numeric.range_score(F.col("raw_reference_min"), F.col("raw_reference_max"), number, F.col(f"_{i}_min"), F.col(f"_{i}_max")))
+    a, b = scores
+    first, second = b.isNull() & a.isNotNull() | (b - a >= MARGIN), a.isNull() & b.isNotNull() | (a - b >= MARGIN)
+    here = (F.col(lab) == whole) & (T.conversion_unit_token(_printed(raw_unit)) == T.conversion_unit_token(F.lit(of)))
+    pick = F.when(here & first, 0).when(here & second, 1)
+    out = rows.withColumn("_pick", pick)
+    named = F.when(F.col("_pick") == 0, parts[0]).when(F.col("_pick") == 1, parts[1]).otherwise(F.col(lab))
+    given = F.when(F.col("_pick") == 0, F.col("_0_unit")).when(F.col("_pick") == 1, F.col("_1_unit")).otherwise(F.col(unit))
+    return out.withColumns({lab: named, unit: given}).drop("_part", "_pick", *(f"_{i}_{c}" for i in (0, 1) for c in ("min", "max", "unit")))
 
 
 def qualitative_aliases(rows: DataFrame, specs: Specs, lab: str = "lab_name_standardized", raw_unit: str = "raw_lab_unit", value: str = "raw_value") -> DataFrame:
@@ -148,14 +214,16 @@ def qualitative_aliases(rows: DataFrame, specs: Specs, lab: str = "lab_name_stan
 
 
 def standardize(rows: DataFrame, specs: Specs, name_cache: DataFrame, unit_cache: DataFrame, companion_keys: list[str] | None = None) -> DataFrame:
-    """Names and units of review rows. Later rules win: cache, printed unit, implied unit; names follow percent signs."""
+    """Names and units of review rows. Later rules win: units by cache, as printed, by variant, by range, as implied; then names follow units."""
     keys = companion_keys or ["source_file", "page_number", "raw_lab_name", "raw_section_name"]
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("raw_reference_min", "raw_reference_max") if c not in rows.columns})
     rows = companion_names(rows, keys)
     rows = standardize_names(rows, name_cache, "lookup_name", out="_by_lookup")
     rows = standardize_names(rows, name_cache, out="_by_name")
     rows = rows.withColumn("lab_name_standardized", F.when(F.col("_by_lookup") == UNKNOWN, F.col("_by_name")).otherwise(F.col("_by_lookup"))).drop("_by_lookup", "_by_name", "lookup_name")
     rows = qualitative_aliases(rows, specs)
-    rows = remap_percent_siblings(rows, specs, "lab_name_standardized", "raw_lab_unit")
-    rows = standardize_units(rows, unit_cache)
-    rows = explicit_units(rows, specs)
-    return implied_units(rows, specs)
+    rows = standardize_units(effective_labs(rows, specs), unit_cache, lab="effective_lab")
+    rows = variant_units(explicit_units(rows, specs, "effective_lab"), specs, "effective_lab")
+    rows = implied_units(missing_units(rows, specs, "effective_lab"), specs, "effective_lab").drop("effective_lab")
+    rows = remap_percent_siblings(rows, specs, "lab_name_standardized", "lab_unit_standardized")
+    return complement_variants(rows, specs)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayflow.functions import numeric, text as T
-from assayflow.operators import normalize, review, standardize, validate
+from assayflow.operators import normalize, refresh, review, standardize, validate
 from assayflow.operators.specs import PERCENT, Specs, demographic_ranges, lookup
 from assayflow.sources import pages
 from assayflow.sources.sinks import materialize
@@ -89,6 +90,37 @@ def final_export(rows: DataFrame, context: Context, decisions: DataFrame | None
     return review.publish(out, ORDER, allow_pending=True)
 
 
+def apply_requests(rows: DataFrame, context: Context, log: DataFrame, markers: DataFrame, requests: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Carry out ``requests(row_id, action)`` by opaque ids: the log and the markers with their entries, what was refused, and the export rebuilt.
+
+    Both logs only grow: the state of a row is its last entry.
+    """
+    asked = requests.withColumn("_id", T.decode_row_id(F.col("row_id"))).select("row_id", "action", *(F.col(f"_id.{c}").alias(c) for c in review.IDENTITY))
+    sizes = rows.groupBy("source_file", "page_number").agg((F.max("result_index") + 1).alias("n_results"))
+    judged = review.judge_requests(asked, sizes)
+    log = log.unionByName(review.decisions_of(judged, at), allowMissingColumns=True)
+    markers = markers.unionByName(review.markers_of(judged, at))
+    return log, markers, judged.filter("refused is not null").select("row_id", "action", "refused"), final_export(rows, context, log)
+
+
+def refresh_and_export(rows: DataFrame, context: Context, names: refresh.Mapper, units: refresh.Mapper, export: Callable[[DataFrame, Context], DataFrame] = final_export) -> tuple[DataFrame, Context]:
+    """The export, built again only if the mappers' answers have made a cache grow."""
+    first = export(rows, context)
+    keyed = rows.withColumn("_row", F.struct(*ORDER))
+    new_names, new_units, grown = refresh.refresh(keyed, context.name_cache, context.unit_cache, context.specs, names, units, "_row")
+    if not grown:
+        return first, context
+    context = Context(context.specs, materialize(new_names, "names"), materialize(new_units, "units"))
+    return export(rows, context), context
+
+
+def strict_export(rows: DataFrame, context: Context, decisions: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """``final_export`` of documents that are all reviewed; raises where rows are pending or marked as missing."""
+    decided = rows if decisions is None else review.with_decisions(rows, decisions)
+    review.ensure_ready(review.review_summary(decided, ["source_file"], markers))
+    return final_export(decided, context)
+
+
 def explorer_view(rows: DataFrame, context: Context, sex: str | None = None, age: int | None = None) -> DataFrame:
     """Rows with what the explorer shows: abnormal by the report's bounds, suboptimal by the range for the reader's sex and age."""
     spark = rows.sparkSession

@@ -244,12 +244,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT source_file, result_index, raw_lab_name, CASE WHEN n >= 3 AND coalesce(raw_section_name, '') = '' THEN coalesce(s, raw_section_name) ELSE raw_section_name END AS raw_section_name FROM j""",
     "companion_variants": f"""WITH {TURNS}, b AS (SELECT *, max(role = 'user') OVER (PARTITION BY source_file) AND max(role <> 'user') OVER (PARTITION BY source_file) AS both_ FROM turns)
         SELECT source_file, result_index, 'Glicose' || CASE WHEN NOT both_ THEN '' WHEN role = 'user' THEN ' (qualitative)' ELSE ' (quantitative)' END AS lookup_name FROM b""",
-    "flatten_array_rows": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) - 1 AS result_index, turn, role, length(text) AS n FROM conversations",
-    "document_date_fill": f"""WITH {OBS}, p AS (SELECT *, nullif(coalesce(CASE k % 4 WHEN 0 THEN CAST(date AS VARCHAR) WHEN 1 THEN '0000-00-00' END, CASE WHEN k % 4 = 2 THEN CAST(date AS VARCHAR) END), '0000-00-00') AS pd FROM obs),
-        f AS (SELECT doc, arg_min(pd, row_seq) FILTER (pd IS NOT NULL) AS d FROM p GROUP BY doc) SELECT row_seq, p.doc, d AS document_date FROM p JOIN f ON p.doc = f.doc""",
     "union_by_name": """SELECT nation, segment, count(*) AS n FROM (SELECT c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT s_nationkey, NULL FROM supplier) GROUP BY ALL""",
     "stale_difference": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "categorize_rules": r"""SELECT CASE WHEN contains(lower(text), 'license') THEN 'licence' WHEN regexp_matches(lower(text), '@[a-z0-9]+\.') THEN 'contact' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'loud' ELSE 'prose' END AS category,
         lang, count(*) AS n FROM documents GROUP BY ALL""",
-    "regression_canonical": "SELECT o_orderkey AS result_index, coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '') || ',' || o_orderpriority || ',' || CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END || ',' || o_orderkey AS line FROM orders",
 }

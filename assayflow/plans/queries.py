@@ -201,11 +201,13 @@ def unit_cache_lookup(spark, sf_dir):
     return rows.groupBy("lab_name_standardized", "raw_lab_unit", "lab_unit_standardized").agg(F.count(F.lit(1)).alias("n"))
 
 
+CANDIDATES = (("absolute", 2.0, 8.0), ("share", 40.0, 75.0), ("other", 20.0, 45.0))
+
+
 @query
 def variant_range_score(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_custkey % 60 AS DOUBLE) AS low", "CAST(CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 60 + 20 END AS DOUBLE) AS high", "CAST(o_custkey % 90 AS DOUBLE) AS v")
-    cands = values(spark, "cand string, cand_min double, cand_max double", [("absolute", 2.0, 8.0), ("share", 40.0, 75.0), ("other", 20.0, 45.0)])
-    cands = rows.select("o_orderkey").join(cands)
+    cands = rows.select("o_orderkey", F.inline(F.array(*(F.struct(F.lit(n).alias("cand"), F.lit(a).alias("cand_min"), F.lit(b).alias("cand_max")) for n, a, b in CANDIDATES))))
     return standardize.best_candidate(rows, cands, ["o_orderkey"], "low", "high", "v").select("o_orderkey", "best_name", F.round("best_score", 6).alias("best_score"))
 
 
@@ -466,44 +468,3 @@ def section_backfill(spark, sf_dir):
 def companion_variants(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumns({"raw_value": F.when(F.col("role") == "user", "Negativo").otherwise("12"), "raw_lab_unit": F.when(F.col("role") == "user", None).otherwise("mg/dL"), "raw_lab_name": F.lit("Glicose")})
     return standardize.companion_names(rows, ["source_file", "page_number", "raw_lab_name"]).select("source_file", "result_index", "lookup_name")
-
-
-@query
-def flatten_array_rows(spark, sf_dir):
-    docs = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("lab_results"))
-    return docs.select("conv_id", F.posexplode("lab_results").alias("result_index", "r")).select("conv_id", F.col("result_index").cast("long").alias("result_index"), "r.turn", "r.role", "r.n")
-
-
-@query
-def document_date_fill(spark, sf_dir):
-    from pyspark.sql import Window
-
-    dated = obs(spark, sf_dir).withColumn("page_date", dates.page_date(F.when(F.col("k") % 4 == 0, F.col("date").cast("string")).when(F.col("k") % 4 == 1, "0000-00-00"), F.when(F.col("k") % 4 == 2, F.col("date").cast("string"))))
-    filled = F.first("page_date", ignorenulls=True).over(Window.partitionBy("doc").orderBy("row_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return dated.select("row_seq", "doc", filled.alias("document_date"))
-
-
-@query
-def union_by_name(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer").selectExpr("c_name AS name", "c_nationkey AS nation", "c_mktsegment AS segment")
-    suppliers = read(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation", "s_name AS name")
-    return customers.unionByName(suppliers, allowMissingColumns=True).groupBy("nation", "segment").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query
-def stale_difference(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query
-def categorize_rules(spark, sf_dir):
-    t = F.lower("text")
-    kind = F.when(t.contains("license"), "licence").when(t.rlike(r"@[a-z0-9]+\."), "contact").when(t.contains(" | "), "table").when(t.rlike(r"!!"), "loud").otherwise("prose")
-    return read(spark, sf_dir, "documents").groupBy(kind.alias("category"), "lang").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query
-def regression_canonical(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").selectExpr("CAST(o_orderdate AS DATE) AS date", "o_orderpriority AS lab_name", "o_orderstatus = 'F' AS flag", "o_orderkey AS result_index")
-    text = F.concat_ws(",", F.coalesce(F.col("date").cast("string"), F.lit("")), "lab_name", F.col("flag").cast("string"), F.col("result_index").cast("string"))
-    return rows.select("result_index", text.alias("line")).orderBy(F.asc_nulls_first("result_index"))

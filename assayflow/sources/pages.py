@@ -16,6 +16,8 @@ from assayflow.functions import dates, numeric, text as X
 TEXT_FIELDS = ("raw_lab_name", "raw_section_name", "raw_value", "raw_lab_unit", "raw_reference_range", "raw_comments", "review_reason", "review_status", "review_completed_at")
 BOUND_FIELDS = ("raw_reference_min", "raw_reference_max")
 BOX_FIELDS = ("bbox_left", "bbox_top", "bbox_right", "bbox_bottom")
+#: The name of the row that stands for a failed page.
+FAILED_NAME = "[EXTRACTION FAILED]"
 # ----------------------------------------------------------------------------------------------------
 RESULT = T.StructType(
     [T.StructField(c, T.StringType()) for c in TEXT_FIELDS] + [T.StructField(c, T.DoubleType()) for c in BOUND_FIELDS + BOX_FIELDS] + [T.StructField("review_needed", T.BooleanType())]
@@ -218,6 +220,61 @@ def needs_fallback(pages: DataFrame) -> Column:
     return F.coalesce("payload._extraction_failed", F.lit(False)) | ((F.size("results") == 0) & F.coalesce("payload.page_has_lab_data", F.lit(True)))
 
 
+def malformed(results: Column) -> Column:
+    """Why a page is to be read again at once: a row without a whole box, or boxes that are columns; null if neither."""
+    broken = F.exists(results, lambda r: r["bbox_left"].isNull() | r["bbox_top"].isNull() | r["bbox_right"].isNull() | r["bbox_bottom"].isNull())
+    return F.when(F.coalesce(broken, F.lit(False)), "incomplete boxes").when(F.coalesce(malformed_boxes(results), F.lit(False)), "column-like boxes")
+
+
+def salvage(results: Column) -> Column:
+    """The rows whose name is one: there, and no text of several fields run together."""
+    return F.filter(results, lambda r: r["raw_lab_name"].isNotNull() & (F.trim(r["raw_lab_name"]) != "") & ~X.has_field_label(r["raw_lab_name"]))
+
+
+def with_placeholder(pages: DataFrame) -> DataFrame:
+    """A failed page without results gets one row that names the failure, so that a reviewer sees it."""
+    reason = F.coalesce("payload._failure_reason", F.lit("Unknown extraction failure"))
+    given = {"raw_lab_name": F.lit(FAILED_NAME), "raw_comments": reason}
+    row = F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT.fields))
+    empty = F.coalesce("payload._extraction_failed", F.lit(False)) & (F.coalesce(F.size("results"), F.lit(0)) <= 0)
+    return pages.withColumn("results", F.when(empty, F.array(row)).otherwise(F.col("results")))
+
+
+def failed_payload(reason: Column, source: Column, page: Column) -> Column:
+    """The payload of a page that couldn't be read."""
+    given = {"_extraction_failed": F.lit(True), "_failure_reason": reason, "source_file": source, "page_number": page, "page_has_lab_data": F.lit(None), "lab_results": F.array()}
+    return F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PAGE.fields))
+
+
+def resolve_directories(documents: DataFrame, paths: DataFrame) -> DataFrame:
+    """``stem, directory``: the first folder of each document's stem, null without one. ``paths(path)`` are pages' paths."""
+    found = paths.select(document_of(F.col("path")).alias("d")).filter("d.stem is not null").groupBy(F.col("d.stem").alias("stem")).agg(F.min("d.directory").alias("directory"))
+    return documents.select("stem").distinct().join(found, "stem", "left")
+
+
+def with_targets(rows: DataFrame, directories: DataFrame) -> DataFrame:
+    """``target``: the page file that a review row is kept in; null where its document has no folder."""
+    stem = X.document_label(F.col("source_file"))
+    joined = rows.withColumn("_stem", stem).join(directories.select(F.col("stem").alias("_s"), "directory"), F.col("_stem") == F.col("_s"), "left")
+    return joined.withColumn("target", X.page_path(F.col("directory"), F.col("_stem"), F.col("page_number"))).drop("_stem", "_s", "directory")
+
+
+def backfill_statuses(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows with the status that their page has for them now, by document, page and index."""
+    kept = flatten(pages).select("source_file", "page_number", "result_index", X.persisted_status(F.col("review_status")).alias("review_status"))
+    return rows.drop("review_status").join(kept, ["source_file", "page_number", "result_index"], "left")
+
+
+def artifact_payload(rows: DataFrame, width: int = 1700, height: int = 2200) -> DataFrame:
+    """``row_id, payload``: what a reviewer outside is sent for a row, as JSON: its identity, boxes and content."""
+    box = numeric.scale_box([F.col(c) for c in BOX_FIELDS], F.lit(width), F.lit(height))
+    whole = F.when(F.col("bbox_left").isNotNull(), F.struct(*(F.col(c).alias(c.removeprefix("bbox_")) for c in BOX_FIELDS)))
+    content = F.struct(*(F.col(c) for c in rows.columns if c in RESULT.fieldNames() and c not in BOX_FIELDS))
+    identity = [F.col(c) for c in ("source_file", "page_number", "result_index")]
+    payload = F.to_json(F.struct(*identity, whole.alias("bbox"), box.alias("pixel_bbox"), content.alias("row")))
+    return rows.select(X.row_id(*identity).alias("row_id"), payload.alias("payload"))
+
+
 def rename_fields(results: Column, renames: dict[str, str], dropped: tuple[str, ...] = ()) -> Column:
     """Result rows with fields renamed where the new name is free, and fields dropped."""
 

@@ -12,6 +12,8 @@ def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
     """The rows as a table in the folder of ``spark.checkpoint.dir``, read again: what follows plans from there, and losing an executor costs nothing."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{(root or tempfile.gettempdir() + '/assayflow-scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
