@@ -29,11 +29,6 @@ COMPONENTS = (
     ("Blood - High-Density Lipoprotein Cholesterol (HDL Cholesterol)", "Blood - Total Cholesterol"),
     ("Blood - Low-Density Lipoprotein Cholesterol (LDL Cholesterol)", "Blood - Total Cholesterol"),
 )
-CODES = (
-    "EXTRACTION_FAILED", "UNKNOWN_LAB_MAPPING", "UNKNOWN_UNIT_MAPPING", "AMBIGUOUS_PERCENTAGE_VARIANT", "SUSPICIOUS_REFERENCE_RANGE",
-    "IMPOSSIBLE_VALUE", "RELATIONSHIP_MISMATCH", "COMPONENT_EXCEEDS_TOTAL", "TEMPORAL_ANOMALY", "FORMAT_ARTIFACT", "RANGE_INCONSISTENCY",
-    "PERCENTAGE_BOUNDS", "NEGATIVE_VALUE", "EXTREME_DEVIATION", "DUPLICATE_ENTRY",
-)
 # -------------------------------------------------------------------------------------------------
 OVER_TOTAL, DEVIATIONS = 1.05, 10
 
@@ -62,11 +57,19 @@ def plausibility(df: DataFrame, specs: Specs, out: str = "plausibility_code") ->
 def temporal_anomaly(df: DataFrame, limits: DataFrame, scope: list[str], order: list[str], out: str = "temporal_anomaly") -> DataFrame:
     """A change per day above the lab's limit, against the observation before; same-day rows never flag, but count as before."""
     usable = F.col("date").isNotNull() & F.col("value").isNotNull()
-    window = Window.partitionBy(*scope, "lab_name", "_usable").orderBy("date", *order)
-    joined = lookup(df, limits, "lab_name", "lab_name", _limit="max_daily_change").withColumn("_usable", usable)
-    days = F.datediff("date", F.lag("date").over(window))
-    rate = F.abs(F.col("value") - F.lag("value").over(window)) / F.nullif(days, F.lit(0))
-    return joined.withColumn(out, _true(usable & (days > 0) & (rate > F.col("_limit")))).drop("_limit", "_usable")
+    joined = lookup(df, limits, "lab_name", "lab_name", _limit="max_daily_change").withColumns({"_usable": usable, "_month": F.trunc("date", "MM")})
+    # A window has a month of a lab; the last observation of the month before comes from a table of months.
+    key, month = [*scope, "lab_name"], [*scope, "lab_name", "_month"]
+    ends = joined.filter("_usable").groupBy(*month).agg(F.max_by(F.struct("date", "value"), F.struct("date", *order)).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*key).orderBy("_month"))).drop("_end")
+    window = Window.partitionBy(*month, "_usable").orderBy("date", *order)
+    joined = joined.join(ends, month, "left")
+    date, value = (F.when(F.lag("date").over(window).isNotNull(), F.lag(c).over(window)).otherwise(F.col(f"_before.{c}")) for c in ("date", "value"))
+    rows = joined.withColumns({"_date": date, "_value": value})
+    days = F.datediff("date", "_date")
+    rate = F.abs(F.col("value") - F.col("_value")) / F.nullif(days, F.lit(0))
+    flagged = rows.withColumn(out, _true(F.col("_usable") & (days > 0) & (rate > F.col("_limit"))))
+    return flagged.select(*(c for c in df.columns if c != out), out)
 
 
 def _last_of_day(df: DataFrame, scope: list[str], order: list[str]) -> DataFrame:

@@ -290,8 +290,3 @@ def load_cache(spark: SparkSession, path: str, value: str = "lab_name") -> DataF
     """``key, value`` of a JSON map. Unknown values are left out."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", value))
     return rows.filter(F.col(value) != X.UNKNOWN)
-
-
-def write_rows(rows: DataFrame, path: str, by: str = "source_file") -> None:
-    """One directory of CSV for each document."""
-    rows.write.mode("overwrite").partitionBy(by).option("header", "true").csv(path)
