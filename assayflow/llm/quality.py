@@ -11,9 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayflow.llm.common import LOWER
+from assayflow.llm.common import LOWER, Scratch
 
 TEXT_DIM, META_DIM = 1 << 18, 1 << 12
+#: When a view is sure of a row: the probability, and the odds over those of the class at large.
+SURE, GAIN = 0.95, 5.0
+#: Labelled rows that the fit takes at most, and rows that a view passes to the other in a round at most.
+LABELLED, TAUGHT, ROUNDS = 16000, 2000, 3
+QUESTIONS = {"quality": 0.9, "toxic": 0.1}
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
 _UPPER, _DIGIT, _SPACE, _LINE, _OTHER = (np.isin(np.arange(256), np.frombuffer(s, np.uint8)) for s in (bytes(range(65, 91)), b"0123456789", b" \t\r\x0b\x0c", b"\n", bytes(c for c in range(33, 127) if not chr(c).isalnum())))
 
@@ -63,8 +68,10 @@ class Linear:
     bias: float
 
     def logits(self, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(self.weights[flat], dtype=np.float64)]
-        return self.bias + total[cuts[1:]] - total[cuts[:-1]]
+        out, some = np.full(len(cuts) - 1, self.bias), cuts[1:] > cuts[:-1]
+        if some.any():  # row by row, so that rows with the same features have the same logit wherever they stand
+            out[some] += np.add.reduceat(self.weights[flat], cuts[:-1][some])
+        return out
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], y: np.ndarray, dim: int, unknown: float = 0.5, l2: float = 1e-2, steps: int = 60) -> Linear:
@@ -132,144 +139,233 @@ class CoTrained:
     meta: Linear
     scale: tuple[np.ndarray, np.ndarray]
     mix: np.ndarray
+    taught: tuple[int, int] = (0, 0)  # pseudo-labels that the text view and the metadata view were given
 
     def probabilities(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = (s[0] * z + s[1] for s, z in zip(self.scale, (text, meta)))
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, rounds: int = 3, unknown: float = 0.5, sure: float = 0.95, gain: float = 10.0, grow: float = 0.1, seed: int = 1) -> CoTrained:
-    """y: 0, 1, or -1 where unknown; ``unknown`` is the probability if no row is labelled.
+class CoTraining:
+    """One question in training. ``y``: 0 or 1 of labelled rows; ``unknown``: the probability without any.
 
-    A quarter of the labelled rows calibrates and never trains. In each round both views are fitted on their
-    own labels and calibrated, and each passes the unlabelled rows that it is surest of to the other: at most
-    ``grow`` of them, of either class in the labels' proportion. Surest means a probability of ``sure`` or
-    more, and odds at least ``gain`` times those of the class at large: a view that knows nothing, but whose
-    class is frequent, teaches nothing.
+    A quarter of the labelled rows calibrates and never trains. In each round both views are fitted on their own
+    labels and calibrated, and each passes rows that it is sure of to the other, with the probability that it
+    gives them. Sure means a probability of ``SURE`` or more, and odds at least ``GAIN`` times those of the class
+    at large: a view that knows nothing, but whose class is frequent, teaches nothing.
     """
-    order = np.random.default_rng(seed).permutation(len(y))
-    known, free = order[y[order] >= 0], order[y[order] < 0]
-    check, train = known[: len(known) // 4], known[len(known) // 4 :]
-    labels = [{int(i): float(y[i]) for i in train} for _ in range(2)]
-    views, dims = (text, meta), (TEXT_DIM, META_DIM)
-    models: list[Linear] = []
-
-    def logits(model, view, rows):
-        picked = [view[i] for i in rows]
-        return model.logits(np.concatenate(picked) if picked else np.zeros(0, np.int32), np.r_[0, np.cumsum([len(r) for r in picked])].astype(int))
-
-    for round_ in range(rounds + 1):
-        models = [Linear.fit([v[i] for i in own], np.array(list(own.values())), dim, unknown) for own, v, dim in zip(labels, views, dims)]
-        if round_ == rounds or not len(free) or not 0 < y[train].sum() < len(train):
-            break
-        if not 0 < y[check].sum() < len(check):
-            continue
-        share = float(np.mean(y[train]))
-        for k in (0, 1):
-            slope, shift = _ridge_logistic(logits(models[k], views[k], check)[:, None], y[check])
-            z = slope * logits(models[k], views[k], free) + shift
-            for sign, part in ((1, share), (-1, 1 - share)):
-                least = max(np.log(sure / (1 - sure)), np.log(gain) + np.log(part / (1 - part)))
-                surest = np.argsort(-sign * z, kind="stable")[: int(grow * part * len(free))]
-                for i in surest[sign * z[surest] >= least]:
-                    labels[1 - k].setdefault(int(free[i]), float(sign > 0))
-    z = [logits(m, v, check) for m, v in zip(models, views)]
-    if not 0 < y[check].sum() < len(check):
-        flat = (np.array([1.0, 0.0]),) * 2
-        return CoTrained(*models, flat, np.array([1.0, 0.0, 0.0]))
-    scale = tuple(_ridge_logistic(x[:, None], y[check]) for x in z)
-    odds = y[check].mean() / (1 - y[check].mean())
-    # Views that are independent given the class add up, less the prior that both hold.
-    mix = _ridge_logistic(np.c_[tuple(s[0] * x + s[1] for s, x in zip(scale, z))], y[check], -float(np.log(odds)))
-    return CoTrained(*models, scale, mix)
+
+    def __init__(self, text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, unknown: float = 0.5, seed: int = 1):
+        order = np.random.default_rng(seed).permutation(len(y))
+        check, train = order[: len(y) // 4], order[len(y) // 4 :]
+        self.y, self.unknown, self.share = y[check].astype(float), unknown, float(np.mean(y[train])) if len(train) else unknown
+        self.check = [[v[i] for i in check] for v in (text, meta)]
+        self.rows = [[v[i] for i in train] for v in (text, meta)]
+        self.labels = [[float(y[i]) for i in train] for _ in range(2)]
+        self.learns = 0 < self.y.sum() < len(check) and 0 < self.share < 1
+        self.taught = [0, 0]  # rows that each view was given by the other
+        self.fit()
+
+    def fit(self) -> None:
+        """Both views on what each has now, and their calibration."""
+        self.models = [Linear.fit(rows, np.array(labels), dim, self.unknown) for rows, labels, dim in zip(self.rows, self.labels, (TEXT_DIM, META_DIM))]
+        z = [m.logits(*_flat(v)) for m, v in zip(self.models, self.check)]
+        flat = np.array([1.0, 0.0])
+        self.scale = tuple(_ridge_logistic(x[:, None], self.y) if self.learns else flat for x in z)
+        self.mix = np.array([1.0, 0.0, 0.0])
+        if self.learns:  # views that are independent given the class add up, less the prior that both hold
+            odds = self.y.mean() / (1 - self.y.mean())
+            self.mix = _ridge_logistic(np.c_[tuple(s[0] * x + s[1] for s, x in zip(self.scale, z))], self.y, -float(np.log(odds)))
+
+    def logits(self, view: int, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        return self.scale[view][0] * self.models[view].logits(flat, cuts) + self.scale[view][1]
+
+    def least(self, sign: int) -> float:
+        """The calibrated logit for a class from which a view is sure."""
+        part = self.share if sign > 0 else 1 - self.share
+        return max(np.log(SURE / (1 - SURE)), np.log(GAIN) + np.log(part / (1 - part)))
+
+    def quota(self, sign: int, taught: int) -> int:
+        """How many rows of a class a view passes in a round at most: in the classes' proportion."""
+        return int(np.ceil(taught * (self.share if sign > 0 else 1 - self.share)))
+
+    def teach(self, view: int, rows: list[np.ndarray], probabilities: list[float]) -> None:
+        """Rows of the other view's features, with what ``view`` says of them."""
+        self.rows[1 - view] += rows
+        self.labels[1 - view] += probabilities
+        self.taught[1 - view] += len(rows)
+
+    def model(self) -> CoTrained:
+        return CoTrained(*self.models, self.scale, self.mix, tuple(self.taught))
+
+
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *rows]), np.r_[0, np.cumsum([len(r) for r in rows])].astype(int)
 
 
 # ---------------------------------------------------------------- tables
+_FEATURES = "doc_id long, text binary, meta binary"
+
+
 def _features(docs: DataFrame) -> DataFrame:
-    """Both views' features of (text, lang, source), with the id and labels that come after them."""
+    """Both views' features of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in batches:
             text, meta = [], []
-            for value, lang, source in zip(batch.column(0).cast(pa.large_binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for value, lang, source in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 t = value.as_py() or b""
                 text.append(text_features(t, buckets).tobytes())
                 meta.append(meta_features(t, lang, source).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(meta, pa.binary()), *batch.columns[3:]], ["text", "meta", "doc_id", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "text", "meta"])
 
-    return docs.mapInArrow(run, "text binary, meta binary, doc_id long, quality int, toxic int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    return rows.mapInArrow(run, _FEATURES).withColumn("uid", F.monotonically_increasing_id())
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = 16000, unlabelled: int = 8000, rounds: int = 3) -> dict[str, CoTrained]:
-    """Models for quality and toxicity, fitted on the driver from two bounded samples: the rows of least hash of
-    their id among the ``labelled`` and the ``unlabelled`` documents. Neither grows with the tables."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    marks = marks.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    least = F.xxhash64("doc_id")
-    known = ids.distinct().join(marks, "doc_id").orderBy(least, "doc_id").limit(labelled)
-    other = ids.distinct().join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(least, "doc_id").limit(unlabelled)
-    sample = known.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic")).union(other.select("doc_id", F.lit(-1), F.lit(-1)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    picked = rows.join(F.broadcast(sample), "doc_id").select("text", "lang", "source", "doc_id", "quality", "toxic")
-    got = _features(picked).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["text"], r["meta"]))  # whatever order the tasks end in
-    got = list({r["doc_id"]: r for r in got}.values())  # one row of each id
-    text, meta = ([np.frombuffer(r[c], np.int32) for r in got] for c in ("text", "meta"))
-    return {c: co_train(text, meta, np.array([r[c] for r in got], np.int64), rounds, unknown) for c, unknown in (("quality", 0.9), ("toxic", 0.1))}
-
-
-def _scores(models: dict[str, CoTrained], buckets: _Buckets, texts: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, ...]:
-    """p_text, p_meta, p_quality, p_toxic and keep of some rows."""
-    text, meta = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for value, lang, source in zip(texts.cast(pa.large_binary()), langs, sources):
-        t = value.as_py() or b""
-        text.append(text_features(t, buckets))
-        meta.append(meta_features(t, lang, source))
-    cuts = [np.cumsum([len(r) for r in rows]) for rows in (text, meta)]
-    flat = [np.concatenate(rows) for rows in (text, meta)]
-    p = {c: m.probabilities(m.text.logits(flat[0], cuts[0]), m.meta.logits(flat[1], cuts[1])) for c, m in models.items()}
-    good, toxic = p["quality"], p["toxic"][2]
-    return (*good, toxic, (good[2] >= 0.5) & (toxic < 0.5))
+def _columns(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The features of a batch's rows in each view, and where each row's begin."""
+    for name in ("text", "meta"):
+        rows = batch.column(batch.schema.get_field_index(name)).to_pylist()
+        yield np.frombuffer(b"".join(rows), np.int32), np.r_[0, np.cumsum([len(r) // 4 for r in rows])].astype(int)
 
 
-def score_quality(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
-    """``doc_id, p_text, p_meta, p_quality, p_toxic, keep`` of every row."""
+def _logits(features: DataFrame, training: dict[str, CoTraining]) -> DataFrame:
+    """``uid, doc_id`` and for each question and view the calibrated logit: ``quality_0, quality_1, toxic_0, toxic_1``."""
+    names = [f"{q}_{k}" for q in training for k in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
         for batch in batches:
-            found = _scores(models, buckets, batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], ["doc_id", "p_text", "p_meta", "p_quality", "p_toxic", "keep"])
+            views = list(_columns(batch))
+            z = [t.logits(k, *views[k]) for t in training.values() for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), *map(pa.array, z)], ["uid", "doc_id", *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, p_quality double, p_toxic double, keep boolean")
+    return features.select("doc_id", "text", "meta", "uid").mapInArrow(run, "uid long, doc_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def _surest(logits: DataFrame, training: dict[str, CoTraining], taught: int) -> DataFrame | None:
+    """``question, view, sign, uid, z`` of the rows that each view is surest of, within its quota.
+
+    A histogram of all rows' logits tells from where on they are few enough to be sorted.
+    """
+    names = [(q, k) for q, t in training.items() if t.learns for k in (0, 1)]
+    if not names:
+        return None
+    bins = F.explode(F.array(*(F.struct(F.lit(f"{q}_{k}").alias("name"), F.floor(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), f"{q}_{k}")) * 8).alias("bin")) for q, k in names))).alias("b")
+    counts: dict[str, dict[int, int]] = {}
+    for r in logits.select(bins).groupBy("b.name", "b.bin").count().collect():
+        counts.setdefault(r["name"], {})[r["bin"]] = r["count"]
+    parts = []
+    for q, k in names:
+        for sign in (1, -1):
+            quota, least, n = training[q].quota(sign, taught), training[q].least(sign), 0
+            for b in sorted(counts.get(f"{q}_{k}", {}), key=lambda b: -sign * b):
+                n += counts[f"{q}_{k}"][b]
+                if n >= quota:  # the bin's nearer edge
+                    least = max(least, sign * (b if sign > 0 else b + 1) / 8)
+                    break
+            z = F.col(f"{q}_{k}")
+            sure = logits.filter(z * sign >= least).orderBy(F.desc(z * sign), "doc_id", "uid").limit(quota)
+            parts.append(sure.select(F.lit(q).alias("question"), F.lit(k).alias("view"), F.lit(sign).alias("sign"), "uid", z.alias("z")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def _fit(docs: DataFrame, labels: DataFrame, labelled: int, taught: int, rounds: int) -> tuple[dict[str, CoTrained], DataFrame]:
+    """The models, and the features of all rows."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    features = scratch.save(_features(docs), "features")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(q).cast("int").alias(q) for q in QUESTIONS))
+    marks = marks.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(*(F.max(q).alias(q) for q in QUESTIONS))
+    known = features.filter("doc_id is not null").groupBy("doc_id").agg(F.min("uid").alias("uid")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    got = features.join(F.broadcast(known.drop("doc_id")), "uid").select("doc_id", "text", "meta", *QUESTIONS).toArrow().to_pylist()
+    got.sort(key=lambda r: r["doc_id"])  # whatever order the tasks end in
+    read = lambda r: tuple(np.frombuffer(r[c], np.int32) for c in ("text", "meta"))
+    training = {}
+    for q, unknown in QUESTIONS.items():
+        own = [r for r in got if r[q] is not None]
+        text, meta = ([read(r)[k] for r in own] for k in (0, 1))
+        training[q] = CoTraining(text, meta, np.array([r[q] for r in own], np.int64), unknown)
+    seen: set[tuple[str, int, int]] = set()
+    for round_ in range(rounds):
+        logits = scratch.save(_logits(features, training).join(marks.select("doc_id"), "doc_id", "left_anti"), f"logits-{round_}")
+        sure = _surest(logits, training, taught * (round_ + 1))  # beyond those passed before
+        if sure is None:
+            break
+        picks = [r for r in sure.collect() if (r.question, r.view, r.uid) not in seen]  # bounded by the quotas
+        scratch.drop(f"logits-{round_}")
+        if not picks:
+            break
+        seen |= {(r.question, r.view, r.uid) for r in picks}
+        wanted = docs.sparkSession.createDataFrame([(u,) for u in sorted({r.uid for r in picks})], "uid long")
+        rows = {r["uid"]: read(r) for r in features.join(F.broadcast(wanted), "uid").select("uid", "text", "meta").toArrow().to_pylist()}
+        for q, t in training.items():
+            for k in (0, 1):
+                own = [r for r in picks if (r.question, r.view) == (q, k)]
+                t.teach(k, [rows[r.uid][1 - k] for r in own], [float(_sigmoid(r.z)) for r in own])
+            t.fit()
+    return {q: t.model() for q, t in training.items()}, features
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, taught: int = TAUGHT, rounds: int = ROUNDS) -> dict[str, CoTrained]:
+    """Models for quality and toxicity by co-training on ``labels(doc_id, quality, toxic)`` and all rows without labels.
+
+    The labelled rows are those of least hash of their id, ``labelled`` of them at most. In each round every
+    unlabelled row of ``docs`` is scored by both views, and each passes the rows that it is surest of to the
+    other, at most ``taught``: what comes to the driver is bounded by these numbers, whatever the corpus.
+
+    Defined cases: as ``quality_classifier``.
+    """
+    return _fit(docs, labels, labelled, taught, rounds)[0]
+
+
+def _scores(models: dict[str, CoTrained], text: tuple[np.ndarray, np.ndarray], meta: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """p_text, p_meta, p_quality, p_toxic and keep of rows with these features."""
+    p = {c: m.probabilities(m.text.logits(*text), m.meta.logits(*meta)) for c, m in models.items()}
+    good, toxic = p["quality"], p["toxic"][2]
+    return (*good, toxic, (good[2] >= 0.5) & (toxic < 0.5))
 
 
 def drop_rejected(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
-    """The rows that ``score_quality`` keeps, with all their columns, in the same scan."""
+    """The rows that the models keep by ``quality_classifier``'s rule, with all their columns, in one scan.
+
+    Defined cases: null and empty texts are judged as empty ones; null languages and sources are values of their
+    own; repeated rows stay or go together; an empty table gives none; the other columns stay as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
-            keep = _scores(models, buckets, column("text"), column("lang").to_pylist(), column("source").to_pylist())[-1]
-            yield batch.filter(pa.array(keep))
+            text, meta = [], []
+            for value, lang, source in zip(column("text").cast(pa.large_binary()), column("lang").to_pylist(), column("source").to_pylist()):
+                t = value.as_py() or b""
+                text.append(text_features(t, buckets))
+                meta.append(meta_features(t, lang, source))
+            yield batch.filter(pa.array(_scores(models, _flat(text), _flat(meta))[-1], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, labelled: int = 16000, unlabelled: int = 8000, rounds: int = 3) -> DataFrame:
-    """Fit on ``labels(doc_id, quality, toxic)`` by co-training, and score all documents: one row per input row.
+def quality_classifier(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, taught: int = TAUGHT, rounds: int = ROUNDS) -> DataFrame:
+    """Fit by co-training (``fit_quality``) and score all documents: one row per input row.
 
     ``p_text`` and ``p_meta`` are the calibrated views of quality, ``p_quality`` and ``p_toxic`` the combined
-    probabilities; ``keep`` is p_quality >= 0.5 and p_toxic < 0.5.
+    probabilities; ``keep`` is p_quality >= 0.5 and p_toxic < 0.5. Features are made once and kept.
 
     Defined cases: a null text is empty; a null language or source is a value of its own; null ids are scored
-    but never sampled; of labels that repeat an id the greatest counts; without labels of both classes a
-    probability is the share of positive labels, and without any labels all rows are kept; repeated rows
-    each give a row; an empty table gives no rows; other columns are ignored, whatever their names.
+    but no labelled rows; of labels that repeat an id the greatest counts, and of rows that do one learns;
+    without labels of both classes a probability is the share of positive labels, and without any labels all
+    rows are kept; repeated rows each give a row; an empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
-    models = fit_quality(docs, labels, labelled, unlabelled, rounds)
-    return score_quality(docs, models)
+    models, features = _fit(docs, labels, labelled, taught, rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _scores(models, *_columns(batch)))], ["doc_id", "p_text", "p_meta", "p_quality", "p_toxic", "keep"])
+
+    return features.select("doc_id", "text", "meta").mapInArrow(run, "doc_id long, p_text double, p_meta double, p_quality double, p_toxic double, keep boolean")

@@ -39,15 +39,59 @@ def test_held_out_accuracy(spark):
     assert np.mean([(got[i].p_quality >= 0.5) == truth[i][0] for i in rest]) > 0.95
 
 
+def plain(rows, labels, taught, rounds):
+    """The models by the same rule, without Spark: every unlabelled row is in one list."""
+    buckets, marks = quality._Buckets(), {}
+    for i, *y in labels:
+        marks[i] = y
+    text = {i: quality.text_features((t or "").encode(), buckets) for i, t in rows}
+    meta = {i: quality.meta_features((t or "").encode(), "en", "src0") for i, t in rows}
+    free, out = sorted(i for i in text if i not in marks), {}
+    for c, (question, unknown) in enumerate(quality.QUESTIONS.items()):
+        known = [i for i in sorted(text) if i in marks]
+        t = quality.CoTraining([text[i] for i in known], [meta[i] for i in known], np.array([marks[i][c] for i in known]), unknown)
+        seen = set()
+        for n in range(rounds):
+            picks = []
+            for k, own in enumerate((text, meta)):
+                z = dict(zip(free, t.logits(k, *quality._flat([own[i] for i in free]))))
+                for sign in (1, -1):
+                    sure = sorted((i for i in free if sign * z[i] >= t.least(sign)), key=lambda i: (-sign * z[i], i))[: t.quota(sign, taught * (n + 1))]
+                    picks += [(k, i, 1 / (1 + np.exp(-z[i]))) for i in sure if (k, i) not in seen]
+            for k, other in ((0, meta), (1, text)):
+                own = [(other[i], p) for v, i, p in picks if v == k]
+                t.teach(k, [x for x, _ in own], [p for _, p in own])
+            seen |= {(k, i) for k, i, _ in picks}
+            t.fit()
+        out[question] = t.model()
+    return out, text, meta
+
+
+def test_models_against_a_plain_version(spark):
+    rows, labels, truth = corpus(500, 3)
+    labels = [x for x in labels if x[0] % 3]
+    models, text, meta = plain(rows, labels, 60, 3)
+    found = quality.fit_quality(frame(spark, rows).repartition(5), spark.createDataFrame(labels, LABELS), taught=60)
+    ids = sorted(text)
+    for q in quality.QUESTIONS:
+        assert found[q].taught == models[q].taught and min(found["quality"].taught) > 20
+        a, b = (m.probabilities(m.text.logits(*quality._flat([text[i] for i in ids])), m.meta.logits(*quality._flat([meta[i] for i in ids])))[2] for m in (found[q], models[q]))
+        assert np.allclose(a, b, atol=1e-3)
+
+
 def test_each_view_teaches_the_other():
-    # labels are few; only pseudo-labels can show the text view that "blue" goes with class 1
+    # labels are few; only pseudo-labels can show the text view that feature 3 goes with class 1
     r = np.random.default_rng(1)
     y = r.integers(0, 2, 400)
     meta = [np.array([1 if c else 2], np.int32) for c in y]
     text = [np.array([3 if c else 4], np.int32) if i >= 40 else np.array([9], np.int32) for i, c in enumerate(y)]
-    known = np.where(np.arange(400) < 40, y, -1)
-    alone, taught = (quality.co_train(text, meta, known, rounds=n).text for n in (0, 3))
-    assert alone.weights[3] == 0 and taught.weights[3] > 0.5 > -0.5 > taught.weights[4]
+    t = quality.CoTraining(text[:40], meta[:40], y[:40])
+    assert t.model().text.weights[3] == 0
+    z = t.logits(1, *quality._flat(meta[40:]))
+    t.teach(1, text[40:], [float(quality._sigmoid(x)) for x in z])
+    t.fit()
+    weights = t.model().text.weights
+    assert weights[3] > 0.5 > -0.5 > weights[4] and t.model().taught == (360, 0)
 
 
 def test_awkward_rows_and_labels(spark):
@@ -66,5 +110,5 @@ def test_without_labels_and_without_documents(spark):
 
 def test_sample_is_bounded(spark):
     rows, labels, _ = corpus(300)
-    a = quality.fit_quality(frame(spark, rows), spark.createDataFrame(labels, LABELS), labelled=40, unlabelled=40)
+    a = quality.fit_quality(frame(spark, rows), spark.createDataFrame(labels, LABELS), labelled=40, taught=10)
     assert set(a) == {"quality", "toxic"}
