@@ -140,17 +140,18 @@ class SemiCRF:
     weights: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
-    def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
-        """Tokens' offsets, and candidate segments (first token, token after the last, kind or "", features)."""
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
+    def segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, list[str]]]:
+        """Candidate segments (first token, token after the last, kind or "", features), by their first token.
+
+        Every span of up to LONGEST tokens that may be an entity is one of each kind: the weights choose.
+        """
         word = [text[a:b] for a, b in tokens]
         strong = [bool(_EVIDENCE.search(w)) for w in word]
-        out: list[tuple[int, int, str, list[str]]] = []
         for i, w in enumerate(word):
-            out.append((i, i + 1, "", _token_features(w)))
+            yield i, i + 1, "", _token_features(w)
             for j in range(i + 1, min(len(word), i + LONGEST) + 1):
                 last = word[j - 1]
-                if not last[-1].isalnum() or not any(strong[i:j]) or tokens[j - 1][1] - tokens[i][0] > 2 * REACH:
+                if not last[-1].isalnum() or not any(strong[i:j]):
                     continue
                 s = text[tokens[i][0] : tokens[j - 1][1]]
                 at = "@" in s
@@ -159,16 +160,21 @@ class SemiCRF:
                 if at and j - i > 3:
                     continue
                 shared = span_features(s, text[max(0, tokens[i][0] - 2) : tokens[i][0]], text[tokens[j - 1][1] : tokens[j - 1][1] + 2])
-                for kind in ("email",) if at else KINDS[1:]:
-                    out.append((i, j, kind, [f"{kind}:{f}" for f in shared]))
-        return tokens, out
+                for kind in KINDS:
+                    yield i, j, kind, [f"{kind}:{f}" for f in shared]
+
+    @classmethod
+    def lattice(cls, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
+        """Tokens' offsets, and all candidate segments."""
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        return tokens, list(cls.segments(text, tokens))
 
     def decode(self, text: str) -> list[Span]:
-        """The best segmentation's entities, by dynamic programming over segments of bounded length."""
-        tokens, segments = self.lattice(text)
+        """The best segmentation's entities, by dynamic programming over segments of bounded length, which are made as they are passed."""
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
         best = [0.0] + [-math.inf] * len(tokens)
         back: list[tuple[int, str]] = [(0, "")] * (len(tokens) + 1)
-        for i, j, kind, feats in segments:  # ordered by start, so best[i] is final
+        for i, j, kind, feats in self.segments(text, tokens):  # ordered by start, so best[i] is final
             score = best[i] + sum(self.weights.get(f, 0.0) for f in feats)
             if score > best[j]:
                 best[j], back[j] = score, (i, kind)
