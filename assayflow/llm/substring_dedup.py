@@ -17,6 +17,8 @@ WINDOW = 35
 GRAM = 12
 #: How far beyond an anchor's windows a factor within a document is extended at once.
 AHEAD = 4096
+#: Words in a stretch of a leading document. A block is handed out by its stretches, so a factor meets one piece and not all blocks of its lead.
+STRETCH = 4096
 
 _FOUND = "kind int, uid long, lead long, start int, stop int, delta int, codes binary, hash binary"
 SPAN, LEFT, FACTOR, BLOCK = range(4)
@@ -99,14 +101,17 @@ def parse(uid: int, codes: np.ndarray, at: list[tuple[int, int, int, int]], out:
                 out.left(uid, rest, codes, 0, window)
                 continue
         delta = lead_pos - p
-        if across and across[-1][1:4] == [low, lead, delta]:  # the windows go on where the last factor's ended
-            across[-1][1], across[-1][4] = high, p
+        last = across[-1] if across else None
+        if last and last[1:4] == [low, lead, delta] and (last[4] + delta) // STRETCH == lead_pos // STRETCH:  # the windows go on where the last factor's ended
+            last[1], last[4] = high, p
         else:
             across.append([low, high, lead, delta, p])
     if repeated:
         out.spans(uid, np.concatenate(repeated), window)
     for a, b in blocks:
-        out.add(BLOCK, uid, a, b, codes=codes[a:b].tobytes())
+        for k in range(a // STRETCH, (b - 1) // STRETCH + 1):  # with as much around a stretch as a factor at it may have
+            begin, end = max(a, k * STRETCH - 2 * window), min(b, (k + 1) * STRETCH + 2 * window)
+            out.add(BLOCK, uid, begin, end, delta=k, codes=codes[begin:end].tobytes())
     for low, high, lead, delta, p in across:
         out.add(FACTOR, uid, low, p, lead=lead, delta=delta, codes=codes[low : high - 1 + window].tobytes())
 
@@ -158,12 +163,12 @@ def repeated_spans(repeats: Repeats, scratch: Scratch, window: int, gram: int) -
     themselves, by the hash of the whole window.
     """
     found = scratch.save(_parsed(repeats.texts, window, gram), "parsed")
-    blocks = found.filter(F.col("kind") == BLOCK).select(F.col("uid").alias("lead"), F.col("start").alias("first"), F.col("stop").alias("last"), F.col("codes").alias("block"))
-    factors = found.filter(F.col("kind") == FACTOR).select("uid", "lead", "start", "stop", "delta", "codes")
+    blocks = found.filter(F.col("kind") == BLOCK).select("uid", F.col("delta").alias("stretch"), F.col("start").alias("first"), F.col("stop").alias("last"), F.col("codes").alias("block")).withColumnRenamed("uid", "lead")
     # A factor's row has the place of an anchor for its stop; its lead has that anchor in exactly one block.
     place = F.col("stop") + F.col("delta")
-    inside = (F.col("first") <= place) & (F.col("last") >= place + gram)
-    checked = scratch.save(_checked(factors.join(blocks, (factors.lead == blocks.lead) & inside).drop(blocks.lead), window), "checked")
+    factors = found.filter(F.col("kind") == FACTOR).select("uid", "lead", "start", "delta", "codes", place.alias("place"), F.floor(place / STRETCH).cast("int").alias("stretch"))
+    inside = (F.col("first") <= F.col("place")) & (F.col("last") >= F.col("place") + gram)
+    checked = scratch.save(_checked(factors.join(blocks, ["lead", "stretch"]).filter(inside), window), "checked")
     both = found.filter(F.col("kind").isin(SPAN, LEFT)).union(checked)
     left = both.filter(F.col("kind") == LEFT).select("uid", "start", "stop", "hash")
     again = left.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
