@@ -364,7 +364,3 @@ def hmm_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: st
 def contract_held_out(doc_id: str = "doc_id") -> Column:
     """Documents that don't train: CRC-32 of the id as text, modulo 7, is 2."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2
-
-
-def perplexity(log10_probability: float, tokens: int) -> float:
-    return math.pow(10, -log10_probability / max(1, tokens))
