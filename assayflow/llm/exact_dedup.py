@@ -63,5 +63,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Defined cases: null, empty and blank texts are one class; null ids come last; of rows that repeat id and text
+    one stays; an empty table gives none; columns of any name stay as they are.
+    """
     return keep_rows(docs, exact_dedup(docs, text, doc_id, keys=True).filter("kept"), text, doc_id)
