@@ -230,15 +230,13 @@ def _backward(model: HMM, active: np.ndarray, found: tuple[np.ndarray, ...], bef
         m = active[t + 1] if t + 1 < len(active) else 0
         beta = np.ones((n, states), np.float32)
         if m:
-            beta[:m] = ahead[cuts[t + 1] : cuts[t + 1] + m] @ move.T
+            following = ahead[cuts[t + 1] : cuts[t + 1] + m]
+            moving += alphas[cuts[t] : cuts[t] + m].T @ following
+            beta[:m] = following @ move.T
         elif after is not None:
             beta = after
         np.multiply(alphas[now], beta, out=gamma[now])
         ahead[now] *= beta
-    later = np.arange(len(seen)) >= cuts[1]
-    if later.any():  # each token after the first, with the token before it
-        prior = np.flatnonzero(later) - np.repeat(active[:-1], active[1:])
-        moving += alphas[prior].T.astype(np.float64) @ ahead[cuts[1] :]
     if before is not None:
         moving += before.T.astype(np.float64) @ ahead[: cuts[1]]
     starting = np.zeros((1, states)) if before is not None else gamma[: cuts[1]].sum(0, dtype=np.float64)[None, :]
