@@ -71,11 +71,23 @@ def test_large_groups_by_leaders_against_brute_force(spark, small):
     code = near.WordCodes()
     sets = [near.shingle_set(t.encode(), code).view(np.int64).tolist() for t in texts]
     table = spark.createDataFrame(list(enumerate(sets)), "fp long, grams array<long>")
-    members = spark.createDataFrame([(k, i) for k in range(2) for i in range(len(texts))], "key long, fp long")
-    got = {r.vertex: r.root for r in near.near_edges(members, table, Scratch(spark, "test"), 0.8, small).collect()}
+    drawn = [near.sketch(near.least_hashes(np.array(x).view(np.uint64))).view(np.int64).tolist() for x in sets]
+    members = spark.createDataFrame([(k, i, drawn[i]) for k in range(2) for i in range(len(texts))], "key long, fp long, sketch array<long>")
+    got = {r.vertex: r.root for r in near.near_components(members, table, Scratch(spark, "test"), 0.8, small).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
+def test_sketches_differ_as_sets_do():
+    r = np.random.default_rng(3)
+    for share, low, high in ((1.0, 0, 0), (0.8, 20, 71), (0.6, 60, 115), (0.0, 180, 250)):
+        x = r.integers(0, 1 << 64, 1000, np.uint64)
+        same = int(round(1000 * 2 * share / (1 + share)))
+        y = np.r_[x[:same], r.integers(0, 1 << 64, 1000 - same, np.uint64)]
+        a, b = near.sketch(near.least_hashes(x)), near.sketch(near.least_hashes(y))
+        d = a ^ b
+        assert low <= int(np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum()) <= high
+
+
 def test_rows_without_words_and_repeated_rows(spark):
     rows = awkward()
     want = groups([t for _, t in rows])[0]
