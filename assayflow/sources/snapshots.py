@@ -32,7 +32,7 @@ def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame | None, lis
         raise
     names = [f.name for f in schema.fields]
     kept = spark.read.option("header", "true").option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").schema(", ".join(f"`{n}` string" for n in [*names, "_bad"])).csv(path)
-    bad = kept.filter("_bad is not null").count()
+    bad = kept.agg(F.count_if(F.col("_bad").isNotNull()).alias("n"), F.count(names[0])).first().n
     return kept.drop("_bad"), [f"{bad} malformed line(s): {path}"] if bad else []
 
 
