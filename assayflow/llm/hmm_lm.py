@@ -144,8 +144,10 @@ def _encode(blocks: DataFrame, counts: Counts) -> DataFrame:
                 out[k].append(x)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: pa.array(x, pa.binary() if k == "classes" else pa.float64() if k in ("base_score", "given") else pa.int64()) for k, x in out.items()}})
 
-    docs = blocks.filter("tokens is not null").select("block", "doc_id", "held_out", "tokens")
-    words = counts.words.select("block", "local", "c", "class")
+    # Twice as many parts as blocks: no task gets more than a few of them, however many there are.
+    parts = max(1, 2 * blocks.select("block").distinct().count())
+    docs = blocks.filter("tokens is not null").select("block", "doc_id", "held_out", "tokens").repartition(parts, "block")
+    words = counts.words.select("block", "local", "c", "class").repartition(parts, "block")
     return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, given double, classes binary")
 
 
@@ -201,17 +203,18 @@ def log10_likelihood(model: HMM, tokens: np.ndarray, starts: np.ndarray, lengths
 
 def _forward(model: HMM, tokens: np.ndarray, starts: np.ndarray, active: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Scaled forward values, emissions, scales and token numbers, step after step; ``before``: the values ahead of the first step, if sequences go on."""
+    kind = np.float64 if len(active) > LONG else np.float32  # rounding adds up over many steps
     cuts = np.r_[0, np.cumsum(active)]
     seen = np.empty(cuts[-1], np.int64)
     for t, n in enumerate(active):
         seen[cuts[t] : cuts[t + 1]] = tokens[starts[:n] + t]
-    emits = np.ascontiguousarray(model.emit.T, np.float32)[seen]
-    alphas, scales, move = np.empty_like(emits), np.empty((len(seen), 1), np.float32), model.move.astype(np.float32)
+    emits = np.ascontiguousarray(model.emit.T, kind)[seen]
+    alphas, scales, move = np.empty_like(emits), np.empty((len(seen), 1), kind), model.move.astype(kind)
     for t, n in enumerate(active):
         now = slice(cuts[t], cuts[t + 1])
         last = alphas[cuts[t - 1] : cuts[t - 1] + n] if t else before
-        alpha = (model.start.astype(np.float32) if last is None else last @ move) * emits[now]
-        scale = np.maximum(alpha.sum(1, keepdims=True), np.float32(1e-30))
+        alpha = (model.start.astype(kind) if last is None else last @ move) * emits[now]
+        scale = np.maximum(alpha.sum(1, keepdims=True), kind(1e-30))
         np.divide(alpha, scale, out=alphas[now])
         scales[now] = scale
     return alphas, emits, scales, seen
@@ -221,17 +224,17 @@ def _backward(model: HMM, active: np.ndarray, found: tuple[np.ndarray, ...], bef
     """The expected counts of the steps, and what the last step before them needs: the values behind it, if sequences go on (``after`` likewise)."""
     alphas, emits, scales, seen = found
     states, classes = model.emit.shape
-    cuts, move = np.r_[0, np.cumsum(active)], model.move.astype(np.float32)
+    cuts, move = np.r_[0, np.cumsum(active)], model.move.astype(alphas.dtype)
     ahead = emits  # becomes beta times emission over scale
     ahead /= scales
     gamma, moving = np.empty_like(alphas), np.zeros((states, states))
     for t in range(len(active) - 1, -1, -1):
         now, n = slice(cuts[t], cuts[t + 1]), active[t]
         m = active[t + 1] if t + 1 < len(active) else 0
-        beta = np.ones((n, states), np.float32)
+        beta = np.ones((n, states), alphas.dtype)
         if m:
             following = ahead[cuts[t + 1] : cuts[t + 1] + m]
-            moving += alphas[cuts[t] : cuts[t] + m].T @ following
+            moving += alphas[cuts[t] : cuts[t] + m].T.astype(np.float64) @ following.astype(np.float64)  # so that the order of sums tells nothing
             beta[:m] = following @ move.T
         elif after is not None:
             beta = after
