@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from assayflow.llm.alignment import Alignment
 from assayflow.llm.common import Scratch, table
 from assayflow.llm.exact_dedup import exact_dedup
 from assayflow.llm.hmm_lm import contract_held_out, hmm_scores
 from assayflow.llm.latent import decontaminate
+from assayflow.llm.line_dedup import LineDedup
 from assayflow.llm.packing import pack
 from assayflow.llm.pii import find_pii, pii_digest
 from assayflow.llm.quality import quality_classifier
 from assayflow.llm.simhash import simhash_components
+from assayflow.llm.spelling import spelling_groups
 from assayflow.llm.substring_dedup import substring_dedup
 from assayflow.llm.suffix_dedup import repeated_passages
 from assayflow.llm.warc import META, audit, read_warc, record_text, write_warc
 
 
+#: Where the public tokenizers' files are, on the driver and on every executor.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
 def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(table(spark, sf_dir, "documents"), contract_held_out())
 
@@ -76,6 +84,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Alignment(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model").documents()
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LineDedup(table(spark, sf_dir, "documents")).digest()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_line_dedup": op13_line_dedup,
     "pipeline": pipeline,
 }
 
@@ -153,4 +176,49 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_repeated, coalesce(spans, '') AS spans
         FROM t LEFT JOIN joined USING (r)
     """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) AS x(i))),
+        run AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x
+            FROM documents),
+        own AS (SELECT doc_id, x, count(*) AS n FROM run WHERE length(x) >= 6 GROUP BY ALL),
+        coded AS (
+            SELECT x, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || x, ''), lambda c:
+                CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes
+            FROM own),
+        hashed AS (
+            SELECT x, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+            FROM coded, crc_table),
+        cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(x, h % length(x)) || substr(x, h % length(x) + 2) ELSE x END AS word, n FROM hashed),
+        word AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        less AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p, left(word, p - 1) || substr(word, p + 1) AS rest FROM word),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM less AS a JOIN less AS b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT less.word, word.word, word.n FROM less JOIN word ON less.rest = word.word
+            UNION SELECT word.word, less.word, less.n FROM less JOIN word ON less.rest = word.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word),
+        formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+            FROM word LEFT JOIN best USING (word)),
+        walk AS (
+            SELECT word, word AS root, form AS next FROM formed
+            UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON formed.word = walk.next)
+        SELECT formed.word, formed.form, root, n, n_near, form_n FROM formed JOIN walk ON formed.word = walk.word AND walk.next IS NULL
+    """,
+    "op13_line_dedup": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        line AS (SELECT r, doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM t),
+        keyed AS (
+            SELECT *, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM line),
+        common AS (SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5),
+        kept AS (
+            SELECT r, string_agg(x, chr(10) ORDER BY p) AS text, count(*) AS n
+            FROM keyed LEFT JOIN common USING (k) WHERE common.k IS NULL OR top IS NOT DISTINCT FROM doc_id GROUP BY r)
+        SELECT doc_id, len(l) AS n_lines, len(l) - coalesce(n, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (r)
+    """,
 }
