@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayflow.functions import numeric, text as T
 from assayflow.operators.dedup import latest_only
@@ -34,6 +34,16 @@ def explore(df: DataFrame, order: list[str], labs: list[str] | None = None, late
     return df.filter(pill(review))
 
 
+PILLS = ("All", "Unreviewed", "Abnormal", "Needs Review", "Suboptimal", "Unhealthy", "Accepted", "Rejected")
+
+
+def pill_counts(df: DataFrame, order: list[str], pills: tuple[str, ...] = PILLS) -> DataFrame:
+    """``pill, latest, n``: how many rows each filter leaves, of all rows and of the latest of each lab. One pass for each of the two."""
+    counts = F.array(*(F.struct(F.lit(p).alias("pill"), F.count_if(pill(p)).alias("n")) for p in pills))
+    one = lambda rows, latest: rows.agg(counts.alias("c")).select(F.inline("c")).select("pill", F.lit(latest).alias("latest"), "n")
+    return one(df, False).union(one(latest_only(df, order), True))
+
+
 def sort_keys(document: bool = False, newest: bool = True) -> list[Column]:
     place = [F.col(c).asc_nulls_last() for c in ("page_number", "result_index", "lab_name")]
     if document:
@@ -92,11 +102,10 @@ def display(df: DataFrame, wanted: list[str] | None = None, labels: bool = True)
 
 def row_context(view: DataFrame, position: int, lab: str | None = None) -> DataFrame:
     """What stands beside the selected row: ``position_text``, the reference pair (null without bounds), and the lab to plot."""
-    total = F.count(F.lit(1)).over(Window.partitionBy())
+    total = view.agg(F.count(F.lit(1))).scalar()
     some = F.col("reference_min").isNotNull() | F.col("reference_max").isNotNull()
-    rows = view.withColumn("_total", total).filter(F.col("position") == position)
-    return rows.select(
-        "position", F.format_string("Row %d of %d", (F.col("position") + 1).cast("long"), "_total").alias("position_text"),
+    return view.filter(F.col("position") == position).select(
+        "position", F.format_string("Row %d of %d", (F.col("position") + 1).cast("long"), total).alias("position_text"),
         F.when(some, F.struct(F.col("reference_min").alias("min"), F.col("reference_max").alias("max"))).alias("selected_ref"), (F.lit(lab) if lab else F.col("lab_name")).alias("plot_lab"),
     )
 
@@ -104,7 +113,7 @@ def row_context(view: DataFrame, position: int, lab: str | None = None) -> DataF
 def plot_series(df: DataFrame, lab: str) -> DataFrame:
     """A lab's dated values in order of time, with the first unit that is known."""
     rows = df.filter((F.col("lab_name") == lab) & F.col("date").isNotNull() & F.col("value").isNotNull())
-    first = F.first("lab_unit", ignorenulls=True).over(Window.partitionBy("lab_name").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = rows.agg(F.min_by("lab_unit", F.when(F.col("lab_unit").isNotNull(), F.struct("date", "lab_unit")))).scalar()
     return rows.withColumn("lab_unit", first).orderBy("date")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from assayflow.operators.dedup import repeated_keys, repeated_rows
 
@@ -29,24 +29,21 @@ def outliers(df: DataFrame, lab: str = "lab_name", unit: str = "lab_unit", value
 
 
 def integrity_violations(df: DataFrame, key: str) -> DataFrame:
-    """All checks of dates, repeats, units and values."""
+    """All checks of dates, repeats, units and values. What a row tells by itself is found in one pass."""
     v, unit, lab = F.col("value"), F.col("lab_unit"), F.col("lab_name")
-
-    def broken(check: str, rows: DataFrame, bad: Column | None = None) -> DataFrame:
-        rows = rows if bad is None else rows.filter(F.coalesce(bad, F.lit(False)))
-        return rows.select(F.lit(check).alias("check"), F.col(key).alias("row_key"))
-
-    parts = [
-        broken("no date", df, F.col("date").isNull()),
-        broken("repeated row", repeated_rows(df, [c for c in df.columns if c != key])),
-        broken("repeated date and lab", repeated_keys(df, ["date", "lab_name"])),
-        broken("percent without (%)", df, (unit == "%") & ~lab.endswith("(%)")),
-        broken("percent out of bounds", df, (unit == "%") & ((v < 0) | ((v > 100) & ~lab.isin(*PERCENT_EXCEPTIONS)))),
-        broken("boolean not 0 or 1", df, (unit == "boolean") & (v.isNull() | ~v.isin(0.0, 1.0))),
-        broken("inconsistent unit", df.join(unit_inconsistency(df), "lab_name", "left_semi")),
-        broken("outlier", outliers(df)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    own = {
+        "no date": F.col("date").isNull(),
+        "percent without (%)": (unit == "%") & ~lab.endswith("(%)"),
+        "percent out of bounds": (unit == "%") & ((v < 0) | ((v > 100) & ~lab.isin(*PERCENT_EXCEPTIONS))),
+        "boolean not 0 or 1": (unit == "boolean") & (v.isNull() | ~v.isin(0.0, 1.0)),
+    }
+    several = {
+        "repeated row": repeated_rows(df, [c for c in df.columns if c != key]),
+        "repeated date and lab": repeated_keys(df, ["date", "lab_name"]),
+        "inconsistent unit": df.join(unit_inconsistency(df), "lab_name", "left_semi"),
+        "outlier": outliers(df),
+    }
+    out = df.select(F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(check)) for check, bad in own.items())))).alias("check"), F.col(key).alias("row_key"))
+    for check, rows in several.items():
+        out = out.unionByName(rows.select(F.lit(check).alias("check"), F.col(key).alias("row_key")))
     return out

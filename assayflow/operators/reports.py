@@ -35,11 +35,25 @@ def with_flags(rows: DataFrame, flagged: DataFrame, keys: list[str], codes: list
     return rows.join(named, keys, "left").withColumns({c: F.coalesce(F.array_contains("_codes", c), F.lit(False)) for c in codes}).drop("_codes")
 
 
+def corpus_rollup(rows: DataFrame, reason: str = "review_reason") -> DataFrame:
+    """``kind, name, source_file, n, whole``: rows by status and by reason, in each document and (``whole``) in all, and how many there are.
+
+    One scan: a row is taken apart into what it counts for, and counted by grouping sets.
+    """
+    pair = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    own = F.array(pair("rows", F.lit("all")), pair("status", T.status_label(F.col("review_status"))))
+    reasons = F.coalesce(F.transform(T.reason_codes(F.col(reason)), lambda code: pair("reason", code)), F.array().cast("array<struct<kind:string,name:string>>"))
+    parts = rows.select("source_file", F.inline(F.concat(own, reasons)))
+    sets = parts.groupingSets([["kind", "name"], ["kind", "name", "source_file"]], "kind", "name", "source_file")
+    return sets.agg(F.count(F.lit(1)).alias("n"), (F.grouping("source_file") == 1).alias("whole")).select("kind", "name", "source_file", "n", "whole")
+
+
 def corpus_counts(rows: DataFrame, reason: str = "review_reason") -> DataFrame:
     """``kind, name, n``: rows by document, status and reason, what a report of the corpus lists."""
-    parts = (("document", F.col("source_file")), ("status", T.status_label(F.col("review_status"))), ("reason", F.explode(T.reason_codes(F.col(reason)))))
-    frames = [rows.select(F.lit(kind).alias("kind"), c.alias("name")).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")) for kind, c in parts]
-    return frames[0].union(frames[1]).union(frames[2])
+    counts = corpus_rollup(rows, reason)
+    document = (F.col("kind") == "rows") & ~F.col("whole")
+    kept = counts.filter(document | ((F.col("kind") != "rows") & F.col("whole")))
+    return kept.select(F.when(document, "document").otherwise(F.col("kind")).alias("kind"), F.when(document, F.col("source_file")).otherwise(F.col("name")).alias("name"), "n")
 
 
 def units_without_conversion(rows: DataFrame, specs: Specs) -> DataFrame:

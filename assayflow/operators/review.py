@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayflow.functions import text as T
 from assayflow.functions.text import UNKNOWN
+from assayflow.operators.positions import global_positions
 
 IDENTITY = ["source_file", "page_number", "result_index"]
 # ---- fixed values: the export, in order -----------------------------------------------------------
@@ -193,8 +194,10 @@ def initial_document(summary: DataFrame, priority: bool = True) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[Column | str], by: list[str] | None = None) -> DataFrame:
-    """``position`` from zero. Rows are of one view (a document, a filter): what a person pages through."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1)
+    """``position`` from zero: within each key of ``by`` (a document), or without one over the whole view, which is then written in order."""
+    if not by:
+        return global_positions(rows, order)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
 def select_row(view: DataFrame, position: int | None = None) -> DataFrame:
@@ -204,7 +207,7 @@ def select_row(view: DataFrame, position: int | None = None) -> DataFrame:
 
 def moves(view: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Of each row of a ``numbered`` view, ``previous`` and ``next`` positions, held at the ends."""
-    last = F.count(F.lit(1)).over(Window.partitionBy(*(by or []))) - 1
+    last = (F.count(F.lit(1)).over(Window.partitionBy(*by)) if by else view.agg(F.count(F.lit(1))).scalar()) - 1
     return view.withColumns({"previous": F.greatest(F.col("position") - 1, F.lit(0)), "next": F.least((F.col("position") + 1).cast("long"), last)})
 
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -175,21 +176,34 @@ def range_code(value: Column, low: Column, high: Column) -> Column:
     return F.when(low > high, "RANGE_INCONSISTENCY").when(value.isNotNull() & (size > 0) & (away > size * DEVIATIONS), "EXTREME_DEVIATION")
 
 
-def duplicate_entries(df: DataFrame, scope: list[str], raw: str = "raw_value", unit: str = "lab_unit", out: str = "duplicate_entry") -> DataFrame:
-    """All rows of a date and lab with several rows that don't say the same. Null dates or labs are never grouped.
+def duplicate_groups(df: DataFrame, scope: list[str], raw: str = "raw_value", unit: str = "lab_unit") -> DataFrame:
+    """``scope, date, lab_name`` of those with several rows that don't say the same. Null dates or labs are never grouped.
 
-    The same: equal limit signs, and values within the larger of 0.1 and one percent, or one raw text in one unit.
+    The same: equal limit signs, and values within the larger of 0.1 and one percent, or one raw text in one unit. All of it
+    are least and greatest values and counts, so a lab that everyone has on a day is one row of each task.
     """
-    group = Window.partitionBy(*scope, "date", "lab_name")
-    v = F.col("value")
-    n = F.count(F.lit(1)).over(group)
-    signs = (F.min("is_below_limit").over(group) == F.max("is_below_limit").over(group)) & (F.min("is_above_limit").over(group) == F.max("is_above_limit").over(group))
-    largest = F.greatest(F.abs(F.min(v).over(group)), F.abs(F.max(v).over(group)))
-    near = (F.count(v).over(group) == n) & (F.max(v).over(group) - F.min(v).over(group) <= F.greatest(F.lit(0.1), 0.01 * F.greatest(F.lit(1.0), largest)))
-    r = F.lower(F.trim(F.col(raw)))
-    text = (F.count(r).over(group) == n) & (F.min(r).over(group) == F.max(r).over(group)) & (F.min(unit).over(group).eqNullSafe(F.max(unit).over(group)))
-    keyed = F.col("date").isNotNull() & F.col("lab_name").isNotNull()
-    return df.withColumn(out, _true(keyed & (n > 1) & ~(_true(signs) & (_true(near) | _true(text)))))
+    r, n = F.lower(F.trim(F.col(raw))), F.count(F.lit(1)).alias("_n")
+    ends = {"v": F.col("value"), "below": F.col("is_below_limit"), "above": F.col("is_above_limit"), "raw": r, "unit": F.col(unit)}
+    found = [f(c).alias(f"_{kind}_{k}") for k, c in ends.items() for kind, f in (("low", F.min), ("high", F.max))]
+    groups = df.filter("date is not null and lab_name is not null").groupBy(*scope, "date", "lab_name").agg(n, F.count("value").alias("_values"), F.count(r).alias("_raws"), *found)
+    low, high = (lambda k: F.col(f"_low_{k}")), (lambda k: F.col(f"_high_{k}"))
+    signs = (low("below") == high("below")) & (low("above") == high("above"))
+    near = (F.col("_values") == F.col("_n")) & (high("v") - low("v") <= F.greatest(F.lit(0.1), 0.01 * F.greatest(F.lit(1.0), F.abs(low("v")), F.abs(high("v")))))
+    text = (F.col("_raws") == F.col("_n")) & (low("raw") == high("raw")) & low("unit").eqNullSafe(high("unit"))
+    return groups.filter((F.col("_n") > 1) & ~(_true(signs) & (_true(near) | _true(text)))).select(*scope, "date", "lab_name")
+
+
+def in_groups(df: DataFrame, groups: DataFrame, out: str) -> DataFrame:
+    """``out``: whether a row's ``groups`` columns are those of a group; null equals null. A group is one row of the join."""
+    keys = groups.columns
+    named = groups.select(*(F.col(c).alias(f"_in_{i}") for i, c in enumerate(keys)), F.lit(True).alias(out))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_in_{i}")) for i, c in enumerate(keys)))
+    return df.drop(out).join(named, same, "left").drop(*(f"_in_{i}" for i in range(len(keys)))).withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def duplicate_entries(df: DataFrame, scope: list[str], raw: str = "raw_value", unit: str = "lab_unit", out: str = "duplicate_entry") -> DataFrame:
+    """Whether a row is of a group of ``duplicate_groups``."""
+    return in_groups(df, duplicate_groups(df, scope, raw, unit), out)
 
 
 def unknown_mappings(df: DataFrame) -> DataFrame:
@@ -222,13 +236,14 @@ def validate(df: DataFrame, specs: Specs, scope: list[str] | None = None, order:
     for c, t in (("review_needed", "boolean"), ("review_reason", "string")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))
-    df = duplicate_entries(temporal_anomaly(plausibility(df, specs), specs.spec, scope, order), scope)
+    duplicates = duplicate_groups(df, scope)
+    df = temporal_anomaly(plausibility(df, specs), specs.spec, scope, order)
     df = df.withColumn("_range", range_code(F.col("value"), F.col("reference_min"), F.col("reference_max"))).withColumn("_format", format_artifact(F.col("raw_value"), F.col("value")))
     over = components_over_total(df, scope, order).select(*dict.fromkeys([*scope, *order]), F.lit(True).alias("_over"))
     df = df.join(over, list(dict.fromkeys([*scope, *order])), "left")
     ties = [(r["name"], r["target"], r["formula"], r["tolerance_percent"]) for r in specs.relationship.collect()]  # a few formulas
     off = relationship_mismatches(df, ties, scope, order).select(*scope, "date", F.col("target").alias("lab_name"), F.lit(True).alias("_off")).distinct()
-    df = df.join(off, [*scope, "date", "lab_name"], "left")
+    df = in_groups(df.join(off, [*scope, "date", "lab_name"], "left"), duplicates, "duplicate_entry")
     code = F.col("plausibility_code")
     checks = (
         (code == "NEGATIVE_VALUE", "NEGATIVE_VALUE"), (code == "PERCENTAGE_BOUNDS", "PERCENTAGE_BOUNDS"), (code == "IMPOSSIBLE_VALUE", "IMPOSSIBLE_VALUE"),

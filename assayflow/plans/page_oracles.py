@@ -56,6 +56,9 @@ ORACLE_SQL: dict[str, str] = {
     "page_rows_forward": f"WITH {PAGES} SELECT source_file, page_number, result_index, forward AS date FROM rr WHERE status = 'accepted'",
     "flatten_array_rows": f"WITH {PAGES} SELECT source_file, count(*) AS n, max(result_index) AS last, count(raw_value) AS n_values FROM rr GROUP BY 1",
     "document_date_fill": f"WITH {PAGES} SELECT DISTINCT source_file, date FROM rr",
+    "page_repair": """WITH c AS (SELECT conv_id, turn // 2 AS p, turn, role, length(text) AS n, (length(text) + turn) % 8 AS k FROM conversations),
+        e AS (SELECT c.*, j FROM c, range(2) AS o(j) WHERE k <> 7 AND (j = 0 OR k = 5) AND NOT ((conv_id + p) % 4 = 3 AND conv_id % 5 = 0))
+        SELECT conv_id, p, row_number() OVER (PARTITION BY conv_id, p ORDER BY turn, role, n, j) - 1 AS i, role || ' ' || (n % 9) AS raw_lab_name, CAST(n AS VARCHAR) AS raw_value, n % 50 + 0.5::DOUBLE AS raw_reference_min FROM e""",
     "page_failures": f"WITH {PAGES} SELECT stem || ' page ' || (p + 1) AS page, CASE WHEN p % 2 = 0 THEN 'unreadable' ELSE 'unknown' END AS reason FROM pg WHERE failed",
     "page_markers": f"WITH {PAGES} SELECT stem || '.pdf' AS source_file, p + 1 AS page_number, p AS anchor_result_index FROM pg WHERE conv_id % 5 = 0",
     "page_reuse": f"WITH {BOXES} SELECT stem, bool_and(NOT failed AND NOT broken AND NOT columns_) AS reusable FROM box GROUP BY 1",
@@ -131,6 +134,9 @@ ORACLE_SQL: dict[str, str] = {
         count(DISTINCT lab_name) FILTER (row_seq % 7 = 0) AS distinct_labs, count(DISTINCT lab_unit) FILTER (row_seq % 5 = 0) AS distinct_units FROM obs""",
     "corpus_counts": f"""WITH {FLAGGED} SELECT 'document' AS kind, source_file AS name, count(*) AS n FROM flagged GROUP BY ALL UNION ALL SELECT 'status', coalesce(nullif(review_status, ''), 'pending'), count(*) FROM flagged GROUP BY ALL
         UNION ALL SELECT 'reason', x, count(*) FROM (SELECT trim(unnest(string_split(review_reason, ';'))) AS x FROM flagged) WHERE x <> '' GROUP BY ALL""",
+    "corpus_rollup": f"""WITH {FLAGGED}, c AS (SELECT source_file, 'rows' AS kind, 'all' AS name FROM flagged UNION ALL SELECT source_file, 'status', coalesce(nullif(review_status, ''), 'pending') FROM flagged
+        UNION ALL SELECT source_file, 'reason', x FROM (SELECT source_file, trim(unnest(string_split(review_reason, ';'))) AS x FROM flagged) WHERE x <> '')
+        SELECT kind, name, source_file, count(*) AS n, grouping(source_file) = 1 AS whole FROM c GROUP BY GROUPING SETS ((kind, name), (kind, name, source_file))""",
     "batch_flags": f'WITH {OBS} SELECT row_seq, coalesce(value > 60, false) AS "HIGH", coalesce(k = 3, false) AS "THREE" FROM obs',
     # review work
     "judged_requests": f"WITH {REQUESTS} SELECT * FROM judged",

@@ -8,7 +8,7 @@ from assayflow.functions import dates, numeric, text as T
 from assayflow.operators import explore, normalize, refresh, reports, review, standardize
 from assayflow.operators.specs import Specs
 from assayflow.plans.queries import NAME_CACHE, QUERIES, _flagged, obs, query, raw_text, read, specs, values
-from assayflow.sources import pages, snapshots
+from assayflow.sources import pages, repair, snapshots
 
 
 # ---- pages from conversations ------------------------------------------------------------------------
@@ -100,6 +100,33 @@ def page_null_values(spark, sf_dir):
     return reports.null_value_pages(_pages(spark, sf_dir)).select("stem", "page", F.round("null_share", 6).alias("null_share"))
 
 
+def _broken_pages(spark, sf_dir) -> DataFrame:
+    """``conv_id, p, text``: pages whose rows are packed, paired, nested, written as text or cut off, one for each message."""
+    n = F.length("text")
+    name, value, low = F.concat("role", F.lit(" "), (n % 9).cast("string")), n.cast("string"), F.concat((n % 50).cast("string"), F.lit(",5"))
+    row = F.format_string('{"raw_lab_name": "%s", "raw_value": %s, "raw_reference_min": "%s"}', name, value, low)
+    as_text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    shapes = [
+        row, as_text(row), F.format_string('[["raw_lab_name", "%s"], ["raw_value", %s], ["raw_reference_min", "%s"]]', name, value, low),
+        F.format_string('["raw_lab_name", "%s", "raw_value", %s, "raw_reference_min", "%s"]', name, value, low),
+        F.format_string('"raw_lab_name: %s; raw_value: %s, RAW_REFERENCE_MIN = %s |"', name, value, low), F.format_string("[[%s, %s]]", row, row),
+        as_text(F.replace(row, F.lit('"'), F.lit("'"))), as_text(F.left(row, F.lit(25))),
+    ]
+    shape = F.coalesce(*(F.when((n + F.col("turn")) % 8 == i, s) for i, s in enumerate(shapes)))
+    grouped = read(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("p")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", n.alias("n"), shape.alias("s")))).alias("m"))
+    items = F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["s"]), ", "), F.lit("]"))
+    form, page = (F.col("conv_id") + F.col("p")) % 4, lambda x: F.concat(F.lit('{"lab_results": '), x, F.lit("}"))
+    text = F.when(form == 1, page(as_text(items))).when(form == 2, page(page(items))).when((form == 3) & (F.col("conv_id") % 5 == 0), F.concat(F.lit('{"lab_results": '), items)).otherwise(page(items))
+    return grouped.select("conv_id", "p", text.alias("text"))
+
+
+@query
+def page_repair(spark, sf_dir):
+    """Rows out of payloads that no parser takes as they are."""
+    found = repair.with_rows(_broken_pages(spark, sf_dir)).select("conv_id", "p", F.posexplode("results").alias("i", "r"))
+    return found.select("conv_id", F.col("p").cast("long").alias("p"), F.col("i").cast("long").alias("i"), "r.raw_lab_name", "r.raw_value", "r.raw_reference_min")
+
+
 @query
 def page_renames(spark, sf_dir):
     """Fields renamed and dropped inside the rows of pages."""
@@ -351,6 +378,12 @@ def corpus_counts(spark, sf_dir):
     return reports.corpus_counts(_flagged(spark, sf_dir))
 
 
+@query
+def corpus_rollup(spark, sf_dir):
+    """The same counts in each document and over all of them."""
+    return reports.corpus_rollup(_flagged(spark, sf_dir))
+
+
 @query
 def batch_flags(spark, sf_dir):
     rows = obs(spark, sf_dir).select("row_seq")

@@ -402,12 +402,7 @@ def explorer_filter_sort(spark, sf_dir):
 
 @query
 def latest_by_pill(spark, sf_dir):
-    rows = _flagged(spark, sf_dir)
-    parts = [explore.explore(rows, ["row_seq"], latest=latest, review=p).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("pill"), F.lit(latest).alias("latest"), "n") for p in ("All", "Unreviewed", "Abnormal", "Suboptimal", "Accepted", "Rejected") for latest in (False, True)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return explore.pill_counts(_flagged(spark, sf_dir), ["row_seq"], ("All", "Unreviewed", "Abnormal", "Suboptimal", "Accepted", "Rejected"))
 
 
 @query

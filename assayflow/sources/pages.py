@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import ast
-import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayflow.functions import dates, numeric, text as X
+from assayflow.sources import repair
+from assayflow.sources.repair import BOUND_FIELDS, BOX_FIELDS, RESULT, TEXT_FIELDS, whole_box
 
-# ---- fixed values: the fields of a page ------------------------------------------------------------
-TEXT_FIELDS = ("raw_lab_name", "raw_section_name", "raw_value", "raw_lab_unit", "raw_reference_range", "raw_comments", "review_reason", "review_status", "review_completed_at")
-BOUND_FIELDS = ("raw_reference_min", "raw_reference_max")
-BOX_FIELDS = ("bbox_left", "bbox_top", "bbox_right", "bbox_bottom")
-#: The name of the row that stands for a failed page.
+# ---- fixed values: the name of the row that stands for a failed page -------------------------------
 FAILED_NAME = "[EXTRACTION FAILED]"
 # ----------------------------------------------------------------------------------------------------
-RESULT = T.StructType(
-    [T.StructField(c, T.StringType()) for c in TEXT_FIELDS] + [T.StructField(c, T.DoubleType()) for c in BOUND_FIELDS + BOX_FIELDS] + [T.StructField("review_needed", T.BooleanType())]
-)
 MARKER = T.ArrayType(T.StructType([T.StructField("anchor_result_index", T.IntegerType()), T.StructField("created_at", T.StringType())]))
 #: Results stay raw JSON at first: one bad element must not void the array.
 PAGE = T.StructType([
@@ -61,114 +52,14 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
     return parsed.filter("payload is not null and try_parse_json(text) is not null").select("path", F.col("_d.stem").alias("stem"), F.col("_d.page").alias("page"), "payload", "text")
 
 
-# ---- repair ----------------------------------------------------------------------------------------
-_FIELD = re.compile(r"\b(" + "|".join([*TEXT_FIELDS[:6], *BOUND_FIELDS, *BOX_FIELDS]) + r")\s*[:=]\s*", re.IGNORECASE)
-
-
-def _parsed(text: str):
-    """JSON or a Python literal; None if neither."""
-    for read in (json.loads, ast.literal_eval):
-        try:
-            return read(text)
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            continue
-    return None
-
-
-def _packed(text: str) -> dict | None:
-    """A row written as ``field: value`` one after another."""
-    marks = list(_FIELD.finditer(text))
-    ends = [m.start() for m in marks[1:]] + [len(text)]
-    row = {m[1].lower(): text[m.end() : end].strip(" \t\r\n,;|") for m, end in zip(marks, ends)}
-    return row if row.get("raw_lab_name") else None
-
-
-def _paired(items: list) -> dict | None:
-    """A row written as pairs, or as keys and values in turn."""
-    if items and all(isinstance(x, list | tuple) and len(x) == 2 and isinstance(x[0], str) for x in items):
-        return {k: v for k, v in items}
-    if len(items) % 2 == 0 and items and all(isinstance(k, str) and k in RESULT.fieldNames() for k in items[::2]):
-        return dict(zip(items[::2], items[1::2]))
-    return None
-
-
-def rows_in(value, depth: int = 0) -> Iterator[dict]:
-    """The result rows in whatever a model returned for them: objects, lists, text of either, packed text."""
-    if depth > 20 or value is None:
-        return
-    if isinstance(value, dict):
-        if "lab_results" in value and "raw_lab_name" not in value:
-            yield from rows_in(value["lab_results"], depth + 1)
-        else:
-            yield value
-    elif isinstance(value, list | tuple):
-        row = _paired(list(value))
-        if row is not None:
-            yield row
-        else:
-            for item in value:
-                yield from rows_in(item, depth + 1)
-    elif isinstance(value, str):
-        inner = _parsed(value)
-        if inner is not None and not isinstance(inner, str | int | float):
-            yield from rows_in(inner, depth + 1)
-        elif (row := _packed(value)) is not None:
-            yield row
-
-
-def _number(value) -> float | None:
-    if isinstance(value, bool) or value is None:
-        return None
-    if isinstance(value, str):
-        text = value.strip()
-        if re.search(r", (?:raw_)?comments:", text, re.IGNORECASE):
-            text = text.split(",")[0].strip()
-        value = text.replace(",", ".") if "." not in text else text
-    try:
-        return float(value)
-    except (TypeError, ValueError):
-        return None
-
-
-def repair_row(row: dict) -> dict:
-    """Known fields in their types: whole numbers as text without a fraction, four box numbers or none."""
-    out: dict = {}
-    for c in TEXT_FIELDS:
-        v = row.get(c)
-        if isinstance(v, float) and v.is_integer():
-            v = int(v)
-        out[c] = None if v is None or v == "" else str(v)
-    out |= {c: _number(row.get(c)) for c in BOUND_FIELDS}
-    box = [_number(row.get(c)) for c in BOX_FIELDS]
-    out |= dict(zip(BOX_FIELDS, box if None not in box else [None] * 4))
-    out["review_needed"] = row.get("review_needed") if isinstance(row.get("review_needed"), bool) else None
-    return out
-
-
-def repair_results(texts: pd.Series) -> pd.Series:
-    """For each payload's JSON text, its result rows."""
-    found = []
-    for text in texts:
-        payload = _parsed(text) if isinstance(text, str) else None
-        found.append([repair_row(r) for r in rows_in(payload.get("lab_results") if isinstance(payload, dict) else payload)])
-    return pd.Series(found)
-
-
+# ---- results ---------------------------------------------------------------------------------------
 def with_results(pages: DataFrame) -> DataFrame:
-    """``results``: the rows of each page. Well-formed arrays of objects are read in the JVM; only what is not goes to Python."""
-    repair = F.pandas_udf(repair_results, T.ArrayType(RESULT))
+    """``results``: the rows of each page, whatever shape they came in; see ``repair.with_rows``."""
     raw = F.col("payload.lab_results")
-    plain = F.coalesce(F.forall(raw, lambda x: F.trim(x).startswith("{")), F.lit(False)) & ~F.coalesce(F.exists(raw, lambda x: x.rlike(r'"bbox_\w+"\s*:\s*"')), F.lit(False))
-    good = pages.filter(plain).withColumn("results", F.transform(raw, lambda x: F.from_json(x, RESULT)))
-    good = good.withColumn("results", F.transform("results", lambda r: _whole_box(r)))
-    return good.unionByName(pages.filter(~plain).withColumn("results", repair("text")))
-
-
-def _whole_box(r: Column) -> Column:
-    whole = r["bbox_left"].isNotNull() & r["bbox_top"].isNotNull() & r["bbox_right"].isNotNull() & r["bbox_bottom"].isNotNull()
-    for c in BOX_FIELDS:
-        r = r.withField(c, F.when(whole, r[c]))
-    return r
+    odd = rf'"lab_results"|"({"|".join(BOX_FIELDS + BOUND_FIELDS)})"\s*:\s*"|"({"|".join(TEXT_FIELDS)})"\s*:\s*[^"n\s]'  # numbers as text, or text as numbers
+    plain = F.coalesce(F.forall(raw, lambda x: F.trim(x).startswith("{") & ~x.rlike(odd)), F.lit(False))
+    read = F.transform(F.transform(raw, lambda x: F.from_json(x, RESULT)), whole_box)
+    return repair.with_rows(pages, "text", plain, read)
 
 
 # ---- review rows -----------------------------------------------------------------------------------

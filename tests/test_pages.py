@@ -4,11 +4,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from assayflow.sources import pages
+from assayflow.sources import pages, repair
 
 
 def results(payload):
-    (rows,) = pages.repair_results(pd.Series([json.dumps(payload)]))
+    (rows,) = repair.repair_results(pd.Series([json.dumps(payload)]))
     return [{k: v for k, v in r.items() if v is not None} for r in rows]
 
 
@@ -35,6 +35,36 @@ def test_boxes_and_types():
     assert b == G | {"raw_value": "7", "bbox_left": 8.0, "bbox_top": 9.0, "bbox_right": 64.5, "bbox_bottom": 21.0}
 
 
+SHAPES = [
+    [G], [json.dumps(G)], json.dumps([G]), [str(G)], G, str([G]), json.dumps(G), {"lab_results": [G, {"lab_results": [json.dumps([G])]}]}, [["raw_lab_name", "Glucose", "raw_value", 92, "raw_value", 93.0]],
+    [[["raw_lab_name", "Glucose"], ["raw_value", 1e3], ["raw_lab_unit", ""]]], ["raw_lab_name: Glucose, raw_value: 92; RAW_LAB_UNIT = mg/dL |", " \n", "raw_value: 1"], [[G, [G]]], [None, G, 5, "nothing here", True],
+    [json.dumps([json.dumps(G)])], [G | {"raw_reference_min": "1,5", "raw_reference_max": "1.20, raw_comments: twice", "review_needed": True}], [G | {"raw_reference_min": True, "raw_reference_max": "n/a", "review_needed": "yes", "raw_value": True}],
+    [G | {"bbox_left": "8", "bbox_top": 9, "bbox_right": "64,5", "bbox_bottom": "2e1"}], [G | {"bbox_left": 8}], None, 5, "no rows", [], {}, [json.dumps(G)[:-3]], [[[[[[[[[G]]]]]]]]], ["('raw_lab_name', 'Glucose', 'raw_value', 1)"],
+    [{"raw_value": 0.5}, {"raw_lab_name": "a", "raw_value": {"b": 1}}], [["a", "b"], ["c", "d"]], [["raw_lab_name"]], ["raw_lab_name: twice, raw_lab_name: Last, raw_value:"], ['{"raw_lab_name": "first", "raw_lab_name": "second"}'],
+]
+
+
+def test_spark_and_python_repair_alike(spark):
+    texts = [json.dumps({"lab_results": s}) for s in SHAPES] + [json.dumps([G]), "{}", "", None, "{'lab_results': [1, {'raw_lab_name': 'x'}]}", '{"lab_results": [{"raw_lab_name": "cut'] + [json.dumps({"lab_results": s, "a": 1}) for s in SHAPES[:3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    names = repair.RESULT.fieldNames()
+    got = {r.i: [tuple(x[c] for c in names) for x in r.results] for r in repair.with_rows(df).collect()}
+    own = repair.repair_results(pd.Series(texts))
+    for i, text in enumerate(texts):
+        expected = [tuple(x[c] for c in names) for x in own[i]]
+        if text and '{"b": 1}' in text:  # an object as a value: JSON here, Python's own form there
+            assert [x[:2] for x in got[i]] == [x[:2] for x in expected]
+            continue
+        assert got[i] == expected, text
+
+
+def test_python_sees_only_what_needs_it(spark):
+    needs = [[str(G)], str([G]), [[[[[[[[[G]]]]]]]]], ['{"raw_lab_name": "first", "raw_lab_name": "second"}'], [json.dumps(G)[:-3]], ["('raw_lab_name', 'Glucose', 'raw_value', 1)"], SHAPES[7]]
+    df = spark.createDataFrame([(i, json.dumps({"lab_results": shape})) for i, shape in enumerate(SHAPES)], "i int, text string").coalesce(1)
+    seen = df.filter(F.exists(repair.pieces(F.col("text")), lambda x: x["python"])).collect()
+    assert [SHAPES[r.i] for r in seen] == [s for s in SHAPES if s in needs]
+
+
 @pytest.fixture()
 def folder(tmp_path):
     def page(stem, n, payload, hash8="0a1b2c3d"):
