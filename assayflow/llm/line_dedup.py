@@ -287,16 +287,17 @@ class LineDedup:
 
     def kept(self) -> DataFrame:
         """``k1, k2, n_dropped, kept``: the rows that lose lines, with what is left of their texts."""
-        texts = self.rows.join(self.drops, ["k1", "k2"])
+        # Lines that go, and rows that lose them, grow with the corpus: no broadcast at any size.
+        texts = self.rows.join(self.drops.hint("merge"), ["k1", "k2"])
         return _without(texts, self.length).dropDuplicates(["k1", "k2"])
 
     def digest(self) -> DataFrame:
         """``doc_id, n_lines, n_dropped, kept_sha256`` of every row."""
         changed = self.kept().select("k1", "k2", "n_dropped", F.sha2("kept", 256).alias("left"))
-        out = self.prints.select("k1", "k2", "doc_id", "n_lines", "sha256").join(changed, ["k1", "k2"], "left")
+        out = self.prints.select("k1", "k2", "doc_id", "n_lines", "sha256").join(changed.hint("merge"), ["k1", "k2"], "left")
         return out.select("doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("left", "sha256").alias("kept_sha256"))
 
     def texts(self) -> DataFrame:
         """``doc_id, text`` of every row, without the lines it loses."""
-        out = self.rows.join(self.kept().select("k1", "k2", "kept"), ["k1", "k2"], "left")
+        out = self.rows.join(self.kept().select("k1", "k2", "kept").hint("merge"), ["k1", "k2"], "left")
         return out.select("doc_id", F.coalesce("kept", "text").alias("text"))
