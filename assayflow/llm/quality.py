@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayflow.llm.common import LOWER, Scratch
+from assayflow.llm.common import LOWER, Scratch, sum_vectors
 
 TEXT_DIM, META_DIM = 1 << 18, 1 << 12
 #: When a view is sure of a row: the probability, and the odds over those of the class at large.
@@ -73,40 +73,34 @@ class Linear:
             out[some] += np.add.reduceat(self.weights[flat], cuts[:-1][some])
         return out
 
-    @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, dim: int, unknown: float = 0.5, l2: float = 1e-2, steps: int = 60) -> Linear:
-        """Logistic regression on the features that the labels speak for, scaled by their log-count ratio.
-
-        A feature takes part if its likelihood ratio (G squared) exceeds twice the logarithm of the number of
-        features: chance alone would hardly lift any of so many above it.
-        """
-        share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else unknown
-        prior = float(np.log(share / (1 - share)))
-        if not 0 < y.sum() < len(y):
-            return cls(np.zeros(dim), prior)
-        flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        pos = np.bincount(flat, weights=y[of], minlength=dim)
-        neg = np.bincount(flat, minlength=dim) - pos
-        ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
-        ratio[_evidence(pos, neg, y.sum(), len(y) - y.sum()) <= 2 * np.log(np.count_nonzero(pos + neg) + 2)] = 0
-        used = np.flatnonzero(ratio)
-        place = np.full(dim, -1)
-        place[used] = np.arange(len(used))
-        inside = place[flat] >= 0
-        at, of = place[flat[inside]], of[inside]
-        ratio = ratio[used]
-        u, bias, n = np.zeros(len(used)), prior, len(rows)
-        m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-        for step in range(1, steps + 1):  # Adam on the whole sample
-            z = bias + np.bincount(of, weights=(ratio * u)[at], minlength=n)
-            error = (_sigmoid(z) - y) / n
-            g = np.r_[np.bincount(at, weights=error[of], minlength=len(used)) * ratio + l2 * u / n, error.sum()]
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            u, bias = u - move[:-1], bias - move[-1]
-        weights = np.zeros(dim)
-        weights[used] = ratio * u
-        return cls(weights, float(bias))
+
+def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """Log-count ratios of the features that the labels speak for, zero for all others.
+
+    A feature takes part if its likelihood ratio (G squared) exceeds twice the logarithm of the number of
+    features: chance alone would hardly lift any of so many above it.
+    """
+    ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
+    ratio[_evidence(pos, neg, n_pos, n_neg) <= 2 * np.log(np.count_nonzero(pos + neg) + 2)] = 0
+    return ratio
+
+
+def descend(at: np.ndarray, of: np.ndarray, y: np.ndarray, ratio: np.ndarray, start: np.ndarray, l2: float = 1e-2, steps: int = 60) -> np.ndarray:
+    """Logistic regression on some rows by Adam: multipliers of ``ratio``, then the bias, from ``start`` on.
+
+    ``at``: which of the features that take part each row (``of``) holds.
+    """
+    n, size = len(y), len(ratio)
+    u, bias = start[:-1], start[-1]
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    for step in range(1, steps + 1):
+        z = bias + np.bincount(of, weights=(ratio * u)[at], minlength=n)
+        error = (_sigmoid(z) - y) / n
+        g = np.r_[np.bincount(at, weights=error[of], minlength=size) * ratio + l2 * u / n, error.sum()]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        u, bias = u - move[:-1], bias - move[-1]
+    return np.r_[u, bias]
 
 
 def _ridge_logistic(x: np.ndarray, y: np.ndarray, intercept: float = 0.0, l2: float = 1.0) -> np.ndarray:
@@ -147,29 +141,22 @@ class CoTrained:
 
 
 class CoTraining:
-    """One question in training. ``y``: 0 or 1 of labelled rows; ``unknown``: the probability without any.
+    """One question in training. ``y``: 0 or 1 of the rows that calibrate; ``share``: of those that train, 1 in so many.
 
-    A quarter of the labelled rows calibrates and never trains. In each round both views are fitted on their own
-    labels and calibrated, and each passes rows that it is sure of to the other, with the probability that it
-    gives them. Sure means a probability of ``SURE`` or more, and odds at least ``GAIN`` times those of the class
-    at large: a view that knows nothing, but whose class is frequent, teaches nothing.
+    In each round both views are fitted on their own labels and calibrated, and each passes rows that it is sure of to
+    the other, with the probability that it gives them. Sure means a probability of ``SURE`` or more, and odds at least
+    ``GAIN`` times those of the class at large: a view that knows nothing, but whose class is frequent, teaches nothing.
     """
 
-    def __init__(self, text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, unknown: float = 0.5, seed: int = 1):
-        order = np.random.default_rng(seed).permutation(len(y))
-        check, train = order[: len(y) // 4], order[len(y) // 4 :]
-        self.y, self.unknown, self.share = y[check].astype(float), unknown, float(np.mean(y[train])) if len(train) else unknown
-        self.check = [[v[i] for i in check] for v in (text, meta)]
-        self.rows = [[v[i] for i in train] for v in (text, meta)]
-        self.labels = [[float(y[i]) for i in train] for _ in range(2)]
-        self.learns = 0 < self.y.sum() < len(check) and 0 < self.share < 1
+    def __init__(self, y: np.ndarray, share: float):
+        self.y, self.share = y.astype(float), share
+        self.learns = 0 < self.y.sum() < len(y) and 0 < share < 1
+        self.models: list[Linear] = []
         self.taught = [0, 0]  # rows that each view was given by the other
-        self.fit()
 
-    def fit(self) -> None:
-        """Both views on what each has now, and their calibration."""
-        self.models = [Linear.fit(rows, np.array(labels), dim, self.unknown) for rows, labels, dim in zip(self.rows, self.labels, (TEXT_DIM, META_DIM))]
-        z = [m.logits(*_flat(v)) for m, v in zip(self.models, self.check)]
+    def calibrate(self, models: list[Linear], z: tuple[np.ndarray, np.ndarray]) -> None:
+        """Take both views' models and how they are calibrated and combined, from their logits on the rows that calibrate."""
+        self.models = models
         flat = np.array([1.0, 0.0])
         self.scale = tuple(_ridge_logistic(x[:, None], self.y) if self.learns else flat for x in z)
         self.mix = np.array([1.0, 0.0, 0.0])
@@ -178,7 +165,8 @@ class CoTraining:
             self.mix = _ridge_logistic(np.c_[tuple(s[0] * x + s[1] for s, x in zip(self.scale, z))], self.y, -float(np.log(odds)))
 
     def logits(self, view: int, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        return self.scale[view][0] * self.models[view].logits(flat, cuts) + self.scale[view][1]
+        """Calibrated logits, rounded, so that the order of sums over tasks doesn't choose between rows that are as sure."""
+        return np.round(self.scale[view][0] * self.models[view].logits(flat, cuts) + self.scale[view][1], 6)
 
     def least(self, sign: int) -> float:
         """The calibrated logit for a class from which a view is sure."""
@@ -189,16 +177,16 @@ class CoTraining:
         """How many rows of a class a view passes in a round at most: in the classes' proportion."""
         return int(np.ceil(taught * (self.share if sign > 0 else 1 - self.share)))
 
-    def teach(self, view: int, rows: list[np.ndarray], probabilities: list[float]) -> None:
-        """Rows of the other view's features, with what ``view`` says of them."""
-        self.rows[1 - view] += rows
-        self.labels[1 - view] += probabilities
-        self.taught[1 - view] += len(rows)
-
     def model(self) -> CoTrained:
         return CoTrained(*self.models, self.scale, self.mix, tuple(self.taught))
 
 
+def split(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n labelled rows, in order of their ids, calibrate (a quarter) and which train."""
+    order = np.random.default_rng(seed).permutation(n)
+    return order[: n // 4], order[n // 4 :]
+
+
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int32), *rows]), np.r_[0, np.cumsum([len(r) for r in rows])].astype(int)
 
@@ -274,23 +262,128 @@ def _surest(logits: DataFrame, training: dict[str, CoTraining], taught: int) ->
     return out
 
 
+_DIMS = (TEXT_DIM, META_DIM)
+
+
+def _aims(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, float, np.ndarray]]:
+    """``uid, slot, y, features`` of training rows: slot 2q + k is view k of question q."""
+    for batch in batches:
+        for uid, text, meta, aims in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("uid", "text", "meta", "aims"))):
+            views = [np.frombuffer(x, np.int32) for x in (text, meta)]
+            for aim in aims:
+                yield uid, aim["slot"], aim["y"], views[aim["slot"] % 2]
+
+
+def _ratios(train: DataFrame, unknown: list[float]) -> list[tuple[np.ndarray, float, bool]]:
+    """For each slot the log-count ratios, the prior logit, and whether there is anything to learn: from sums over tasks."""
+    slots = 2 * len(unknown)
+    starts = np.r_[0, np.cumsum([2 * _DIMS[s % 2] + 2 for s in range(slots)])]
+
+    def count(batches):
+        out = np.zeros(starts[-1])
+        for _, slot, y, features in _aims(batches):
+            at, dim = starts[slot], _DIMS[slot % 2]
+            out[at + features] += y
+            out[at + dim + features] += 1
+            out[at + 2 * dim] += y
+            out[at + 2 * dim + 1] += 1
+        return out
+
+    total, out = sum_vectors(train, count), []
+    total = np.zeros(starts[-1]) if total is None else total
+    for slot in range(slots):
+        dim, part = _DIMS[slot % 2], total[starts[slot] : starts[slot + 1]]
+        y, n = part[-2], part[-1]
+        share = float(np.clip(y / n, 1e-3, 1 - 1e-3)) if n else unknown[slot // 2]
+        learns = bool(1e-9 < y < n - 1e-9)
+        ratio = log_ratios(part[:dim], part[dim : 2 * dim] - part[:dim], y, n - y) if learns else np.zeros(dim)
+        out.append((ratio, float(np.log(share / (1 - share))), learns))
+    return out
+
+
+def _models(train: DataFrame, unknown: list[float]) -> list[Linear]:
+    """Each slot's model, fitted in a task of its own to the features that take part of the training rows.
+
+    These are some thousand at most of each row, and rows as many as the parameters bound.
+    """
+    ratios = _ratios(train, unknown)
+    used = [np.flatnonzero(r) for r, _, _ in ratios]
+    weights = [r[u] for (r, _, _), u in zip(ratios, used)]
+    learns, priors = [l for _, _, l in ratios], [p for _, p, _ in ratios]
+
+    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [np.full(dim, -1, np.int32) for dim in _DIMS * (len(used) // 2)]
+        for place, u in zip(places, used):
+            place[u] = np.arange(len(u))
+        for batch in batches:
+            rows = [(uid, slot, y, p[p >= 0].tobytes()) for uid, slot, y, features in _aims([batch]) if learns[slot] for p in [places[slot][features]]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.binary()))], ["uid", "slot", "y", "at"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("uid", "ascending"), ("y", "ascending")])  # whatever order they came in
+        slot = table.column("slot")[0].as_py()
+        rows = table.column("at").to_pylist()
+        at, of = np.frombuffer(b"".join(rows), np.int32), np.repeat(np.arange(len(rows)), [len(r) // 4 for r in rows])
+        found = descend(at, of, table.column("y").to_numpy(), weights[slot], np.r_[np.zeros(len(used[slot])), priors[slot]])
+        return pa.table({"slot": pa.array([slot], pa.int32()), "found": pa.array([found.tobytes()], pa.binary())})
+
+    rows = train.mapInArrow(restrict, "uid long, slot int, y double, at binary")
+    got = {r.slot: np.frombuffer(r.found) for r in rows.groupBy("slot").applyInArrow(fit, "slot int, found binary").collect()} if any(learns) else {}
+    out = []
+    for slot, (u, w, dim) in enumerate(zip(used, weights, _DIMS * (len(used) // 2))):
+        whole, bias = np.zeros(dim), priors[slot]
+        if slot in got:
+            whole[u], bias = w * got[slot][:-1], float(got[slot][-1])
+        out.append(Linear(whole, bias))
+    return out
+
+
+def _raw_logits(rows: DataFrame, models: list[Linear]) -> DataFrame:
+    """``uid`` and each slot's logit before calibration."""
+    names = [f"z{k}" for k in range(len(models))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = list(_columns(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(m.logits(*views[k % 2])) for k, m in enumerate(models))], ["uid", *names])
+
+    return rows.select("text", "meta", "uid").mapInArrow(run, "uid long, " + ", ".join(f"{n} double" for n in names))
+
+
 def _fit(docs: DataFrame, labels: DataFrame, labelled: int, taught: int, rounds: int) -> tuple[dict[str, CoTrained], DataFrame]:
-    """The models, and the features of all rows."""
-    scratch = Scratch(docs.sparkSession, "quality")
+    """The models, and the features of all rows. The driver holds labels, logits and weights: features stay in tables."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
     features = scratch.save(_features(docs), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(q).cast("int").alias(q) for q in QUESTIONS))
     marks = marks.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(*(F.max(q).alias(q) for q in QUESTIONS))
     known = features.filter("doc_id is not null").groupBy("doc_id").agg(F.min("uid").alias("uid")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    got = features.join(F.broadcast(known.drop("doc_id")), "uid").select("doc_id", "text", "meta", *QUESTIONS).toArrow().to_pylist()
-    got.sort(key=lambda r: r["doc_id"])  # whatever order the tasks end in
-    read = lambda r: tuple(np.frombuffer(r[c], np.int32) for c in ("text", "meta"))
-    training = {}
-    for q, unknown in QUESTIONS.items():
-        own = [r for r in got if r[q] is not None]
-        text, meta = ([read(r)[k] for r in own] for k in (0, 1))
-        training[q] = CoTraining(text, meta, np.array([r[q] for r in own], np.int64), unknown)
+    got = sorted((r.doc_id, r.uid, r.quality, r.toxic) for r in known.collect())
+    training, aims, checks = {}, {}, {}
+    for q, (name, unknown) in enumerate(QUESTIONS.items()):
+        own = [(uid, y[q]) for _, uid, *y in got if y[q] is not None]
+        check, train = split(len(own))
+        for i in train:
+            for k in (0, 1):
+                aims.setdefault(own[i][0], []).append((2 * q + k, float(own[i][1])))
+        checks[name] = [own[i] for i in check]
+        training[name] = CoTraining(np.array([y for _, y in checks[name]]), float(np.mean([own[i][1] for i in train])) if len(train) else unknown)
+
+    def rows_of(aims: dict[int, list]) -> DataFrame:
+        """The features of some rows beside what they teach."""
+        given = spark.createDataFrame(sorted(aims.items()), "uid long, aims array<struct<slot:int,y:double>>")
+        # As many rows as the parameters bound.
+        return features.select("uid", "text", "meta").join(F.broadcast(given), "uid").select("uid", "text", "meta", "aims")
+
+    train = scratch.save(rows_of(aims), "train")
+    check = scratch.save(rows_of({u: [] for own in checks.values() for u, _ in own}), "check")
     seen: set[tuple[str, int, int]] = set()
-    for round_ in range(rounds):
+    for round_ in range(rounds + 1):
+        models = _models(train, list(QUESTIONS.values()))
+        z = {r.uid: r for r in _raw_logits(check, models).collect()}
+        for q, (name, t) in enumerate(training.items()):
+            t.calibrate(models[2 * q : 2 * q + 2], tuple(np.array([z[u][f"z{2 * q + k}"] for u, _ in checks[name]]) for k in (0, 1)))
+        if round_ == rounds:
+            break
         logits = scratch.save(_logits(features, training).join(marks.select("doc_id"), "doc_id", "left_anti"), f"logits-{round_}")
         sure = _surest(logits, training, taught * (round_ + 1))  # beyond those passed before
         if sure is None:
@@ -300,13 +393,11 @@ def _fit(docs: DataFrame, labels: DataFrame, labelled: int, taught: int, rounds:
         if not picks:
             break
         seen |= {(r.question, r.view, r.uid) for r in picks}
-        wanted = docs.sparkSession.createDataFrame([(u,) for u in sorted({r.uid for r in picks})], "uid long")
-        rows = {r["uid"]: read(r) for r in features.join(F.broadcast(wanted), "uid").select("uid", "text", "meta").toArrow().to_pylist()}
-        for q, t in training.items():
-            for k in (0, 1):
-                own = [r for r in picks if (r.question, r.view) == (q, k)]
-                t.teach(k, [rows[r.uid][1 - k] for r in own], [float(_sigmoid(r.z)) for r in own])
-            t.fit()
+        aims = {}
+        for r in picks:
+            aims.setdefault(r.uid, []).append((2 * list(QUESTIONS).index(r.question) + 1 - r.view, float(_sigmoid(r.z))))
+            training[r.question].taught[1 - r.view] += 1
+        train = train.union(scratch.save(rows_of(aims), f"taught-{round_}"))
     return {q: t.model() for q, t in training.items()}, features
 
 
@@ -315,7 +406,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, ta
 
     The labelled rows are those of least hash of their id, ``labelled`` of them at most. In each round every
     unlabelled row of ``docs`` is scored by both views, and each passes the rows that it is surest of to the
-    other, at most ``taught``: what comes to the driver is bounded by these numbers, whatever the corpus.
+    other, at most ``taught``. Features are counted by class in sums over tasks, and the few that the labels speak for go on to
+    the fit, in a task for each view. To the driver come ids, labels, logits and weights, never a row's features.
 
     Defined cases: as ``quality_classifier``.
     """

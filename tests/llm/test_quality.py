@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from cases import awkward, frame, with_clashes
@@ -39,6 +40,25 @@ def test_held_out_accuracy(spark):
     assert np.mean([(got[i].p_quality >= 0.5) == truth[i][0] for i in rest]) > 0.95
 
 
+def fitted(rows, y, dim, unknown):
+    """A view's model on rows that are all in one list."""
+    share = float(np.clip(np.mean(y), 1e-3, 1 - 1e-3)) if y else unknown
+    prior, y = float(np.log(share / (1 - share))), np.array(y)
+    weights = np.zeros(dim)
+    if not 0 < y.sum() < len(y):
+        return quality.Linear(weights, prior)
+    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    pos, total = np.bincount(flat, weights=y[of], minlength=dim), np.bincount(flat, minlength=dim)
+    ratio = quality.log_ratios(pos, total - pos, y.sum(), len(y) - y.sum())
+    used = np.flatnonzero(ratio)
+    place = np.full(dim, -1)
+    place[used] = np.arange(len(used))
+    kept = place[flat] >= 0
+    x = quality.descend(place[flat[kept]], of[kept], y, ratio[used], np.r_[np.zeros(len(used)), prior])
+    weights[used] = ratio[used] * x[:-1]
+    return quality.Linear(weights, float(x[-1]))
+
+
 def plain(rows, labels, taught, rounds):
     """The models by the same rule, without Spark: every unlabelled row is in one list."""
     buckets, marks = quality._Buckets(), {}
@@ -49,20 +69,23 @@ def plain(rows, labels, taught, rounds):
     free, out = sorted(i for i in text if i not in marks), {}
     for c, (question, unknown) in enumerate(quality.QUESTIONS.items()):
         known = [i for i in sorted(text) if i in marks]
-        t = quality.CoTraining([text[i] for i in known], [meta[i] for i in known], np.array([marks[i][c] for i in known]), unknown)
+        check, train = ([known[j] for j in part] for part in quality.split(len(known)))
+        t = quality.CoTraining(np.array([marks[i][c] for i in check]), np.mean([marks[i][c] for i in train]))
+        views = [([v[i] for i in train], [float(marks[i][c]) for i in train]) for v in (text, meta)]
         seen = set()
-        for n in range(rounds):
-            picks = []
+        for n in range(rounds + 1):
+            models = [fitted(x, y, dim, unknown) for (x, y), dim in zip(views, (quality.TEXT_DIM, quality.META_DIM))]
+            t.calibrate(models, tuple(m.logits(*quality._flat([v[i] for i in check])) for m, v in zip(models, (text, meta))))
+            if n == rounds:
+                break
             for k, own in enumerate((text, meta)):
-                z = dict(zip(free, t.logits(k, *quality._flat([own[i] for i in free]))))
+                z, picks = dict(zip(free, t.logits(k, *quality._flat([own[i] for i in free])))), []
                 for sign in (1, -1):
                     sure = sorted((i for i in free if sign * z[i] >= t.least(sign)), key=lambda i: (-sign * z[i], i))[: t.quota(sign, taught * (n + 1))]
-                    picks += [(k, i, 1 / (1 + np.exp(-z[i]))) for i in sure if (k, i) not in seen]
-            for k, other in ((0, meta), (1, text)):
-                own = [(other[i], p) for v, i, p in picks if v == k]
-                t.teach(k, [x for x, _ in own], [p for _, p in own])
-            seen |= {(k, i) for k, i, _ in picks}
-            t.fit()
+                    picks += [i for i in sure if (k, i) not in seen]
+                views[1 - k] = (views[1 - k][0] + [(meta, text)[k][i] for i in picks], views[1 - k][1] + [1 / (1 + np.exp(-z[i])) for i in picks])
+                t.taught[1 - k] += len(picks)
+                seen |= {(k, i) for i in picks}
         out[question] = t.model()
     return out, text, meta
 
@@ -79,19 +102,26 @@ def test_models_against_a_plain_version(spark):
         assert np.allclose(a, b, atol=1e-3)
 
 
-def test_each_view_teaches_the_other():
-    # labels are few; only pseudo-labels can show the text view that feature 3 goes with class 1
-    r = np.random.default_rng(1)
-    y = r.integers(0, 2, 400)
-    meta = [np.array([1 if c else 2], np.int32) for c in y]
-    text = [np.array([3 if c else 4], np.int32) if i >= 40 else np.array([9], np.int32) for i, c in enumerate(y)]
-    t = quality.CoTraining(text[:40], meta[:40], y[:40])
-    assert t.model().text.weights[3] == 0
-    z = t.logits(1, *quality._flat(meta[40:]))
-    t.teach(1, text[40:], [float(quality._sigmoid(x)) for x in z])
-    t.fit()
-    weights = t.model().text.weights
-    assert weights[3] > 0.5 > -0.5 > weights[4] and t.model().taught == (360, 0)
+def test_each_view_teaches_the_other(spark):
+    """In a source that no label comes from, only the words of the labelled ones tell the class: the metadata view learns it from text. The other way round, new words are learnt from sources."""
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(900):
+        bad = r.random() < 0.4
+        where, words_ = ("old", "own") if i < 300 else ("new", "own") if i < 600 else ("old", "other")
+        w = [r.choice(FILL) for _ in range(40)] + ([f"bad{words_}"] * 2 if bad else [f"good{words_}"] * 2)
+        r.shuffle(w)
+        rows.append((i, " ".join(w), "en", f"{where}{int(bad)}", 0))
+        if i < 300:
+            labels.append((i, int(not bad), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(labels, LABELS)
+    alone, together = (quality.fit_quality(docs, labels, taught=300, rounds=n)["quality"] for n in (0, 3))
+    crc = lambda x, dim: zlib.crc32(x) % dim
+    for view, facts, dim in (("text", (b"badother", b"goodother"), quality.TEXT_DIM), ("meta", (b"source=new1", b"source=new0"), quality.META_DIM)):
+        bad, good = ([getattr(m, view).weights[crc(f, dim)] for f in facts] for m in (alone, together))
+        assert bad == [0, 0] and good[0] < -0.5 < 0.5 < good[1], view
+    assert min(together.taught) > 200
 
 
 def test_awkward_rows_and_labels(spark):
