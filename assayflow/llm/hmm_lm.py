@@ -203,18 +203,17 @@ def log10_likelihood(model: HMM, tokens: np.ndarray, starts: np.ndarray, lengths
 
 def _forward(model: HMM, tokens: np.ndarray, starts: np.ndarray, active: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Scaled forward values, emissions, scales and token numbers, step after step; ``before``: the values ahead of the first step, if sequences go on."""
-    kind = np.float64 if len(active) > LONG else np.float32  # rounding adds up over many steps
     cuts = np.r_[0, np.cumsum(active)]
     seen = np.empty(cuts[-1], np.int64)
     for t, n in enumerate(active):
         seen[cuts[t] : cuts[t + 1]] = tokens[starts[:n] + t]
-    emits = np.ascontiguousarray(model.emit.T, kind)[seen]
-    alphas, scales, move = np.empty_like(emits), np.empty((len(seen), 1), kind), model.move.astype(kind)
+    emits = np.ascontiguousarray(model.emit.T)[seen]
+    alphas, scales, move = np.empty_like(emits), np.empty((len(seen), 1)), model.move
     for t, n in enumerate(active):
         now = slice(cuts[t], cuts[t + 1])
         last = alphas[cuts[t - 1] : cuts[t - 1] + n] if t else before
-        alpha = (model.start.astype(kind) if last is None else last @ move) * emits[now]
-        scale = np.maximum(alpha.sum(1, keepdims=True), kind(1e-30))
+        alpha = (model.start if last is None else last @ move) * emits[now]
+        scale = np.maximum(alpha.sum(1, keepdims=True), 1e-30)
         np.divide(alpha, scale, out=alphas[now])
         scales[now] = scale
     return alphas, emits, scales, seen
@@ -224,27 +223,27 @@ def _backward(model: HMM, active: np.ndarray, found: tuple[np.ndarray, ...], bef
     """The expected counts of the steps, and what the last step before them needs: the values behind it, if sequences go on (``after`` likewise)."""
     alphas, emits, scales, seen = found
     states, classes = model.emit.shape
-    cuts, move = np.r_[0, np.cumsum(active)], model.move.astype(alphas.dtype)
+    cuts, move = np.r_[0, np.cumsum(active)], model.move
     ahead = emits  # becomes beta times emission over scale
     ahead /= scales
     gamma, moving = np.empty_like(alphas), np.zeros((states, states))
     for t in range(len(active) - 1, -1, -1):
         now, n = slice(cuts[t], cuts[t + 1]), active[t]
         m = active[t + 1] if t + 1 < len(active) else 0
-        beta = np.ones((n, states), alphas.dtype)
+        beta = np.ones((n, states))
         if m:
             following = ahead[cuts[t + 1] : cuts[t + 1] + m]
-            moving += alphas[cuts[t] : cuts[t] + m].T.astype(np.float64) @ following.astype(np.float64)  # so that the order of sums tells nothing
+            moving += alphas[cuts[t] : cuts[t] + m].T @ following
             beta[:m] = following @ move.T
         elif after is not None:
             beta = after
         np.multiply(alphas[now], beta, out=gamma[now])
         ahead[now] *= beta
     if before is not None:
-        moving += before.T.astype(np.float64) @ ahead[: cuts[1]]
+        moving += before.T @ ahead[: cuts[1]]
     starting = np.zeros((1, states)) if before is not None else gamma[: cuts[1]].sum(0, dtype=np.float64)[None, :]
     emitting = np.array([np.bincount(seen, weights=gamma[:, k], minlength=classes) for k in range(states)])
-    vector = np.concatenate([starting.ravel(), (moving * model.move).ravel(), emitting.ravel(), [np.log(scales.astype(np.float64)).sum(), len(seen)]])
+    vector = np.concatenate([starting.ravel(), (moving * model.move).ravel(), emitting.ravel(), [np.log(scales).sum(), len(seen)]])
     return vector, ahead[: cuts[1]] @ move.T
 
 
