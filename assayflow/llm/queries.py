@@ -43,17 +43,18 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC files, read back and audited against other files, in which some records have a changed byte and some are zeros."""
     scratch, pages = Scratch(spark, "warc"), table(spark, sf_dir, "pages")
     record = record_text(F.col("url").cast("string"), F.col("html").cast("string"))
-    last = F.expr("left(right(_r, 5), 1)")
-    damaged = F.concat(F.expr("left(_r, length(_r) - 5)"), F.when(last == "#", F.lit("!")).otherwise(F.lit("#")), F.lit("\r\n\r\n"))
-    zeros = F.concat(F.repeat(F.lit("\0"), F.length("_r") - 1), F.lit("\n"))
+    damaged = F.replace("_r", F.lit("HTTP/1.1 200 OK"), F.lit("HTTP/1.1 200 0K"))
+    zeros = F.concat(F.repeat(F.lit("\0"), F.octet_length("_r") - 1), F.lit("\n"))  # as many bytes, so that all else stays where it is
     other = F.when(F.col("page_id") % 193 == 5, zeros).when(F.col("page_id") % 97 == 13, damaged).otherwise(F.col("_r"))
     write_warc(pages, f"{scratch.root}/one")
     write_warc(pages.withColumn("_r", record), f"{scratch.root}/other", other)
     one, two = (read_warc(spark, f"{scratch.root}/{name}").filter("record is not null") for name in ("one", "other"))
     found = audit(one, two, scratch).select("file", "offset", "status")
-    listed = one.select("file", "offset", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"), F.col("record").cast("string").alias("text"))
-    names = listed.filter(F.col("text").startswith(META)).select("file", (F.col("offset") - 1).alias("offset"), F.regexp_extract("text", "\r\npage-id: (-?[0-9]*)\r\n", 1).try_cast("long").alias("page_id"))
-    out = listed.filter(~F.col("text").startswith(META)).drop("text").join(names, ["file", "offset"])
+    text = F.col("record").cast("string")
+    page = F.when(text.startswith(META), F.regexp_extract(text, "\r\npage-id: (-?[0-9]*)\r\n", 1))
+    listed = scratch.save(one.select("file", "offset", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"), page.alias("page")), "listed")
+    names = listed.filter("page is not null").select("file", F.col("offset").alias("behind"), F.col("page").try_cast("long").alias("page_id"))
+    out = listed.filter("page is null").withColumn("behind", F.col("offset") + F.col("n_bytes")).join(names, ["file", "behind"])
     return out.join(found, ["file", "offset"], "left").select("page_id", "n_bytes", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 

@@ -20,8 +20,8 @@ DISTANCE = 3
 WIDTHS = (16, 12, 9, 7, 5)
 #: Members of a group from which it is routed one level deeper.
 GROUP = 1024
-#: Children of a node of the tree.
-FAN = 16
+#: Children of a node of the tree: two neighbours in Gray order, which share more bits than any larger group.
+FAN = 2
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -68,52 +68,53 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 def _levels(keys: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """(least key, greatest key, mask, pattern) of the nodes of each level, the codes themselves first.
+    """(mask, pattern, first child) of the nodes of each level, the codes themselves first, one root for each key last.
 
-    A node factors out the bits that all codes below it share.
+    A node factors out the bits that all codes below it share. Below a root these are the key's bits at least: nodes
+    gather neighbours in Gray rank within a key, and never span two.
     """
-    low, high, ones, both = keys, keys, codes, codes
-    levels = [(low, high, np.full(len(codes), ~np.uint64(0)), codes)]
-    while len(ones) > 1:
-        starts = np.arange(0, len(ones), FAN)
-        low, high = low[starts], np.maximum.reduceat(high, starts)
-        ones, both = np.bitwise_or.reduceat(ones, starts), np.bitwise_and.reduceat(both, starts)
+    of = np.r_[0, np.cumsum(keys[1:] != keys[:-1])]
+    ones = both = codes
+    levels = [(np.full(len(codes), ~np.uint64(0)), codes, np.zeros(0, np.int64))]
+    while len(of) > of[-1] + 1:
+        place = np.arange(len(of)) - np.r_[0, np.flatnonzero(np.diff(of)) + 1][of]
+        first = np.flatnonzero(place % FAN == 0)
+        ones, both = np.bitwise_or.reduceat(ones, first), np.bitwise_and.reduceat(both, first)
         mask = ~(ones ^ both)
-        levels.append((low, high, mask, both & mask))
+        levels.append((mask, both & mask, np.r_[first, len(of)]))
+        of = of[first]
     return levels
 
 
 def index_links(keys: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, tally: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of codes of one key within the distance, in parts. Codes are sorted by key, then Gray rank.
 
-    Pairs of nodes descend from the root together. A pair adds the differences in the bits that both nodes
+    Pairs of nodes descend together from the root of their key. A pair adds the differences in the bits that both nodes
     share and those above them don't; one whose accumulated differences exceed the distance is pruned with
-    all that is below it, and so is one without a common key. ``tally`` counts pairs seen and pruned above the codes.
+    all that is below it. ``tally`` counts pairs of two nodes seen and pruned above the codes.
     """
     levels = _levels(keys, codes)
-    work = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64))]
+    top = np.flatnonzero(np.diff(np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]) > 1)  # roots of more than one code
+    work = [(len(levels) - 1, top, top, np.zeros(len(top), np.int64), np.zeros(len(top), np.uint64))] if len(levels) > 1 else []
     while work:
         level, left, right, spent, seen = work.pop()
-        if len(left) > 4096:  # bounded memory: halves, one after the other
+        if len(left) > 1 << 18:  # bounded memory: halves, one after the other
             half = len(left) // 2
             work += [(level, left[:half], right[:half], spent[:half], seen[:half]), (level, left[half:], right[half:], spent[half:], seen[half:])]
             continue
         if level == 0:
             yield left, right
             continue
-        low, high, mask, pattern = levels[level - 1]
-        i = (left[:, None] * FAN + np.arange(FAN)).repeat(FAN, axis=1).ravel()
-        j = np.tile(right[:, None] * FAN + np.arange(FAN), FAN).ravel()
-        up = np.arange(len(left)).repeat(FAN * FAN)
-        at = np.flatnonzero((i < len(mask)) & (j < len(mask)) & ((i < j) if level == 1 else (i <= j)))
-        i, j, up = i[at], j[at], up[at]
-        at = np.flatnonzero((low[i] <= high[j]) & (low[j] <= high[i]))
-        i, j, up = i[at], j[at], up[at]
+        first, (mask, pattern, _) = levels[level][2], levels[level - 1]
+        i = (first[left][:, None] + np.arange(FAN)).repeat(FAN, axis=1)
+        j = np.tile(first[right][:, None] + np.arange(FAN), FAN)
+        at = np.flatnonzero((i < first[left + 1][:, None]) & (j < first[right + 1][:, None]) & ((i < j) if level == 1 else (i <= j)))
+        i, j, up = i.ravel()[at], j.ravel()[at], at // (FAN * FAN)
         shared = mask[i] & mask[j]
         total = spent[up] + _popcount((pattern[i] ^ pattern[j]) & shared & ~seen[up])
         keep = np.flatnonzero(total <= distance)
         if tally is not None and level > 1:
-            tally["seen"], tally["pruned"] = tally.get("seen", 0) + len(i), tally.get("pruned", 0) + len(i) - len(keep)
+            tally["seen"], tally["pruned"] = tally.get("seen", 0) + int((i < j).sum()), tally.get("pruned", 0) + len(i) - len(keep)
         if len(keep):
             work.append((level - 1, i[keep], j[keep], total[keep], shared[keep]))
 
@@ -132,7 +133,7 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def group_forest(keys: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within each key, what is linked there: one per member at most. One tree spans all the keys."""
+    """Edges that connect, within each key, what is linked there: one per member at most. Each key has a tree of its own."""
     order = np.lexsort((gray_rank(codes), keys))
     keys, codes = keys[order], codes[order]
     label, left, right = np.arange(len(keys)), [], []
@@ -190,8 +191,8 @@ def fingerprint_edges(distinct: DataFrame, scratch: Scratch, group: int = GROUP)
     Two such codes share one of four 16-bit blocks: these shared patterns are the index's top nodes, and a
     code is routed to its own four only. A node with too many codes is replaced by the four nodes below
     each code's other bits, where the same holds again; at the last level a node has room for 2^15 codes.
-    So no group is unbounded, and none is dropped. What is routed to a task is sorted by node and Gray rank,
-    and one tree over it is searched; a task emits a forest, never its pairs.
+    So no group is unbounded, and none is dropped. What is routed to a task is sorted by node and Gray rank, and
+    the trees below these nodes are searched together; a task emits a forest, never its pairs.
     """
     rows = distinct.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("bits"), "fp")
     found = None

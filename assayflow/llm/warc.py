@@ -67,7 +67,7 @@ class _Data:
     """Bytes that come in chunks; what has been passed over is let go."""
 
     def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.held, self.at, self.damaged = chunks, bytearray(), 0, False
+        self.chunks, self.held, self.at, self.damaged, self.passed = chunks, bytearray(), 0, False, 0
 
     def need(self, n: int) -> bool:
         """Whether n bytes are there, as far as the source has them."""
@@ -97,7 +97,8 @@ class _Data:
         return out
 
     def skip(self, n: int) -> None:
-        self.at = min(self.at + n, len(self.held))
+        n = min(n, len(self.held) - self.at)
+        self.at, self.passed = self.at + n, self.passed + n
         if self.at > 4 * CHUNK:
             del self.held[: self.at]
             self.at = 0
@@ -169,28 +170,28 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
     ``whole``: a record that ends as it should; ``damaged``: one that doesn't, up to the next record; ``cut``:
     one that the file ends in; ``unreadable``: bytes that are no record, up to the next one, or a gzip member
     from where it can't be decompressed (record is None). Offsets are the file's; in a gzip member they are
-    the member's, plus the number of records before in the member. Every byte is passed over once.
+    the member's, plus the bytes before in what it decompresses to, and always beyond the record before. Every byte is passed over once.
     """
     view = memoryview(data)
     if view[:2] != b"\x1f\x8b":
-        at = 0
-        for size, record, status in _records(_Data(_plain(view))):
-            yield at, size, record, status
-            at += size
+        source = _Data(_plain(view))
+        for size, record, status in _records(source):
+            yield source.passed - size, size, record, status
         return
-    at = 0
+    at, last = 0, -1
     while at < len(view):
         member = _Member(view, at)
-        source, k = _Data(member.chunks()), 0
+        source = _Data(member.chunks())
         for size, record, status in _records(source):
             if not (source.damaged and status != "whole" and record is None):
-                yield at + k, size, record, status
-                k += 1
+                last = max(at + source.passed - size, last + 1)
+                yield last, size, record, status
         if not source.damaged and member.end is not None:
             at = member.end
             continue
         following = _next_member(data, at + 1)
-        yield at + k, following - at, None, "unreadable"
+        last = max(at + source.passed, last + 1)
+        yield last, following - at, None, "unreadable"
         at = following
 
 
@@ -281,9 +282,18 @@ def audit(one: DataFrame, other: DataFrame, scratch: Scratch) -> DataFrame:
     replica is all missing or all extra, and two empty ones agree; other columns are ignored, whatever their names.
     """
     a, b = Tree(one, scratch, "one"), Tree(other, scratch, "other")
-    kind = "file string, offset long, length long, other_length long, status string"
     if a.root == b.root:
-        return scratch.spark.createDataFrame([], kind)
+        return scratch.spark.createDataFrame([], "file string, offset long, length long, other_length long, status string")
+    x, y = (rows.alias(name) for rows, name in zip(differing_leaves(a, b, scratch), "xy"))
+    same = F.col("x.up_file") == F.col("y.up_file")
+    both = x.join(y, same & F.col("x.offset").eqNullSafe(F.col("y.offset")), "full").filter(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
+    place = (F.when(F.col("x.up_file").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c) for c in ("file", "offset"))
+    status = F.when(F.col("y.up_file").isNull(), "missing").when(F.col("x.up_file").isNull(), "extra").otherwise("changed")
+    return both.select(*place, F.col("x.length").alias("length"), F.col("y.length").alias("other_length"), status.alias("status"))
+
+
+def differing_leaves(a: Tree, b: Tree, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Both trees' leaves in the offset ranges that differ, found from the root down: all that an audit looks at."""
     found = scratch.spark.createDataFrame([("",)], "key string")
 
     def below(level: DataFrame) -> DataFrame:
@@ -293,9 +303,4 @@ def audit(one: DataFrame, other: DataFrame, scratch: Scratch) -> DataFrame:
         x = below(a.levels[i]).select("key", F.col("hash").alias("x"))
         y = below(b.levels[i]).select("key", F.col("hash").alias("y"))
         found = scratch.save(x.join(y, "key", "full").filter(~F.col("x").eqNullSafe(F.col("y"))).select("key"), f"differ-{i}")
-    x, y = below(a.leaves).alias("x"), below(b.leaves).alias("y")
-    same = F.col("x.up_file") == F.col("y.up_file")
-    both = x.join(y, same & F.col("x.offset").eqNullSafe(F.col("y.offset")), "full").filter(~F.col("x.hash").eqNullSafe(F.col("y.hash")))
-    place = (F.when(F.col("x.up_file").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c) for c in ("file", "offset"))
-    status = F.when(F.col("y.up_file").isNull(), "missing").when(F.col("x.up_file").isNull(), "extra").otherwise("changed")
-    return both.select(*place, F.col("x.length").alias("length"), F.col("y.length").alias("other_length"), status.alias("status"))
+    return below(a.leaves), below(b.leaves)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from cases import awkward, frame, with_clashes, words
 
 from assayflow.llm import simhash
@@ -67,17 +68,49 @@ def test_index_finds_every_link(seeds, flips):
 
 
 def test_tree_prunes_node_pairs_of_real_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    codes = np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()]).view(np.uint64)
+    """The query's own routing and trees: whole groups go by accumulated differences, and no link is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    codes = simhash.fingerprints(docs).select("fp").distinct()
+    rows = simhash._route(codes.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("bits"), "fp"), 0).select("key", "fp").toPandas()
+    keys, fp = rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
     tally = {}
-    edges = simhash.group_forest(np.zeros(len(codes), np.int64), codes, tally=tally)
-    assert tally["pruned"] > 0
-    root = components(codes.tolist())
-    label = {c: c for c in root}
-    for a, b in zip(*edges):  # a forest: each member points to the least place of its component
-        label[int(a)] = int(b)
-    groups = lambda of: {frozenset(c for c in root if of(c) == r) for r in {of(c) for c in root}}
-    assert groups(label.get) == groups(root.get)
+    edges = simhash.group_forest(keys, fp, tally=tally)
+    assert tally["pruned"] > 20 and tally["pruned"] > 0.2 * tally["seen"]
+    order = np.lexsort((simhash.gray_rank(fp), keys))
+    root = {int(c): int(c) for c in fp}
+    k, c = keys[order], fp[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(k)) + 1, len(k)]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(cuts[:-1], cuts[1:]):  # all pairs of each group
+        for i in range(a, b):
+            for j in range(i + 1, b):
+                if int(c[i] ^ c[j]).bit_count() <= 3:
+                    x, y = sorted((find(int(c[i])), find(int(c[j]))))
+                    root[y] = x
+    label = {x: x for x in root}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for x, y in zip(*edges):
+        x, y = sorted((top(int(x)), top(int(y))))
+        label[y] = x
+    groups = lambda of: {frozenset(g) for g in collect(of).values() if len(g) > 1}
+
+    def collect(of):
+        out = {}
+        for x in root:
+            out.setdefault(of(x), set()).add(x)
+        return out
+
+    assert groups(find) == groups(top) and groups(find)
 
 
 @pytest.mark.parametrize("group", [1024, 20])

@@ -27,7 +27,8 @@ def test_files_are_read_back(spark, tmp_path):
     warc.write_warc(table, str(tmp_path / "out"))
     rows = warc.read_warc(spark, str(tmp_path / "out")).orderBy("file", "offset").collect()
     assert {r.status for r in rows} == {"whole"} and len(rows) == 126
-    assert [r.offset for r in rows if r.file == rows[0].file] == list(range(sum(r.file == rows[0].file for r in rows)))
+    first = [r for r in rows if r.file == rows[0].file]
+    assert [r.offset for r in first] == [sum(r.length for r in first[:i]) for i in range(len(first))]  # bytes of the stream
     want = table.select("page_id", warc.record_text(F.col("url"), F.col("html")).alias("t")).collect()
     got = [(bytes(b.record).split(b"page-id: ")[1].split(b"\r")[0].decode(), bytes(a.record)) for a, b in zip(rows[::2], rows[1::2])]
     assert sorted(got) == sorted((str(w.page_id) if w.page_id is not None else "", w.t.encode()) for w in want)
@@ -53,8 +54,10 @@ def test_damage_becomes_rows_and_the_rest_is_read(spark, tmp_path):
     whole = [(o, len(p), "whole") for o, p in zip(places, parts)]
     packed = b"".join(members)
     assert parse(packed) == whole
-    assert parse(gzip.compress(plain)) == [(i, len(p), "whole") for i, p in enumerate(parts)]
-    assert parse(packed[:-3]) == [*whole[:3], (places[3], len(parts[3]), "whole"), (places[3] + 1, None, "unreadable")]
+    assert parse(gzip.compress(plain)) == sound
+    holed = plain[: starts[1]] + bytes(len(parts[1]) - 4) + b"\r\n\r\n" + plain[starts[2] :]
+    assert parse(gzip.compress(holed)) == [sound[0], (starts[1], None, "unreadable"), *sound[2:]]
+    assert parse(packed[:-3]) == [*whole[:3], (places[3], len(parts[3]), "whole"), (places[3] + len(parts[3]), None, "unreadable")]
     broken = bytearray(packed)
     broken[places[1] + 12] ^= 255
     assert parse(bytes(broken)) == [whole[0], (places[1], None, "unreadable"), *whole[2:]]
@@ -169,3 +172,21 @@ def test_only_branches_that_differ_are_read(spark, monkeypatch):
     (hit,) = warc.audit(make(rows), make(other), scratch).collect()
     assert (hit.file, hit.offset, hit.status) == (*rows[50][:2], "changed")
     assert set(sizes.values()) == {1}
+
+
+def test_a_changed_record_reads_the_leaves_of_its_range_only(spark, tmp_path):
+    table = pages(spark, 300).coalesce(1)
+    warc.write_warc(table, str(tmp_path / "one"))
+    text = warc.record_text(F.col("url"), F.col("html"))
+    changed = F.when(F.col("page_id") == 150, F.concat(F.expr("left(_r, length(_r) - 5)"), F.lit("#\r\n\r\n"))).otherwise(F.col("_r"))
+    warc.write_warc(table.withColumn("_r", text), str(tmp_path / "other"), changed)
+    one, other = (warc.read_warc(spark, str(tmp_path / name)).select("file", "offset", "record") for name in ("one", "other"))
+    scratch = Scratch(spark, "test")
+    a, b = warc.Tree(one, scratch, "one"), warc.Tree(other, scratch, "other")
+    ranges = a.leaves.groupBy("parent").count()
+    assert ranges.count() > 5 and a.levels[0].count() == ranges.count()
+    x, y = warc.differing_leaves(a, b, scratch)
+    (hit,) = warc.audit(one, other, Scratch(spark, "whole")).collect()
+    (seen,) = {r.parent for r in x.select("parent").collect()}
+    assert hit.status == "changed" and hit.offset >> warc.RANGE_BITS == int(seen.split("/")[-1])
+    assert x.count() == y.count() == a.leaves.filter(F.col("parent") == seen).count() < a.leaves.count() / 4
