@@ -48,12 +48,8 @@ def percent_ambiguity(rows: DataFrame, specs: Specs, out: str = "percent_ambigui
     return both.withColumn(out, sibling & ~told & ~ranged & ~F.col("lab_name_standardized").endswith(PERCENT)).drop("_share", "_count")
 
 
-def prepare_rows(rows: DataFrame, context: Context, mode: str) -> DataFrame:
-    """Review rows with standard names, primary values and flags. ``mode`` is 'review' (checks within a document) or 'export' (within the corpus).
-
-    The plan is cut twice by a written table: the checks join the rows with what they find in them, and would
-    else repeat all of the lookups before them, in planning and in running.
-    """
+def normalized_rows(rows: DataFrame, context: Context, mode: str) -> DataFrame:
+    """Review rows with standard names and primary values, before the checks on values. Each document's rows depend on that document alone."""
     if mode not in ("review", "export"):
         raise ValueError(f"mode is review or export, not {mode!r}")
     specs, review_mode = context.specs, mode == "review"
@@ -70,8 +66,20 @@ def prepare_rows(rows: DataFrame, context: Context, mode: str) -> DataFrame:
     rows = rows.withColumns({"review_reason": reason, "review_needed": flagged}).drop(*codes)
     if not review_mode:
         rows = review.exportable(rows)
-    rows = materialize(rows, "normalized")
-    return validate.validate(rows, specs, ["source_file"] if review_mode else [], ORDER)
+    return rows
+
+
+def checked_rows(rows: DataFrame, context: Context, mode: str) -> DataFrame:
+    return validate.validate(rows, context.specs, ["source_file"] if mode == "review" else [], ORDER)
+
+
+def prepare_rows(rows: DataFrame, context: Context, mode: str) -> DataFrame:
+    """Review rows with standard names, primary values and flags. ``mode`` is 'review' (checks within a document) or 'export' (within the corpus).
+
+    The plan is cut twice by a written table: the checks join the rows with what they find in them, and would
+    else repeat all of the lookups before them, in planning and in running.
+    """
+    return checked_rows(materialize(normalized_rows(rows, context, mode), "normalized"), context, mode)
 
 
 def review_ledger(rows: DataFrame, context: Context, decisions: DataFrame | None = None) -> DataFrame:
@@ -82,12 +90,17 @@ def review_ledger(rows: DataFrame, context: Context, decisions: DataFrame | None
 
 def final_export(rows: DataFrame, context: Context, decisions: DataFrame | None = None, allow_pending: bool = False) -> DataFrame:
     """The published table. Decisions count before checks, so a rejected row flags no other."""
+    return published(prepare_rows(decided_rows(rows, decisions, allow_pending), context, "export"), context)
+
+
+def decided_rows(rows: DataFrame, decisions: DataFrame | None, allow_pending: bool = False) -> DataFrame:
     if decisions is not None:
         rows = review.with_decisions(rows, decisions)
-    if not allow_pending:
-        rows = rows.filter(T.persisted_status(F.col("review_status")) == "accepted")
-    out = lookup(prepare_rows(rows, context, "export"), context.specs.spec, "lab_name", "lab_name", primary_unit="primary_unit")
-    return review.publish(out, ORDER, allow_pending=True)
+    return rows if allow_pending else rows.filter(T.persisted_status(F.col("review_status")) == "accepted")
+
+
+def published(checked: DataFrame, context: Context) -> DataFrame:
+    return review.publish(lookup(checked, context.specs.spec, "lab_name", "lab_name", primary_unit="primary_unit"), ORDER, allow_pending=True)
 
 
 def apply_requests(rows: DataFrame, context: Context, log: DataFrame, markers: DataFrame, requests: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -45,6 +45,15 @@ SUMMARY = FLAGGED + """, st AS (SELECT *, CASE WHEN doc % 3 = 0 THEN 'accepted'
 _RESTART = "concat_ws(', ', CASE WHEN pending > 0 THEN pending || ' pending row(s)' END, CASE WHEN markers > 0 THEN markers || ' unresolved missing-row marker(s)' END)"
 
 
+def _published(accepted: str) -> str:
+    """One row of each date and lab: the first in the primary unit, or else the first."""
+    return f"""WITH r AS (SELECT CAST(ts AS DATE) AS date, 'Blood - ' || event_type AS lab_name, CAST(CAST(value AS DECIMAL(12, 2)) AS DOUBLE) AS v, CASE WHEN event_id % 3 = 0 THEN 'mg/dL' ELSE 'g/L' END AS unit,
+            CASE event_type WHEN 'view' THEN 'mg/dL' ELSE 'g/L' END AS lab_unit, 'd' || (user_id % 40) || '.pdf' AS source_file, event_id AS result_index
+            FROM events WHERE event_type IN ('view', 'click') AND {accepted}),
+        n AS (SELECT *, row_number() OVER (PARTITION BY date, lab_name ORDER BY CASE WHEN unit = lab_unit THEN 0 ELSE 1 END, source_file, result_index) AS i FROM r)
+        SELECT date, lab_name, CASE WHEN unit = lab_unit THEN v WHEN lab_unit = 'mg/dL' THEN v * 100 ELSE v * 0.01 END AS value, lab_unit, source_file, result_index FROM n WHERE i = 1"""
+
+
 def _escape(x: str) -> str:
     return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
@@ -76,6 +85,12 @@ ORACLE_SQL: dict[str, str] = {
         source_file, result_index, CASE WHEN n % 2 = 0 THEN CAST(round_even((n % 500) * 1700.0 / 1000, 0) AS BIGINT) END AS "left", CASE WHEN n % 2 = 0 THEN 880 END AS bottom, raw_value FROM rr""",
     "snapshot_split": f"WITH {BOXES} SELECT stem, NOT (length(stem) % 2 = 0 AND bool_and(NOT failed AND NOT broken AND NOT columns_)) AS todo FROM box GROUP BY stem",
     "union_by_name": FIRST["union_by_name"],
+    "snapshot_merge": """SELECT s_name, CASE WHEN s_nationkey % 3 <> 1 THEN CAST(CAST(s_acctbal AS DECIMAL(12, 2)) AS VARCHAR) END AS acct,
+        CASE WHEN s_nationkey % 3 <> 2 THEN s_name || ', "x"' || chr(10) || 'next' END AS note FROM supplier""",
+    "snapshot_audit": "SELECT 'n' || s_nationkey AS path, count(*) AS n_rows, count(*) FILTER (s_suppkey % 17 = 0) AS n_malformed FROM supplier GROUP BY s_nationkey",
+    "whole_export": _published("event_id % 4 > 0"),
+    "incremental_export": _published("CASE user_id % 40 WHEN 3 THEN true WHEN 7 THEN event_id % 3 = 0 ELSE event_id % 4 > 0 END"),
+    "percent_ambiguity": f"WITH {OBS} SELECT row_seq, lab_name AS lab_name_standardized FROM obs WHERE lab_name = 'Blood - purchase' AND coalesce(lab_unit, '') <> 'mg/dL' AND coalesce(k <> 1, true)",
     "stale_difference": FIRST["stale_difference"],
     "categorize_rules": FIRST["categorize_rules"],
     "regression_canonical": '''SELECT coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '') || ',' || CASE WHEN o_orderkey % 3 = 0 THEN '"' || o_orderpriority || ',""' || '"' ELSE o_orderpriority END || ','

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayflow.functions import dates, numeric, text as T
 from assayflow.operators import explore, normalize, refresh, reports, review, standardize
 from assayflow.operators.specs import Specs
+from assayflow.plans import lab, rebuild
 from assayflow.plans.queries import NAME_CACHE, QUERIES, _flagged, obs, query, raw_text, read, specs, values
 from assayflow.sources import pages, repair, snapshots
+from assayflow.sources.sinks import scratch_path
 
 
 # ---- pages from conversations ------------------------------------------------------------------------
@@ -173,6 +175,78 @@ def union_by_name(spark, sf_dir):
     return snapshots.merge_documents([customers, suppliers]).groupBy("nation", "segment").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _snapshot_files(spark, sf_dir) -> DataFrame:
+    """``path, place, text``: each nation's suppliers as a CSV file, with other columns in other nations, and some lines too long."""
+    k, quoted = F.col("s_nationkey"), F.concat(F.lit('"'), "s_name", F.lit(', ""x""\nnext"'))
+    acct, name = F.col("s_acctbal").cast("decimal(12,2)").cast("string"), F.col("s_name")
+    line = F.when(k % 3 == 0, F.concat_ws(",", name, acct, quoted)).when(k % 3 == 1, F.concat_ws(",", quoted, name)).otherwise(F.concat_ws(",", name, acct))
+    line = F.concat(line, F.when(F.col("s_suppkey") % 17 == 0, ",more").otherwise(""))
+    head = F.when(k % 3 == 0, "s_name,acct,note").when(k % 3 == 1, "note,s_name").otherwise("s_name,acct")
+    lines = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(line).alias("lines"))
+    return lines.select(F.concat(F.lit("n"), k.cast("string")).alias("path"), k.cast("int").alias("place"), F.concat(head, F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n\n")).alias("text"))
+
+
+@query
+def snapshot_merge(spark, sf_dir):
+    """Snapshots with columns of their own as one table."""
+    return snapshots.merged_rows(snapshots.parse_snapshots(_snapshot_files(spark, sf_dir))).select("s_name", "acct", "note")
+
+
+@query
+def snapshot_audit(spark, sf_dir):
+    return snapshots.snapshot_audit(snapshots.parse_snapshots(_snapshot_files(spark, sf_dir))).select("path", "n_rows", "n_malformed")
+
+
+# ---- the whole chain ---------------------------------------------------------------------------------
+EXPORT_LABS = {
+    "Blood - view": dict(lab_type="blood", primary_unit="mg/dL", loinc_code="1-1", biological_max=5000, alternatives=[{"unit": "g/L", "factor": 100.0}]),
+    "Blood - click": dict(lab_type="blood", primary_unit="g/L", loinc_code="2-2", max_daily_change=20, alternatives=[{"unit": "mg/dL", "factor": 0.01}]),
+}
+EXPORTED = ["date", "lab_name", "value", "lab_unit", "source_file", "result_index"]
+
+
+def _reported(spark, sf_dir) -> tuple[DataFrame, lab.Context]:
+    """Events as rows that were read from pages: raw names, values and units, three of four accepted."""
+    rows = read(spark, sf_dir, "events").selectExpr(
+        "'d' || (user_id % 40) || '.pdf' AS source_file", "1 AS page_number", "CAST(event_id AS INT) AS result_index", "CAST(CAST(ts AS DATE) AS STRING) AS date", "event_type AS raw_lab_name",
+        "CAST(NULL AS STRING) AS raw_section_name", "CAST(CAST(value AS DECIMAL(12,2)) AS STRING) AS raw_value", "CASE WHEN event_id % 3 = 0 THEN 'mg/dL' ELSE 'g/L' END AS raw_lab_unit", "CAST(NULL AS STRING) AS raw_reference_range",
+        "CAST(NULL AS STRING) AS raw_comments", "CAST(NULL AS DOUBLE) AS raw_reference_min", "CAST(NULL AS DOUBLE) AS raw_reference_max", "false AS review_needed", "CAST(NULL AS STRING) AS review_reason", "CASE WHEN event_id % 4 > 0 THEN 'accepted' END AS review_status",
+    )
+    names = values(spark, "key string, lab_name string", [("view", "Blood - view"), ("click", "Blood - click")])
+    units = values(spark, "key string, unit string", [(f"{u.lower()}|blood - {n}", u) for n in ("view", "click") for u in ("mg/dL", "g/L")])
+    return rows, lab.Context(Specs.from_dict(spark, EXPORT_LABS), names, units)
+
+
+@query
+def whole_export(spark, sf_dir):
+    """From rows as they were read to the published table."""
+    rows, context = _reported(spark, sf_dir)
+    return lab.final_export(rows, context).select(*EXPORTED)
+
+
+def _decisions(rows: DataFrame) -> DataFrame:
+    """Two documents decided anew: one gets back what was pending, the other loses two thirds."""
+    status = F.when(F.col("source_file") == "d3.pdf", "accepted").when(F.col("result_index") % 3 > 0, "rejected").otherwise("accepted")
+    return rows.filter(F.col("source_file").isin("d3.pdf", "d7.pdf")).select(*IDENTITY, status.alias("status"), F.lit("1").alias("decided_at"))
+
+
+@query
+def incremental_export(spark, sf_dir):
+    """The published table after decisions on two documents, of which only what they touch is made again."""
+    rows, context = _reported(spark, sf_dir)
+    standing = rows.filter("review_status is not null").select(*IDENTITY, F.col("review_status").alias("status"), F.lit("0").alias("decided_at"))
+    store = rebuild.ExportStore(spark, scratch_path(spark, "export"))
+    store.build(rows, context, standing)
+    new = _decisions(rows)
+    return store.apply(rows, context, standing.unionByName(new), new.select("source_file")).select(*EXPORTED)
+
+
+@query
+def percent_ambiguity(spark, sf_dir):
+    rows = obs(spark, sf_dir).select("row_seq", F.col("lab_name").alias("lab_name_standardized"), F.when(F.col("lab_unit") != "g/L", F.col("lab_unit")).alias("raw_lab_unit"), F.when(F.col("k") == 1, 2.0).alias("raw_reference_min"), F.lit(None).cast("double").alias("raw_reference_max"))
+    return lab.percent_ambiguity(rows, specs(spark)).filter("percent_ambiguity").select("row_seq", "lab_name_standardized")
+
+
 @query
 def stale_difference(spark, sf_dir):
     return snapshots.stale_cases(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id")

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
-    """The rows as a table in the folder of ``spark.checkpoint.dir``, read again: what follows plans from there, and losing an executor costs nothing."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder of ``spark.checkpoint.dir``; where that is unset, a local session takes a temporary folder and any other raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(root or tempfile.gettempdir() + '/assayflow-scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(root or tempfile.gettempdir() + '/assayflow-scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows as a table in the shared scratch folder, read again: what follows plans from there, and losing an executor costs nothing."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def canonical_lines(df: DataFrame, order: list[str]) -> DataFrame:

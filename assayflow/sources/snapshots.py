@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayflow.sources.sinks import write_one_csv
 
@@ -19,27 +19,88 @@ def _missing(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(error)
 
 
+# A cell is quoted, with quotes inside doubled or after a backslash, or goes on up to a comma or the line's end.
+_QUOTED = r'(?s:"(?:[^"\\]++|\\.|"")*+")(?=[,\r\n]|\z)'
+_RECORD = rf"(?:{_QUOTED}|[^,\r\n]*+)(?:,(?:{_QUOTED}|[^,\r\n]*+))*+"
+_CELL = rf"({_QUOTED}|[^,]*+),"
+
+
+def _cells(record: Column) -> Column:
+    def plain(cell: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(cell, r'(?s)^"(.*)"$', "$1"), r'""|\\"', '"')
+        return F.when(cell == "", None).when(cell.startswith('"'), inner).otherwise(cell)
+
+    return F.transform(F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1)), plain)
+
+
+def parse_snapshots(files: DataFrame) -> DataFrame:
+    """``path, place, header, line, cells, malformed`` of CSV texts ``path, place, text``, each with a header of its own; a file of a header alone has one row without ``line``."""
+    records = files.select("path", "place", F.filter(F.regexp_extract_all("text", F.lit(_RECORD), F.lit(0)), lambda r: r != "").alias("r")).filter(F.size("r") > 0)
+    rows = records.select("path", "place", _cells(F.get("r", F.lit(0))).alias("header"), F.posexplode_outer(F.slice("r", 2, F.size("r"))).alias("line", "record"))
+    cells = F.when(F.col("record").isNotNull(), _cells(F.col("record")))
+    return rows.select("path", "place", "header", "line", cells.alias("cells")).withColumn("malformed", F.col("line").isNotNull() & (F.size("cells") != F.size("header")))
+
+
+def snapshot_audit(parsed: DataFrame) -> DataFrame:
+    """``path, n_rows, n_malformed, has_columns`` of each file of ``parse_snapshots``, in one scan."""
+    whole = F.forall(F.array(*map(F.lit, REQUIRED)), lambda c: F.array_contains("header", c))
+    return parsed.groupBy("path").agg(F.count("line").alias("n_rows"), F.count_if("malformed").alias("n_malformed"), F.bool_and(whole).alias("has_columns"))
+
+
+def merged_rows(parsed: DataFrame) -> DataFrame:
+    """The rows of all files by column names, null where a file has no such column. Columns come in the order of the files.
+
+    One pass finds the names, of which there are as many as columns; the rows are read in another.
+    """
+    heads = parsed.select("place", F.posexplode("header").alias("pos", "name")).groupBy("name").agg(F.min(F.struct("place", "pos")).alias("at"))
+    names = [r.name for r in heads.orderBy("at", "name").collect()]
+    cell = lambda name: F.get("cells", (F.array_position("header", name) - 1).cast("int"))
+    return parsed.filter("line is not null").select(*(F.when(F.array_contains("header", n), cell(n)).alias(n) for n in names))
+
+
+def snapshot_texts(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """``path, place, text`` of all files by one scan (None if there are none), and the paths that aren't there. A path may be a folder that Spark wrote."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    found, missing = [], []
+    for place, path in enumerate(first_seen(paths)):
+        where = hadoop.Path(path)
+        files = where.getFileSystem(conf)
+        if files.exists(where):
+            found.append((path, files.makeQualified(where).toString(), place))
+        else:
+            missing.append(path)
+    if not found:
+        return None, missing
+    named = spark.createDataFrame(found, "path string, at string, place int")
+    plain = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    texts = spark.read.text([at for _, at, _ in found], wholetext=True).select(F.explode(F.array(plain, F.regexp_replace(plain, "/[^/]*$", ""))).alias("at"), F.col("value").alias("text"))
+    return texts.join(named, "at").select("path", "place", "text"), missing
+
+
 def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[str]]:
     """A CSV snapshot for an audit, or None and what is wrong with it: not there, or empty. Malformed lines are counted."""
-    try:
-        lines = spark.read.text(path)
-        if lines.isEmpty():
-            return None, [f"snapshot is empty: {path}"]
-        schema = spark.read.option("header", "true").option("multiLine", "true").csv(path).schema
-    except AnalysisException as error:
-        if _missing(error):
-            return None, [f"snapshot not found: {path}"]
-        raise
-    names = [f.name for f in schema.fields]
-    kept = spark.read.option("header", "true").option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").schema(", ".join(f"`{n}` string" for n in [*names, "_bad"])).csv(path)
-    bad = kept.agg(F.count_if(F.col("_bad").isNotNull()).alias("n"), F.count(names[0])).first().n
-    return kept.drop("_bad"), [f"{bad} malformed line(s): {path}"] if bad else []
+    texts, missing = snapshot_texts(spark, [path])
+    if missing:
+        return None, [f"snapshot not found: {path}"]
+    parsed = parse_snapshots(texts)
+    found = snapshot_audit(parsed).first()
+    if found is None:
+        return None, [f"snapshot is empty: {path}"]
+    return merged_rows(parsed), [f"{found.n_malformed} malformed line(s): {path}"] if found.n_malformed else []
+
+
+def reusable_snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, has_columns``: whether each snapshot is there and has the columns that identify a row. One scan of all of them."""
+    asked = spark.createDataFrame([(p,) for p in first_seen(paths)], "path string")
+    texts, _ = snapshot_texts(spark, paths)
+    if texts is None:
+        return asked.withColumn("has_columns", F.lit(False))
+    known = snapshot_audit(parse_snapshots(texts)).select("path", "has_columns")
+    return asked.join(known, "path", "left").withColumn("has_columns", F.coalesce("has_columns", F.lit(False)))
 
 
 def reusable_snapshot(spark: SparkSession, path: str) -> bool:
-    """Whether a snapshot is there and has the columns that identify a row."""
-    snapshot, _ = load_snapshot(spark, path)
-    return snapshot is not None and set(REQUIRED) <= set(snapshot.columns)
+    return reusable_snapshots(spark, [path]).first().has_columns
 
 
 def first_seen(items: list[str]) -> list[str]:
@@ -49,14 +110,13 @@ def first_seen(items: list[str]) -> list[str]:
 
 def merge_snapshots(spark: SparkSession, paths: list[str], skip_missing: bool = False) -> DataFrame | None:
     """Snapshots as one table by column names, missing columns null; None without any. A path that isn't there raises, or is left out."""
-    frames = []
-    for path in first_seen(paths):
-        frame, issues = load_snapshot(spark, path)
-        if frame is not None:
-            frames.append(frame)
-        elif not skip_missing and "not found" in issues[0]:
-            raise FileNotFoundError(issues[0])
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+    texts, missing = snapshot_texts(spark, paths)
+    if missing and not skip_missing:
+        raise FileNotFoundError(f"snapshot not found: {missing[0]}")
+    if texts is None:
+        return None
+    merged = merged_rows(parse_snapshots(texts))
+    return merged if merged.columns else None
 
 
 def split_documents(documents: DataFrame, snapshots: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +152,11 @@ def copy_text(spark: SparkSession, source: str, target: str) -> bool:
 # ---- approved cases ----------------------------------------------------------------------------------
 def approved_cases(spark: SparkSession, folder: str) -> DataFrame:
     """``case_id, stem, file_hash, original_filename, profile, missing``: the cases below a folder, each with the files that it lacks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     parts = F.split("path", "/")
-    named = files.select(F.element_at(parts, -2).alias("case_id"), F.element_at(parts, -1).alias("name"), F.when(F.element_at(parts, -1) == "case.json", F.col("content").cast("string")).alias("text"))
+    case = F.element_at(parts, -2).alias("case_id")
+    names = files.load(folder).select(case, F.element_at(parts, -1).alias("name"), F.lit(None).cast("string").alias("text"))  # no file is opened for its name
+    named = names.union(files.option("pathGlobFilter", "case.json").load(folder).select(case, F.element_at(parts, -1), F.col("content").cast("string")))
     meta = F.from_json(F.max("text"), "stem string, file_hash string, original_filename string, profile string").alias("m")
     cases = named.groupBy("case_id").agg(F.array_except(F.array(*map(F.lit, CASE_FILES)), F.collect_set("name")).alias("missing"), meta)
     return cases.select("case_id", "m.*", F.array_join("missing", ", ").alias("missing"))

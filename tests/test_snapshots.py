@@ -87,6 +87,30 @@ def test_snapshots(spark, tmp_path):
     assert not snapshots.copy_text(spark, path("nothing.json"), path("copy2"))
 
 
+def test_as_many_jobs_for_many_snapshots_as_for_one(spark, tmp_path):
+    texts = ['source_file,page_number,result_index,v%d\n"a, ""b""\nc",1,%d,\n\nx,2,3\n' % (i % 3, i) for i in range(40)]
+    paths = []
+    for i, t in enumerate(texts):
+        (tmp_path / f"s {i}.csv").write_text(t)
+        paths.append(str(tmp_path / f"s {i}.csv"))
+
+    def jobs(paths):
+        group = f"g{len(paths)}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = snapshots.merge_snapshots(spark, paths).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), rows
+
+    (one, first), (many, rows) = jobs(paths[:1]), jobs(paths)
+    assert many <= one + 1 and len(rows) == 80  # files in large numbers are listed by a job
+    assert rows[0].__fields__ == ["source_file", "page_number", "result_index", "v0", "v1", "v2"]
+    assert [tuple(r) for r in first] == [('a, "b"\nc', "1", "0", None), ("x", "2", "3", None)]
+    assert snapshots.load_snapshot(spark, paths[0])[1] == [f"1 malformed line(s): {paths[0]}"]
+    spark.createDataFrame([(1, 'q"q,')], "source_file int, page_number string").write.option("header", "true").csv(str(tmp_path / "written"))
+    assert [tuple(r) for r in snapshots.merge_snapshots(spark, [str(tmp_path / "written")]).collect()] == [("1", 'q"q,')]
+    assert {r.path: r.has_columns for r in snapshots.reusable_snapshots(spark, [paths[3], "/nowhere.csv"]).collect()} == {paths[3]: True, "/nowhere.csv": False}
+
+
 def test_approved_cases(spark, tmp_path):
     for case, meta, files in (("one", {"stem": "s", "file_hash": "h", "original_filename": "o"}, 3), ("two", {"stem": "s", "file_hash": "h", "original_filename": "o"}, 3), ("three", {"stem": "t"}, 3), ("four", {"stem": "u"}, 2)):
         d = tmp_path / "cases" / case
