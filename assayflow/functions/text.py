@@ -94,10 +94,6 @@ def classify_qualitative(c: Column) -> Column:
     )
 
 
-def optional_text(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit("")))
-
-
 def blank_like(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)), F.lit("")).isin("", "nan", "none", "null")
 

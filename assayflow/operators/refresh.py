@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assayflow.functions import text as T
 from assayflow.functions.text import UNKNOWN
 from assayflow.operators.specs import Specs
 from assayflow.operators.standardize import standardize_names
+from assayflow.sources.sinks import materialize
 
 Mapper = Callable[[list[tuple[str, str | None]]], Iterable[tuple[str, str | None, str]]]
 
@@ -41,26 +44,56 @@ def answered(misses: DataFrame, answers: DataFrame, vocabulary: DataFrame, value
     return known.join(misses.select("key"), "key", "left_semi").groupBy("key").agg(F.min(value).alias(value))
 
 
-def refresh_names(rows: DataFrame, cache: DataFrame, specs: Specs, mapper: Mapper, order: str) -> DataFrame:
+#: Misses that the mapper is asked at a time.
+BATCH = 200
+
+
+def asked(misses: DataFrame, columns: list[str], mapper: Mapper, value: str, store: str | None = None) -> DataFrame:
+    """``key, value``: the mapper's answers to ``misses(key, *columns)``, asked in batches by the tasks.
+
+    With a ``store``, answers are kept in a table there, a task's as soon as the task is done: after a failure, and in later runs, what
+    was answered isn't asked again. Nothing passes the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), BATCH):
+                part = batch.iloc[at : at + BATCH]
+                rows = [tuple(None if pd.isna(x) else x for x in r) for r in part[columns].itertuples(index=False)]
+                keys = dict(zip(rows, part["key"]))
+                found = {tuple(a[:-1]): a[-1] for a in mapper(rows)}
+                yield pd.DataFrame([(keys[q], a) for q, a in found.items() if q in keys], columns=["key", value])
+
+    spark, kind = misses.sparkSession, f"key string, {value} string"
+    if store is None:
+        return materialize(misses.mapInPandas(run, kind), "answers")
+    try:
+        todo = misses.join(spark.read.schema(kind).parquet(store), "key", "left_anti")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        todo = misses
+    parts = spark.sparkContext.defaultParallelism  # a number of their own, which adaptive execution leaves
+    answers = materialize(todo, "asked").repartition(parts, "key").mapInPandas(run, kind)
+    answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+    return spark.read.schema(kind).parquet(store)
+
+
+def refresh_names(rows: DataFrame, cache: DataFrame, specs: Specs, mapper: Mapper, order: str, store: str | None = None) -> DataFrame:
     """The cache with the mapper's accepted answers. Misses are distinct spellings, so the mapper sees few of many rows."""
-    misses = missing_names(rows, cache, order)
-    asked = [(r.raw_lab_name, r.raw_section_name) for r in misses.toLocalIterator()]
-    if not asked:
+    misses = materialize(missing_names(rows, cache, order), "misses")
+    if misses.isEmpty():
         return cache
-    spark = rows.sparkSession
-    given = spark.createDataFrame(list(mapper(asked)), "raw_lab_name string, raw_section_name string, lab_name string")
-    answers = given.select(T.cache_key(F.col("raw_lab_name"), F.col("raw_section_name")).alias("key"), "lab_name")
+    answers = asked(misses, ["raw_lab_name", "raw_section_name"], mapper, "lab_name", store)
     return cache.select("key", "lab_name").unionByName(answered(misses, answers, specs.spec.select("lab_name"), "lab_name"))
 
 
-def refresh_units(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame, specs: Specs, mapper: Mapper) -> DataFrame:
+def refresh_units(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame, specs: Specs, mapper: Mapper, store: str | None = None) -> DataFrame:
     """The unit cache with the mapper's accepted answers. It is asked ``(raw unit, lab)`` and answers ``(raw unit, lab, unit)``."""
-    misses = missing_units(rows, name_cache, unit_cache)
-    asked = [(r.raw_unit, r.lab_name) for r in misses.toLocalIterator()]
-    if not asked:
+    misses = materialize(missing_units(rows, name_cache, unit_cache), "misses")
+    if misses.isEmpty():
         return unit_cache
-    given = rows.sparkSession.createDataFrame(list(mapper(asked)), "raw_unit string, lab_name string, unit string")
-    answers = given.select(F.concat(T.unit_key(F.coalesce("raw_unit", F.lit(""))), F.lit("|"), F.lower("lab_name")).alias("key"), "unit")
+    answers = asked(misses, ["raw_unit", "lab_name"], mapper, "unit", store)
     return unit_cache.select("key", "unit").unionByName(answered(misses, answers, specs.units(), "unit"))
 
 

@@ -91,6 +91,8 @@ ORACLE_SQL: dict[str, str] = {
     "whole_export": _published("event_id % 4 > 0"),
     "incremental_export": _published("CASE user_id % 40 WHEN 3 THEN true WHEN 7 THEN event_id % 3 = 0 ELSE event_id % 4 > 0 END"),
     "percent_ambiguity": f"WITH {OBS} SELECT row_seq, lab_name AS lab_name_standardized FROM obs WHERE lab_name = 'Blood - purchase' AND coalesce(lab_unit, '') <> 'mg/dL' AND coalesce(k <> 1, true)",
+    "ledger_new": """WITH f AS (SELECT page_id, CAST(page_id AS VARCHAR) AS path, sha256(html[1:60]) AS content_hash FROM pages)
+        SELECT content_hash, min(path) AS path FROM f WHERE page_id % 2 = 1 AND content_hash NOT IN (SELECT content_hash FROM f WHERE page_id % 2 = 0) GROUP BY content_hash""",
     "stale_difference": FIRST["stale_difference"],
     "categorize_rules": FIRST["categorize_rules"],
     "regression_canonical": '''SELECT coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '') || ',' || CASE WHEN o_orderkey % 3 = 0 THEN '"' || o_orderpriority || ',""' || '"' ELSE o_orderpriority END || ','

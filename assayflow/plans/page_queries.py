@@ -247,6 +247,13 @@ def percent_ambiguity(spark, sf_dir):
     return lab.percent_ambiguity(rows, specs(spark)).filter("percent_ambiguity").select("row_seq", "lab_name_standardized")
 
 
+@query
+def ledger_new(spark, sf_dir):
+    """Pages of the second half whose content no page of the first half has."""
+    found = read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.sha2(F.substring("html", 1, 60), 256).alias("content_hash"))
+    return pages.new_contents(found.filter("page_id % 2 = 1"), found.filter("page_id % 2 = 0"))
+
+
 @query
 def stale_difference(spark, sf_dir):
     return snapshots.stale_cases(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayflow.functions import dates, numeric, text as X
 from assayflow.sources import repair
+from assayflow.sources.sinks import materialize, write_counted
 from assayflow.sources.repair import BOUND_FIELDS, BOX_FIELDS, RESULT, TEXT_FIELDS, whole_box
 
 # ---- fixed values: the name of the row that stands for a failed page -------------------------------
@@ -35,6 +37,51 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFr
     return out.withColumn("document", F.concat_ws("_", X.document_label(F.col("name")), F.substring("content_hash", 1, 8)))
 
 
+LEDGER = "path string, length long, modified timestamp, content_hash string, document string"
+
+
+def new_contents(found: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Of ``found(path, content_hash)`` the contents that no run has seen, each under its first path."""
+    fresh = found.join(ledger.select("content_hash").distinct(), "content_hash", "left_anti")
+    return fresh.groupBy("content_hash").agg(F.min("path").alias("path"))
+
+
+def discover_new(spark: SparkSession, folder: str, ledger: str, pattern: str = "*.pdf") -> DataFrame:
+    """``path, document, content_hash`` of contents that runs before haven't seen; the ledger, a table at that path, remembers what was read.
+
+    Files are listed without being opened. Those whose path, size and time the ledger has are left alone; only the others are read and hashed.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(f"{folder}/*")
+    regex = "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern.lower()) + "$"
+    listed = files.select("path", "length", F.col("modificationTime").alias("modified")).filter(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(regex))
+    try:
+        known = spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        known = spark.createDataFrame([], LEDGER)
+    paths = [r.path for r in listed.join(known, ["path", "length", "modified"], "left_anti").select("path").toLocalIterator()]  # as a listing is: names only
+    if not paths:
+        return spark.createDataFrame([], "path string, document string, content_hash string")
+    read = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"))
+    label = F.concat_ws("_", X.document_label(F.element_at(F.split("path", "/"), -1)), F.substring("content_hash", 1, 8))
+    read = materialize(read.withColumn("document", label), "discovered")
+    fresh = materialize(new_contents(read, known).join(read.select("path", "document"), "path").select("path", "document", "content_hash"), "fresh")
+    read.write.mode("append").parquet(ledger)
+    return fresh
+
+
+def read_documents(spark: SparkSession, root: str, stems: list[str], out: str) -> dict[str, int]:
+    """The rows of the documents of a list, written to ``out``, and what became of their pages: ``rows``, ``read`` and ``failed``, counted as they are written.
+
+    Raises where no page of the list could be read. A name that repeats counts once; one without pages has none.
+    """
+    wanted = spark.createDataFrame([(s,) for s in dict.fromkeys(stems)], "stem string")
+    pages = with_results(read_pages(spark, root).join(wanted, "stem", "left_semi"))
+    failed = F.coalesce("payload._extraction_failed", F.lit(False))
+    return write_counted(pages.withColumn("failed", failed), out, {"read": ~F.col("failed"), "failed": F.col("failed")}, "read")
+
+
 def document_of(path: Column) -> Column:
     """struct<directory, stem, hash8, page> of a page's path: ``{stem}_{hash8}/{stem}.NNN.json``; nulls where it doesn't fit."""
     directory = F.try_element_at(F.split(path, "/"), F.lit(-2))
@@ -131,12 +178,6 @@ def with_placeholder(pages: DataFrame) -> DataFrame:
     return pages.withColumn("results", F.when(empty, F.array(row)).otherwise(F.col("results")))
 
 
-def failed_payload(reason: Column, source: Column, page: Column) -> Column:
-    """The payload of a page that couldn't be read."""
-    given = {"_extraction_failed": F.lit(True), "_failure_reason": reason, "source_file": source, "page_number": page, "page_has_lab_data": F.lit(None), "lab_results": F.array()}
-    return F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PAGE.fields))
-
-
 def resolve_directories(documents: DataFrame, paths: DataFrame) -> DataFrame:
     """``stem, directory``: the first folder of each document's stem, null without one. ``paths(path)`` are pages' paths."""
     found = paths.select(document_of(F.col("path")).alias("d")).filter("d.stem is not null").groupBy(F.col("d.stem").alias("stem")).agg(F.min("d.directory").alias("directory"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -23,8 +23,8 @@ def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def canonical_lines(df: DataFrame, order: list[str]) -> DataFrame:
-    """``line``: rows as canonical CSV text in a fixed order, nulls first and empty, booleans in lower case, text quoted where it must be."""
+def csv_line(df: DataFrame) -> Column:
+    """A row as CSV text: nulls empty, booleans in lower case, text quoted where it must be."""
 
     def cell(name: str, kind: str):
         c = F.col(name)
@@ -33,8 +33,27 @@ def canonical_lines(df: DataFrame, order: list[str]) -> DataFrame:
             c = F.when(c.rlike('[",\n\r]'), quoted).otherwise(c)
         return F.coalesce(c.cast("string"), F.lit(""))
 
-    line = F.concat_ws(",", *(cell(n, k) for n, k in df.dtypes))
-    return df.orderBy(*(F.asc_nulls_first(c) for c in order)).select(line.alias("line"))
+    return F.concat_ws(",", *(cell(n, k) for n, k in df.dtypes))
+
+
+def canonical_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """``line``: rows as canonical CSV text in a fixed order, nulls first."""
+    return df.orderBy(*(F.asc_nulls_first(c) for c in order)).select(csv_line(df).alias("line"))
+
+
+def write_ordered_csv(df: DataFrame, path: str, order: list[str], files: int = 8) -> None:
+    """Files that make one sorted CSV with its header when put together in the order of their names.
+
+    Rows are dealt out by ranges of ``order`` and sorted within them, so no task has more than a range; a hash of the row divides what many rows share.
+    """
+    hashed = F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t))
+    keys = [F.col(f"_k{i}").asc_nulls_first() for i in range(len(order))]
+    picked = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
+    rows = df.select(F.lit(1).alias("_part"), *picked, hashed.alias("_h"), csv_line(df).alias("value"))
+    kinds = dict(rows.dtypes)
+    header = df.sparkSession.range(1).select(F.lit(0).alias("_part"), *(F.lit(None).cast(kinds[f"_k{i}"]).alias(f"_k{i}") for i in range(len(order))), F.lit(0).cast("long").alias("_h"), F.lit(",".join(df.columns)).alias("value"))
+    by = [F.col("_part"), *keys, F.col("_h")]
+    rows.union(header).repartitionByRange(files, *by).sortWithinPartitions(*by).select("value").write.mode("overwrite").text(path)
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None) -> None:
@@ -44,9 +63,18 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", by: list[str] |
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
-def write_one_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One CSV file for people. The rows go through one task, so it suits a report, not a corpus."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+class NothingSucceeded(ValueError):
+    """A run none of whose inputs could be read."""
+
+
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], succeeded: str | None = None) -> dict[str, int]:
+    """Write a table and return its counts, taken in the same pass; an error where ``succeeded`` counts nothing of what there was."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.count_if(c), F.lit(0)).alias(n) for n, c in counts.items())).write.mode("overwrite").parquet(path)
+    found = seen.get
+    if succeeded and found["rows"] and not found[succeeded]:
+        raise NothingSucceeded(f"none of {found['rows']} succeeded: {found}")
+    return found
 
 
 def write_pages(pages: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayflow.sources.sinks import write_one_csv
+from assayflow.sources.sinks import write_ordered_csv
 
 # ---- fixed values: columns without which a snapshot can't be reviewed; files of an approved case -----
 REQUIRED = ("source_file", "page_number", "result_index")
@@ -133,9 +133,9 @@ def use_or_build(cached: DataFrame, built: DataFrame | None) -> DataFrame:
 
 
 def write_export(rows: DataFrame, path: str, order: list[str]) -> None:
-    """The merged export after a decision: a table, and one CSV for people."""
+    """The merged export: a table, and a sorted CSV in files that follow one another."""
     rows.write.mode("overwrite").parquet(f"{path}/all")
-    write_one_csv(rows, f"{path}/all.csv", order)
+    write_ordered_csv(rows, f"{path}/all.csv", order)
 
 
 def copy_text(spark: SparkSession, source: str, target: str) -> bool:

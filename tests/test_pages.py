@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from assayflow.sources import pages, repair
+from assayflow.sources import pages, repair, sinks
 
 
 def results(payload):
@@ -96,6 +96,9 @@ def test_pages_to_rows(spark, folder):
     assert [(r.page, r.reason) for r in pages.failed_pages(read).collect()] == [("b 2023-05-06 page 1", "bad")]
     assert {r.stem: r.reusable for r in pages.reusable(read).collect()} == {"a": True, "b 2023-05-06": False}
     assert read.select(F.count_if(pages.needs_fallback(read)).alias("n")).first().n == 1
+    sinks.write_pages(read, f"{folder}/written")
+    again = spark.read.text(f"{folder}/written").select("stem", F.from_json("value", "lab_results array<struct<raw_lab_name:string,raw_value:string>>").alias("p"))
+    assert sorted((r.stem, x.raw_lab_name, x.raw_value) for r in again.collect() for x in r.p.lab_results) == sorted((r.stem, x.raw_lab_name, x.raw_value) for r in read.collect() for x in r.results)
 
 
 def test_discovery(spark, tmp_path):

@@ -103,8 +103,8 @@ def test_sinks(spark, run, tmp_path):
     assert lines[0].startswith("Blood - Cells (%),55.0,")
     sinks.write_table(export, str(tmp_path / "t"), "csv", ["source_file"])
     assert spark.read.option("header", "true").csv(str(tmp_path / "t")).count() == 4
-    sinks.write_one_csv(export, str(tmp_path / "one"), ["lab_name"])
-    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+    sinks.write_cache(context.name_cache, str(tmp_path / "names"))
+    assert sorted(spark.read.json(str(tmp_path / "names")).collect()) == sorted(context.name_cache.collect())
     assert sinks.decision_snapshot(rows).count() == 7
     quoted = spark.createDataFrame([('a"b,c',), (None,)], "x string")
     assert [r.line for r in sinks.canonical_lines(quoted, ["x"]).collect()] == ["", '"a""b,c"']

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from assayflow.operators import refresh, review
 from assayflow.operators.specs import Specs
 from assayflow.plans import lab
-from assayflow.sources import snapshots
+from assayflow.sources import pages, sinks, snapshots
 
 CONFIG = {
     "Blood - Glucose": dict(lab_type="blood", primary_unit="mg/dL", loinc_code="1-1", alternatives=[{"unit": "g/L", "factor": 100.0}]),
@@ -65,6 +66,69 @@ def test_refresh_rebuilds_only_when_a_cache_grows(spark, run):
     assert not refresh.refresh(rows, grown.name_cache, grown.unit_cache, grown.specs, nothing, nothing, "result_index")[2]
 
 
+def test_a_retry_asks_nothing_twice(spark, tmp_path):
+    """Tasks that were done before one failed have their answers kept; the second run asks the rest."""
+    misses = spark.createDataFrame([(f"k{i}", f"name {i}", None) for i in range(60)], "key string, raw_lab_name string, raw_section_name string")
+    seen, trap = tmp_path / "seen", tmp_path / "trap"
+    seen.mkdir()
+    trap.write_text("")
+
+    def mapper(rows):
+        out = []
+        for name, section in rows:
+            if name == "name 7" and trap.exists():
+                import time
+
+                time.sleep(6)  # the other tasks get done
+                raise RuntimeError("no answer")
+            out.append((name, section, f"lab of {name}"))
+        with open(seen / uuid.uuid4().hex, "w") as f:
+            f.write("\n".join(n for n, _ in rows))
+        return out
+
+    with pytest.raises(Exception, match="no answer"):
+        refresh.asked(misses, ["raw_lab_name", "raw_section_name"], mapper, "lab_name", str(tmp_path / "answers"))
+    first = [n for f in seen.iterdir() for n in f.read_text().split("\n")]
+    trap.unlink()
+    got = refresh.asked(misses, ["raw_lab_name", "raw_section_name"], mapper, "lab_name", str(tmp_path / "answers"))
+    assert {r.key: r.lab_name for r in got.collect()} == {f"k{i}": f"lab of name {i}" for i in range(60)}
+    every = [n for f in seen.iterdir() for n in f.read_text().split("\n")]
+    assert 0 < len(first) < 60 and len(every) == len(set(every)) == 60
+
+
+def test_ordered_files_make_one_sorted_file(spark, tmp_path):
+    rows = spark.createDataFrame([(i * 7 % 100 if i % 9 else None, f"t{i}, x") for i in range(200)], "n int, t string")
+    sinks.write_ordered_csv(rows, str(tmp_path / "out"), ["n", "t"], files=5)
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    text = "".join(p.read_text() for p in parts)
+    assert len([p for p in parts if p.stat().st_size]) > 2 and text.split("\n")[0] == "n,t"
+    assert text.split("\n")[1:-1] == [r.line for r in sinks.canonical_lines(rows, ["n", "t"]).collect()]
+
+
+def test_the_second_run_reads_only_new_files(spark, tmp_path):
+    docs, ledger = tmp_path / "docs", str(tmp_path / "ledger")
+    docs.mkdir()
+    for name, text in (("a.pdf", "one"), ("b.pdf", "two"), ("copy.pdf", "one")):
+        (docs / name).write_text(text)
+    new = lambda: sorted(r.document.rsplit("_", 1)[0] for r in pages.discover_new(spark, str(docs), ledger).collect())
+    assert new() == ["a", "b"] and new() == []
+    (docs / "c.pdf").write_text("three")
+    (docs / "d.pdf").write_text("two")
+    assert new() == ["c"] and spark.read.parquet(ledger).count() == 5 and new() == []
+
+
+def test_a_list_of_documents_is_counted_as_it_is_written(spark, tmp_path):
+    for stem, failed in (("a", False), ("b", True), ("c", False)):
+        d = tmp_path / "in" / f"{stem}_0a1b2c3d"
+        d.mkdir(parents=True)
+        (d / f"{stem}.001.json").write_text(json.dumps({"lab_results": [{"raw_lab_name": "x"}], "_extraction_failed": failed}))
+    run = lambda stems: pages.read_documents(spark, str(tmp_path / "in"), stems, str(tmp_path / "out"))
+    assert run(["a", "b", "a", "nobody"]) == {"rows": 2, "read": 1, "failed": 1} and spark.read.parquet(str(tmp_path / "out")).count() == 2
+    with pytest.raises(sinks.NothingSucceeded):
+        run(["b"])
+    assert run(["nobody"])["rows"] == 0
+
+
 def test_specifications_round_trip(spark):
     s = Specs.from_dict(spark, Specs.from_dict(spark, CONFIG).to_dict())
     assert s.to_dict() == Specs.from_dict(spark, CONFIG).to_dict() and list(s.to_dict()) == sorted(CONFIG)
