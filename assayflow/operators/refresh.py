@@ -29,12 +29,17 @@ def missing_names(rows: DataFrame, cache: DataFrame, order: str) -> DataFrame:
     return keyed.join(cache.select("key"), "key", "left_anti").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("key", "raw_lab_name", "raw_section_name")
 
 
-def missing_units(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame) -> DataFrame:
-    """``key, raw_unit, lab_name``: pairs without an entry, of rows whose lab is known by the working name cache."""
+def unit_keys(rows: DataFrame, name_cache: DataFrame) -> DataFrame:
+    """The rows whose lab is known by a name cache, with ``key``, ``raw_unit`` and ``lab_name`` of their entry in the unit cache."""
     unit = unit_column(rows)
     named = standardize_names(rows, name_cache).filter(F.col("lab_name_standardized") != UNKNOWN)
     raw = F.coalesce(F.col(unit), F.lit("")) if unit else F.lit("")
-    keyed = named.select(F.concat(T.unit_key(raw), F.lit("|"), F.lower("lab_name_standardized")).alias("key"), raw.alias("raw_unit"), F.col("lab_name_standardized").alias("lab_name"))
+    return named.withColumns({"key": F.concat(T.unit_key(raw), F.lit("|"), F.lower("lab_name_standardized")), "raw_unit": raw, "lab_name": F.col("lab_name_standardized")})
+
+
+def missing_units(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame) -> DataFrame:
+    """``key, raw_unit, lab_name``: pairs without an entry, of rows whose lab is known by the working name cache."""
+    keyed = unit_keys(rows, name_cache).select("key", "raw_unit", "lab_name")
     return keyed.join(unit_cache.select("key"), "key", "left_anti").groupBy("key").agg(F.min("raw_unit").alias("raw_unit"), F.min("lab_name").alias("lab_name"))
 
 
@@ -97,11 +102,14 @@ def refresh_units(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame,
     return unit_cache.select("key", "unit").unionByName(answered(misses, answers, specs.units(), "unit"))
 
 
-def refresh(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame, specs: Specs, names: Mapper, units: Mapper, order: str) -> tuple[DataFrame, DataFrame, bool]:
-    """Both caches, and whether either has grown: names first, then the units of labs that the new names know. Unknown entries are dropped and asked for again."""
+def refresh(rows: DataFrame, name_cache: DataFrame, unit_cache: DataFrame, specs: Specs, names: Mapper, units: Mapper, order: str, store: str | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """Both caches, and whether either has grown: names first, then the units of labs that the new names know. Unknown entries are dropped and asked for again.
+
+    ``store``: a folder for the answers, so that none is asked for twice.
+    """
     name_cache, unit_cache = prune_unknown(name_cache, "lab_name"), prune_unknown(unit_cache, "unit", True)
-    new_names = refresh_names(rows, name_cache, specs, names, order)
-    new_units = refresh_units(rows, new_names, unit_cache, specs, units)
+    new_names = refresh_names(rows, name_cache, specs, names, order, store and f"{store}/names")
+    new_units = refresh_units(rows, new_names, unit_cache, specs, units, store and f"{store}/units")
     grown = any(not new.join(old.select("key"), "key", "left_anti").isEmpty() for new, old in ((new_names, name_cache), (new_units, unit_cache)) if new is not old)
     return new_names, new_units, grown
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assayflow.functions import text as T
+from assayflow.operators import refresh
 from assayflow.plans import lab
 from assayflow.sources.sinks import materialize
 
@@ -63,6 +65,19 @@ class ExportStore:
         self._write(found.withColumn("day", _day()).withColumn("month", _month()), "export", "month")
         return self.export()
 
+    def refresh(self, rows: DataFrame, context: lab.Context, decisions: DataFrame, names: refresh.Mapper, units: refresh.Mapper, answers: str | None = None) -> tuple[DataFrame, lab.Context]:
+        """The export and the caches after the mappers were asked what these lack: only documents with a key that is new are made again."""
+        keyed = rows.withColumn("_row", F.struct(*lab.ORDER))
+        new_names, new_units, grown = refresh.refresh(keyed, context.name_cache, context.unit_cache, context.specs, names, units, "_row", answers)
+        if not grown:
+            return self.export(), context
+        after = lab.Context(context.specs, materialize(new_names, "names"), materialize(new_units, "units"))
+        added = [new.join(old.select("key"), "key", "left_anti").select("key") for new, old in ((after.name_cache, context.name_cache), (after.unit_cache, context.unit_cache))]
+        by_name = rows.withColumn("key", T.cache_key(F.col("raw_lab_name"), F.col("raw_section_name"))).join(added[0], "key", "left_semi").select("source_file")
+        by_unit = refresh.unit_keys(rows, after.name_cache).join(added[1], "key", "left_semi").select("source_file")
+        touched = materialize(by_name.union(by_unit).distinct(), "touched")
+        return (self.export() if touched.isEmpty() else self.apply(rows, after, decisions, touched)), after
+
     def apply(self, rows: DataFrame, context: lab.Context, decisions: DataFrame, touched: DataFrame) -> DataFrame:
         """The export after ``decisions``, of which those on documents of ``touched(source_file)`` are new; ``rows`` may be these documents' alone."""
         touched = materialize(touched.select("source_file").distinct(), "touched")

@@ -72,16 +72,16 @@ def test_explorer(run):
     assert got["a.pdf", 0].reference_text == "70.0 - 99.0" and got["a.pdf", 1].reference_text == ""
 
 
-def test_refresh(spark, run):
+def test_refresh(spark, run, tmp_path):
     rows, context = run
-    asked = []
 
     def mapper(contexts):
-        asked.extend(contexts)
+        with open(tmp_path / "asked", "a") as f:  # the mapper runs in tasks
+            f.writelines(f"{c}\n" for c in contexts)
         return [(n, s, "Blood - Cells" if n == "Outro" else "nonsense") for n, s in contexts]
 
     out = refresh.refresh_names(rows, context.name_cache, context.specs, mapper, "result_index")
-    assert asked == [("Outro", None)]
+    assert (tmp_path / "asked").read_text() == "('Outro', None)\n"
     assert {r.key: r.lab_name for r in out.collect()}["outro"] == "Blood - Cells"
     assert {(r.raw_unit, r.lab_name) for r in refresh.missing_units(rows, context.name_cache, context.unit_cache).collect()} == {("g/L", "Blood - Glucose"), ("", "Blood - HIV"), ("%", "Blood - Cells")}
 

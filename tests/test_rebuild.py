@@ -56,3 +56,20 @@ def test_a_month_that_loses_its_last_row_goes(spark, run, tmp_path):
     assert len(shown(store.build(rows, context, log))) == 2
     log = log.unionByName(spark.createDataFrame([("a.pdf", 1, 2, "rejected", "1")], "source_file string, page_number int, result_index int, status string, decided_at string"))
     assert len(shown(store.apply(rows, context, log, log))) == 1 and not os.path.exists(tmp_path / "export" / "month=m2024-02")
+
+
+def test_new_names_touch_only_their_documents(spark, run, tmp_path):
+    rows, context = run
+    rows = rows.filter("source_file in ('a.pdf', 'b.pdf') and result_index < 3").withColumn("raw_lab_name", F.when(F.col("source_file") == "b.pdf", "Novo").otherwise(F.col("raw_lab_name")))
+    log = rows.select(*lab.ORDER, F.lit("accepted").alias("status"), F.lit("0").alias("decided_at"))
+    store = rebuild.ExportStore(spark, str(tmp_path / "store"))
+    store.build(rows, context, log)
+    before = files(tmp_path / "store" / "normalized")
+    names = lambda asked: [(n, s, "Blood - Cells") for n, s in asked]
+    units = lambda asked: [(u, n, "10^9/L") for u, n in asked]
+    got, after = store.refresh(rows, context, log, names, units, str(tmp_path / "answers"))
+    assert shown(got) == shown(lab.final_export(rows, after, log)) and {r.lab_name for r in got.collect()} == {"Blood - Glucose", "Blood - Cells"}
+    now = files(tmp_path / "store" / "normalized")
+    assert sum(now.get(f) == t for f, t in before.items()) == len(before) >= 1  # b.pdf had no rows before
+    nothing = lambda asked: []
+    assert store.refresh(rows, after, log, nothing, nothing)[1] is after
