@@ -310,7 +310,8 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample
 
     One scan of the whole texts applies the patterns and cuts out the islands around digits and @, which are
     saved; the model is fitted on a bounded sample of islands (``sample``) and decodes all of them. Its spans
-    are added where they overlap no pattern match.
+    are added where they overlap no pattern match. A span that the model adds has at most ``LONGEST`` tokens, and its
+    features see the first 40 signs of a token's shape; the patterns know no such limits.
 
     Defined cases: a null text is empty and has no spans; null ids stay; repeated rows each give a row; an
     empty table gives no rows (and an empty model); other columns are ignored, whatever their names.
