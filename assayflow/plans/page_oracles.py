@@ -45,6 +45,11 @@ SUMMARY = FLAGGED + """, st AS (SELECT *, CASE WHEN doc % 3 = 0 THEN 'accepted'
 _RESTART = "concat_ws(', ', CASE WHEN pending > 0 THEN pending || ' pending row(s)' END, CASE WHEN markers > 0 THEN markers || ' unresolved missing-row marker(s)' END)"
 
 
+PART_SPECS = """s AS (SELECT 'Blood - ' || p_name || ' ' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN ' (Qualitative)' ELSE '' END AS lab, p_size,
+    CASE WHEN p_partkey % 5 < 2 THEN 'boolean' WHEN p_partkey % 7 > 0 THEN p_type END AS unit, CASE WHEN p_partkey % 4 > 0 THEN p_size || '-' || (p_partkey % 10) END AS code,
+    CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS other FROM part)"""
+
+
 def _published(accepted: str) -> str:
     """One row of each date and lab: the first in the primary unit, or else the first."""
     return f"""WITH r AS (SELECT CAST(ts AS DATE) AS date, 'Blood - ' || event_type AS lab_name, CAST(CAST(value AS DECIMAL(12, 2)) AS DOUBLE) AS v, CASE WHEN event_id % 3 = 0 THEN 'mg/dL' ELSE 'g/L' END AS unit,
@@ -91,7 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     "whole_export": _published("event_id % 4 > 0"),
     "incremental_export": _published("CASE user_id % 40 WHEN 3 THEN true WHEN 7 THEN event_id % 3 = 0 ELSE event_id % 4 > 0 END"),
     "percent_ambiguity": f"WITH {OBS} SELECT row_seq, lab_name AS lab_name_standardized FROM obs WHERE lab_name = 'Blood - purchase' AND coalesce(lab_unit, '') <> 'mg/dL' AND coalesce(k <> 1, true)",
-    "ledger_new": """WITH f AS (SELECT page_id, CAST(page_id AS VARCHAR) AS path, sha256(html[1:60]) AS content_hash FROM pages)
+    "ledger_new": """WITH f AS (SELECT page_id, CAST(page_id AS VARCHAR) AS path, sha256(html) AS content_hash FROM pages)
         SELECT content_hash, min(path) AS path FROM f WHERE page_id % 2 = 1 AND content_hash NOT IN (SELECT content_hash FROM f WHERE page_id % 2 = 0) GROUP BY content_hash""",
     "stale_difference": FIRST["stale_difference"],
     "categorize_rules": FIRST["categorize_rules"],
@@ -124,14 +129,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CASE WHEN NOT given AND l2 = 'Blood - HIV' AND word IS NOT NULL THEN 'Blood - HIV (Qualitative)' WHEN given AND contains(l2, '(Qualitative)') THEN '{U}Glucose' ELSE l2 END AS lab_name_standardized,
             CASE WHEN given THEN 'mg/dL' END AS raw_lab_unit, count(*) AS n FROM l GROUP BY ALL""",
     # specifications
-    "spec_aliases": f"""WITH s(lab, unit, code) AS (VALUES ('{U}Sediment - Leukocytes', '/field', '1'), ('{U}Sediment - Leukocytes (Absolute)', '/uL', '2'), ('{U}Glucose', 'mg/dL', '3'), ('{U}Glucose (Qualitative)', 'boolean', '4'), ('Blood - HIV', 'boolean', '5')),
-        a AS (SELECT lab AS alias, lab, code, 0 AS rank FROM s UNION ALL SELECT CASE WHEN ends_with(lab, ' (Qualitative)') THEN replace(lab, ' (Qualitative)', '') ELSE lab || ' (Qualitative)' END, lab, code, 1 FROM s WHERE unit = 'boolean')
-        SELECT alias, lab AS lab_name, code AS loinc_code FROM a QUALIFY row_number() OVER (PARTITION BY alias ORDER BY rank, lab) = 1""",
-    "spec_units": f"WITH {SPEC} SELECT DISTINCT 'unit' AS kind, primary_unit AS name FROM spec UNION ALL SELECT 'lab', lab_name FROM spec",
-    "spec_factors": f"WITH {SPEC} SELECT lab_name, primary_unit AS unit, 1.0 AS factor FROM spec UNION ALL SELECT * FROM (VALUES ('Blood - view', 'g/L', 100.0), ('Blood - click', 'mg/dL', 0.01), ('Urine - odd', '', 0.0))",
+    "spec_aliases": f"""WITH {PART_SPECS}, a AS (SELECT lab AS alias, lab, code, 0 AS rank FROM s UNION ALL SELECT CASE WHEN ends_with(lab, ' (Qualitative)') THEN replace(lab, ' (Qualitative)', '') ELSE lab || ' (Qualitative)' END, lab, code, 1 FROM s WHERE unit = 'boolean'),
+        f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY alias ORDER BY rank, lab) = 1) SELECT alias, lab AS lab_name, code AS loinc_code FROM f WHERE code IS NOT NULL""",
+    "spec_units": f"WITH {PART_SPECS} SELECT 'unit' AS kind, unit AS name FROM (SELECT unit FROM s UNION SELECT other FROM s) WHERE unit IS NOT NULL UNION ALL SELECT 'lab', lab FROM s",
+    "spec_factors": f"WITH {PART_SPECS} SELECT lab AS lab_name, unit, 1.0::DOUBLE AS factor FROM s WHERE unit IS NOT NULL UNION ALL SELECT lab, other, p_size::DOUBLE FROM s WHERE other IS DISTINCT FROM unit",
     "unconverted_units": f"""WITH {OBS}, r AS (SELECT CASE WHEN row_seq % 9 = 0 THEN '$UNKNOWN$' ELSE lab_name END AS lab, CASE WHEN row_seq % 5 = 0 THEN '%' ELSE lab_unit END AS unit FROM obs)
         SELECT lab AS lab_name, unit, count(*) AS n FROM r WHERE lab <> '$UNKNOWN$' AND unit IS NOT NULL AND NOT (lab IN ('Blood - view', 'Blood - click') AND unit <> '%') AND NOT (lab = 'Blood - purchase' AND unit = 'mg/dL') GROUP BY ALL""",
-    "repeated_codes": f"WITH {SPEC} SELECT loinc_code, string_agg(lab_name, '|' ORDER BY lab_name) AS labs FROM spec GROUP BY 1 HAVING count(*) > 1",
+    "repeated_codes": f"WITH {PART_SPECS} SELECT code AS loinc_code, string_agg(lab, '|' ORDER BY lab) AS labs FROM s WHERE code IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     # caches
     "missing_names": f"""WITH cache(key, v) AS (VALUES {_rows(NAME_CACHE)}), r AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS name,
             CASE WHEN c_nationkey % 4 = 0 THEN 'Seccao 0' WHEN c_nationkey % 7 = 0 THEN NULL ELSE 'Section ' || (c_nationkey % 4) END AS section FROM customer),

@@ -250,7 +250,7 @@ def percent_ambiguity(spark, sf_dir):
 @query
 def ledger_new(spark, sf_dir):
     """Pages of the second half whose content no page of the first half has."""
-    found = read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.sha2(F.substring("html", 1, 60), 256).alias("content_hash"))
+    found = read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.sha2("html", 256).alias("content_hash"))
     return pages.new_contents(found.filter("page_id % 2 = 1"), found.filter("page_id % 2 = 0"))
 
 
@@ -378,22 +378,34 @@ def qualitative_aliases(spark, sf_dir):
 
 
 # ---- specifications -----------------------------------------------------------------------------------
+def _part_specs(spark, sf_dir) -> Specs:
+    """Parts as labs: a fifth qualitative by name, two fifths boolean, some without a unit or a code."""
+    name = "'Blood - ' || p_name || ' ' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN ' (Qualitative)' ELSE '' END AS lab_name"
+    parts, none = read(spark, sf_dir, "part"), Specs.from_dict(spark, {})
+    spec = parts.selectExpr(
+        name, "'blood' AS lab_type", "CASE WHEN p_partkey % 5 < 2 THEN 'boolean' WHEN p_partkey % 7 > 0 THEN p_type END AS primary_unit", "CASE WHEN p_partkey % 4 > 0 THEN p_size || '-' || (p_partkey % 10) END AS loinc_code",
+        "CAST(NULL AS DOUBLE) AS biological_min", "CAST(NULL AS DOUBLE) AS biological_max", "CAST(NULL AS DOUBLE) AS max_daily_change", "CAST(NULL AS BOOLEAN) AS ranges_vary_with_cycle",
+    )
+    factors = parts.selectExpr(name, "0 AS pos", "CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS unit", "CAST(p_size AS DOUBLE) AS factor")
+    return Specs(spec, factors, none.spec_range, none.relationship)
+
+
 @query
 def spec_aliases(spark, sf_dir):
     """Every name that a lab goes by, with its code."""
-    s = Specs.from_dict(spark, URINE)
+    s = _part_specs(spark, sf_dir)
     return s.aliases().join(s.codes(), "alias").select("alias", "lab_name", "loinc_code")
 
 
 @query
 def spec_units(spark, sf_dir):
-    s = specs(spark)
+    s = _part_specs(spark, sf_dir)
     return s.units().select(F.lit("unit").alias("kind"), F.col("unit").alias("name")).union(s.names().select(F.lit("lab"), "lab_name"))
 
 
 @query
 def spec_factors(spark, sf_dir):
-    return specs(spark).factors()
+    return _part_specs(spark, sf_dir).factors()
 
 
 @query
@@ -404,7 +416,7 @@ def unconverted_units(spark, sf_dir):
 
 @query
 def repeated_codes(spark, sf_dir):
-    return reports.codes_of_several_labs(specs(spark)).select("loinc_code", F.array_join("labs", "|").alias("labs"))
+    return reports.codes_of_several_labs(_part_specs(spark, sf_dir)).select("loinc_code", F.array_join("labs", "|").alias("labs"))
 
 
 # ---- caches -------------------------------------------------------------------------------------------
