@@ -214,6 +214,16 @@ def page_path(directory: Column, stem: Column, page: Column, suffix: str = ".jso
     return F.concat(directory, F.lit("/"), stem, F.lit("."), F.lpad(F.coalesce(page, F.lit(1)).cast("string"), 3, "0"), F.lit(suffix))
 
 
+def folder_stem(folder: Column, source: Column) -> Column:
+    """A document's name: that of the source file in its folder, else the folder's without the hash of eight digits at its end."""
+    return F.coalesce(document_label(source), F.regexp_replace(folder, r"^(.+)_[0-9a-fA-F]{8}$", "$1"))
+
+
+def document_csv_path(directory: Column, stem: Column) -> Column:
+    """Where the rows of a document are: ``directory/stem.csv``."""
+    return F.concat(directory, F.lit("/"), stem, F.lit(".csv"))
+
+
 def document_label(c: Column) -> Column:
     return F.regexp_replace(c, r"\.[^.]*$", "")
 
@@ -266,5 +276,14 @@ def decode_row_id(c: Column) -> Column:
 
 
 def strip_fences(c: Column) -> Column:
-    """Text inside a Markdown code fence, or the text itself."""
-    return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    """What a Markdown code fence holds: the lines below the one that opens it. Text that doesn't start with a fence stays as it is."""
+    lines = F.split(c, "\n")
+    inner = F.slice(lines, F.lit(2), F.size(lines))
+    closed = F.coalesce(strip(F.get(inner, F.size(inner) - 1)) == "```", F.lit(False))
+    body = F.slice(inner, F.lit(1), F.size(inner) - closed.cast("int"))
+    return F.when(c.startswith("```"), strip(F.array_join(body, "\n"))).otherwise(c)
+
+
+def json_or(c: Column, fallback: Column) -> Column:
+    """The JSON of an answer, in a fence or bare, in its shortest form; the fallback where there is none. NaN and Infinity aren't JSON."""
+    return F.coalesce(F.to_json(F.try_parse_json(strip_fences(c))), fallback)

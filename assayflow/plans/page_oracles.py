@@ -203,5 +203,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT message, n, CASE WHEN contains(message, '401') OR contains(message, 'Unauthorized') THEN 'authentication' WHEN contains(message, '403') OR contains(message, 'Forbidden') OR contains(low, 'permission') THEN 'authorization'
             WHEN contains(low, 'timeout') THEN 'timeout' WHEN contains(message, '404') THEN 'not found' WHEN contains(message, '400') OR contains(message, 'BadRequest') OR contains(low, 'invalid') THEN 'rejected'
             WHEN contains(message, 'Connection') OR contains(message, 'getaddrinfo') OR contains(low, 'refused') OR contains(low, 'reset') OR contains(low, 'name or service not known') THEN 'connection' ELSE 'unknown' END AS fault FROM l""",
-    "fenced_texts": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"a": ' || doc_id || '}' WHEN 1 THEN '[' || doc_id || ']' ELSE CAST(doc_id AS VARCHAR) END AS inner FROM documents""",
+    "fenced_texts": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"a": ' || doc_id || '}' WHEN 1 THEN ' [' || doc_id || '] ' WHEN 2 THEN '' WHEN 3 THEN CAST(doc_id AS VARCHAR) ELSE '{"a": ' || doc_id END AS inner,
+        CASE doc_id % 5 WHEN 0 THEN '{"a":' || doc_id || '}' WHEN 1 THEN '[' || doc_id || ']' WHEN 3 THEN CAST(doc_id AS VARCHAR) ELSE '[]' END AS json FROM documents""",
+    "document_paths": f"""WITH {PAGES}, f AS (SELECT stem, p + 1 AS page, stem || CASE length(stem) % 3 WHEN 0 THEN '_0a1b2C3d' WHEN 1 THEN '_0a1b2c3' ELSE '' END AS folder FROM pg),
+        n AS (SELECT *, CASE WHEN page % 2 = 0 THEN 'scan ' || stem || '.1' WHEN length(stem) % 3 = 0 THEN stem ELSE folder END AS s, lpad(CAST(page AS VARCHAR), 3, '0') AS k FROM f)
+        SELECT stem, page, 'out/' || folder || '/' || s || '.csv' AS csv, 'out/' || folder || '/' || s || '.' || k || '.json' AS json, 'out/' || folder || '/' || s || '.' || k || '.jpg' AS image FROM n""",
+    "legacy_moves": """WITH d AS (SELECT doc_id, 'd' || CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END AS stem, substr(sha256(text), 1, 8) AS h FROM documents),
+        name AS (SELECT DISTINCT folder FROM (SELECT stem AS folder FROM d WHERE doc_id % 4 IN (0, 2, 3) UNION ALL SELECT stem || '_' || h FROM d WHERE doc_id % 4 IN (1, 2) UNION ALL SELECT stem || 'x' FROM d WHERE doc_id % 4 = 3)),
+        one AS (SELECT stem, count(*) AS n, min(h) AS h FROM d WHERE doc_id % 7 > 0 GROUP BY stem)
+        SELECT a.folder, CASE WHEN n = 1 THEN a.folder || '_' || h END AS target,
+            CASE WHEN regexp_matches(a.folder, '_[0-9a-f]{8}$') THEN 'already_migrated' WHEN n IS DISTINCT FROM 1 THEN 'source_not_found' WHEN b.folder IS NOT NULL THEN 'target_exists' ELSE 'renamed' END AS status
+        FROM name a LEFT JOIN one ON a.folder = one.stem LEFT JOIN name b ON b.folder = one.stem || '_' || one.h AND n = 1""",
 }

@@ -643,5 +643,30 @@ def service_faults(spark, sf_dir):
 
 @query
 def fenced_texts(spark, sf_dir):
-    fenced = F.expr("CASE doc_id % 3 WHEN 0 THEN '```json\n{\"a\": ' || doc_id || '}\n```' WHEN 1 THEN ' [' || doc_id || '] ' ELSE '```' || doc_id END")
-    return read(spark, sf_dir, "documents").select("doc_id", T.strip_fences(fenced).alias("inner"))
+    """Answers in a fence, bare, in a fence that has no line below it, in one that nothing closes, and cut off."""
+    answer = F.expr(
+        """CASE doc_id % 5 WHEN 0 THEN '```json\n{"a": ' || doc_id || '}\n ``` ' WHEN 1 THEN ' [' || doc_id || '] ' WHEN 2 THEN '```' || doc_id
+        WHEN 3 THEN '```\n' || doc_id || '\n' ELSE '{"a": ' || doc_id END"""
+    )
+    return read(spark, sf_dir, "documents").select("doc_id", T.strip_fences(answer).alias("inner"), T.json_or(answer, F.lit("[]")).alias("json"))
+
+
+@query
+def document_paths(spark, sf_dir):
+    """The files of each page's document, whose folder has a hash or not, and a source file or not."""
+    files = _page_files(spark, sf_dir)
+    kind = F.length("stem") % 3
+    folder = F.concat("stem", F.when(kind == 0, "_0a1b2C3d").when(kind == 1, "_0a1b2c3").otherwise(""))
+    stem = T.folder_stem(folder, F.when(F.col("page") % 2 == 0, F.concat(F.lit("scan "), "stem", F.lit(".1.pdf"))))
+    directory = F.concat(F.lit("out/"), folder)
+    return files.select("stem", "page", T.document_csv_path(directory, stem).alias("csv"), T.page_path(directory, stem, F.col("page")).alias("json"), T.page_path(directory, stem, F.col("page"), ".jpg").alias("image"))
+
+
+@query
+def legacy_moves(spark, sf_dir):
+    """Folders for every document, some named with a hash, some with both names; one stem in ten has two files."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.when(F.col("doc_id") % 10 == 9, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")).alias("stem"), F.sha2("text", 256).alias("content_hash"))
+    whole, kind = F.concat_ws("_", "stem", F.substring("content_hash", 1, 8)), F.col("doc_id") % 4
+    names = F.when(kind == 0, F.array("stem")).when(kind == 1, F.array(whole)).when(kind == 2, F.array("stem", whole)).otherwise(F.array(F.concat("stem", F.lit("x")), F.col("stem")))
+    sources = docs.filter("doc_id % 7 > 0").select(F.concat("stem", F.lit(".pdf")).alias("name"), "content_hash")
+    return pages.legacy_moves(docs.select(F.explode(names).alias("folder")), sources)

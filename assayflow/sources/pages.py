@@ -184,6 +184,25 @@ def resolve_directories(documents: DataFrame, paths: DataFrame) -> DataFrame:
     return documents.select("stem").distinct().join(found, "stem", "left")
 
 
+def legacy_moves(folders: DataFrame, sources: DataFrame) -> DataFrame:
+    """``folder, target, status``: what becomes of each folder that was named before names held a hash.
+
+    ``folders(folder)`` are the names there are, ``sources(name, content_hash)`` the files to match by stem.
+    Status is ``already_migrated`` for a name that ends in a hash; ``source_not_found`` where no file, or more
+    than one, has the folder's name for its stem; ``target_exists`` where another folder has the new name;
+    else ``renamed``. Files of one stem are counted before they meet the folders, so a hot stem is one row.
+    A repeated folder name is one row; null names are left out; without sources no folder moves.
+    """
+    named = folders.select("folder").filter("folder is not null").distinct()
+    hashed = F.col("folder").rlike("_[0-9a-f]{8}$")
+    stems = sources.groupBy(X.document_label(F.col("name")).alias("_stem")).agg(F.count(F.lit(1)).alias("_n"), F.min("content_hash").alias("_hash"))
+    met = named.join(stems, (F.col("folder") == F.col("_stem")) & ~hashed, "left")
+    wanted = met.withColumn("target", F.when(F.col("_n") == 1, F.concat_ws("_", "folder", F.substring("_hash", 1, 8))))
+    there = named.select(F.col("folder").alias("_there"))
+    status = F.when(hashed, "already_migrated").when(F.col("target").isNull(), "source_not_found").when(F.col("_there").isNotNull(), "target_exists").otherwise("renamed")
+    return wanted.join(there, F.col("target") == F.col("_there"), "left").select("folder", "target", status.alias("status"))
+
+
 def with_targets(rows: DataFrame, directories: DataFrame) -> DataFrame:
     """``target``: the page file that a review row is kept in; null where its document has no folder."""
     stem = X.document_label(F.col("source_file"))

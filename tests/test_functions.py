@@ -112,3 +112,14 @@ def test_boxes(spark):
     assert ask(spark, like, [(0.0, 0.0, 40.0, 250.0), (0.0, 0.0, 41.0, 250.0), (0.0, 0.0, None, 250.0)], "a double, b double, c double, d double") == [True, False, False]
     clean = F.array(*numeric.clean_box([F.col(c) for c in "abcd"]))
     assert ask(spark, clean, [("1", "2", "3", None), ("1", "2", "3", "4,5")], "a string, b string, c string, d string") == [[None] * 4, [1.0, 2.0, 3.0, 4.5]]
+
+
+def test_fences_and_their_json(spark):
+    texts = ["```json\n{\"b\": 1,\n \"a\": [2]}\n```", "```\nx\n```\ny", "a ```", " {} ", "```", "```json5\n[1, 2]", "", None, "nan", "```\n\n```  "]
+    assert ask(spark, T.strip_fences(X()), texts) == ['{"b": 1,\n "a": [2]}', "x\n```\ny", "a ```", " {} ", "", "[1, 2]", "", None, "nan", ""]
+    assert ask(spark, T.json_or(X(), F.lit("-")), texts) == ['{"a":[2],"b":1}', "-", "-", "{}", "-", "[1,2]", "-", "-", "-", "-"]
+
+
+def test_folder_stems(spark):
+    pairs = [("scan_1_0a1B2c3d", None), ("scan_1", None), ("_0a1b2c3d", None), ("f_0a1b2c3d", "g.h.pdf"), ("f_0a1b2c3x", None), (None, None)]
+    assert ask(spark, T.folder_stem(X(), F.col("s")), pairs, "x string, s string") == ["scan_1", "scan_1", "_0a1b2c3d", "g.h", "f_0a1b2c3x", None]

@@ -123,3 +123,14 @@ def test_malformed_boxes(spark):
     kind = "array<struct<bbox_left:double,bbox_top:double,bbox_right:double,bbox_bottom:double>>"
     df = spark.createDataFrame([(i, [box(float(x)) for x in c]) for i, c in enumerate(cases)], f"i int, b {kind}")
     assert [r.m for r in df.select("i", pages.malformed_boxes(F.col("b")).alias("m")).orderBy("i").collect()] == [True, True, False, True, False]
+
+
+def test_legacy_moves(spark):
+    folders = spark.createDataFrame([(x,) for x in ("a", "a", "b_12345678", "c", "d", "d_99999999", "e", None)], "folder string")
+    sources = spark.createDataFrame([("a.pdf", "1" * 64), ("c.pdf", "2" * 64), ("c.PDF", "3" * 64), ("d.pdf", "9" * 64), ("b_12345678.pdf", "4" * 64)], "name string, content_hash string")
+    moved = lambda s: sorted(tuple(r) for r in pages.legacy_moves(folders, s).collect())
+    assert moved(sources) == [
+        ("a", "a_11111111", "renamed"), ("b_12345678", None, "already_migrated"), ("c", None, "source_not_found"),
+        ("d", "d_99999999", "target_exists"), ("d_99999999", None, "already_migrated"), ("e", None, "source_not_found"),
+    ]
+    assert {s for _, _, s in moved(sources.limit(0))} == {"already_migrated", "source_not_found"}
