@@ -19,9 +19,12 @@ GRAM = 12
 AHEAD = 4096
 #: Words in a stretch of a leading document. A block is handed out by its stretches, so a factor meets one piece and not all blocks of its lead.
 STRETCH = 4096
+#: How many more blocks an anchor is held against, after that of its lead. What is open then is settled by hash.
+BLOCKS = 3
 
-_FOUND = "kind int, uid long, lead long, start int, stop int, delta int, codes binary, hash binary"
-SPAN, LEFT, FACTOR, BLOCK = range(4)
+_FOUND = "kind int, uid long, lead long, start int, stop int, delta int, codes binary"
+SPAN, OPEN, FACTOR, BLOCK = range(4)
+_HASHED = "uid long, start int, stop int, hash binary"
 
 
 def _window_hash(codes: np.ndarray) -> bytes:
@@ -32,24 +35,31 @@ class _Rows:
     """Rows of the table that both passes write."""
 
     def __init__(self):
-        self.columns = [[] for _ in range(8)]
+        self.columns = [[] for _ in range(7)]
 
-    def add(self, kind, uid, start, stop, lead=None, delta=None, codes=None, hash_=None):
-        for column, value in zip(self.columns, (kind, uid, lead, start, stop, delta, codes, hash_)):
+    def add(self, kind, uid, start, stop, lead=None, delta=None, codes=None):
+        for column, value in zip(self.columns, (kind, uid, lead, start, stop, delta, codes)):
             column.append(value)
 
     def spans(self, uid: int, starts: np.ndarray, window: int) -> None:
         for a, b in covered(starts, window):
             self.add(SPAN, uid, a, b)
 
-    def left(self, uid: int, starts: np.ndarray, codes: np.ndarray, offset: int, window: int) -> None:
-        for s in starts.tolist():
-            self.add(LEFT, uid, s, s + window, hash_=_window_hash(codes[s - offset : s - offset + window]))
+    def open(self, uid: int, starts: np.ndarray, codes: np.ndarray, offset: int, window: int, gram: int) -> None:
+        """Windows that differ from the block met: a row for each run at one anchor, with the anchor's hash for its lead and its place for its stop."""
+        if not len(starts):
+            return
+        grams = sequence_hashes(codes, gram)
+        at = selected(grams, window - gram + 1)[starts - offset]
+        cuts = np.r_[0, np.flatnonzero((np.diff(starts) != 1) | (np.diff(at) != 0)) + 1, len(starts)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            low, high, place = int(starts[a]), int(starts[b - 1]), int(at[a])
+            self.add(OPEN, uid, low, place + offset, lead=int(grams[place].view(np.int64)), codes=codes[low - offset : high - offset + window].tobytes())
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds)], ["kind", "uid", "lead", "start", "stop", "delta", "codes", "hash"])
-        self.columns = [[] for _ in range(8)]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds)], ["kind", "uid", "lead", "start", "stop", "delta", "codes"])
+        self.columns = [[] for _ in range(7)]
         return out
 
 
@@ -98,7 +108,7 @@ def parse(uid: int, codes: np.ndarray, at: list[tuple[int, int, int, int]], out:
             if not len(rest):
                 continue
             if own:
-                out.left(uid, rest, codes, 0, window)
+                out.open(uid, rest, codes[low : high - 1 + window], low, window, gram)
                 continue
         delta = lead_pos - p
         last = across[-1] if across else None
@@ -131,8 +141,8 @@ def _parsed(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.select("uid", "text", "at").mapInArrow(run, _FOUND)
 
 
-def _checked(factors: DataFrame, window: int) -> DataFrame:
-    """Factors against their reference words: equal windows are repeats on both sides, the others are left."""
+def _checked(factors: DataFrame, window: int, gram: int) -> DataFrame:
+    """Factors against their reference words: equal windows are repeats on both sides, the others stay open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Rows()
@@ -147,7 +157,7 @@ def _checked(factors: DataFrame, window: int) -> DataFrame:
                 same = matched_windows(equal, window)
                 out.spans(uid, same + start, window)
                 out.spans(lead, same + start + delta, window)
-                out.left(uid, np.setdiff1d(np.arange(len(own) - window + 1), same) + start, own, start, window)
+                out.open(uid, np.setdiff1d(np.arange(len(own) - window + 1), same) + start, own, start, window, gram)
                 if len(out.columns[0]) > 5000:
                     yield out.batch()
             yield out.batch()
@@ -155,12 +165,32 @@ def _checked(factors: DataFrame, window: int) -> DataFrame:
     return factors.select("uid", "lead", "start", "delta", "first", "codes", "block").mapInArrow(run, _FOUND)
 
 
-def repeated_spans(repeats: Repeats, scratch: Scratch, window: int, gram: int) -> DataFrame:
+def _hashed(rest: DataFrame, window: int) -> DataFrame:
+    """``uid, start, stop, hash`` of each window that is still open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, starts, hashes = [], [], []
+            for uid, start, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = np.frombuffer(codes.as_py(), np.uint64)
+                for k in range(len(own) - window + 1):
+                    uids.append(uid)
+                    starts.append(start + k)
+                    hashes.append(_window_hash(own[k : k + window]))
+            stops = [a + window for a in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(hashes, pa.binary())], ["uid", "start", "stop", "hash"])
+
+    return rest.select("uid", "start", "codes").mapInArrow(run, _HASHED)
+
+
+def repeated_spans(repeats: Repeats, scratch: Scratch, window: int, gram: int, more: int = BLOCKS) -> DataFrame:
     """``uid, start, stop``: the words that a repeated window covers, for one row of each key.
 
-    Factors against the lead of each anchor find what two occurrences share with the lead. A window that
-    differs from its lead may still occur twice, so those at the factors' boundaries are checked among
-    themselves, by the hash of the whole window.
+    Factors against the lead of each anchor find what two occurrences share with the lead. Windows that differ
+    from it may still occur twice: of the occurrences of an anchor that have such windows, the first is the next
+    block that the index names, and the others are factored against it, ``more`` times. A block that has been
+    met leaves the search, for what equals it is found. An anchor may have any number of blocks, so windows that
+    differ from all of these are checked among themselves, by the hash of the whole window.
     """
     found = scratch.save(_parsed(repeats.texts, window, gram), "parsed")
     blocks = found.filter(F.col("kind") == BLOCK).select("uid", F.col("delta").alias("stretch"), F.col("start").alias("first"), F.col("stop").alias("last"), F.col("codes").alias("block")).withColumnRenamed("uid", "lead")
@@ -168,11 +198,19 @@ def repeated_spans(repeats: Repeats, scratch: Scratch, window: int, gram: int) -
     place = F.col("stop") + F.col("delta")
     factors = found.filter(F.col("kind") == FACTOR).select("uid", "lead", "start", "delta", "codes", place.alias("place"), F.floor(place / STRETCH).cast("int").alias("stretch"))
     inside = (F.col("first") <= F.col("place")) & (F.col("last") >= F.col("place") + gram)
-    checked = scratch.save(_checked(factors.join(blocks, ["lead", "stretch"]).filter(inside), window), "checked")
-    both = found.filter(F.col("kind").isin(SPAN, LEFT)).union(checked)
-    left = both.filter(F.col("kind") == LEFT).select("uid", "start", "stop", "hash")
+    checked = scratch.save(_checked(factors.join(blocks, ["lead", "stretch"]).filter(inside), window, gram), "checked")
+    of = lambda rows, kind: rows.filter(F.col("kind") == kind)
+    spans, rest = of(found, SPAN).union(of(checked, SPAN)), of(found, OPEN).union(of(checked, OPEN))
+    for k in range(more):
+        rest = rest.select("uid", F.col("lead").alias("g"), "start", F.col("stop").alias("place"), "codes")
+        leads = rest.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "start", "place", "codes")).alias("of")).filter("n > 1")
+        leads = scratch.save(leads.select("g", F.col("of.uid").alias("lead"), F.col("of.start").alias("first"), F.col("of.place").alias("there"), F.col("of.codes").alias("block")), f"blocks{k}")
+        others = rest.join(leads, "g").filter((F.col("uid") != F.col("lead")) | (F.col("start") != F.col("first")))
+        checked = scratch.save(_checked(others.withColumn("delta", F.col("there") - F.col("place")), window, gram), f"checked{k}")
+        spans, rest = spans.union(of(checked, SPAN)), of(checked, OPEN)
+    left = scratch.save(_hashed(rest, window), "left")
     again = left.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    spans = both.filter(F.col("kind") == SPAN).select("uid", "start", "stop").union(left.join(again, "hash").select("uid", "start", "stop"))
+    spans = spans.select("uid", "start", "stop").union(left.join(again, "hash").select("uid", "start", "stop"))
     return spans.groupBy("uid", "start").agg(F.max("stop").alias("stop"))
 
 
@@ -207,7 +245,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
 
     Two equal windows select the same anchor, so whatever repeats has an anchor that occurs twice. Documents
     with such anchors are factored against the reference blocks that the index names for them, greedily,
-    and windows at factor boundaries that differ from the reference are compared by hash. No group is
+    and windows at factor boundaries that differ from all blocks met are compared by hash. No group is
     gathered: anchors and windows are counted, and a hot lead is the short side of a join.
 
     Defined cases: a null text has no words; rows that repeat both id and text repeat all their windows, so

@@ -7,7 +7,8 @@ import pytest
 from cases import awkward, frame, with_clashes, words
 
 from assayflow.llm import anchors
-from assayflow.llm.substring_dedup import substring_dedup
+from assayflow.llm.common import Scratch
+from assayflow.llm.substring_dedup import repeated_spans, substring_dedup
 
 
 def brute(rows, window):
@@ -77,6 +78,28 @@ def test_awkward_and_repeated_rows(spark):
     assert run(spark, [(1, p), (1, p)]) == sorted(map(str, brute([(1, p), (1, p)], 35)))
 
 
+def test_blocks_find_what_differs_from_the_lead(spark):
+    """Four families share an anchor with the lead's document, and no more: further blocks find them, before any hash of windows."""
+
+    class Kept(Scratch):
+        def save(self, df, name):
+            tables[name] = super().save(df, name)
+            return tables[name]
+
+    anchor, rows = words(30, 900), []
+    for k in range(4):
+        side = [words(40, 901 + k), words(40, 950 + k)]
+        rows += [(10 * k + i, " ".join(words(20, 1000 + 10 * k + i) + side[0] + anchor + side[1])) for i in range(3)]
+    spans, open_windows = {}, {}
+    for more in (0, 3):
+        tables = {}
+        found = repeated_spans(anchors.Repeats(frame(spark, rows), Kept(spark, "blocks"), 35, 12), Kept(spark, "blocks"), 35, 12, more)
+        spans[more] = {(r.uid, w) for r in found.collect() for w in range(r.start, r.stop)}
+        open_windows[more] = tables["left"].groupBy("hash").count().filter("count > 1").count()
+    assert spans[0] == spans[3] and len(spans[3]) == 12 * 110
+    assert open_windows[0] > 0 and open_windows[3] == 0
+
+
 def test_kept_text(spark):
     p = " ".join(words(35, 5))
     got = {r.doc_id: r.kept_text for r in substring_dedup(frame(spark, [(1, "b " + p + " e"), (2, p), (3, "clean")]), keep_text=True).collect()}
