@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, searched through MinHash bands."""
+"""Sets of word shingles, and the exact comparison of groups of them by Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -12,16 +12,16 @@ from assayflow.llm.anchors import WordCodes, sequence_hashes
 from assayflow.llm.common import LOWER, Scratch, row_key
 from assayflow.llm.components import connected_components
 
-#: Least hashes in a band, and bands: a pair at similarity 0.8 shares none with probability (1 - 0.8^6)^48, 5 in 10^7; at 0.3, 3 in 100 share one.
-ROWS, BANDS = 6, 48
+#: Least hashes of a sketch.
+HASHES = 288
 #: Least hashes whose two bits differ at most between sets that are compared: at 0.8 some 43 of 288 do, 6 more or less.
 FAR = 71
 #: Members of a band's group up to which all its components are compared at once.
 SMALL = 8
 _R = np.random.default_rng(42)
-_ODD, _ADD = (_R.integers(0, 1 << 64, (ROWS * BANDS, 1), np.uint64) for _ in range(2))
+_ODD, _ADD = (_R.integers(0, 1 << 64, (HASHES, 1), np.uint64) for _ in range(2))
 _ODD |= np.uint64(1)
-_MIX = _R.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
+_MIX = _R.integers(0, 1 << 64, dtype=np.uint64) | np.uint64(1)
 #: Shingles hashed at a time.
 _PIECE = 4096
 
@@ -34,72 +34,48 @@ def shingle_set(text: bytes, code: WordCodes, shingle: int = 5) -> np.ndarray:
 
 def least_hashes(grams: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set."""
-    least = np.full(ROWS * BANDS, ~np.uint64(0))
+    least = np.full(HASHES, ~np.uint64(0))
     for at in range(0, len(grams), _PIECE):
         np.minimum(least, (grams[at : at + _PIECE] * _ODD + _ADD).min(1), out=least)
     return least ^ (least >> np.uint64(31))
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, from its least hashes."""
-    x = (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX[0]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def sketch(least: np.ndarray) -> np.ndarray:
     """Two bits of each least hash, 32 of them in a long."""
-    two = (least * _MIX[0]) >> np.uint64(62)
+    two = (least * _MIX) >> np.uint64(62)
     return (two.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64)
 
 
 def _differing(x: str, y: str) -> Column:
     """How many least hashes differ in their two bits."""
     total = F.lit(0)
-    for i in range(ROWS * BANDS // 32):
+    for i in range(HASHES // 32):
         d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
         d = d.bitwiseOR(F.call_function("shiftrightunsigned", d, F.lit(1))).bitwiseAND(F.lit(0x5555555555555555).cast("long"))
         total = total + F.bit_count(d)
     return total
 
 
-def _digest(grams: np.ndarray) -> int:
+def digest(grams: np.ndarray) -> int:
+    """What names a set of shingles."""
     import xxhash
 
     return xxhash.xxh64_intdigest(grams.tobytes())
 
 
-def _prints(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """``none, k1, k2, fp, bands, sketch`` of every row: fp names the set of its shingles. An empty set has no bands."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+    """``fp, grams, sketch`` for the rows named by ``wanted(fp, k1, k2)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = WordCodes()
         for batch in batches:
-            fp, bands, sketches = [], [], []
-            for t in batch.column(3).cast(pa.large_binary()):
-                grams = shingle_set(t.as_py() or b"", code, shingle)
-                fp.append(_digest(grams))
-                least = least_hashes(grams)
-                bands.append(band_keys(least).view(np.int64) if len(grams) else [])
-                sketches.append(sketch(least).view(np.int64))
+            grams = [shingle_set(t.as_py() or b"", code, shingle) for t in batch.column(1).cast(pa.large_binary())]
+            sketches = [sketch(least_hashes(x)).view(np.int64) for x in grams]
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, longs), pa.array(sketches, longs)], ["none", "k1", "k2", "fp", "bands", "sketch"])
-
-    rows = docs.select(F.col(doc_id).cast("long").isNull().alias("none"), *row_key(text, doc_id), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "none boolean, k1 long, k2 long, fp long, bands array<long>, sketch array<long>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """``fp, grams`` for the rows named by ``wanted(fp, k1, k2)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = WordCodes()
-        for batch in batches:
-            grams = [shingle_set(t.as_py() or b"", code, shingle).view(np.int64) for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["fp", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in grams], longs), pa.array(sketches, longs)], ["fp", "grams", "sketch"])
 
     rows = docs.select(*row_key(text, doc_id), F.col(text).cast("string").alias("text")).join(wanted, ["k1", "k2"])
-    return rows.select("fp", "text").mapInArrow(run, "fp long, grams array<long>").dropDuplicates(["fp"])
+    return rows.select("fp", "text").mapInArrow(run, "fp long, grams array<long>, sketch array<long>").dropDuplicates(["fp"])
 
 
 def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -157,15 +133,3 @@ def near_components(members: DataFrame, sets: DataFrame, scratch: Scratch, simil
         scratch.drop(f"rows-{count}", f"leaders-{count}", f"edges-{count}")
         leaders = 16 if count == 0 else 4 * leaders
     raise RuntimeError("groups did not end")
-
-
-def near_links(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, shingle: int, similarity: float, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """The prints of all rows, and ``vertex, root`` of the components of those that are similar."""
-    prints = scratch.save(_prints(docs, text, doc_id, shingle), "prints")
-    spots = prints.select("fp", F.explode("bands").alias("key"))
-    shared = spots.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("key")
-    one = prints.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("row"), F.first("sketch").alias("sketch"))
-    members = scratch.save(spots.join(shared, "key").select("key", "fp").distinct().join(one.select("fp", "sketch"), "fp"), "members")
-    wanted = one.join(members.select("fp").distinct(), "fp").select("fp", "row.k1", "row.k2")
-    sets = scratch.save(_sets(docs, wanted, text, doc_id, shingle), "sets")
-    return prints.drop("bands", "sketch"), near_components(members, sets, scratch, similarity, small)
