@@ -22,20 +22,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
-    """``vertex, root`` for every vertex of ``edges(a, b)``, both longs; a root is its component's least vertex.
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is the larger end of none."""
+    ends = edges.select(F.col("a").alias("v"), "b").union(edges.select("b", F.lit(None).cast("long")))
+    seen = ends.groupBy("v").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count("b").alias("up"), F.count(F.lit(1)).alias("n"))
+    return not seen.filter("low < high or (up > 0 and up < n)").agg(F.count(F.lit(1)).alias("n")).first().n
+
+
+def stars(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
+    """``a, b`` for every vertex ``a`` of ``edges(a, b)``, both longs, that is not its component's least vertex ``b``.
 
-    Alternates large and small stars until the table no longer changes: O(log n) rounds in practice, each
+    Alternates large and small stars until the table is one of stars: O(log n) rounds in practice, each
     round a few shuffles of the edges, whose number never grows. Both minima combine before the shuffle,
     and the joins on a hot centre have one row on the other side, so AQE may split them.
     """
-    stars = scratch.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    state, i = None, 0
-    while True:
-        found = stars.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if (found.n, found.h) == state or not found.n:
-            break
-        state, i = (found.n, found.h), i + 1
-        stars = scratch.save(_small_star(_large_star(stars).distinct()).distinct(), f"{name}-{i}")
+    found, i = scratch.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"), 0
+    while not _settled(found):
+        i += 1
+        found = scratch.save(_small_star(_large_star(found)).distinct(), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
-    return stars.select(F.col("a").alias("vertex"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
+    return found
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
+    """``vertex, root`` for every vertex of ``edges(a, b)``, both longs; a root is its component's least vertex."""
+    found = stars(edges, scratch, name)
+    return found.select(F.col("a").alias("vertex"), F.col("b").alias("root")).union(found.select("b", "b").distinct())

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayflow.llm.anchors import WordCodes, sequence_hashes
 from assayflow.llm.common import LOWER, Scratch, row_key
-from assayflow.llm.components import connected_components
+from assayflow.llm.components import stars
 
 #: Least hashes of a sketch.
 HASHES = 288
 #: Least hashes whose two bits differ at most between sets that are compared: at 0.8 some 43 of 288 do, 6 more or less.
 FAR = 71
-#: Members of a band's group up to which all its components are compared at once.
+#: Members of a group up to which all its components are compared at once.
 SMALL = 8
+#: Members of a larger group, on average, that one task compares with the group's leaders.
+TILE = 512
 _R = np.random.default_rng(42)
 _ODD, _ADD = (_R.integers(0, 1 << 64, (HASHES, 1), np.uint64) for _ in range(2))
 _ODD |= np.uint64(1)
@@ -85,6 +87,15 @@ def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y", common.alias("c")).select("a", "b", (F.col("c") / (F.size("x") + F.size("y") - F.col("c"))).alias("j"))
 
 
+def _leaders(rows: DataFrame, leaders: int, count: int) -> DataFrame:
+    """``key, fp, root, sketch, last, n``: who leads each group of ``rows``: where ``last`` names a component, all outside it, else one of each of some so many components."""
+    group = ("key", "root", "n", "parts", "low", "last")
+    chosen = (F.pmod(F.xxhash64("root", F.lit(count)), F.col("parts")) < leaders) | (F.col("low") == F.col("root"))
+    first = F.min(F.struct(F.xxhash64("fp", F.lit(count)).alias("place"), "fp", "sketch")).alias("first")
+    some = rows.filter(F.col("last").isNull() & chosen).groupBy(*group).agg(first).select("key", "first.fp", "root", "first.sketch", "last", "n")
+    return some.union(rows.filter("root <> last").select("key", "fp", "root", "sketch", "last", "n"))
+
+
 def near_components(members: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, small: int = SMALL) -> DataFrame:
     """``vertex, root``: the components of all pairs of a group of ``members(key, fp, sketch)`` at the similarity or above.
 
@@ -92,44 +103,45 @@ def near_components(members: DataFrame, sets: DataFrame, scratch: Scratch, simil
     then known. Between the rounds components are joined, and a group ends once all that is left of it is in
     one component, as a link among those adds nothing. The first round has one leader, which settles a group
     of mutual copies; then those with up to ``small`` members are compared across their components at once,
-    and larger ones by a leader for each of some 16, 64, 256 and so on components. So no pair that could join two
-    components is left out, and groups of thousands of copies take a few comparisons for each member.
+    and larger ones by a leader for each of some 16, 1024, 65536 and so on components, or by all members outside the
+    largest component once these are as few, which ends the group. So no pair that could join two
+    components is left out, and groups of thousands of copies take a few comparisons for each member. A root has no row of its own.
     """
     roots, leaders, kept = None, 1, ("key", "fp", "root", "sketch")
     for count in range(64):
-        rows = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        live = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n", "lead")
+        rows = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lead"))
+        live = parts.groupBy("key").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts"), F.min("lead").alias("lead"), F.min("root").alias("low"), F.max(F.struct("size", "root")).alias("top")).filter("parts > 1")
+        live = live.withColumn("last", F.when(F.col("n") - F.col("top.size") <= leaders, F.col("top.root"))).drop("top")
         rows = scratch.save(rows.join(live, "key"), f"rows-{count}")
+        if count:
+            scratch.drop(f"rows-{count - 1}", f"leaders-{count - 1}")
         if roots is not None and rows.isEmpty():
-            return roots
-        scratch.drop(f"members-{count - 1}")
+            return roots.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
         other = (F.col("x.root") != F.col("y.root")) & (_differing("x.sketch", "y.sketch") <= FAR)
-        same_key = F.col("x.key") == F.col("y.key")
-        if count == 0:
-            led = few = scratch.save(rows.filter("fp = lead").select(*kept), f"leaders-{count}")
-            compared = rows
-        else:
-            place = F.xxhash64("fp", F.lit(count))
-            few = compared = rows.filter(F.col("n") <= small).select(*kept)
-            # One member for each component of a large group, and of these some: a key's components are as many rows, never gathered.
-            many = rows.filter(F.col("n") > small)
-            first = many.groupBy("key", "root").agg(F.min(F.struct(place.alias("place"), "fp", "sketch")).alias("first"))
-            parts = first.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.min("root").alias("least"))
-            chosen = (F.pmod(F.xxhash64("root", F.lit(count)), F.col("parts")) < leaders) | (F.col("least") == F.col("root"))
-            picked = scratch.save(first.join(parts, "key").filter(chosen).select("key", "first.fp", "root", "first.sketch"), f"leaders-{count}")
-            led = few.union(picked)
-        pairs = compared.alias("y").join(few.alias("x"), same_key & other)
-        edges = _scored(pairs.select(F.least("x.fp", "y.fp").alias("b"), F.greatest("x.fp", "y.fp").alias("a")), sets).filter(F.col("j") >= similarity).select("a", "b")
-        if count:  # members of large groups bring their sets along, and the join itself compares them
-            x, y = (df.select(*kept).join(sets, "fp") for df in (picked, many))
+        edges = None
+        if count < 2:
+            few = rows.filter("fp = lead") if count == 0 else rows.filter(F.col("n") <= small)
+            compared = rows if count == 0 else few
+            pairs = compared.alias("y").join(few.alias("x"), (F.col("x.key") == F.col("y.key")) & other)
+            edges = _scored(pairs.select(F.least("x.fp", "y.fp").alias("b"), F.greatest("x.fp", "y.fp").alias("a")), sets).filter(F.col("j") >= similarity).select("a", "b")
+            led = few.select("key", "fp")
+        if count:  # members of large groups bring their sets along, and the join itself compares them; a group's tiles are compared apart
+            many = rows.filter(F.col("n") > small) if count == 1 else rows
+            picked = scratch.save(_leaders(many, leaders, count), f"leaders-{count}")
+            led = picked.select("key", "fp") if count > 1 else led.union(picked.select("key", "fp"))
+            x = picked.join(sets, "fp").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / TILE) - 1))).repartition("key", "tile")
+            y = many.select(*kept, F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / TILE)).alias("tile")).join(sets, "fp").repartition("key", "tile")
+            same = (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile"))
+            once = F.col("x.last").isNull() | (F.col("y.root") == F.col("x.last")) | (F.col("x.fp") < F.col("y.fp"))
             common = F.size(F.array_intersect("x.grams", "y.grams"))
             near = common >= similarity * (F.size("x.grams") + F.size("y.grams") - common)
-            edges = edges.union(y.alias("y").join(x.alias("x"), same_key & other & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+            found = y.alias("y").join(x.alias("x"), same & once & other & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+            edges = found if edges is None else edges.union(found)
         edges = scratch.save(edges, f"edges-{count}")
-        members = scratch.save(rows.select("key", "fp", "sketch").join(led.select("key", "fp"), ["key", "fp"], "left_anti"), f"members-{count}")
+        members = rows.select("key", "fp", "sketch").join(led, ["key", "fp"], "left_anti")
         if roots is None or not edges.isEmpty():  # all pairs were of two components, so an edge joins some
-            known = edges if roots is None else edges.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
-            roots = scratch.save(connected_components(known, scratch, f"stars-{count}"), f"roots-{count}")
-        scratch.drop(f"rows-{count}", f"leaders-{count}", f"edges-{count}")
-        leaders = 16 if count == 0 else 4 * leaders
+            roots = stars(edges if roots is None else edges.union(roots), scratch, f"stars-{count}")
+        scratch.drop(f"edges-{count}")
+        leaders = 16 if count == 0 else 64 * leaders
     raise RuntimeError("groups did not end")

@@ -356,13 +356,15 @@ def _wide_forest(rows: DataFrame, near: int, distance: int) -> DataFrame:
         if held and sum(x.shape[1] for x in held):
             yield edges(np.concatenate(held, axis=1))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
 def wide_edges(codes: DataFrame, scratch: Scratch, width: int, blocks: int, similarity: float) -> DataFrame:
     """Edges ``a, b`` that connect all ``(fp, code)`` whose sets have the similarity, and others whose codes are as near.
 
     The patterns of the blocks are the index's top nodes, below which a tree in Gray order searches the words carried along.
+    A pattern has a tree of its own, so a row of a large group has an edge for each block, to another root each. Of these it
+    keeps the one to the least root, to which the other roots go: most rows then have one edge, and roots share theirs.
     """
     share = differing_share(similarity)
     near, distance = differing_most(64, share), differing_most(64 * CARRIED, share)
@@ -370,7 +372,10 @@ def wide_edges(codes: DataFrame, scratch: Scratch, width: int, blocks: int, simi
     for at in range(0, blocks, PASS):
         part = scratch.save(_wide_forest(_wide_route(codes, range(at, min(at + PASS, blocks)), width), near, distance), f"edges-of-{at}")
         found = part if found is None else found.union(part)
-    return found
+    ups = found.groupBy("a").agg(F.collect_set("b").alias("ups"))  # one for each block at most
+    least = F.array_min("ups")
+    each = ups.select("a", least.alias("least"), F.explode("ups").alias("b"))
+    return each.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _linked(docs: DataFrame, text: str, doc_id: str, shingle: int) -> tuple[DataFrame, DataFrame]:

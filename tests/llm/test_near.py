@@ -92,3 +92,20 @@ def test_rows_without_words_and_repeated_rows(spark):
     rows = awkward()
     want = groups([t for _, t in rows])[0]
     assert drop_near_copies(frame(spark, rows)).count() == len(set(want))
+
+
+def test_a_large_group_takes_few_rounds(spark, monkeypatch):
+    """A family of some 0.7 with links here and there: what is left of it ends at once, not a member of each component a round."""
+    r = random.Random(8)
+    base = words(150, 9, 5000)
+    texts = [" ".join(edited(r, base, r.randrange(2, 7))) for _ in range(300)]
+    want, _ = groups(texts)
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (saved.append(name), save(self, df, name))[1])
+    code = near.WordCodes()
+    sets = [near.shingle_set(t.encode(), code) for t in texts]
+    rows = [(0, i, x.view(np.int64).tolist(), near.sketch(near.least_hashes(x)).view(np.int64).tolist()) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "key long, fp long, grams array<long>, sketch array<long>")
+    got = {r.vertex: r.root for r in near.near_components(table.select("key", "fp", "sketch"), table.select("fp", "grams"), Scratch(spark, "test"), 0.8).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want and len(set(want)) > 20
+    assert sum(name.startswith("rows-") for name in saved) <= 5
